@@ -148,11 +148,10 @@ def _hits(asked: DataFrame, corpus: DataFrame, k: int, metric: str, broadcast_by
 
 def _broadcast_hits(asked: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
     rows = asked.select("query_id", "cell", "vector").toArrow()
-    queries = _Queries(*_columns(rows, "query_id"), metric)
-    shared = asked.sparkSession.sparkContext.broadcast(queries)
+    shared = asked.sparkSession.sparkContext.broadcast(_columns(rows, "query_id"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(shared.value, k)
+        best = _Best(_Queries(*shared.value, metric), k)
         for batch in batches:
             if batch.num_rows:
                 best.add(*_columns(batch, "id"))
