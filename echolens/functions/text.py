@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -43,6 +44,11 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITESPACE))
 
 
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [text.contains(word) for word in words])
 
@@ -177,13 +183,15 @@ class RelevanceRules:
 
 def is_relevant(title: Column, content: Column, rules: RelevanceRules) -> Column:
     """Strong keyword keeps; else a false friend drops; else the lone brand word needs context."""
+
+    def judge(text: Column) -> Column:
+        alone = F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {rules.brand} ")
+        return (
+            F.when(contains_any(text, rules.strong), True)
+            .when(contains_any(text, rules.false_positive), False)
+            .otherwise(alone & contains_any(text, rules.context))
+        )
+
     empty = F.lit("")
-    text = F.lower(
-        F.concat(F.coalesce(title, empty), F.lit(" "), F.coalesce(content, empty))
-    )
-    alone = F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {rules.brand} ")
-    return (
-        F.when(contains_any(text, rules.strong), True)
-        .when(contains_any(text, rules.false_positive), False)
-        .otherwise(alone & contains_any(text, rules.context))
-    )
+    text = F.lower(F.concat(F.coalesce(title, empty), F.lit(" "), F.coalesce(content, empty)))
+    return computed_once(text, judge)

@@ -31,7 +31,7 @@ def system_text(product: str) -> tuple[str, str]:
 def retrieve(questions: DataFrame, vectors: DataFrame, k: int = 5, **search: object) -> DataFrame:
     """The ``k`` nearest stored texts per question: ``question_id``, ``rank``, text, source, url."""
     asked = questions.select(F.col("question_id").cast("string").alias("query_id"), "vector")
-    hits = V.with_payload(V.search(asked, vectors, k, **search), vectors)
+    hits = V.search(asked, vectors, k, payload=True, **search)
     return hits.select(
         F.col("query_id").alias("question_id"), "rank", "id", "distance", "text", "source", "url"
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from echolens.functions.clock import Clock, now
 from echolens.functions.text import is_filled
 from echolens.operators.filters import is_voice, newest
+from echolens.operators.plan import broadcast_if_small
 
 _LABELS = ("sentiment_simple", "sentiment_rich", "content_type")
 
@@ -24,7 +25,12 @@ def first_per_key(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
 
 def new_messages(snapshot: DataFrame, batch: DataFrame, order_by: tuple[str, ...] = ("fetched_at",)) -> DataFrame:
     """Rows of ``batch`` that ``insert_if_absent`` adds: ids not stored yet, the first of each."""
-    fresh = first_per_key(batch, "id", *order_by).join(snapshot.select("id"), "id", "left_anti")
+    batch = first_per_key(batch, "id", *order_by)
+    # Which batch ids are stored is found from the batch's side: a small batch is broadcast, and then
+    # neither join shuffles the snapshot.
+    ids = batch.select("id")
+    stored = snapshot.select("id").join(broadcast_if_small(ids), "id", "left_semi")
+    fresh = batch.join(stored, "id", "left_anti")
     return fresh.withColumns(
         {
             "metadata": F.coalesce("metadata", F.lit("{}")),
@@ -42,7 +48,8 @@ def replace_by_key(snapshot: DataFrame, delta: DataFrame, key: str, *last_by: st
     """Delta rows replace the stored rows of their key; the last by ``last_by`` wins in the delta."""
     if last_by:
         delta = first_per_key(delta, key, *[F.desc(name) for name in last_by])
-    kept = snapshot.join(delta.select(key), key, "left_anti").select(*snapshot.columns)
+    replaced = broadcast_if_small(delta.select(key))
+    kept = snapshot.join(replaced, key, "left_anti").select(*snapshot.columns)
     return kept.unionByName(delta.select(*snapshot.columns))
 
 
@@ -90,7 +97,7 @@ def update_analysis(
     changed["topics"] = F.when(touched, F.coalesce(topics, "topics", F.lit("[]"))).otherwise(F.col("topics"))
     changed["metadata"] = F.when(touched, F.coalesce("metadata", F.lit("{}"))).otherwise(F.col("metadata"))
     changed["processed_at"] = F.when(F.col("_analysed"), now(as_of)).otherwise(F.col("processed_at"))
-    joined = messages.join(delta, "id", "left")
+    joined = messages.join(broadcast_if_small(delta), "id", "left")
     return joined.select(*[changed.get(name, F.col(name)).alias(name) for name in messages.columns])
 
 

@@ -9,6 +9,7 @@ from echolens.functions.text import (
     SPACE,
     THREAD_QUESTION_WORDS,
     clean_content,
+    computed_once,
     contains_any,
     strip,
     title_to_question,
@@ -52,15 +53,21 @@ def _parts(messages: DataFrame) -> DataFrame:
         return F.struct(position.alias("position"), header.alias("header"), text.alias("text"))
 
     # Header i goes with part i + 1; where the two lists differ in length the longer tail is dropped.
-    sections = F.transform(
-        headers,
-        lambda header, i: part(
-            i + 1, strip(F.ltrim(strip(header), F.lit("#"))), strip(F.get(parts, i + 1))
-        ),
-    )
+    def sections(cut: Column) -> Column:
+        return F.transform(
+            cut["headers"],
+            lambda header, i: part(
+                i + 1, strip(F.ltrim(strip(header), F.lit("#"))), strip(F.get(cut["parts"], i + 1))
+            ),
+        )
+
     whole = F.array(part(F.lit(0), F.col("title"), content))
-    found = F.when(F.size(headers) > 0, sections).otherwise(whole)
-    return _documents(messages).select("id", F.explode(found).alias("p")).select("id", "p.*")
+
+    def found(cut: Column) -> Column:
+        return F.when(F.size(cut["headers"]) > 0, sections(cut)).otherwise(whole)
+
+    cut = F.struct(headers.alias("headers"), parts.alias("parts"))
+    return _documents(messages).select("id", F.inline(computed_once(cut, found)))
 
 
 def doc_sections(messages: DataFrame) -> DataFrame:
@@ -93,7 +100,8 @@ def qa_pairs(messages: DataFrame) -> DataFrame:
     shuffle. Two are enough, since at most one candidate is the opening message itself.
     """
     content = F.coalesce("content", F.lit(""))
-    head = F.substring(F.lower(content), 1, QUESTION_HEAD)
+    # Cut before lower-casing, so that only the head is lower-cased; some letters grow by it.
+    head = F.substring(F.lower(F.substring(content, 1, QUESTION_HEAD)), 1, QUESTION_HEAD)
     asks = (
         F.coalesce(F.col("content_type") == "question", F.lit(False))
         | content.contains("?")
@@ -178,7 +186,18 @@ def train_val_split(examples: DataFrame, share: float = 0.9, seed: int = 42) ->
 
 
 def save_dataset(chat: DataFrame, path: str, share: float = 0.9, seed: int = 42) -> tuple[str, str]:
-    """Write ``{"messages": [...]}`` lines for training and validation; returns the two folders."""
+    """Write ``{"messages": [...]}`` lines for training and validation; returns the two folders.
+
+    ``chat`` is read twice, once to find the boundary of the split: give it a stored table.
+    """
     split = train_val_split(chat, share, seed).select("messages", "split")
     split.write.mode("overwrite").partitionBy("split").json(path)
     return f"{path}/split=train", f"{path}/split=val"
+
+
+def prepare_training_data(messages: DataFrame, path: str, product: str) -> tuple[str, str]:
+    """Examples from messages, stored as chat lines below ``path``; returns the two folders."""
+    chat = chat_examples(training_examples(messages, product), instruction(product))
+    stored = f"{path}/examples"
+    chat.write.mode("overwrite").parquet(stored)
+    return save_dataset(messages.sparkSession.read.schema(chat.schema).parquet(stored), f"{path}/chat")

@@ -26,8 +26,11 @@ L2, COSINE = "l2", "cosine"
 BROADCAST_BYTES = 64 << 20
 # Rows of either side that meet in one task of the block-by-block join.
 BLOCK_ROWS = 20_000
+# Vectors per cell that the cell centres are fitted on.
+TRAINING_ROWS = 1000
 # Query-corpus pairs compared in one NumPy call.
 _PAIRS = 1 << 18
+_HIT_BYTES = 256
 _HIT = "query_id string, cell int, id string, distance double"
 
 
@@ -60,33 +63,40 @@ def search(
     metric: str = L2,
     source: str | None = None,
     after: Clock = None,
+    payload: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query (``query_id``, ``vector``), ties by id.
 
-    Gives ``query_id``, ``rank`` from 1, ``id`` and ``distance``: squared L2, or 1 minus cosine.
+    Gives ``query_id``, ``rank`` from 1, ``id`` and ``distance``: squared L2, or 1 minus cosine. With
+    ``payload`` the other stored columns are added to the final hits, not carried through the search.
     """
-    corpus = restrict(vectors, source, after).select("id", "vector", F.lit(0).alias("cell"))
+    chosen = restrict(vectors, source, after)
+    corpus = chosen.select("id", "vector", F.lit(0).alias("cell"))
     asked = queries.select("query_id", "vector", F.lit(0).alias("cell"))
-    return _best(_hits(asked, corpus, k, metric, broadcast_bytes), k)
-
-
-def with_payload(hits: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Add the stored columns of the hit vectors. Only the hits' ids are joined, never the scan."""
-    return hits.join(vectors.drop("vector"), "id")
+    hits, asked_rows = _hits(asked, corpus, k, metric, broadcast_bytes)
+    best = _best(hits, k)
+    if not payload:
+        return best
+    if asked_rows * k * _HIT_BYTES <= broadcast_bytes:
+        best = F.broadcast(best)
+    return best.join(chosen.drop("vector"), "id")
 
 
 def assign_cells(vectors: DataFrame, cells: int = 256, seed: int = 42, max_iter: int = 10):
     """Cluster unit-length vectors with k-means.
 
-    Gives the vectors with their ``cell`` and the cell centres. Store the vectors partitioned by cell
-    to let a search read the probed cells only.
+    Gives the vectors with their ``cell`` and the cell centres. Every vector gets a cell; the centres
+    alone are fitted on a sample of at most ``cells * TRAINING_ROWS`` vectors. Store the vectors
+    partitioned by cell to let a search read the probed cells only.
     """
     rows = vectors.where(F.col("vector").isNotNull())
     unit = rows.withColumn("_unit", array_to_vector(_unit(F.col("vector"))))
+    share = cells * TRAINING_ROWS / max(rows.count(), 1)
+    training = unit.select("_unit") if share >= 1 else unit.select("_unit").sample(share, seed)
     model = KMeans(
         k=cells, seed=seed, maxIter=max_iter, featuresCol="_unit", predictionCol="cell"
-    ).fit(unit)
+    ).fit(training)
     return model.transform(unit).drop("_unit"), np.array(model.clusterCenters())
 
 
@@ -105,7 +115,7 @@ def search_cells(
     """
     asked = _probed_cells(queries, centres, probes)
     corpus = vectors.select("id", "vector", "cell")
-    return _best(_hits(asked, corpus, k, metric, broadcast_bytes), k)
+    return _best(_hits(asked, corpus, k, metric, broadcast_bytes)[0], k)
 
 
 def _unit(vector: Column) -> Column:
@@ -134,16 +144,18 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "id", "distance")
 
 
-def _hits(asked: DataFrame, corpus: DataFrame, k: int, metric: str, broadcast_bytes: int) -> DataFrame:
-    """Candidates that include the k best of every query."""
+def _hits(
+    asked: DataFrame, corpus: DataFrame, k: int, metric: str, broadcast_bytes: int
+) -> tuple[DataFrame, int]:
+    """Candidates that include the k best of every query, and the number of query rows."""
     asked = asked.where(F.col("vector").isNotNull())
     corpus = corpus.where(F.col("vector").isNotNull())
     size = asked.agg(F.count("*").alias("rows"), F.max(F.size("vector")).alias("dim")).first()
     if not size["rows"]:
-        return asked.sparkSession.createDataFrame([], _HIT)
+        return asked.sparkSession.createDataFrame([], _HIT), 0
     if size["rows"] * (8 * size["dim"] + 64) <= broadcast_bytes:
-        return _broadcast_hits(asked, corpus, k, metric)
-    return _blocked_hits(asked, corpus, k, metric, size["rows"])
+        return _broadcast_hits(asked, corpus, k, metric), size["rows"]
+    return _blocked_hits(asked, corpus, k, metric, size["rows"]), size["rows"]
 
 
 def _broadcast_hits(asked: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:

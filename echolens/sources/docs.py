@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolens.functions.clock import Clock, now
-from echolens.functions.text import strip
-from echolens.sources.html import extract_page
+from echolens.functions.text import computed_once, is_filled, strip
+from echolens.operators.plan import evaluated_once
+from echolens.sources.html import extract_pages
 from echolens.sources.landing import to_messages
 
 # File name rules and the shortest text worth keeping.
@@ -48,6 +49,27 @@ def doc_files(files: DataFrame, per_repo: int = 50) -> DataFrame:
     )
 
 
+def _docstring(lines: Column) -> Column:
+    def first_line(among: Column, test) -> Column:
+        return F.array_position(F.transform(among, lambda line: test(strip(line), F.lit(QUOTES))), F.lit(True))
+
+    start = first_line(lines, F.startswith).cast("int")
+    first = strip(F.get(lines, start - 1))
+    one_line = F.endswith(first, F.lit(QUOTES)) & (F.length(first) > 3)
+    opening = F.array(F.substring(first, F.lit(4), F.length(first)))
+    rest = F.slice(lines, start + 1, DOCSTRING_LINES)
+    end = first_line(rest, F.endswith).cast("int")
+    last = strip(F.get(rest, end - 1))
+    closed = F.concat(
+        F.slice(rest, 1, F.greatest(end - 1, F.lit(0))),
+        F.array(F.substring(last, F.lit(1), F.length(last) - 3)),
+    )
+    text = F.when(
+        one_line, F.substring(first, F.lit(4), F.greatest(F.length(first) - 6, F.lit(0)))
+    ).otherwise(F.array_join(F.concat(opening, F.when(end > 0, closed).otherwise(rest)), "\n"))
+    return F.when(start > 0, strip(text))
+
+
 def python_doc(content: Column, path: Column, module: str) -> Column:
     """Module docstring of a Python file, then the whole file where it imports ``module``.
 
@@ -55,29 +77,7 @@ def python_doc(content: Column, path: Column, module: str) -> Column:
     not close there runs to the fiftieth line.
     """
     lines = F.slice(F.split(content, "\n", -1), 1, DOCSTRING_LINES)
-    marks = F.transform(lines, lambda line: F.startswith(strip(line), F.lit(QUOTES)))
-    start = F.array_position(marks, F.lit(True)).cast("int")
-    first = strip(F.get(lines, start - 1))
-    one_line = F.endswith(first, F.lit(QUOTES)) & (F.length(first) > 3)
-    rest = F.slice(lines, start + 1, DOCSTRING_LINES)
-    ends = F.transform(rest, lambda line: F.endswith(strip(line), F.lit(QUOTES)))
-    end = F.array_position(ends, F.lit(True)).cast("int")
-    last = strip(F.get(rest, end - 1))
-    body = F.when(
-        end > 0,
-        F.concat(
-            F.slice(rest, 1, F.greatest(end - 1, F.lit(0))),
-            F.array(F.substring(last, F.lit(1), F.length(last) - 3)),
-        ),
-    ).otherwise(rest)
-    opening = F.substring(first, F.lit(4), F.length(first))
-    docstring = F.when(
-        start > 0,
-        strip(
-            F.when(one_line, F.substring(first, F.lit(4), F.greatest(F.length(first) - 6, F.lit(0))))
-            .otherwise(F.array_join(F.concat(F.array(opening), body), "\n"))
-        ),
-    )
+    docstring = computed_once(lines, _docstring)
     imports = content.contains(f"import {module}") | content.contains(f"from {module}")
     example = F.when(
         imports, F.concat(F.lit("\n\n--- Code Example: "), path, F.lit(" ---\n\n"), content)
@@ -93,8 +93,9 @@ def file_texts(files: DataFrame, module: str) -> DataFrame:
     text = F.when(path.endswith(".py"), python_doc(F.col("content"), path, module)).otherwise(
         F.col("content")
     )
-    rows = files.withColumn("content", text)
-    return rows.where(F.col("content").isNotNull() & (F.col("content") != ""))
+    kept = [name for name in files.columns if name != "content"]
+    rows = evaluated_once(files, *kept, content=text)
+    return rows.where(is_filled(F.col("content")))
 
 
 def file_messages(files: DataFrame, module: str, as_of: Clock = None, per_repo: int = 50) -> DataFrame:
@@ -140,11 +141,7 @@ def crawlable(url: Column, host: str, prefix: str = "/docs") -> Column:
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """Replace ``html`` by the ``title`` and ``content`` of the page; short pages are dropped."""
-    rows = pages.withColumn("page", extract_page(F.col("html")))
-    others = [name for name in pages.columns if name != "html"]
-    return rows.select(*others, F.col("page.title").alias("title"), F.col("page.content").alias("content")).where(
-        F.length("content") >= SHORTEST_TEXT
-    )
+    return extract_pages(pages).where(F.length("content") >= SHORTEST_TEXT)
 
 
 def page_messages(pages: DataFrame, is_docs: bool = False, as_of: Clock = None) -> DataFrame:

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolens.functions.text import strip
+from echolens.operators.plan import evaluated_once
 
 # Content elements by preference, and elements whose text is not content.
 CONTENT_TAGS = ("article", "main")
@@ -54,13 +55,23 @@ def _texts(markup: Column) -> Column:
     return F.filter(nodes, lambda text: text != "")
 
 
-def extract_page(html: Column) -> Column:
-    """Struct of title and content; NULL where the page has no content element."""
+def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Replace the column ``html`` by ``title`` and ``content``, NULL without a content element."""
+    kept = [name for name in pages.columns if name != html]
     # Scripts, styles and comments separate text nodes as tags do, so a tag takes their place.
     markup = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "<x>")
-    inner = F.regexp_extract(markup, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    body = F.regexp_replace(inner, r"(?is)<(nav|footer)\b[^>]*>.*?</\1\s*>", "<x>")
-    heading = F.regexp_extract(markup, r"(?is)<(h1)\b[^>]*>(.*?)</h1\s*>", 2)
+    rows = evaluated_once(pages, *kept, html, _markup=markup)
+    inner = F.regexp_extract("_markup", r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
+    rows = evaluated_once(
+        rows,
+        *kept,
+        html,
+        "_markup",
+        _body=F.regexp_replace(inner, r"(?is)<(nav|footer)\b[^>]*>.*?</\1\s*>", "<x>"),
+        _heading=F.regexp_extract("_markup", r"(?is)<(h1)\b[^>]*>(.*?)</h1\s*>", 2),
+    )
+    markup, body, heading = F.col("_markup"), F.col("_body"), F.col("_heading")
+    odd_text = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)[#A-Za-z]|<[^A-Za-z/]|</[^A-Za-z]|<$"
     plain = (
         (_occurrences(markup, r"(?i)<article\b") == 1)
         & (_occurrences(markup, r"(?i)</article\s*>") == 1)
@@ -69,13 +80,17 @@ def extract_page(html: Column) -> Column:
         & ~body.rlike(r"(?i)</?(?:nav|footer|script|style|template)\b")
         & ~markup.rlike(r"(?i)<(?:template|textarea|plaintext|xmp)\b|<!\[|<\?|<!--")
         & ~markup.rlike(r"""<[A-Za-z][^<>]*=\s*(?:"[^"<>]*>|'[^'<>]*>)""")
-        & ~F.concat(heading, body).rlike(r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)[#A-Za-z]|<[^A-Za-z/]|</[^A-Za-z]|<$")
+        & ~F.concat(heading, body).rlike(odd_text)
     )
+    rows = evaluated_once(rows, *kept, html, "_heading", "_body", _plain=plain)
     by_regex = F.struct(
         F.array_join(_texts(heading), "").alias("title"),
         F.array_join(_texts(body), "\n").alias("content"),
     )
-    return F.when(plain, by_regex).otherwise(_parse(F.when(~plain, html)))
+    page = F.when(F.col("_plain"), by_regex).otherwise(_parse(F.when(~F.col("_plain"), F.col(html))))
+    return evaluated_once(rows.select(*kept, page.alias("_page")), *kept, _page=F.col("_page")).select(
+        *kept, "_page.title", "_page.content"
+    )
 
 
 class _Tree(HTMLParser):

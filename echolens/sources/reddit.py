@@ -15,6 +15,7 @@ from echolens.functions.text import (
     is_relevant,
     strip_html,
 )
+from echolens.operators.plan import evaluated_once
 from echolens.operators.tables import first_per_key
 from echolens.sources.landing import message_id, to_messages, with_blank_line
 
@@ -89,7 +90,8 @@ def atom_entries(entries: DataFrame) -> DataFrame:
 
 def atom_posts(entries: DataFrame, rules: RelevanceRules, as_of: Clock = None) -> DataFrame:
     """Relevant feed entries as messages, one per post however many feeds carry it."""
-    rows = atom_entries(entries).withColumn("content", strip_html(F.col("content")))
+    kept = ("subreddit", "entry_id", "title", "link", "updated", "author")
+    rows = evaluated_once(atom_entries(entries), *kept, content=strip_html(F.col("content")))
     rows = rows.where(is_relevant(F.col("title"), F.col("content"), rules))
     word = "([A-Za-z0-9_]+)"
     by_id = F.nullif(F.regexp_extract("entry_id", "t3_" + word, 1), F.lit(""))
