@@ -22,11 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _pick(index: Column, values: tuple[str, ...]) -> Column:
-    """Value at ``index``, written as a chain that the optimizer can fold and generate code for."""
-    chosen = F.when(index == 0, values[0])
-    for i, value in enumerate(values[1:], 1):
-        chosen = chosen.when(index == i, value)
-    return chosen
+    """Value at ``index`` of a constant array; a long CASE would make methods too large to compile."""
+    return F.get(F.array(*[F.lit(value) for value in values]), index.cast("int"))
 
 
 def _id(number: Column) -> Column:
@@ -48,7 +45,8 @@ def events(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
         return rows
     documents = table(spark, folder, "documents")
     number = documents.agg(F.count("*")).scalar()
-    texts = documents.select("doc_id", "text")
+    # Both sides grow with the data, so the join shuffles: a broadcast would not hold at scale.
+    texts = documents.select("doc_id", "text").hint("merge")
     return rows.withColumn("doc_id", F.col("event_id") % number).join(texts, "doc_id", "left")
 
 
