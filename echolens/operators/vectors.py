@@ -176,23 +176,22 @@ def _blocked_hits(asked: DataFrame, corpus: DataFrame, k: int, metric: str, quer
     """Each query block meets each corpus block of its cell once; blocks have a bounded size.
 
     A cell that holds most of the corpus is cut into as many blocks as its row count asks for. The
-    block counts are one row per cell, a number set by the caller, so they can be broadcast.
+    driver gets one count per cell, a number set by the caller.
     """
     query_blocks = -(-queries // BLOCK_ROWS)
-    blocks = corpus.groupBy("cell").agg(
-        F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("corpus_blocks")
-    )
+    counts = {row["cell"]: row["count"] for row in corpus.groupBy("cell").count().collect()}
+    per_cell = [-(-counts.get(cell, 0) // BLOCK_ROWS) for cell in range(max(counts, default=0) + 1)]
+    corpus_blocks = F.get(F.array(*map(F.lit, per_cell)), F.col("cell"))
     keys = ["cell", "query_block", "corpus_block"]
     left = (
-        asked.join(F.broadcast(blocks), "cell")
+        asked.where(corpus_blocks > 0)
         .withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-        .withColumn("corpus_block", F.explode(F.sequence(F.lit(0), F.col("corpus_blocks") - 1)))
+        .withColumn("corpus_block", F.explode(F.sequence(F.lit(0), corpus_blocks - 1)))
         .select(*keys, "query_id", "vector")
     )
     # One row per cell that holds vectors: joined by hash here, broadcast at run time when small.
     right = (
-        corpus.join(F.broadcast(blocks), "cell")
-        .withColumn("corpus_block", F.pmod(F.xxhash64("id"), F.col("corpus_blocks")).cast("int"))
+        corpus.withColumn("corpus_block", F.pmod(F.xxhash64("id"), corpus_blocks).cast("int"))
         .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
         .select(*keys, "id", "vector")
     )

@@ -186,7 +186,7 @@ def absolute_url(base: Column, href: Column) -> Column:
         .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href))
-        .when(folder.endswith("//"), F.concat(origin, F.lit("/"), href))
+        .when(folder == "", F.concat(origin, F.lit("/"), href))
         .otherwise(F.concat(folder, href))
     )
     return F.when(dotted, _join_dotted(base, F.when(dotted, href))).otherwise(plain)

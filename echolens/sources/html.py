@@ -115,6 +115,7 @@ class _Tree(HTMLParser):
             if self.open[depth][0] == tag:
                 del self.open[depth:]
                 return
+        self._separate()
 
     def handle_data(self, data: str) -> None:
         children = self.open[-1][2]
@@ -124,6 +125,10 @@ class _Tree(HTMLParser):
             children.append(data)
 
     def handle_comment(self, data: str) -> None:
+        self._separate()
+
+    def _separate(self) -> None:
+        """End the current text node; comments and unmatched end tags do."""
         self.open[-1][2].append(["", {}, []])
 
 
