@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_ROWS = 1000
 FORMATS = ("json", "table")
@@ -76,3 +77,14 @@ def describe_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Dat
     return spark.createDataFrame(
         rows, "table_name string, position int, column_name string, data_type string, nullable boolean"
     )
+
+
+def check_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``describe_tables`` with the row count of each table."""
+    counts = None
+    for name, rows in tables.items():
+        count = rows.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        counts = count if counts is None else counts.unionByName(count)
+    described = describe_tables(spark, tables)
+    # One row per table of the catalog.
+    return described if counts is None else described.join(F.broadcast(counts), "table_name")

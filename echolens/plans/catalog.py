@@ -267,7 +267,7 @@ def relevance_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def strip_html(spark: SparkSession, folder: str) -> DataFrame:
-    pages = I.table(spark, folder, "pages")
+    pages = I.text_table(spark, folder, "pages")
     return pages.select("page_id", text.strip_html(F.col("html")).alias("stripped"))
 
 
@@ -290,23 +290,23 @@ def doc_file_to_message(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def page_extract(spark: SparkSession, folder: str) -> DataFrame:
-    return docs.page_texts(I.table(spark, folder, "pages")).select("page_id", "title", "content")
+    return docs.page_texts(I.text_table(spark, folder, "pages")).select("page_id", "title", "content")
 
 
 @_query
 def page_to_message(spark: SparkSession, folder: str) -> DataFrame:
-    return docs.page_messages(I.table(spark, folder, "pages"), as_of=AS_OF)
+    return docs.page_messages(I.text_table(spark, folder, "pages"), as_of=AS_OF)
 
 
 @_query
 def extract_links(spark: SparkSession, folder: str) -> DataFrame:
-    return docs.page_links(I.table(spark, folder, "pages"), marker="/")
+    return docs.page_links(I.text_table(spark, folder, "pages"), marker="/")
 
 
 @_query
 def crawlable_url(spark: SparkSession, folder: str) -> DataFrame:
     allowed = docs.crawlable(F.col("url"), "blog.tionsh.example.com", "/en")
-    return I.table(spark, folder, "pages").select("page_id", allowed.alias("crawlable"))
+    return I.text_table(spark, folder, "pages").select("page_id", allowed.alias("crawlable"))
 
 
 # Vectors and retrieval
@@ -494,7 +494,7 @@ def title_to_question(spark: SparkSession, folder: str) -> DataFrame:
     for i, words in enumerate(leads):
         lead = F.when(number == i, words).otherwise(lead)
     title = F.concat(lead, first_line, F.when(F.col("doc_id") % 11 == 0, "?").otherwise(""))
-    return I.table(spark, folder, "documents").select(
+    return I.text_table(spark, folder, "documents").select(
         "doc_id", text.title_to_question(title, PRODUCT).alias("question")
     )
 
@@ -502,7 +502,7 @@ def title_to_question(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def clean_content(spark: SparkSession, folder: str) -> DataFrame:
     spaced = F.replace(F.replace("text", F.lit(". "), F.lit(".   <b>")), F.lit("\n"), F.lit("\n\n\n\n"))
-    return I.table(spark, folder, "documents").select("doc_id", text.clean_content(spaced).alias("content"))
+    return I.text_table(spark, folder, "documents").select("doc_id", text.clean_content(spaced).alias("content"))
 
 
 @_query
@@ -536,11 +536,12 @@ def safe_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def describe_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return adhoc.describe_tables(
+    described = adhoc.check_tables(
         spark,
         {
-            "messages": I.messages(spark, folder),
+            "messages": I.messages(spark, folder, text=False),
             "ingestion_state": I.ingestion_state(spark, folder),
             "embeddings": I.vectors(spark, folder),
         },
     )
+    return described.drop("nullable")

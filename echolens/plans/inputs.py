@@ -21,6 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts are costly to process, spread over the cores.
+
+    A table of many files comes in enough splits and stays as it is; one small file is one split,
+    which would leave all its texts to one task.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def _pick(index: Column, values: tuple[str, ...]) -> Column:
     """Value at ``index`` of a constant array; a long CASE would make methods too large to compile."""
     return F.get(F.array(*[F.lit(value) for value in values]), index.cast("int"))
@@ -171,7 +182,7 @@ def threads(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as knowledge messages; headers are set into every second long one."""
-    rows = table(spark, folder, "documents")
+    rows = text_table(spark, folder, "documents")
     text, doc = F.col("text"), F.col("doc_id")
 
     def heading(lead: str, start: int) -> Column:
@@ -456,7 +467,7 @@ def repo_files(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 6, F.concat(F.lit('"""Module '), number, F.lit('."""\n'), body))
         .otherwise(body)
     )
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         F.lit(BRAND).alias("owner"),
         F.col("lang").alias("repo"),
         doc.alias("position"),

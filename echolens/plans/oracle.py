@@ -6,7 +6,7 @@ from echolens.functions.text import WHITESPACE, RelevanceRules
 from echolens.operators import retrieval, training, triage
 from echolens.plans.catalog import PRODUCT, SEARCHES
 from echolens.plans.inputs import BRAND, EMBEDDED_LETTERS
-from echolens.schemas import TOPICS
+from echolens.schemas import INGESTION_STATE, MESSAGES, TOPICS, VECTORS
 
 _WS = "'" + WHITESPACE + "'"
 _NULL = "cast(null as varchar)"
@@ -434,6 +434,12 @@ def _unanswered(days: int, voice: bool) -> str:
       and {_VOICE if voice else "true"} and not ({_HAS_REPLY})"""
 
 
+_CATALOG = ", ".join(
+    f"('{table}', {position}, '{field.name}', '{field.dataType.simpleString()}')"
+    for table, schema in (("messages", MESSAGES), ("ingestion_state", INGESTION_STATE), ("embeddings", VECTORS))
+    for position, field in enumerate(schema.fields, 1)
+)
+
 _BODIES = {
     "voice_stats": f"select {_counters('count(*) as total_messages')} from messages where {_VOICE}",
     "positive_pct": f"""select round(100.0 * count(*) filter (where sentiment_simple = 'positive') / count(*), 6)
@@ -748,9 +754,13 @@ _BODIES = {
           then 'train' else 'val' end as split from examples""",
     "safe_query": """select cast(created_at as date) as day, count(*) as n from messages group by 1
         having count(*) > 10""",
+    "describe_tables": f"""select * from (values {_CATALOG}) as c(table_name, position, column_name, data_type)
+        join (select 'messages' as table_name, count(*) as row_count from messages union all
+              select 'ingestion_state', count(*) from state union all
+              select 'embeddings', count(*) from stored) using (table_name)""",
 }
 
 
 def all_sql() -> dict[str, str]:
-    """SQL per query name. The approximate search and the catalog listing have none."""
+    """SQL per query name. The approximate search has none."""
     return {name: _BASE + body for name, body in _BODIES.items()}

@@ -34,7 +34,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_queries_without_sql():
-    assert set(QUERIES) - set(SQL) == {"ann_topk", "describe_tables"}
+    assert set(QUERIES) - set(SQL) == {"ann_topk"}
 
 
 def test_entry(spark):
