@@ -50,4 +50,12 @@ def iso_or_now(text: Column, as_of: Clock = None) -> Column:
 
 
 def epoch(seconds: Column) -> Column:
-    return F.timestamp_seconds(F.coalesce(seconds, F.lit(0))).cast("timestamp_ntz")
+    """Epoch seconds as UTC wall time, whatever the session zone; NULL becomes the epoch itself."""
+    micros = (F.coalesce(seconds, F.lit(0)) * F.lit(1_000_000)).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def iso_utc(text: Column) -> Column:
+    """ISO text with any offset as UTC wall time; NULL if malformed."""
+    local = text.try_cast("timestamp").cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)

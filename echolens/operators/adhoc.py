@@ -7,9 +7,32 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolens.operators import filters, metrics, replies
+
 MAX_ROWS = 1000
 FORMATS = ("json", "table")
 
+# The sample queries by group; each takes the messages table.
+SAMPLE_QUERIES = {
+    "basic": {
+        "total_messages": metrics.total_messages,
+        "by_source": metrics.by_source,
+        "by_sentiment": metrics.by_sentiment,
+    },
+    "recent": {
+        "recent_negative": filters.recent_negative,
+        "recent_questions": filters.recent_questions,
+    },
+    "topics": {
+        "topic_distribution": metrics.topic_counts,
+        "negative_by_topic": metrics.negative_by_topic,
+    },
+    "analytics": {
+        "sentiment_over_time": metrics.sentiment_daily,
+        "unanswered_questions": replies.unanswered_questions,
+    },
+}
+
 
 def checked_sql(sql: str, limit: object = MAX_ROWS) -> tuple[str, str, int]:
     """The cleaned query, the wrapped query that is run, and the row limit in force.

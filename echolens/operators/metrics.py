@@ -182,7 +182,7 @@ def corpus_split(messages: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_snapshot(messages: DataFrame) -> DataFrame:
+def processing_snapshot(messages: DataFrame) -> DataFrame:
     """How far processing has come, in one pass."""
     return messages.agg(
         _count_rows("total_messages"),

@@ -74,7 +74,7 @@ _over_messages("total_messages", metrics.total_messages)
 _over_messages("by_sentiment", metrics.by_sentiment)
 _over_messages("sentiment_coverage", metrics.sentiment_coverage)
 _over_messages("corpus_split", metrics.corpus_split)
-_over_messages("pipeline_snapshot", metrics.pipeline_snapshot)
+_over_messages("processing_snapshot", metrics.processing_snapshot)
 _over_messages("daily_metrics", metrics.daily_metrics)
 
 

@@ -213,6 +213,10 @@ def _second(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _epoch_seconds() -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+
+
 def _landed(rows: DataFrame, **fields: Column) -> DataFrame:
     return rows.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
 
@@ -329,7 +333,7 @@ def hn_stories(spark: SparkSession, folder: str) -> DataFrame:
         story_text=F.when(number % 2 == 1, F.col("text")),
         author=_login()["login"],
         url=F.when(number % 7 == 0, "").when(number % 7 != 1, _web("s/")),
-        created_at_i=F.unix_seconds(F.col("ts").cast("timestamp")),
+        created_at_i=_epoch_seconds(),
         points=F.floor("value"),
         num_comments=F.when(number % 9 != 0, F.col("k")),
     )
@@ -350,7 +354,7 @@ def hn_items(spark: SparkSession, folder: str) -> DataFrame:
         text=F.when(number % 8 != 0, F.col("text")),
         by=_login()["login"],
         parent=F.when(local > 0, root + F.floor((local - 1) / 2)),
-        time=F.unix_seconds(F.col("ts").cast("timestamp")),
+        time=_epoch_seconds(),
         kids=F.when(F.size(kids) > 0, kids),
         deleted=F.when((local > 0) & (number % 23 == 0), True),
         dead=F.when((local > 0) & (F.col("k") == 7), True),
@@ -372,7 +376,7 @@ def reddit_posts(spark: SparkSession, folder: str) -> DataFrame:
         selftext=F.when(number % 3 == 0, "").otherwise(F.col("text")),
         author=_login()["login"],
         permalink=F.concat(F.lit("/r/x/comments/p"), number.cast("string")),
-        created_utc=F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"),
+        created_utc=_epoch_seconds().cast("double"),
         subreddit=F.concat(F.lit("sub"), (F.col("user_id") % 9).cast("string")),
         score=F.when(number % 10 != 0, F.col("k") - 20),
         num_comments=F.col("k"),
@@ -391,7 +395,7 @@ def reddit_comments(spark: SparkSession, folder: str) -> DataFrame:
                 body.alias("body"),
                 _login()["login"].alias("author"),
                 F.concat(F.lit("/c/" + name), number.cast("string")).alias("permalink"),
-                F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("created_utc"),
+                _epoch_seconds().cast("double").alias("created_utc"),
                 F.lit("sub").alias("subreddit"),
                 F.col("k").alias("score"),
             ).alias("data")

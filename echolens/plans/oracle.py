@@ -480,7 +480,7 @@ _BODIES = {
         from messages group by 1""",
     "corpus_split": f"""select count(*) filter (where not ({_VOICE})) as knowledge_messages,
           count(*) filter (where {_VOICE}) as voice_messages from messages""",
-    "pipeline_snapshot": f"""select count(*) as total_messages, count(*) filter (where {_VOICE}) as voice_messages,
+    "processing_snapshot": f"""select count(*) as total_messages, count(*) filter (where {_VOICE}) as voice_messages,
           count(*) filter (where not ({_VOICE})) as knowledge_messages,
           count(*) filter (where processed_at is not null) as processed,
           count(*) filter (where embedding_id is not null) as embedded,

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolens.functions.clock import Clock
+from echolens.functions.clock import Clock, iso_utc
 from echolens.operators.metrics import latest_fetch
-from echolens.sources.landing import iso_utc, message_id, to_messages
+from echolens.sources.landing import message_id, to_messages
 
 SOURCE = "github"
 

@@ -110,9 +110,3 @@ def with_blank_line(head: Column, tail: Column) -> Column:
     """``head``, then a blank line and ``tail`` where there is one."""
     head = F.coalesce(head, F.lit(""))
     return F.when(tail.isNotNull() & (tail != ""), F.concat(head, F.lit("\n\n"), tail)).otherwise(head)
-
-
-def iso_utc(text: Column) -> Column:
-    """ISO text with any offset as UTC wall time (the session zone is UTC); NULL if malformed."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
-

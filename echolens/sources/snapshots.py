@@ -1,8 +1,9 @@
 """Versioned Parquet tables and JSON-lines files.
 
-A table is a folder of ``version-N`` folders. A write makes a new version and never touches the one
-being read; a version counts once its ``_SUCCESS`` marker is there, so a lost job leaves the table as
-it was.
+A table is a folder of numbered folders: ``version=N-whole`` holds the whole table, ``version=N-added`` only
+the rows added to the version before, so an insert does not copy the table. A write makes a new folder and
+never touches those being read; a folder counts once its ``_SUCCESS`` marker is there, so a lost job leaves
+the table as it was. A table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import types as T
 
 from echolens.functions.text import strip
 
-_PREFIX = "version-"
+_PREFIX, _WHOLE, _ADDED = "version=", "-whole", "-added"
 
 
-def _folder(path: str, version: int) -> str:
-    return f"{path.rstrip('/')}/{_PREFIX}{version:010d}"
+def _folder(path: str, version: int, added: bool = False) -> str:
+    return f"{path.rstrip('/')}/{_PREFIX}{version:010d}{_ADDED if added else _WHOLE}"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -30,40 +31,53 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(jvm_path)
 
 
-def latest_version(spark: SparkSession, path: str) -> int | None:
-    """Newest complete version."""
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """Complete versions in order, each with whether it only adds rows."""
     system, jvm_path = _file_system(spark, path)
     if not system.exists(jvm_path):
-        return None
+        return []
     names = [status.getPath().getName() for status in system.listStatus(jvm_path)]
-    versions = sorted((int(n[len(_PREFIX):]) for n in names if n.startswith(_PREFIX)), reverse=True)
-    return next((v for v in versions if exists(spark, _folder(path, v) + "/_SUCCESS")), None)
+    found = [
+        (int(name.removeprefix(_PREFIX).split("-")[0]), name.endswith(_ADDED))
+        for name in names
+        if name.startswith(_PREFIX)
+    ]
+    return sorted(v for v in found if exists(spark, _folder(path, *v) + "/_SUCCESS"))
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest complete version."""
+    versions = _versions(spark, path)
+    return versions[-1][0] if versions else None
 
 
 def read_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, version: int | None = None
 ) -> DataFrame:
-    """The given or newest version; an empty table where there is none."""
-    version = latest_version(spark, path) if version is None else version
-    if version is None:
+    """The table as of the given or newest version; an empty table where there is none."""
+    versions = [v for v in _versions(spark, path) if version is None or v[0] <= version]
+    whole = max((number for number, added in versions if not added), default=0)
+    folders = [_folder(path, *v) for v in versions if v[0] >= whole]
+    if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_folder(path, version))
+    # The base path makes the version a partition column, so all folders are one scan.
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*folders)
+    return rows.select(*schema.names)
 
 
 def write_snapshot(
     rows: DataFrame,
     path: str,
-    version: int | None = None,
     partition_by: str | None = None,
     sort_by: str | None = None,
+    added: bool = False,
 ) -> int:
-    """Write ``rows`` as a new version and return its number.
+    """Write ``rows`` as a new version, the whole table or only ``added`` rows; returns its number.
 
     ``partition_by`` lets readers skip folders; rebalancing splits a value that holds most rows over
     several files. ``sort_by`` orders each file for row-group skipping.
     """
-    if version is None:
-        version = (latest_version(rows.sparkSession, path) or 0) + 1
+    version = (latest_version(rows.sparkSession, path) or 0) + 1
     if partition_by:
         rows = rows.hint("rebalance", partition_by)
     order = [name for name in (partition_by, sort_by) if name]
@@ -72,12 +86,12 @@ def write_snapshot(
     writer = rows.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(_folder(path, version))
+    writer.parquet(_folder(path, version, added))
     return version
 
 
-def write_messages(messages: DataFrame, path: str, version: int | None = None) -> int:
-    return write_snapshot(messages, path, version, partition_by="source", sort_by="created_at")
+def write_messages(messages: DataFrame, path: str, added: bool = False) -> int:
+    return write_snapshot(messages, path, partition_by="source", sort_by="created_at", added=added)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from echolens.operators.tables import insert_if_absent
+from echolens.operators.tables import new_messages
 from echolens.schemas import MESSAGES
 from echolens.sources.landing import LANDED
 from echolens.sources.snapshots import read_snapshot, write_messages
@@ -24,13 +24,13 @@ def ingest(
     """Insert the messages of every landed file not seen yet, then stop. Run it on a timer.
 
     The stream's checkpoint remembers the files. A batch repeated after a failure changes nothing:
-    stored messages win over it. The table must have no other writer meanwhile.
+    stored messages win over it. Only new rows are written. The table must have no other writer meanwhile.
     """
     landed = spark.readStream.schema(LANDED[kind]).json(landing_path)
 
     def insert(batch: DataFrame, batch_id: int) -> None:
         stored = read_snapshot(batch.sparkSession, messages_path, MESSAGES)
-        write_messages(insert_if_absent(stored, normalise(batch)), messages_path)
+        write_messages(new_messages(stored, normalise(batch)), messages_path, added=True)
 
     return (
         landed.writeStream.foreachBatch(insert)

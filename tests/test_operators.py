@@ -2,10 +2,11 @@
 
 from datetime import datetime, timedelta
 
-from echolens.operators import filters, metrics, replies, tables, triage
+from echolens.operators import adhoc, filters, metrics, replies, tables, triage
+from echolens.plans import pages
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
 from echolens.sources import github
-from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
+from echolens.sources.snapshots import read_snapshot, write_messages
 
 from conftest import START, plan_of
 
@@ -189,10 +190,26 @@ def test_snapshots_ignore_unfinished_versions(spark, make_messages, tmp_path):
     assert read_snapshot(spark, path, VECTORS).count() == 0
     assert write_messages(make_messages({"id": "a"}), path) == 1
     assert write_messages(make_messages({"id": "a"}, {"id": "b"}), path) == 2
-    (tmp_path / "table" / "version-0000000003").mkdir()
+    (tmp_path / "table" / "version=0000000003-whole").mkdir()
     assert _ids(read_snapshot(spark, path, MESSAGES)) == ["a", "b"]
     assert _ids(read_snapshot(spark, path, MESSAGES, 1)) == ["a"]
-    assert write_snapshot(make_messages({"id": "c"}), path) == 3
+    assert write_messages(make_messages({"id": "c", "source": "docs"}), path, added=True) == 3
+    assert write_messages(make_messages({"id": "d"}), path, added=True) == 4
+    assert _ids(read_snapshot(spark, path, MESSAGES)) == ["a", "b", "c", "d"]
+    assert _ids(read_snapshot(spark, path, MESSAGES, 3)) == ["a", "b", "c"]
+    assert {r.id: r.source for r in read_snapshot(spark, path, MESSAGES).collect()}["c"] == "docs"
+    assert write_messages(make_messages({"id": "e"}), path) == 5
+    assert _ids(read_snapshot(spark, path, MESSAGES)) == ["e"]
+    assert read_snapshot(spark, path, MESSAGES).columns == MESSAGES.names
+
+
+def test_pages_have_every_panel(spark, make_messages):
+    rows = make_messages({"id": "a", "content_type": "question", "topics": '["pricing","other"]', "title": "t"})
+    state = spark.createDataFrame([], INGESTION_STATE)
+    for page in (pages.dashboard(rows, AS_OF), pages.explorer(rows, as_of=AS_OF), pages.admin(rows, state)):
+        assert all(frame.count() >= 1 for name, frame in page.items()), page
+    groups = adhoc.SAMPLE_QUERIES.values()
+    assert sum(len(query(rows).columns) > 0 for group in groups for query in group.values()) == 9
 
 
 def test_clear_source(spark, make_messages):
