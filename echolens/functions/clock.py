@@ -44,18 +44,19 @@ def age_in_days(created_at: Column, as_of: Clock = None) -> Column:
     return F.greatest(micros / F.lit(86_400_000_000.0), F.lit(0.0))
 
 
+def iso_utc(text: Column) -> Column:
+    """ISO text as UTC wall time: an offset is applied, text without one is UTC; NULL if malformed."""
+    offset = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
+    local = text.try_cast("timestamp").cast("timestamp_ntz")
+    shifted = F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    return F.when(offset, shifted).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def iso_or_now(text: Column, as_of: Clock = None) -> Column:
-    """ISO text (``Z`` or ``+00:00``) as UTC wall time; text that does not parse becomes now."""
-    return F.coalesce(text.try_cast("timestamp_ntz"), now(as_of))
+    return F.coalesce(iso_utc(text), now(as_of))
 
 
 def epoch(seconds: Column) -> Column:
     """Epoch seconds as UTC wall time, whatever the session zone; NULL becomes the epoch itself."""
     micros = (F.coalesce(seconds, F.lit(0)) * F.lit(1_000_000)).cast("bigint")
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-
-
-def iso_utc(text: Column) -> Column:
-    """ISO text with any offset as UTC wall time; NULL if malformed."""
-    local = text.try_cast("timestamp").cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
