@@ -17,7 +17,7 @@ from echolens.functions.clock import Clock
 from echolens.functions.text import strip, truncate
 from echolens.operators import metrics, tables, vectors
 from echolens.operators.plan import evaluated_once, materialised
-from echolens.schemas import CHAT, CONTENT_TYPES, EMOTIONS, MESSAGES, SENTIMENTS, TOPICS, VECTORS
+from echolens.schemas import CHAT, CONTENT_TYPES, EMOTIONS, LABELS, MESSAGES, SENTIMENTS, TOPICS, VECTORS
 from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -164,12 +164,11 @@ def response_json(response: Column) -> Column:
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Labels from model responses; a missing key, a null or text that is no JSON object gives defaults."""
-    schema = "sentiment_simple string, sentiment_rich string, content_type string, topics array<string>"
     kept = [name for name in responses.columns if name != "response"]
     rows = evaluated_once(responses, *kept, _json=response_json(F.col("response")))
     # Wrapped in brackets, an object followed by anything else is not a list of one.
     single = F.json_array_length(F.concat(F.lit("["), F.col("_json"), F.lit("]"))) == 1
-    parsed = F.from_json(F.when(single, F.col("_json")), schema, {"allowSingleQuotes": "false"})
+    parsed = F.from_json(F.when(single, F.col("_json")), LABELS, {"allowSingleQuotes": "false"})
     rows = evaluated_once(rows, *kept, _labels=parsed)
     defaults = [
         F.coalesce(f"_labels.{name}", F.lit(value)).alias(name) for name, value in DEFAULT_LABELS.items()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echolens.functions import scoring, text
 from echolens.operators import adhoc, enrich, filters, metrics, replies, retrieval, tables, training, triage
 from echolens.operators import vectors as V
+from echolens.operators.plan import materialised
 from echolens.plans import inputs as I
 from echolens.plans.inputs import AS_OF, BRAND
 from echolens.sources import docs, github, hackernews, landing, reddit
@@ -233,7 +234,8 @@ _over_landed("norm_reddit_comments", "reddit_comments", I.reddit_comments, reddi
 
 
 def _comment_tree(spark: SparkSession, folder: str) -> DataFrame:
-    items = landing.parse_landed(I.hn_items(spark, folder), "hn_items")
+    # The walk reads the items once per level, so they are parsed and stored first.
+    items = materialised(landing.parse_landed(I.hn_items(spark, folder), "hn_items"))
     return hackernews.comment_tree(I.hn_story_ids(items), items)
 
 
@@ -523,7 +525,8 @@ def chat_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def train_val_split(spark: SparkSession, folder: str) -> DataFrame:
-    return training.train_val_split(_examples(spark, folder)).select("example_id", "split")
+    # The split reads the examples twice.
+    return training.train_val_split(materialised(_examples(spark, folder))).select("example_id", "split")
 
 
 # Ad-hoc SQL

@@ -54,11 +54,11 @@ def comment_tree(
     """Comments below each story, walked level by level.
 
     A deleted, dead or missing comment cuts its whole subtree. Depth is bounded, so the walk is a
-    fixed chain of joins on the unique item id; every level joins the same hash-partitioned items.
+    fixed chain of joins on the unique item id. It moves ids and kid lists only; texts are joined once,
+    to the comments it reached.
     """
-    live = items.where(
-        ~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False))
-    ).select("id", "text", "by", "parent", "time", "kids")
+    gone = F.coalesce("deleted", F.lit(False)) | F.coalesce("dead", F.lit(False))
+    live = items.where(~gone).select("id", "kids")
     roots = items.select(F.col("id").alias("story_id"), "kids")
     parents = story_ids.select("story_id").join(roots, "story_id")
     levels = []
@@ -68,8 +68,9 @@ def comment_tree(
             "story_id", F.explode(F.slice("kids", 1, width)).alias("id"), F.lit(depth).alias("depth")
         )
         parents = frontier.join(live, "id")
-        levels.append(parents.select("story_id", "depth", "id", "text", "by", "parent", "time"))
-    return reduce(DataFrame.unionByName, levels)
+        levels.append(parents.select("story_id", "depth", "id"))
+    reached = reduce(DataFrame.unionByName, levels)
+    return reached.join(items.select("id", "text", "by", "parent", "time"), "id")
 
 
 def comments(tree: DataFrame, as_of: Clock = None) -> DataFrame:
