@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import mixing, quality, toxicity
-from echolens.llm.common import in_fold, table
+from echolens.llm import language, mixing, packing, pagetext, quality, toxicity, warc
+from echolens.llm.common import fresh_folder, in_fold, table
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; every machine of a cluster has it there."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +37,33 @@ def _classified(scored: DataFrame, modulus: int, remainder: int, threshold: floa
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "warc")
+    records = warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder)
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = language.predict(docs.select("doc_id", "text"), language.fit(docs, tokenizer_file("piece_bpe_32k.model")))
+    return named.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op6_quality, op9_mixing)}
+    queries = (op1_toxicity, op5_warc, op6_quality, op7_page_text, op8_packing, op9_mixing, op10_language)
+    return {query.__name__: query for query in queries}

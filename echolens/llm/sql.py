@@ -46,5 +46,20 @@ JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND d.k = s.k
 """
 
 
+_OP5 = """
+WITH records AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), facts AS (
+  SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM records
+), held AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM facts
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM held
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op9_mixing": _OP9}
+    return {"op5_warc": _OP5, "op9_mixing": _OP9}
