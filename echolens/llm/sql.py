@@ -46,6 +46,22 @@ JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND d.k = s.k
 """
 
 
+_OP2 = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))), false)
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 _OP5 = """
 WITH records AS (
   SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
@@ -62,4 +78,4 @@ FROM held
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op5_warc": _OP5, "op9_mixing": _OP9}
+    return {"op2_top_products": _OP2, "op5_warc": _OP5, "op9_mixing": _OP9}

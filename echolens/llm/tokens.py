@@ -19,7 +19,8 @@ class _Words(dict):
         self.byte_names = str.maketrans(_byte_characters())
 
     def __missing__(self, word: str) -> bytes:
-        named = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1").translate(self.byte_names)
+        plain = word.isascii() and word.isprintable()
+        named = word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.byte_names)
         found = np.array([token.id for token in self.model.tokenize(named)], self.dtype).tobytes()
         if len(self) >= self.most:
             self.clear()
@@ -47,7 +48,9 @@ class WordTokenizer:
             setup = json.load(file)
         self.special = [token["content"] for token in setup["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pattern = regex.compile(setup["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = setup["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # White space is the Unicode property, which Python's class exceeds by four control characters.
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         kinds = [part["type"] for part in setup["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("the vocabulary's normalizer is not the one that is followed here")
