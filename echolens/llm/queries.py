@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import language, mixing, mtree, nearvec, packing, pagetext, quality, toxicity, warc
+from echolens.llm import language, mixing, mtree, nearvec, ngramjoin, packing, pagetext, quality, toxicity, warc
 from echolens.llm.common import fresh_folder, in_fold, table
 
 
@@ -47,6 +47,10 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvec.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "warc")
     records = warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder)
@@ -76,6 +80,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     queries = (
-        op1_toxicity, op2_top_products, op3_near_vectors, op5_warc, op6_quality, op7_page_text, op8_packing, op9_mixing, op10_language,
+        op1_toxicity, op2_top_products, op3_near_vectors, op4_ngram_join, op5_warc, op6_quality, op7_page_text, op8_packing, op9_mixing, op10_language,
     )
     return {query.__name__: query for query in queries}
