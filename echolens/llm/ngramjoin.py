@@ -1,22 +1,23 @@
 """Jaccard join of documents on word n-grams, over count vectors in R-trees.
 
 A document is the set of its hashed n-grams. Hashing them once more into groups gives a point, the counts of the
-groups; the overlap of two documents is at most the sum of the smaller counts, coordinate by coordinate, and that of a
-document with any in a box at most the sum of the minima with the box's upper corner. Pairs that this bound lets pass are
-verified on the sets.
+groups; the overlap of two documents is at most the sum of the smaller counts, coordinate by coordinate, and that of a document
+with any in a box at most the sum of the minima with the box's upper corner. Pairs that this bound lets pass are verified
+on the sets.
 
 The space of points is dealt to the tasks without losing a pair. Documents are dealt by size into classes; two that
 link differ in few n-grams for the sizes of their class, so when the groups are cut into somewhat more runs than that, at
 least one run has equal counts, down to the finest groups, in both. A cell is a class, a run and its counts. A cell's
 members get links to one of them first, and those links, verified, form components. Where a cell still holds several
-components, its members are packed into an R-tree, and boxes and then points of different components are compared. Large cells are cut
-into blocks that meet pairwise. Nothing is capped, so no link between different components is lost; pairs within a
-component are not written.
-
-Words are runs of other characters than ASCII white space, A-Z lower-cased. A text of fewer words than n is one n-gram; null texts
-and texts without words have none and link with nothing. Equal sets are one node from the start, so copies cost
-nothing more. N-grams are compared by 64-bit hashes. Repeated rows are documents of their own; rows without id take part, and
-a component whose ids are all null has a null id. Other columns take no part. An empty table gives no rows.
+components, its members are packed into an R-tree, and boxes and then points of different components are compared.
+Large cells are cut into blocks that meet pairwise. Nothing is capped, so no link between different components is
+lost; pairs within a component are not written.
+
+Words are runs of other characters than ASCII white space, A-Z lower-cased. A text of fewer words than n is one
+n-gram; null texts and texts without words have none and link with nothing. Equal sets are one node from the start,
+so copies cost nothing more. N-grams are compared by 64-bit hashes. Repeated rows are documents of their own; rows
+without id take part, and a component whose ids are all null has a null id. Other columns take no part. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,9 +58,8 @@ class Rule:
         return -(-self.percent * (a + b) // (100 + self.percent))
 
     def most_different(self, larger: int) -> int:
-        """N-grams in one set only, at most, where the larger set has so many."""
-        smaller = larger  # the difference grows with the smaller size, which is at most the larger one
-        return (100 - self.percent) * (larger + smaller) // (100 + self.percent)
+        """N-grams in one set only, at most, where neither set has more than ``larger``."""
+        return (100 - self.percent) * 2 * larger // (100 + self.percent)
 
     def reaches(self, size: np.ndarray, larger: np.ndarray) -> np.ndarray:
         """Whether a set of ``size`` can link with one of ``larger``."""
@@ -145,9 +145,7 @@ def cell_keys(hashes: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.nda
     """
     ends = _class_ends(int(sizes.max(initial=1)))
     own = np.searchsorted(ends, sizes, side="right")
-    keys, owners = [], []
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    step = 0
+    keys, owners, step = [], [], 0
     while True:
         classes = own + step
         lowest = np.where(step == 0, sizes, ends[np.minimum(classes, len(ends) - 1) - 1])
@@ -475,13 +473,16 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     roots = state.roots()
     cells = state.open_cells(live, roots)
     for turn in range(1, ROUNDS):
+        if cells.isEmpty():
+            break
         pivot = F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot")
         pivots = cells.groupBy("cell").agg(pivot, F.min_by("root", F.xxhash64("node", F.lit(turn))).alias("pivot_root"))
         state.verify(_pairs(cells.join(pivots, "cell").where("root <> pivot_root"), "node", "pivot"))
         roots = state.roots()
         cells = state.open_cells(cells, roots)
-    state.verify(state.tree_pairs(cells))
-    roots = state.roots()
+    if not cells.isEmpty():
+        state.verify(state.tree_pairs(cells))
+        roots = state.roots()
     named = state.nodes.join(roots, "node").groupBy("root").agg(F.min("doc").alias("component"))
     of_node = roots.join(named, "root").select(F.col("node").alias("of"), "component")
     of_node = state.nodes.join(of_node, F.col("node") == F.col("of"), "left")
