@@ -4,11 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from echolens.plans.catalog import all_queries
+from echolens.plans.oracle import all_sql
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("events", "documents", "embeddings", "pages", "benchmark", "conversations")
-SQL = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+SQL = all_sql()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
