@@ -2,7 +2,7 @@
 
 A text is lower-cased; what is no letter or digit separates words. Every n-gram of ``SHORTEST`` to ``LONGEST``
 characters of a word, with a mark at either end of the word, hashes to one embedding. A text is the mean of its
-n-grams' embeddings, so an unseen misspelling lands near the words whose n-grams it shares.
+n-grams' embeddings, rare n-grams weighing more, so an unseen misspelling lands near the words whose n-grams it shares.
 
 Null and empty texts, and texts without letters, have no n-grams: they get the score of the bias alone. Repeated
 rows are scored alike. With no labelled text, or one class only, every score is 0.
@@ -55,8 +55,9 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class SubwordModel:
-    """``weights``: what an n-gram adds to the log-odds, its embedding times the softmax's direction."""
+    """``share``: an n-gram's weight in the mean; ``weights``: its embedding times the softmax's direction, times that."""
 
+    share: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -65,43 +66,59 @@ class SubwordModel:
         for a, b in chunks(texts):
             ids, owner = subwords(texts[a:b])
             total = np.bincount(owner, self.weights[ids], b - a)
-            out[a:b] = total / np.maximum(np.bincount(owner, minlength=b - a), 1)
+            out[a:b] = total / np.maximum(np.bincount(owner, self.share[ids], b - a), 1e-12)
         return sigmoid(out + self.bias)
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 5, rate: float = 0.2,
-          seed: int = 7) -> SubwordModel:
-    """Embeddings and softmax fitted together by Adagrad, one text a step."""
+def rarity(bags: list[tuple[np.ndarray, np.ndarray]], at: float) -> np.ndarray:
+    """Weight of every n-gram: a half where its share of all n-grams of the sample is ``at``, more the rarer it is."""
+    seen = np.zeros(BUCKETS)
+    for ids, counts in bags:
+        seen[ids] += counts
+    return (at / (at + seen / max(seen.sum(), 1))).astype(np.float32)
+
+
+def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 5, most_epochs: int = 40, steps: int = 22_500,
+          rate: float = 0.2, at: float = 1e-4, seed: int = 7) -> SubwordModel:
+    """Embeddings and softmax fitted together by Adagrad, one text a step, both classes weighing the same.
+
+    Embeddings start at zero, so that n-grams without evidence say nothing. A sample so small that ``epochs`` passes
+    are fewer than ``steps`` gets more, ``most_epochs`` at most.
+    """
     rng = np.random.default_rng(seed)
     if len(texts) == 0 or len(set(labels.tolist())) < 2:
-        return SubwordModel(np.zeros(BUCKETS, np.float32), -np.inf)
+        return SubwordModel(np.ones(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), -np.inf)
     bags = []
     for text in texts:
-        ids, counts = np.unique(subwords([text])[0], return_counts=True)
-        bags.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32)))
-    embeddings = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
-    softmax = rng.normal(0, 0.1, (2, dim)).astype(np.float32)
+        bags.append(np.unique(subwords([text])[0], return_counts=True))
+    share = rarity(bags, at)
+    for i, (ids, counts) in enumerate(bags):
+        weight = counts * share[ids]
+        bags[i] = ids, (weight / max(weight.sum(), 1e-12)).astype(np.float32)
+    importance = len(labels) / (2 * np.bincount(labels, minlength=2))
+    embeddings = np.zeros((BUCKETS, dim), np.float32)
+    softmax = rng.normal(0, 1, (2, dim)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen, seen_softmax, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full((2, dim), 1e-2), np.full(2, 1.0)
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(most_epochs, -(-steps // len(bags))))):
         for i in rng.permutation(len(bags)):
-            ids, share = bags[i]
-            mean = share @ embeddings[ids]
+            ids, part = bags[i]
+            mean = part @ embeddings[ids]
             logits = softmax @ mean + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[labels[i]] -= 1
+            p *= importance[labels[i]]
             back = p @ softmax
             slope = np.outer(p, mean)
             seen_softmax += slope ** 2
             seen_bias += p ** 2
             softmax -= (rate * slope / np.sqrt(seen_softmax)).astype(np.float32)
             bias -= (rate * p / np.sqrt(seen_bias)).astype(np.float32)
-            step = share ** 2 * np.float32(back @ back)
-            seen[ids] += step
-            embeddings[ids] -= np.outer(rate * share / np.sqrt(seen[ids]), back).astype(np.float32)
+            seen[ids] += part ** 2 * np.float32(back @ back)
+            embeddings[ids] -= np.outer(rate * part / np.sqrt(seen[ids]), back).astype(np.float32)
     direction = softmax[1] - softmax[0]
-    return SubwordModel((embeddings @ direction).astype(np.float32), float(bias[1] - bias[0]))
+    return SubwordModel(share, share * (embeddings @ direction).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, fold: int = 5) -> SubwordModel:
