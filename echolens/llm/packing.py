@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echolens.llm.common import stored
 from echolens.llm.tokens import tokenizer
 
 LENGTH = 2048
@@ -141,7 +142,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = True
     names = [field.split()[0] for field in PIECES.split(", ")]
     names = names if with_ids else names[:-1]
     schema = PIECES if with_ids else PIECES.rpartition(", ")[0]
-    along = tokenized(docs, path).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    rows = stored(tokenized(docs, path), "tokens")  # the sample of keys for the ranges would make all tokens twice
+    along = rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, dtype = Packer(length, TaskContext.get().partitionId() * SEQUENCES_PER_TASK), tokenizer(path).dtype

@@ -1,8 +1,9 @@
-"""Token ids of a public word-level BPE vocabulary, word by word, with the words of a worker remembered."""
+"""Token ids of a public word-level BPE vocabulary, run by run, with the runs that a worker has seen remembered."""
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -10,21 +11,28 @@ import regex
 from tokenizers import Tokenizer
 
 
-class _Words(dict):
-    """From a word, as the pre-tokenizer cuts it, to the bytes of its ids."""
+#: Split at by Python, but no white space to the vocabulary.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, tokenizer: Tokenizer, dtype: np.dtype, most: int) -> None:
+
+class _Runs(dict):
+    """From a run of other characters than white space to the bytes of its ids."""
+
+    def __init__(self, tokenizer: Tokenizer, pattern: regex.Pattern, dtype: np.dtype, most: int) -> None:
         super().__init__()
-        self.model, self.dtype, self.most = tokenizer.model, dtype, most
+        self.model, self.pattern, self.dtype, self.most = tokenizer.model, pattern, dtype, most
         self.byte_names = str.maketrans(_byte_characters())
 
-    def __missing__(self, word: str) -> bytes:
-        plain = word.isascii() and word.isprintable()
-        named = word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.byte_names)
-        found = np.array([token.id for token in self.model.tokenize(named)], self.dtype).tobytes()
+    def __missing__(self, run: str) -> bytes:
+        ids = []
+        for word in (run,) if run.isalpha() else self.pattern.findall(run):
+            plain = word.isascii() and word.isprintable()
+            named = word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.byte_names)
+            ids += [token.id for token in self.model.tokenize(named)]
+        found = np.array(ids, self.dtype).tobytes()
         if len(self) >= self.most:
             self.clear()
-        self[word] = found
+        self[run] = found
         return found
 
 
@@ -38,11 +46,11 @@ def _byte_characters() -> dict[int, str]:
 class WordTokenizer:
     """Ids as the library gives them for the whole text, without special tokens added.
 
-    Composition, lower case and the cut into words are done here for whole texts, and each different word goes
-    through the library's BPE once. Texts that hold the string of a special token go through the library whole.
+    Composition, lower case and the cut at white space are done here for whole texts; each different run is cut into
+    words and goes through the library's BPE once. Texts that hold the string of a special token go through it whole.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000) -> None:
+    def __init__(self, path: str, most_runs: int = 600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             setup = json.load(file)
@@ -54,14 +62,15 @@ class WordTokenizer:
         kinds = [part["type"] for part in setup["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("the vocabulary's normalizer is not the one that is followed here")
-        self.words = _Words(self.tokenizer, self.dtype, most_words)
+        self.runs = _Runs(self.tokenizer, self.pattern, self.dtype, most_runs)
 
     def ids(self, text: str) -> bytes:
         if any(token in text for token in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         # The library lowers character by character: a capital sigma never becomes a final one.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+        runs = self.pattern.findall(text) if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.runs.__getitem__, runs))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
