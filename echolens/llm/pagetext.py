@@ -241,8 +241,8 @@ def main_text(page: str) -> str:
     scores = fused(kept, smoothed(ratios))
     lengths = np.array([len(b.text) for b in kept], dtype=float)
     mean = float((scores * lengths).sum() / max(lengths.sum(), 1))
-    # A block that is all link is no text of its own; a block in an article counts whatever its length.
-    chosen = (scores >= THRESHOLD * mean) | np.array([b.main and b.linked < len(b.text) for b in kept])
+    # A path that is all links has no text of its own; a block in an article counts whatever its length.
+    chosen = (scores >= THRESHOLD * mean) & (ratios > 0) | np.array([b.main and b.linked < len(b.text) for b in kept])
     return " ".join(b.text for b, c in zip(kept, chosen) if c)
 
 
