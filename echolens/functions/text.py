@@ -53,8 +53,9 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [text.contains(word) for word in words])
 
 
-def truncate(text: Column, length: int) -> Column:
-    return F.substring(text, 1, length)
+def truncate(text: Column, length: int | None) -> Column:
+    """The first ``length`` characters; all of them without a length."""
+    return text if length is None else F.substring(text, 1, length)
 
 
 def is_filled(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,13 @@ from echolens.operators import filters, metrics, replies
 
 MAX_ROWS = 1000
 FORMATS = ("json", "table")
+FORBIDDEN_FUNCTIONS = ("java_method", "reflect", "try_reflect")
+
+# Lines of the parser's tree: relations, functions, and nodes of statements that do more than read.
+_RELATIONS = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+_FUNCTIONS = re.compile(r"'(?:\w+\.)*(\w+)\(")
+_STATEMENTS = re.compile(r"(?m)^[\s:+|-]*'?\w*(?:Statement|Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Script|Table[VF])")
+_WITH_NAMES = re.compile(r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)`?(\w+)`?\s*(?:\([^)]*\)\s*)?(?:MAX\s+RECURSION\s+LEVEL\s+\d+\s+)?AS\s*\(")
 
 # The sample queries by group; each takes the messages table.
 SAMPLE_QUERIES = {
@@ -34,11 +42,8 @@ SAMPLE_QUERIES = {
 }
 
 
-def checked_sql(sql: str, limit: object = MAX_ROWS) -> tuple[str, str, int]:
-    """The cleaned query, the wrapped query that is run, and the row limit in force.
-
-    The prefix test gives a clear message; the wrapping subquery is what keeps other statements out.
-    """
+def checked_sql(sql: str, limit: object = MAX_ROWS) -> tuple[str, int]:
+    """The cleaned query and the row limit in force."""
     query = sql.strip().rstrip(";").strip()
     if not query:
         raise ValueError("the query is empty")
@@ -50,17 +55,53 @@ def checked_sql(sql: str, limit: object = MAX_ROWS) -> tuple[str, str, int]:
         rows = int(limit)  # type: ignore[call-overload]
     except (TypeError, ValueError) as error:
         raise ValueError("limit must be an integer") from error
-    rows = max(1, min(rows, MAX_ROWS))
-    return query, f"SELECT * FROM ({query}) AS query_result LIMIT {rows}", rows
+    return query, max(1, min(rows, MAX_ROWS))
+
+
+def _check_plan(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> None:
+    """Refuses what the parsed query does besides reading the named tables.
+
+    The parser's tree names every relation and function before anything is looked up or run. Text of the query that
+    looks like such an entry is refused as well.
+    """
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).treeString()
+    if _STATEMENTS.search(tree):
+        raise ValueError("only SELECT and WITH queries are allowed")
+    known = {name.lower() for name in tables} | {name.lower() for name in _WITH_NAMES.findall(query)}
+    for relation in _RELATIONS.findall(tree):
+        if relation.strip().lower() not in known:
+            raise ValueError(f"the query may read {sorted(tables)} only, not {relation}")
+    for function in _FUNCTIONS.findall(tree):
+        if function.lower() in FORBIDDEN_FUNCTIONS:
+            raise ValueError(f"the function {function} is not allowed")
 
 
 def safe_query(
     spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], limit: object = MAX_ROWS
 ) -> DataFrame:
-    """Result of a checked query over ``tables``, which it sees as temporary views."""
-    for name, rows in tables.items():
-        rows.createOrReplaceTempView(name)
-    result = spark.sql(checked_sql(sql, limit)[1])
+    """Result of a checked query over ``tables``, at most ``limit`` rows.
+
+    The query is parsed by itself, so that no text of it can undo the limit. It sees the tables as temporary views for
+    as long as it is analysed; views of the same names come back afterwards.
+    """
+    query, rows = checked_sql(sql, limit)
+    return _analysed(spark, query, tables).limit(rows)
+
+
+def _analysed(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    _check_plan(spark, query, tables)
+    temporary = {view.name.lower() for view in spark.catalog.listTables() if view.isTemporary}
+    before = {name: spark.table(name) for name in tables if name.lower() in temporary}
+    try:
+        for name, rows in tables.items():
+            rows.createOrReplaceTempView(name)
+        result = spark.sql(query)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
     if len(set(result.columns)) < len(result.columns):
         raise ValueError("column names repeat; give each column an alias")
     return result
@@ -73,17 +114,19 @@ def run_query(
     limit: object = MAX_ROWS,
     format: str = "json",
 ) -> dict:
-    """Rows of ``safe_query``, at most ``MAX_ROWS`` of them, with what was run."""
+    """Rows of a checked query, at most ``MAX_ROWS`` of them, with what was run and whether there are more."""
     if format not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
-    query, wrapped, applied = checked_sql(sql, limit)
-    result = safe_query(spark, sql, tables, limit)
-    rows = result.collect()
+    query, applied = checked_sql(sql, limit)
+    result = _analysed(spark, query, tables)
+    rows = result.limit(applied + 1).collect()
+    shown = rows[:applied]
     return {
         "columns": result.columns,
-        "rows": [row.asDict() if format == "json" else tuple(row) for row in rows],
-        "row_count": len(rows),
-        "query": wrapped,
+        "rows": [row.asDict() if format == "json" else tuple(row) for row in shown],
+        "row_count": len(shown),
+        "truncated": len(rows) > applied,
+        "query": query,
         "requested_query": query,
         "limit_applied": applied,
         "format": format,

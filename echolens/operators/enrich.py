@@ -23,9 +23,7 @@ from echolens.sources.snapshots import read_snapshot, write_messages, write_snap
 Embedder = Callable[[list[str]], list[list[float]]]
 Classifier = Callable[[list[list[dict[str, str]]]], list[str]]
 
-# Text cuts, batch size and the labels of a response that cannot be used.
-EMBEDDED_CHARS = 1000
-PROMPT_CHARS = 2000
+# Batch size and the labels of a response that cannot be used.
 BATCH = 32
 DEFAULT_LABELS = {
     "sentiment_simple": "neutral",
@@ -55,11 +53,13 @@ def embed(
     return rows.mapInPandas(run, schema)
 
 
-def vector_records(messages: DataFrame, load_embedder: Callable[[], Embedder], batch_size: int = BATCH) -> DataFrame:
-    """Rows of the vector table for messages."""
+def vector_records(
+    messages: DataFrame, load_embedder: Callable[[], Embedder], batch_size: int = BATCH, longest: int | None = None
+) -> DataFrame:
+    """Rows of the vector table for messages, of their whole texts; ``longest`` cuts them for a model that must."""
     rows = messages.select(
         "id",
-        truncate(F.col("content"), EMBEDDED_CHARS).alias("text"),
+        truncate(F.col("content"), longest).alias("text"),
         "source",
         "created_at",
         "url",
@@ -96,10 +96,10 @@ def taxonomy_text(product: str) -> str:
     )
 
 
-def sentiment_prompts(messages: DataFrame, system: str) -> DataFrame:
-    """Chat messages that ask for the labels of each message."""
+def sentiment_prompts(messages: DataFrame, system: str, longest: int | None = None) -> DataFrame:
+    """Chat messages that ask for the labels of each message, whole or cut to ``longest`` characters."""
     asked = F.concat(
-        F.lit("Analyze this message:\n\n"), truncate(F.coalesce("content", F.lit("")), PROMPT_CHARS)
+        F.lit("Analyze this message:\n\n"), truncate(F.coalesce("content", F.lit("")), longest)
     )
     prompt = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
@@ -182,7 +182,7 @@ def run_embedding_job(
     messages_path: str,
     vectors_path: str,
     load_embedder: Callable[[], Embedder],
-    limit: int = 500,
+    limit: int | None = None,
     as_of: Clock = None,
 ) -> int:
     """Embed the queue, write the vectors, then mark the messages. Returns the embedded rows.
@@ -215,7 +215,7 @@ def run_sentiment_job(
     metrics_path: str,
     load_classifier: Callable[[], Classifier],
     product: str,
-    limit: int = 200,
+    limit: int | None = None,
     as_of: Clock = None,
 ) -> int:
     """Label the queue, update the messages and refresh the daily rollup. Returns the queued rows.

@@ -25,10 +25,13 @@ def within_days(days: int, as_of: Clock = None) -> Column:
     return F.col("created_at") >= days_before_midnight(days, as_of)
 
 
-def newest(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Newest ``limit`` rows after ``offset``; ``id`` makes the order total."""
+def newest(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """Newest ``limit`` rows after ``offset``; ``id`` makes the order total. Without either, all rows unsorted."""
+    if limit is None and not offset:
+        return rows
     ordered = rows.orderBy(F.desc("created_at"), "id")
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def get_messages(

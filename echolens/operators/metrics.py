@@ -196,9 +196,8 @@ def processing_snapshot(messages: DataFrame) -> DataFrame:
 
 
 def latest_fetch(state: DataFrame) -> DataFrame:
-    """One row per known source, so never more rows than there are sources: safe to broadcast."""
-    known = state.where(F.col("source").isin(*SOURCES))
-    return known.groupBy("source").agg(F.max("last_fetched_at").alias("last_fetched_at"))
+    """The last fetch of every source that the state names, also of sources that the library has no reader for."""
+    return state.groupBy("source").agg(F.max("last_fetched_at").alias("last_fetched_at"))
 
 
 def source_freshness(messages: DataFrame, state: DataFrame) -> DataFrame:
@@ -206,7 +205,7 @@ def source_freshness(messages: DataFrame, state: DataFrame) -> DataFrame:
     totals = messages.groupBy("source").agg(
         _count_rows("total"), F.max("created_at").alias("latest_message_at")
     )
-    joined = totals.join(F.broadcast(latest_fetch(state)), "source", "left")
+    joined = totals.join(latest_fetch(state), "source", "left")
     return joined.orderBy(F.desc("total"), "source")
 
 
@@ -226,9 +225,9 @@ def daily_metrics(messages: DataFrame) -> DataFrame:
     }
     rows = messages.where(F.col("processed_at").isNotNull()).groupBy(_day(), "source")
     return rows.agg(
-        F.count("*").cast("int").alias("total_messages"),
+        F.count("*").alias("total_messages"),
         *[
-            F.count_if(F.col(column) == value).cast("int").alias(name)
+            F.count_if(F.col(column) == value).alias(name)
             for name, (column, value) in counters.items()
         ],
         F.lit(None).cast("string").alias("top_topics"),

@@ -7,19 +7,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tables of ids or labels up to this many rows are broadcast: some tens of megabytes.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``rows`` with a broadcast hint when they are at most ``limit``; else unchanged.
-
-    The count stops at the limit. It lets a small delta meet a huge table without shuffling the table,
-    which the optimizer cannot plan by itself where the delta's size is not known beforehand.
-    """
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
-
-
 def evaluated_once(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
     """The ``kept`` columns and costly new ones, computed in one place.
 
@@ -31,11 +18,14 @@ def evaluated_once(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
 
 
 def materialised(rows: DataFrame) -> DataFrame:
-    """Rows computed once and stored in the shared checkpoint folder of the cluster."""
+    """Rows computed once and stored in the shared checkpoint folder of the cluster.
+
+    Only a local session may leave ``spark.checkpoint.dir`` unset; a cluster would lose the rows with a node.
+    """
     context = rows.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return rows.checkpoint()

@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from echolens.functions.text import is_filled, truncate
 from echolens.operators import vectors as V
 
-# The texts that stand in for missing context, the separator and the cuts.
+# The texts that stand in for missing context, and the separator.
 NOTHING_FOUND = "No specific context found."
 NOTHING_AVAILABLE = "No specific context available."
 SEPARATOR = "\n\n---\n\n"
-CONTEXT_CHARS = 500
-SOURCE_CHARS = 200
 
 SOURCE_LIST = "array<struct<text:string,source:string,url:string>>"
 
@@ -43,12 +41,12 @@ def _per_question(hits: DataFrame, item: Column, name: str) -> DataFrame:
     return hits.groupBy("question_id").agg(F.transform(ranked, lambda hit: hit["item"]).alias(name))
 
 
-def format_context(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """One context text per question, also for questions without hits."""
+def format_context(questions: DataFrame, hits: DataFrame, longest: int | None = None) -> DataFrame:
+    """One context text per question, also for questions without hits; of whole texts or their first ``longest`` characters."""
     url_line = F.when(is_filled(F.col("url")), F.concat(F.lit("\nURL: "), F.col("url"))).otherwise("")
     part = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] Source: "), F.coalesce("source", F.lit("unknown")),
-        url_line, F.lit("\n"), truncate(F.coalesce("text", F.lit("")), CONTEXT_CHARS),
+        url_line, F.lit("\n"), truncate(F.coalesce("text", F.lit("")), longest),
     )
     parts = _per_question(hits, part, "parts")
     context = F.coalesce(F.array_join("parts", SEPARATOR), F.lit(NOTHING_FOUND))
@@ -56,9 +54,11 @@ def format_context(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return asked.join(parts, "question_id", "left").select("question_id", context.alias("context"))
 
 
-def context_sources(questions: DataFrame, hits: DataFrame, use_rag: bool = True) -> DataFrame:
+def context_sources(
+    questions: DataFrame, hits: DataFrame, use_rag: bool = True, longest: int | None = None
+) -> DataFrame:
     """The cited sources of each question and whether any context was used."""
-    cited = F.struct(truncate(F.coalesce("text", F.lit("")), SOURCE_CHARS).alias("text"), "source", "url")
+    cited = F.struct(truncate(F.coalesce("text", F.lit("")), longest).alias("text"), "source", "url")
     found = _per_question(hits if use_rag else hits.limit(0), cited, "sources")
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"))
     sources = F.coalesce("sources", F.array().cast(SOURCE_LIST))
@@ -67,10 +67,12 @@ def context_sources(questions: DataFrame, hits: DataFrame, use_rag: bool = True)
     )
 
 
-def build_prompts(questions: DataFrame, hits: DataFrame, product: str, use_rag: bool = True) -> DataFrame:
+def build_prompts(
+    questions: DataFrame, hits: DataFrame, product: str, use_rag: bool = True, longest: int | None = None
+) -> DataFrame:
     """Chat messages per question (``question_id``, ``question``): instruction with context, question."""
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "question")
-    contexts = format_context(questions, hits if use_rag else hits.limit(0))
+    contexts = format_context(questions, hits if use_rag else hits.limit(0), longest)
     context = F.when(F.col("context") == NOTHING_FOUND, NOTHING_AVAILABLE).otherwise(F.col("context"))
     head, tail = system_text(product)
     system = F.concat(F.lit(head), context, F.lit(tail))

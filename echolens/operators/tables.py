@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 from echolens.functions.clock import Clock, now
 from echolens.functions.text import is_filled
 from echolens.operators.filters import is_voice, newest
-from echolens.operators.plan import broadcast_if_small
 
 _LABELS = ("sentiment_simple", "sentiment_rich", "content_type")
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """A number that differs for different rows: it ends an order that would else leave ties."""
+    hashed = [F.to_json(c) if kind.startswith(("map", "variant")) else F.col(c) for c, kind in rows.dtypes]
+    return F.xxhash64(*hashed)
+
+
 def first_per_key(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """First row per key; each task keeps one row per key before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    """First row per key, ties by a hash of the row; each task keeps one row per key before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order, row_hash(rows)))
     return rows.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
 def new_messages(snapshot: DataFrame, batch: DataFrame, order_by: tuple[str, ...] = ("fetched_at",)) -> DataFrame:
-    """Rows of ``batch`` that ``insert_if_absent`` adds: ids not stored yet, the first of each."""
-    batch = first_per_key(batch, "id", *order_by)
-    # Which batch ids are stored is found from the batch's side: a small batch is broadcast, and then
-    # neither join shuffles the snapshot.
-    ids = batch.select("id")
-    stored = snapshot.select("id").join(broadcast_if_small(ids), "id", "left_semi")
+    """Rows of ``batch`` that ``insert_if_absent`` adds: ids not stored yet, the first of each; never a NULL id.
+
+    Only the ids of the snapshot are read. Adaptive execution broadcasts the batch's ids if they turn out small.
+    """
+    batch = first_per_key(batch.where(F.col("id").isNotNull()), "id", *order_by)
+    stored = snapshot.select("id").join(batch.select("id"), "id", "left_semi")
     fresh = batch.join(stored, "id", "left_anti")
     return fresh.withColumns(
         {
@@ -45,11 +50,12 @@ def insert_if_absent(snapshot: DataFrame, batch: DataFrame, order_by: tuple[str,
 
 
 def replace_by_key(snapshot: DataFrame, delta: DataFrame, key: str, *last_by: str) -> DataFrame:
-    """Delta rows replace the stored rows of their key; the last by ``last_by`` wins in the delta."""
-    if last_by:
-        delta = first_per_key(delta, key, *[F.desc(name) for name in last_by])
-    replaced = broadcast_if_small(delta.select(key))
-    kept = snapshot.join(replaced, key, "left_anti").select(*snapshot.columns)
+    """Delta rows replace the stored rows of their key; the last by ``last_by`` wins in the delta.
+
+    The delta is reduced to one row per key in any case, so that repeated keys never multiply rows.
+    """
+    delta = first_per_key(delta, key, *[F.desc(name) for name in last_by])
+    kept = snapshot.join(delta.select(key), key, "left_anti").select(*snapshot.columns)
     return kept.unionByName(delta.select(*snapshot.columns))
 
 
@@ -71,7 +77,7 @@ def update_analysis(
 
     ``delta`` has ``id`` and any of the label columns, ``topics`` (array) and ``embedding_id``. An empty
     topics array does overwrite. ``processed_at`` moves only where a label or topic was given. Ids not
-    stored are ignored. Without ``order_by`` delta ids must be unique; with it, later rows win per field.
+    stored are ignored. Later rows by ``order_by`` win per field; without it, the first rows by a hash of the row.
     """
     fields = [name for name in (*_LABELS, "topics", "embedding_id") if name in delta.columns]
     analysed = F.lit(False)
@@ -81,7 +87,9 @@ def update_analysis(
         elif name == "topics":
             analysed = analysed | F.coalesce(F.size("topics") > 0, F.lit(False))
     delta = delta.withColumn("_analysed", analysed)
-    if order_by:
+    if order_by is None:
+        delta = first_per_key(delta, "id")
+    else:
         last = [
             F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order_by))).alias(name)
             for name in fields
@@ -97,15 +105,15 @@ def update_analysis(
     changed["topics"] = F.when(touched, F.coalesce(topics, "topics", F.lit("[]"))).otherwise(F.col("topics"))
     changed["metadata"] = F.when(touched, F.coalesce("metadata", F.lit("{}"))).otherwise(F.col("metadata"))
     changed["processed_at"] = F.when(F.col("_analysed"), now(as_of)).otherwise(F.col("processed_at"))
-    joined = messages.join(broadcast_if_small(delta), "id", "left")
+    joined = messages.join(delta, "id", "left")
     return joined.select(*[changed.get(name, F.col(name)).alias(name) for name in messages.columns])
 
 
-def embedding_queue(messages: DataFrame, limit: int = 100) -> DataFrame:
+def embedding_queue(messages: DataFrame, limit: int | None = None) -> DataFrame:
     return newest(messages.where(F.col("embedding_id").isNull()), limit)
 
 
-def sentiment_queue(messages: DataFrame, limit: int = 200) -> DataFrame:
+def sentiment_queue(messages: DataFrame, limit: int | None = None) -> DataFrame:
     return newest(messages.where(F.col("sentiment_simple").isNull() & is_voice()), limit)
 
 

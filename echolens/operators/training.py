@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,31 @@ from echolens.functions.text import (
 )
 from echolens.operators.filters import is_knowledge
 
-# Lengths that decide what becomes an example, and cuts.
+# Lengths that decide what becomes an example.
 CANDIDATE_CHARS = 100
-SHORTEST_DOC, LONGEST_DOC = 200, 10_000
+SHORTEST_DOC = 200
 SHORTEST_PART = 100
-WHOLE_DOC_CHARS, SECTION_CHARS = 3000, 2000
-QUESTION_CHARS, ANSWER_CHARS = 1500, 2000
-QUESTION_HEAD = 100
 MOST_QUESTION_MARKS = 2
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Characters kept of each text, None for all; documents longer than ``longest_doc`` are left out if it is given.
+
+    ``question_head`` is how far into a message a question word is looked for.
+    """
+
+    longest_doc: int | None = None
+    whole_doc: int | None = None
+    section: int | None = None
+    question: int | None = None
+    answer: int | None = None
+    question_head: int | None = None
+
+
+UNCUT = Cuts()
+
+
 def instruction(product: str) -> str:
     return (
         f"You are a support assistant for {product}. Answer correctly and briefly, show code where it "
@@ -39,11 +56,12 @@ def training_candidates(messages: DataFrame) -> DataFrame:
     return messages.where(F.length("content") > CANDIDATE_CHARS)
 
 
-def _documents(messages: DataFrame) -> DataFrame:
-    return messages.where(is_knowledge() & F.length("content").between(SHORTEST_DOC, LONGEST_DOC))
+def _documents(messages: DataFrame, cuts: Cuts) -> DataFrame:
+    rows = messages.where(is_knowledge() & (F.length("content") >= SHORTEST_DOC))
+    return rows if cuts.longest_doc is None else rows.where(F.length("content") <= cuts.longest_doc)
 
 
-def _parts(messages: DataFrame) -> DataFrame:
+def _parts(messages: DataFrame, cuts: Cuts) -> DataFrame:
     """Sections of each document from position 1, or at position 0 the whole of one without headers."""
     content = F.col("content")
     parts = F.split(content, rf"\n#{{1,3}}{SPACE}+", -1)
@@ -67,32 +85,34 @@ def _parts(messages: DataFrame) -> DataFrame:
         return F.when(F.size(cut["headers"]) > 0, sections(cut)).otherwise(whole)
 
     cut = F.struct(headers.alias("headers"), parts.alias("parts"))
-    return _documents(messages).select("id", F.inline(computed_once(cut, found)))
+    return _documents(messages, cuts).select("id", F.inline(computed_once(cut, found)))
 
 
-def doc_sections(messages: DataFrame) -> DataFrame:
+def doc_sections(messages: DataFrame, cuts: Cuts = UNCUT) -> DataFrame:
     """Sections of knowledge documents that are long enough: ``id``, ``position``, ``header``, ``text``.
 
     A header needs a line break before it, so one on the first line is not seen. The text up to the
     first header belongs to no section.
     """
-    return _parts(messages).where((F.col("position") > 0) & (F.length("text") >= SHORTEST_PART))
+    return _parts(messages, cuts).where((F.col("position") > 0) & (F.length("text") >= SHORTEST_PART))
 
 
-def doc_examples(messages: DataFrame, product: str) -> DataFrame:
+def doc_examples(messages: DataFrame, product: str, cuts: Cuts = UNCUT) -> DataFrame:
     """One example per section, or per titled document without headers."""
     position = F.col("position")
-    rows = _parts(messages).where((position == 0) | (F.length("text") >= SHORTEST_PART))
-    longest = F.when(position == 0, WHOLE_DOC_CHARS).otherwise(SECTION_CHARS)
+    rows = _parts(messages, cuts).where((position == 0) | (F.length("text") >= SHORTEST_PART))
+    text = F.when(position == 0, truncate(F.col("text"), cuts.whole_doc)).otherwise(
+        truncate(F.col("text"), cuts.section)
+    )
     return rows.select(
         F.concat_ws("#", "id", position.cast("string")).alias("example_id"),
         F.lit("docs").alias("source"),
         title_to_question(F.col("header"), product).alias("input"),
-        clean_content(F.substring(F.col("text"), F.lit(1), longest)).alias("output"),
+        clean_content(text).alias("output"),
     ).where(F.col("input").isNotNull())
 
 
-def qa_pairs(messages: DataFrame) -> DataFrame:
+def qa_pairs(messages: DataFrame, cuts: Cuts = UNCUT) -> DataFrame:
     """The opening question of each thread with its first substantial answer.
 
     A thread may hold most messages, so none is gathered: one aggregate keeps the opening message and
@@ -101,7 +121,7 @@ def qa_pairs(messages: DataFrame) -> DataFrame:
     """
     content = F.coalesce("content", F.lit(""))
     # Cut before lower-casing, so that only the head is lower-cased; some letters grow by it.
-    head = F.substring(F.lower(F.substring(content, 1, QUESTION_HEAD)), 1, QUESTION_HEAD)
+    head = truncate(F.lower(truncate(content, cuts.question_head)), cuts.question_head)
     asks = (
         F.coalesce(F.col("content_type") == "question", F.lit(False))
         | content.contains("?")
@@ -110,8 +130,8 @@ def qa_pairs(messages: DataFrame) -> DataFrame:
     marks = F.length(content) - F.length(F.replace(content, F.lit("?"), F.lit("")))
     answers = (F.length(content) >= SHORTEST_PART) & (marks <= MOST_QUESTION_MARKS)
     rows = messages.select(F.coalesce("thread_id", "id").alias("thread"), "created_at", "id", "source",
-                           truncate(content, QUESTION_CHARS).alias("question"), asks.alias("asks"),
-                           truncate(content, ANSWER_CHARS).alias("answer"), answers.alias("answers"))
+                           truncate(content, cuts.question).alias("question"), asks.alias("asks"),
+                           truncate(content, cuts.answer).alias("answer"), answers.alias("answers"))
     opening = rows.groupBy("thread").agg(
         F.min(F.struct("created_at", "id", "source", "question", "asks")).alias("first"),
         F.count("*").alias("size"),
@@ -136,9 +156,9 @@ def qa_pairs(messages: DataFrame) -> DataFrame:
     )
 
 
-def training_examples(messages: DataFrame, product: str) -> DataFrame:
+def training_examples(messages: DataFrame, product: str, cuts: Cuts = UNCUT) -> DataFrame:
     rows = training_candidates(messages)
-    return doc_examples(rows, product).unionByName(qa_pairs(rows))
+    return doc_examples(rows, product, cuts).unionByName(qa_pairs(rows, cuts))
 
 
 def chat_examples(examples: DataFrame, system: str) -> DataFrame:

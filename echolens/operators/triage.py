@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from echolens.functions.clock import Clock, days_before_now
 from echolens.functions.scoring import explorer_impact_score, impact_score, topics_array
 from echolens.operators.filters import as_cards, is_voice, newest, within_days
-from echolens.operators.replies import page_with_has_reply
+from echolens.operators.replies import with_has_reply
 from echolens.schemas import KNOWLEDGE_SOURCES
 
 # Triage names, sort orders and the score that counts as high impact.
@@ -27,11 +27,11 @@ HIGH_IMPACT_SCORE = 6.0
 def high_impact(
     messages: DataFrame,
     days: int = 30,
-    candidates: int = 300,
+    candidates: int | None = None,
     limit: int = 8,
     as_of: Clock = None,
 ) -> DataFrame:
-    """Best-scored of the newest ``candidates`` voice messages that are not neutral."""
+    """Best-scored voice messages of the window that are not neutral; of the newest ``candidates`` only, if given."""
     sentiment = F.col("sentiment_simple")
     rows = messages.where(
         is_voice() & within_days(days, as_of) & ((sentiment != "neutral") | sentiment.isNull())
@@ -64,16 +64,17 @@ class Search:
     days: int | None = None
     triage: tuple[str, ...] = ()
     sort: str = NEWEST
-    limit: int = 800
+    limit: int | None = None
+    offset: int = 0
 
 
 def explore(messages: DataFrame, search: Search = Search(), as_of: Clock = None) -> DataFrame:
-    """Newest matching messages, then topic and triage filters on that page, then the sort.
+    """All matching messages in the order asked for, then the page of ``limit`` rows after ``offset``.
 
-    Topic and triage filters act after the limit: they narrow the page, they do not refill it.
+    Every filter acts before the page is cut, so a page is full as long as there are rows. Texts are carried by the
+    rows that pass the filters of ``_matching`` only.
     """
-    page = newest(_matching(messages, search, as_of), search.limit)
-    page = page.select(
+    page = _matching(messages, search, as_of).select(
         "id", "source", "content", "author", "created_at",
         F.coalesce("sentiment_simple", F.lit("neutral")).alias("sentiment"),
         "sentiment_rich",
@@ -81,8 +82,10 @@ def explore(messages: DataFrame, search: Search = Search(), as_of: Clock = None)
         "topics", "metadata", "url", "title",
         explorer_impact_score().alias("impact_score"),
     )
-    page = page_with_has_reply(page, messages, search.limit)
-    return _sorted(_narrowed(page, search), search.sort)
+    page = with_has_reply(page, messages)
+    page = _sorted(_narrowed(page, search), search.sort)
+    page = page.offset(search.offset) if search.offset else page
+    return page if search.limit is None else page.limit(search.limit)
 
 
 def _matching(messages: DataFrame, search: Search, as_of: Clock) -> DataFrame:

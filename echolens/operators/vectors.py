@@ -26,8 +26,6 @@ L2, COSINE = "l2", "cosine"
 BROADCAST_BYTES = 64 << 20
 # Rows of either side that meet in one task of the block-by-block join.
 BLOCK_ROWS = 20_000
-# Vectors per cell that the cell centres are fitted on.
-TRAINING_ROWS = 1000
 # Query-corpus pairs compared in one NumPy call.
 _PAIRS = 1 << 18
 _HIT_BYTES = 256
@@ -86,17 +84,14 @@ def search(
 def assign_cells(vectors: DataFrame, cells: int = 256, seed: int = 42, max_iter: int = 10):
     """Cluster unit-length vectors with k-means.
 
-    Gives the vectors with their ``cell`` and the cell centres. Every vector gets a cell; the centres
-    alone are fitted on a sample of at most ``cells * TRAINING_ROWS`` vectors. Store the vectors
+    Gives the vectors with their ``cell`` and the cell centres, fitted on all vectors. Store the vectors
     partitioned by cell to let a search read the probed cells only.
     """
     rows = vectors.where(F.col("vector").isNotNull())
     unit = rows.withColumn("_unit", array_to_vector(_unit(F.col("vector"))))
-    share = cells * TRAINING_ROWS / max(rows.count(), 1)
-    training = unit.select("_unit") if share >= 1 else unit.select("_unit").sample(share, seed)
     model = KMeans(
         k=cells, seed=seed, maxIter=max_iter, featuresCol="_unit", predictionCol="cell"
-    ).fit(training)
+    ).fit(unit.select("_unit"))
     return model.transform(unit).drop("_unit"), np.array(model.clusterCenters())
 
 
@@ -114,7 +109,9 @@ def search_cells(
     ``centres`` has one row per cell, so it is as small as the number of cells.
     """
     asked = _probed_cells(queries, centres, probes)
-    corpus = vectors.select("id", "vector", "cell")
+    # The probed cells, at most one row per centre, filter the scan: a table stored by cell reads their folders only.
+    probed = F.broadcast(asked.select("cell").distinct())
+    corpus = vectors.select("id", "vector", "cell").join(probed, "cell", "left_semi")
     return _best(_hits(asked, corpus, k, metric, broadcast_bytes)[0], k)
 
 

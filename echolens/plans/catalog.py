@@ -135,7 +135,7 @@ SEARCHES = {
         triage=(triage.BUG_REPORTS, triage.FEATURE_REQUESTS, triage.UNANSWERED, triage.HIGH_IMPACT)
     ),
     "explore_unanswered": triage.Search(triage=(triage.UNANSWERED,), days=30),
-    "explore_sorted": triage.Search(sort=triage.MOST_NEGATIVE, days=7, limit=200),
+    "explore_sorted": triage.Search(sort=triage.MOST_NEGATIVE, days=7),
     "explore_impact": triage.Search(sort=triage.HIGHEST_IMPACT, triage=(triage.HIGH_IMPACT,)),
 }
 for _name, _search in SEARCHES.items():
@@ -175,6 +175,11 @@ def new_message_count(spark: SparkSession, folder: str) -> DataFrame:
     return tables.new_messages(stored, I.refetched(everything)).agg(F.count("*").alias("new_messages"))
 
 
+@_query
+def landed_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return landing.rejects(I.damaged_lines(spark, folder), "github_issues")
+
+
 @_query
 def replace_by_key(spark: SparkSession, folder: str) -> DataFrame:
     state = I.ingestion_state(spark, folder)
@@ -459,7 +464,7 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_job(spark: SparkSession, folder: str) -> DataFrame:
     """Messages after their queue has been embedded and marked."""
     stored = I.messages(spark, folder)
-    queue = tables.embedding_queue(stored, 500)
+    queue = tables.embedding_queue(stored)
     embedded = enrich.vector_records(queue, I.load_letter_embedder)
     marks = embedded.select("id", F.col("id").alias("embedding_id"))
     return tables.update_analysis(stored, marks, as_of=AS_OF)

@@ -140,10 +140,16 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stored vector as a query."""
-    return table(spark, folder, "embeddings").select(
-        F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector")
-    )
+    """The benchmark questions' vectors as queries."""
+    return questions(spark, folder).select(F.col("question_id").alias("query_id"), "vector")
+
+
+def damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A landed issue for each event; every tenth line is cut short."""
+    number = F.col("event_id").cast("string")
+    whole = F.concat(F.lit('{"owner": "o", "repo": "r", "number": '), number, F.lit(', "title": "t"}'))
+    cut = F.concat(F.lit('{"number": '), number)
+    return table(spark, folder, "events").select(F.when(F.col("event_id") % 10 == 0, cut).otherwise(whole).alias("value"))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,10 +69,10 @@ stored as (
     timestamp '2024-01-01' + to_hours(vec_id) as created_at,
     case when vec_id % 3 <> 0 then concat('https://example.com/v/', vec_id) end as url
   from embeddings left join documents d on d.doc_id = vec_id % (select n from size)),
-queries as (select cast(vec_id as varchar) as query_id, cast(embedding as double[]) as vector from embeddings),
 questions as (
   select cast(item_id as varchar) as question_id, text as question, cast(embedding as double[]) as vector
   from benchmark join embeddings on vec_id = item_id % (select count(*) from embeddings)),
+queries as (select question_id as query_id, vector from questions),
 threads as (
   select concat('conv:', conv_id, ':', turn) as id, 'slack' as source,
     coalesce(case when turn > 0 then concat('conv:', conv_id, ':0') end, concat('conv:', conv_id, ':', turn)) as thread,
@@ -175,7 +175,7 @@ _DAILY = "cast(created_at as date) as date"
 _BY_SENTIMENT = ", ".join(
     f"count(*) filter (where sentiment_simple = '{s}') as {s}" for s in ("positive", "negative", "neutral")
 )
-_DAILY_METRICS = f"""select {_DAILY}, source, cast(count(*) as int) as total_messages,
+_DAILY_METRICS = f"""select {_DAILY}, source, count(*) as total_messages,
   cast(count(*) filter (where sentiment_simple = 'positive') as int) as positive_count,
   cast(count(*) filter (where sentiment_simple = 'negative') as int) as negative_count,
   cast(count(*) filter (where sentiment_simple = 'neutral') as int) as neutral_count,
@@ -192,8 +192,7 @@ from {{rows}} where processed_at is not null group by 1, 2"""
 _HIGH = f"""
 , newest as (
   select *, {_INTS} from messages
-  where {_VOICE} and {_since(30)} and (sentiment_simple <> 'neutral' or sentiment_simple is null)
-  order by created_at desc, id limit 300),
+  where {_VOICE} and {_since(30)} and (sentiment_simple <> 'neutral' or sentiment_simple is null)),
 high as (
   select *, {_IMPACT} as impact_score from newest order by impact_score desc, created_at desc, id limit {{limit}})
 """
@@ -228,8 +227,7 @@ def _explore(search: triage.Search) -> str:
     if search.triage:
         after.append("(" + " or ".join(masks[name] for name in search.triage) + ")")
     return f""", page as (
-      select *, {_INTS} from messages where {" and ".join(where) or "true"}
-      order by created_at desc, id limit {search.limit}),
+      select *, {_INTS} from messages where {" and ".join(where) or "true"}),
     shown as (
       select id, source, content, author, created_at, coalesce(sentiment_simple, 'neutral') as sentiment,
         sentiment_rich, coalesce(content_type, 'discussion') as content_type, topics, metadata, url, title,
@@ -250,17 +248,16 @@ def _nearest(k: int, measure: str, where: str = "true") -> str:
 _L2 = "list_distance(q.vector, s.vector)"
 _TOP = _nearest(10, _L2).format(distance="distance * distance")
 _HITS = f""", pairs as (
-  select question_id, s.id, {_L2} as gap, s.text, s.source, s.url from questions q, stored s),
+  select question_id, question, s.id, {_L2} as gap, s.text, s.source, s.url from questions q, stored s),
 hits as (
   select *, row_number() over (partition by question_id order by gap, id) as rank from pairs
   qualify rank <= 5),
 contexts as (
-  select question_id, string_agg(concat('[', rank, '] Source: ', source,
-      case when url is not null then concat(chr(10), 'URL: ', url) else '' end, chr(10), substr(text, 1, 500)),
+  select question_id, any_value(question) as question, string_agg(concat('[', rank, '] Source: ', source,
+      case when url is not null then concat(chr(10), 'URL: ', url) else '' end, chr(10), text),
     concat(chr(10), chr(10), '---', chr(10), chr(10)) order by rank) as context
   from hits group by question_id)
 """
-_CUT = "substr(content, 1, {})"
 _LETTERS = ", ".join(
     f"cast(length({{text}}) - length(replace({{text}}, '{c}', '')) as float) as n_{c}" for c in EMBEDDED_LETTERS
 )
@@ -278,18 +275,18 @@ first as (
 opening as (
   select * from first where position = 1 and size >= 2
     and (coalesce(content_type = 'question', false) or content like '%?%'
-      or {" or ".join(f"substr(lower(content), 1, 100) like '%{word}%'" for word in _QUESTION_WORDS)})),
+      or {" or ".join(f"lower(content) like '%{word}%'" for word in _QUESTION_WORDS)})),
 answers as (
   select *, row_number() over (partition by thread order by turn, id) as answer from first
   where position > 1 and length(content) >= 100 and length(content) - length(replace(content, '?', '')) <= 2),
 qa as (
   select concat('thread:', o.thread) as example_id, o.source,
-    {_clean("substr(o.content, 1, 1500)")} as input, {_clean("substr(a.content, 1, 2000)")} as output
+    {_clean("o.content")} as input, {_clean("a.content")} as output
   from opening o join answers a on a.thread = o.thread and a.answer = 1)
 """
 _SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _DOCS = f"""
-, long as (select * from docm where length(content) > 100 and length(content) between 200 and 10000),
+, long as (select * from docm where length(content) >= 200),
 found as (
   select *, regexp_extract_all(content, '\\n(#{{1,3}}{_SPACE}+[^\\n]+)', 1) as headers,
     regexp_split_to_array(content, '\\n#{{1,3}}{_SPACE}+') as parts
@@ -301,10 +298,10 @@ sections as (
   from numbered),
 docs as (
   select concat(id, '#', position) as example_id, 'docs' as source, {_question("header")} as input,
-    {_clean("substr(text, 1, 2000)")} as output
+    {_clean("text")} as output
   from sections where length(text) >= 100
   union all
-  select concat(id, '#0'), 'docs', {_question("title")}, {_clean("substr(content, 1, 3000)")}
+  select concat(id, '#0'), 'docs', {_question("title")}, {_clean("content")}
   from found where len(headers) = 0)
 """
 _EXAMPLES = _DOCS + _QA + ", examples as (select * from docs where input is not null union all select * from qa)\n"
@@ -368,8 +365,8 @@ _FILES = f"""
   from documents),
 kept as (
   select * from (
-    select *, row_number() over (partition by repo order by position, path) as n from files where kind in (0, 1, 5, 6))
-  where n <= 50 and length(content) >= 100),
+    select * from files where kind in (0, 1, 5, 6))
+  where length(content) >= 100),
 extracted as (
   select *, case kind
       when 1 then concat('Example ', position, '.', chr(10), chr(10), '  More.', chr(10), chr(10), chr(10),
@@ -410,12 +407,12 @@ _UPDATE = f"""select id, source, source_id, content, title, author, url, parent_
   case when hit then coalesce(embedding_id, id) else embedding_id end as embedding_id
 from fields"""
 
-_PROMPT_LENGTH = "(length(substr(content, 1, 2000)) + length('Analyze this message:') + 2)"
+_PROMPT_LENGTH = "(length(content) + length('Analyze this message:') + 2)"
 _LABEL = f"case {_PROMPT_LENGTH} % 3 when 0 then 'positive' when 1 then 'negative' else 'neutral' end"
 _QUEUE = f"""
 , queue as (
   select id, {_LABEL} as label from (
-    select * from messages where sentiment_simple is null and {_VOICE} order by created_at desc, id limit 200)
+    select * from messages where sentiment_simple is null and {_VOICE})
   where {_PROMPT_LENGTH} % 11 <> 0),
 labelled as (
   select m.* exclude (sentiment_simple, sentiment_rich, content_type, processed_at),
@@ -541,14 +538,14 @@ _BODIES = {
     "insert_if_absent": _REFETCHED + """select * from kept union all
         select * replace (coalesce(topics, '[]') as topics) from fresh""",
     "new_message_count": _REFETCHED + "select count(*) as new_messages from fresh",
+    "landed_rejects": """select concat('{"number": ', event_id) as value from events where event_id % 10 = 0""",
     "replace_by_key": f"""select * from state where source <> 'github' union all
         select source, max(created_at), {_NULL}, 'next', '{{}}' from messages
         where source in ('github', 'twitter') group by source""",
     "ingestion_state": "select * replace ('3' as metadata) from state where source = 'reddit'",
     "update_analysis": _UPDATED + _UPDATE,
-    "embedding_queue": "select * from messages where embedding_id is null order by created_at desc, id limit 100",
-    "sentiment_queue": f"""select * from messages where sentiment_simple is null and {_VOICE}
-        order by created_at desc, id limit 200""",
+    "embedding_queue": "select * from messages where embedding_id is null",
+    "sentiment_queue": f"""select * from messages where sentiment_simple is null and {_VOICE}""",
     "reset_embeddings": f"select * replace ({_NULL} as embedding_id) from messages",
     "clear_source": "select * from messages where source <> 'github'",
     "cleared_counts": """select 'messages' as table_name, count(*) as deleted from messages where source = 'github'
@@ -700,22 +697,22 @@ _BODIES = {
           round(gap * gap, 6) + 0.0 as distance, text, source, url from hits""",
     "rag_context": _HITS + "select question_id, context from contexts",
     "rag_sources": _HITS + """select question_id, true as used_rag,
-          string_agg(concat(source, '|', coalesce(url, ''), '|', substr(text, 1, 200)), chr(10) order by rank) as sources
+          string_agg(concat(source, '|', coalesce(url, ''), '|', text), chr(10) order by rank) as sources
         from hits group by 1""",
     "rag_prompts": _HITS + f"""select question_id,
           concat('system|', '{_HEAD}', context, '{_TAIL}', chr(10), 'user|', question) as messages
-        from questions join contexts using (question_id)""",
-    "embed_batch": f"""select id, substr(content, 1, 1000) as text, source, created_at, url, title,
-          {_LETTERS.format(text=_CUT.format(1000))} from messages""",
+        from contexts""",
+    "embed_batch": f"""select id, content as text, source, created_at, url, title,
+          {_LETTERS.format(text="content")} from messages""",
     "search_text": f""", asked as (
           select question_id as query_id, {_LETTER_VECTOR.format(text="question")} as vector from questions),
-        kept as (select id, {_LETTER_VECTOR.format(text=_CUT.format(1000))} as vector from messages),
+        kept as (select id, {_LETTER_VECTOR.format(text="content")} as vector from messages),
         pairs as (select query_id, s.id, {_L2} as distance from asked q, kept s),
         ranked as (
           select *, row_number() over (partition by query_id order by distance, id) as rank from pairs qualify rank <= 5)
         select query_id, cast(rank as int) as rank, id, round(distance * distance, 6) + 0.0 as distance from ranked""",
     "sentiment_prompts": """select id, concat('system|Classify.', chr(10), 'user|Analyze this message:', chr(10), chr(10),
-          substr(content, 1, 2000)) as prompt from messages""",
+          content) as prompt from messages""",
     "classify": f"""select id, case when {_PROMPT_LENGTH} % 11 = 0 then 'neutral' else {_LABEL} end as sentiment_simple,
           'neutral' as sentiment_rich, 'discussion' as content_type,
           case when {_PROMPT_LENGTH} % 11 = 0 then '' else 'pricing' end as topics from messages""",
@@ -730,7 +727,7 @@ _BODIES = {
                then replace(replace(replace(topics, '["', ''), '"]', ''), '","', ',') else '' end as topics
         from (select *, cast(source_id as bigint) as n from messages)""",
     "embedding_job": """, queue as (
-          select id from messages where embedding_id is null order by created_at desc, id limit 500)
+          select id from messages where embedding_id is null)
         select m.* replace (
             coalesce(m.embedding_id, q.id) as embedding_id,
             case when q.id is not null then coalesce(topics, '[]') else topics end as topics)

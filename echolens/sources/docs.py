@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -21,14 +22,13 @@ README_NAMES = ("readme.md", "readme.rst", "readme.txt")
 SKIPPED_PARTS = ("test_", "_test.py", "__init__", "__pycache__")
 BINARY_EXTENSIONS = (".png", ".jpg", ".gif", ".pdf", ".zip")
 SHORTEST_TEXT = 100
-DOCSTRING_LINES = 50
 QUOTES = '"""'
 
 
-def doc_files(files: DataFrame, per_repo: int = 50) -> DataFrame:
-    """First ``per_repo`` readme and example files of each repository that are long enough.
+def doc_files(files: DataFrame, per_repo: int | None = None) -> DataFrame:
+    """Readme and example files that are long enough, of the first ``per_repo`` of each repository if given.
 
-    The rank is cut to ``per_repo`` rows per repository in every task before the shuffle.
+    A rank is then cut to ``per_repo`` rows per repository in every task before the shuffle.
     """
     path = F.col("path")
     lower = F.lower(path)
@@ -39,14 +39,11 @@ def doc_files(files: DataFrame, per_repo: int = 50) -> DataFrame:
     for part in SKIPPED_PARTS:
         skipped = skipped | lower.contains(part)
     example = path.endswith(".py") & path.contains("/") & ~skipped
-    order = Window.partitionBy("owner", "repo").orderBy("position", "path")
-    return (
-        files.where(readme | example)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_repo)
-        .where(F.length("content") >= SHORTEST_TEXT)
-        .drop("rank")
-    )
+    chosen = files.where(readme | example)
+    if per_repo is not None:
+        order = Window.partitionBy("owner", "repo").orderBy("position", "path")
+        chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_repo).drop("rank")
+    return chosen.where(F.length("content") >= SHORTEST_TEXT)
 
 
 def _docstring(lines: Column) -> Column:
@@ -57,7 +54,7 @@ def _docstring(lines: Column) -> Column:
     first = strip(F.get(lines, start - 1))
     one_line = F.endswith(first, F.lit(QUOTES)) & (F.length(first) > 3)
     opening = F.array(F.substring(first, F.lit(4), F.length(first)))
-    rest = F.slice(lines, start + 1, DOCSTRING_LINES)
+    rest = F.slice(lines, start + 1, F.size(lines))
     end = first_line(rest, F.endswith).cast("int")
     last = strip(F.get(rest, end - 1))
     closed = F.concat(
@@ -70,13 +67,14 @@ def _docstring(lines: Column) -> Column:
     return F.when(start > 0, strip(text))
 
 
-def python_doc(content: Column, path: Column, module: str) -> Column:
+def python_doc(content: Column, path: Column, module: str, most_lines: int | None = None) -> Column:
     """Module docstring of a Python file, then the whole file where it imports ``module``.
 
-    NULL when there is neither. The docstring must open within the first fifty lines; one that does
-    not close there runs to the fiftieth line.
+    NULL when there is neither. With ``most_lines`` the docstring must open within so many lines, and one that does
+    not close within them ends there; else one that does not close runs to the end.
     """
-    lines = F.slice(F.split(content, "\n", -1), 1, DOCSTRING_LINES)
+    lines = F.split(content, "\n", -1)
+    lines = lines if most_lines is None else F.slice(lines, 1, most_lines)
     docstring = computed_once(lines, _docstring)
     imports = content.contains(f"import {module}") | content.contains(f"from {module}")
     example = F.when(
@@ -98,7 +96,7 @@ def file_texts(files: DataFrame, module: str) -> DataFrame:
     return rows.where(is_filled(F.col("content")))
 
 
-def file_messages(files: DataFrame, module: str, as_of: Clock = None, per_repo: int = 50) -> DataFrame:
+def file_messages(files: DataFrame, module: str, as_of: Clock = None, per_repo: int | None = None) -> DataFrame:
     repo = F.concat_ws("/", "owner", "repo")
     return to_messages(
         file_texts(doc_files(files, per_repo), module),
@@ -192,15 +190,25 @@ def absolute_url(base: Column, href: Column) -> Column:
     return F.when(dotted, _join_dotted(base, F.when(dotted, href))).otherwise(plain)
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(hrefs: pd.Series) -> pd.Series:
+    return hrefs.map(lambda href: None if href is None else unescape(href))
+
+
+def decoded(href: Column) -> Column:
+    """``href`` without character references; only one that has any leaves the JVM."""
+    has_any = href.contains("&")
+    return F.when(has_any, _unescaped(F.when(has_any, href))).otherwise(href)
+
+
 def page_links(pages: DataFrame, marker: str = "/blog/") -> DataFrame:
     """Distinct absolute targets of links whose href contains ``marker`` and is more than it."""
     visible = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    hrefs = F.regexp_extract_all(
-        visible, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["']"""), 1
-    )
+    value = r"""(?i)<a\s(?:(?:"[^"]*"|'[^']*'|[^>"'])*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+    hrefs = F.regexp_extract_all(visible, F.lit(value), 1)
     links = pages.select("url", F.explode(F.array_distinct(hrefs)).alias("href"))
-    href = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
-    links = links.select("url", href.alias("href")).where(
+    href = F.regexp_replace("href", r"""^(["'])(.*)\1$""", "$2")
+    links = links.select("url", decoded(href).alias("href")).where(
         F.col("href").contains(marker) & (F.col("href") != marker)
     )
     return links.select(absolute_url(F.col("url"), F.col("href")).alias("link")).distinct()

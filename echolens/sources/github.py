@@ -28,7 +28,7 @@ def since_filter(rows: DataFrame, state: DataFrame, updated_at: str = "updated_a
     """Rows updated at or after their source's last fetch; all rows of a source never fetched."""
     last = latest_fetch(state)
     fresh = F.col("last_fetched_at").isNull() | (F.col(updated_at) >= F.col("last_fetched_at"))
-    return rows.join(F.broadcast(last), "source", "left").where(fresh).drop("last_fetched_at")
+    return rows.join(last, "source", "left").where(fresh).drop("last_fetched_at")
 
 
 def issues(raw: DataFrame, as_of: Clock = None) -> DataFrame:
@@ -129,8 +129,14 @@ def _repo() -> Column:
 
 
 def _number_id(kind: str, number: Column) -> Column:
-    return F.concat_ws("_", F.col("owner"), F.col("repo"), F.lit(kind), number.cast("string"))
+    return _joined(F.col("owner"), F.col("repo"), F.lit(kind), number.cast("string"))
 
 
 def _comment_id(parent: Column, comment: Column) -> Column:
-    return F.concat_ws("_", parent, F.lit("comment"), comment)
+    return _joined(parent, F.lit("comment"), comment)
+
+
+def _joined(*parts: Column) -> Column:
+    """The parts with underscores between them; NULL if one is missing."""
+    between = [x for part in parts for x in (F.lit("_"), part)]
+    return F.concat(*between[1:])

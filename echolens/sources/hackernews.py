@@ -48,10 +48,10 @@ def comment_tree(
     story_ids: DataFrame,
     items: DataFrame,
     max_depth: int = 3,
-    kids_per_story: int = 50,
-    kids_per_comment: int = 20,
+    kids_per_story: int | None = None,
+    kids_per_comment: int | None = None,
 ) -> DataFrame:
-    """Comments below each story, walked level by level.
+    """Comments below each story, walked level by level: all kids of a level, or the first so many.
 
     A deleted, dead or missing comment cuts its whole subtree. Depth is bounded, so the walk is a
     fixed chain of joins on the unique item id. It moves ids and kid lists only; texts are joined once,
@@ -65,7 +65,8 @@ def comment_tree(
     for depth in range(max_depth + 1):
         width = kids_per_comment if depth else kids_per_story
         frontier = parents.select(
-            "story_id", F.explode(F.slice("kids", 1, width)).alias("id"), F.lit(depth).alias("depth")
+            "story_id", F.explode("kids" if width is None else F.slice("kids", 1, width)).alias("id"),
+            F.lit(depth).alias("depth"),
         )
         parents = frontier.join(live, "id")
         levels.append(parents.select("story_id", "depth", "id"))

@@ -58,11 +58,19 @@ def read_landed(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def parse_landed(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
     """Records of one kind from a column of JSON text.
 
-    A generator makes the columns: filters on them stay above it, so each line is parsed once.
+    A generator makes the columns: filters on them stay above it, so each line is parsed once. A line that is no
+    record gives a row of NULLs, which has no id and so becomes no message; ``rejects`` has such lines.
     """
     return lines.select(F.inline(F.array(F.from_json(column, LANDED[kind]))))
 
 
+def rejects(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
+    """The lines that are no record of the kind, with all columns; count them to see how much of a landing was lost."""
+    schema = LANDED[kind] + ", _damaged STRING"
+    parsed = F.from_json(column, schema, {"columnNameOfCorruptRecord": "_damaged"})
+    return lines.where(parsed.isNull() | parsed["_damaged"].isNotNull())
+
+
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
     """Entries of landed Atom files; ``subreddit`` comes from the folder name."""
     return (
@@ -89,8 +97,11 @@ def to_messages(
     id_prefix: str | None = None,
     **columns: Column,
 ) -> DataFrame:
-    """Message rows; the id is ``source:source_id`` and the metadata struct becomes JSON text."""
-    return as_messages(
+    """Message rows; the id is ``source:source_id`` and the metadata struct becomes JSON text.
+
+    A record without what its id is made of is no message.
+    """
+    made = as_messages(
         rows,
         id=message_id(id_prefix or source, source_id),
         source=F.lit(source),
@@ -100,6 +111,7 @@ def to_messages(
         topics=F.lit("[]"),
         **columns,
     )
+    return made.where(F.col("id").isNotNull())
 
 
 def message_id(source: str, source_id: Column) -> Column:

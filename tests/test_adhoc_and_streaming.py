@@ -20,11 +20,41 @@ def test_refused_queries(sql):
 
 
 def test_limit_is_clamped():
-    assert [adhoc.checked_sql("select 1", n)[2] for n in (0, -5, 10, "20", 99_999)] == [1, 1, 10, 20, 1000]
+    assert [adhoc.checked_sql("select 1", n)[1] for n in (0, -5, 10, "20", 99_999)] == [1, 1, 10, 20, 1000]
     with pytest.raises(ValueError):
         adhoc.checked_sql("select 1", "many")
 
 
+def test_limit_cannot_be_undone(spark):
+    numbers = {"nums": spark.range(5000)}
+    with pytest.raises(Exception):
+        adhoc.safe_query(spark, "SELECT * FROM nums) AS q --", numbers, 10)
+    assert adhoc.safe_query(spark, "SELECT * FROM nums -- all", numbers, 10).count() == 10
+    result = adhoc.run_query(spark, "SELECT id FROM nums", numbers, 10)
+    assert (result["row_count"], result["truncated"]) == (10, True)
+    assert adhoc.run_query(spark, "SELECT id FROM nums WHERE id < 10", numbers, 10)["truncated"] is False
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT id, (SELECT reflect('java.lang.Math', 'random')) FROM nums",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+    "SELECT * FROM nums WHERE id IN (SELECT id FROM other)",
+    "WITH x AS (SELECT 1 AS id) INSERT INTO nums SELECT * FROM x",
+])
+def test_only_named_tables_and_harmless_functions(spark, sql):
+    spark.range(3).createOrReplaceTempView("other")
+    with pytest.raises(ValueError):
+        adhoc.safe_query(spark, sql, {"nums": spark.range(5)})
+
+
+def test_views_of_the_session_come_back(spark):
+    spark.range(3).createOrReplaceTempView("nums")
+    assert adhoc.safe_query(spark, "SELECT * FROM nums", {"nums": spark.range(7)}).count() == 7
+    assert spark.table("nums").count() == 3
+    spark.catalog.dropTempView("nums")
+
+
 def test_run_query(spark, make_messages):
     rows = make_messages({"id": "a"}, {"id": "b"}, {"id": "c", "source": "docs"})
     sql = "with x as (select source, count(*) as n from messages group by source) select * from x order by n desc;"

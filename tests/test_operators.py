@@ -60,14 +60,15 @@ def test_filters_reach_the_stored_table(spark, make_messages, tmp_path):
     assert _ids(stored.where(filters.is_voice())) == ["a", "c"]
 
 
-def test_topic_filter_narrows_the_page_only(make_messages):
+def test_filters_act_before_the_page_is_cut(make_messages):
     rows = make_messages(
         *[{"id": f"n{i}", "created_at": START + timedelta(hours=i), "topics": "[]"} for i in range(3)],
         {"id": "old", "topics": '["pricing"]'},
     )
     search = triage.Search(topics=("pricing",), limit=3)
-    assert _ids(triage.explore(rows, search, AS_OF)) == []
-    assert _ids(triage.explore(rows, triage.Search(topics=("pricing",), limit=4), AS_OF)) == ["old"]
+    assert _ids(triage.explore(rows, search, AS_OF)) == ["old"]
+    pages = [triage.explore(rows, triage.Search(limit=3, offset=at), AS_OF) for at in (0, 3)]
+    assert [[r.id for r in page.collect()] for page in pages] == [["n2", "n1", "n0"], ["old"]]
 
 
 def test_search_text_wildcards_and_backslash(make_messages):
@@ -158,10 +159,7 @@ def test_update_analysis(spark, make_messages):
     assert (rows["d"].topics, rows["d"].metadata) == (None, None)
 
 
-def test_large_delta_is_not_broadcast(make_messages, monkeypatch, spark):
-    from echolens.operators import plan
-
-    monkeypatch.setattr(plan.broadcast_if_small, "__defaults__", (1,))
+def test_large_delta_is_not_broadcast(make_messages, spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         stored = make_messages({"id": "a"}, {"id": "b"})
@@ -173,6 +171,36 @@ def test_large_delta_is_not_broadcast(make_messages, monkeypatch, spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_building_a_plan_starts_no_job(make_messages, spark):
+    stored, batch = make_messages({"id": "a"}, {"id": "b"}), make_messages({"id": "b"}, {"id": "c"})
+    spark.sparkContext.setJobGroup("plans", "plans only")
+    tables.insert_if_absent(stored, batch)
+    tables.update_analysis(stored, batch.select("id", "sentiment_simple"))
+    tables.replace_by_key(stored, batch, "id")
+    triage.explore(stored)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+
+
+def test_null_ids_ties_and_repeated_delta_ids(make_messages):
+    stored = make_messages({"id": "a"}, {"id": "b"})
+    batch = make_messages({"id": None, "source_id": "x"}, {"id": "c", "content": "1"}, {"id": "c", "content": "2"})
+    once = tables.insert_if_absent(stored, batch)
+    assert _ids(once) == ["a", "b", "c"] and _ids(tables.insert_if_absent(once, batch)) == ["a", "b", "c"]
+    turned = batch.orderBy("content", ascending=False).repartition(3)
+    assert sorted(once.collect(), key=str) == sorted(tables.insert_if_absent(stored, turned).collect(), key=str)
+    delta = batch.where("id = 'c'").select("id", "sentiment_simple")
+    assert tables.update_analysis(once, delta).count() == 3
+    assert tables.replace_by_key(once, batch.where("id = 'c'"), "id").count() == 3
+
+
+def test_state_of_any_source_counts(spark):
+    from echolens.sources.github import since_filter
+
+    state = spark.createDataFrame([("discord", START, "1", None, "{}")], INGESTION_STATE)
+    rows = spark.createDataFrame([("discord", START - timedelta(days=1)), ("discord", START)], "source string, at timestamp_ntz")
+    assert since_filter(rows, state, "at").count() == 1
+
+
 def test_ingestion_state(spark):
     state = spark.createDataFrame([("github", START, "1", None, '{"a": "b"}')], INGESTION_STATE)
     later = spark.createDataFrame(

@@ -115,8 +115,8 @@ def test_comment_tree_against_recursion(spark, land):
     assert len(expected) > 60
 
 
-def _expected_docstring(content, path):
-    lines = content.split("\n")[:50]
+def _expected_docstring(content, path, most=None):
+    lines = content.split("\n")[:most]
     opened = next((i for i, line in enumerate(lines) if line.strip().startswith('"""')), None)
     parts = []
     if opened is not None:
@@ -142,8 +142,27 @@ def test_python_doc_against_python(spark):
     files = ["\n".join(rng.choices(pieces, k=rng.randrange(1, 8))) for _ in range(200)]
     files += ["x\n" * 49 + '"""in\nout"""', "x\n" * 50 + '"""late"""', '"""open\n' + "y\n" * 80]
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "i int, c string")
-    got = rows.select("i", docs.python_doc(F.col("c"), F.lit("a.py"), "acme").alias("d")).orderBy("i").collect()
-    assert [r.d for r in got] == [_expected_docstring(f, "a.py") for f in files]
+    for most in (None, 50):
+        doc = docs.python_doc(F.col("c"), F.lit("a.py"), "acme", most)
+        got = rows.select("i", doc.alias("d")).orderBy("i").collect()
+        assert [r.d for r in got] == [_expected_docstring(f, "a.py", most) for f in files]
+
+
+def test_damaged_lines_are_rejected(spark):
+    lines = ['{"owner": "o", "repo": "r", "number": 1, "title": "t"}', '{"owner": "o", "repo": "r"', "", "no json", None]
+    raw = spark.createDataFrame([(line, i) for i, line in enumerate(lines)], "value string, n int")
+    made = github.issues(landing.parse_landed(raw, "github_issues"))
+    assert [r.id for r in made.collect()] == ["github:o_r_issue_1"]
+    assert sorted(r.n for r in landing.rejects(raw, "github_issues").collect()) == [1, 2, 3, 4]
+    assert reddit.posts(landing.parse_landed(raw, "reddit_posts")).count() == 0
+
+
+def test_links_with_any_quotes(spark):
+    markup = """<a href="/blog/it's-here">a</a> <a class='x>y' href='/blog/say-"hi"'>b</a> <a href=/blog/bare>c</a>
+        <a href="/blog/a&#38;b&amp;c">d</a> <a data-href="/blog/no">e</a>"""
+    pages = spark.createDataFrame([("https://x.com/", markup)], "url string, html string")
+    found = {r.link for r in docs.page_links(pages).collect()}
+    assert found == {"https://x.com" + p for p in ("/blog/it's-here", '/blog/say-"hi"', "/blog/bare", "/blog/a&b&c")}
 
 
 def test_doc_files_cut_per_repo(spark):

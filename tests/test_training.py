@@ -15,7 +15,7 @@ from conftest import START, plan_of
 QUESTION_WORDS = ("how", "why", "what", "when", "where", "can i", "is it possible")
 
 
-def _pairs(rows):
+def _pairs(rows, head=None, question=None, answer=None):
     threads = {}
     for row in sorted(rows, key=lambda r: (r["created_at"], r["id"])):
         threads.setdefault(row.get("thread_id") or row["id"], []).append(row)
@@ -23,10 +23,10 @@ def _pairs(rows):
     for thread, (first, *rest) in threads.items():
         text = first["content"]
         asks = first.get("content_type") == "question" or "?" in text
-        asks = asks or any(word in text.lower()[:100] for word in QUESTION_WORDS)
+        asks = asks or any(word in text.lower()[:head] for word in QUESTION_WORDS)
         good = [r for r in rest if len(r["content"]) >= 100 and r["content"].count("?") <= 2]
         if asks and good:
-            found[f"thread:{thread}"] = (text[:1500].strip(), good[0]["content"][:2000].strip())
+            found[f"thread:{thread}"] = (text[:question].strip(), good[0]["content"][:answer].strip())
     return found
 
 
@@ -43,6 +43,8 @@ def test_qa_pairs_with_a_hot_thread(make_messages):
         })
     frame = training.qa_pairs(make_messages(*rows))
     assert {r.example_id: (r.input, r.output) for r in frame.collect()} == _pairs(rows)
+    cut = training.qa_pairs(make_messages(*rows), training.Cuts(question=1500, answer=2000, question_head=100))
+    assert {r.example_id: (r.input, r.output) for r in cut.collect()} == _pairs(rows, 100, 1500, 2000)
     assert len(_pairs(rows)) > 20
     assert plan_of(frame).count("WindowGroupLimit") >= 2
 
@@ -71,10 +73,13 @@ def test_doc_parts(make_messages):
     sections = {(r.id, r.position): r.header for r in training.doc_sections(rows).collect()}
     assert sections == {("heads", 1): "Using x", ("heads", 3): "Last #"}
     examples = {r.example_id: r for r in training.doc_examples(rows, "Acme").collect()}
-    assert set(examples) == {"heads#1", "heads#3", "plain#0", "most#0"}
+    assert set(examples) == {"heads#1", "heads#3", "plain#0", "most#0", "huge#0"}
+    cuts = training.Cuts(longest_doc=10_000, whole_doc=3000)
+    short = {r.example_id: r.output for r in training.doc_examples(rows, "Acme", cuts).collect()}
+    assert "huge#0" not in short and len(short["most#0"]) == 3000
     assert examples["heads#1"].input == "How do I use x?"
     assert examples["heads#1"].output == f"Using x\n{body}\n#### deep"
-    assert len(examples["most#0"].output) == 3000
+    assert len(examples["most#0"].output) == 10_000
 
 
 def test_split_is_exact_and_repeatable(spark):
