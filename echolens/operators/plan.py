@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def evaluated_once(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
@@ -17,15 +17,21 @@ def evaluated_once(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
     return rows.select(*kept, F.inline(F.array(made)))
 
 
-def materialised(rows: DataFrame) -> DataFrame:
-    """Rows computed once and stored in the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster.
 
     Only a local session may leave ``spark.checkpoint.dir`` unset; a cluster would lose the rows with a node.
     """
-    context = rows.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialised(rows: DataFrame) -> DataFrame:
+    """Rows computed once and stored in the shared folder."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

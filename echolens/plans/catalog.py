@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.functions import scoring, text
-from echolens.operators import adhoc, enrich, filters, metrics, replies, retrieval, tables, training, triage
+from echolens.operators import adhoc, enrich, filters, ingestion, metrics, replies, retrieval, tables, training, triage
 from echolens.operators import vectors as V
-from echolens.operators.plan import materialised
+from echolens.operators.plan import materialised, shared_folder
 from echolens.plans import inputs as I
 from echolens.plans.inputs import AS_OF, BRAND
-from echolens.sources import docs, github, hackernews, landing, reddit
+from echolens.sources import docs, github, hackernews, landing, reddit, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -175,6 +176,25 @@ def new_message_count(spark: SparkSession, folder: str) -> DataFrame:
     return tables.new_messages(stored, I.refetched(everything)).agg(F.count("*").alias("new_messages"))
 
 
+@_query
+def ingest_state_after(spark: SparkSession, folder: str) -> DataFrame:
+    """The state once the landed issues have been ingested."""
+    state, stored = I.ingestion_state(spark, folder), I.messages(spark, folder, text=False)
+    landed = landing.parse_landed(I.github_issues(spark, folder), "github_issues")
+    normalise = lambda raw: github.issues(raw, AS_OF)
+    fresh = ingestion.fresh_messages(stored, state, landed, "github", normalise)
+    return ingestion.state_after(state, fresh, "github", AS_OF)
+
+
+@_query
+def saved_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Chat examples written as JSON lines, read back and counted."""
+    chat = training.chat_examples(_examples(spark, folder), training.instruction(PRODUCT))
+    path = f"{shared_folder(spark)}/chat-{uuid.uuid4().hex}"
+    snapshots.write_jsonl(chat.select("messages"), path)
+    return snapshots.jsonl_lines(spark, path).agg(F.count("*").alias("lines"))
+
+
 @_query
 def landed_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return landing.rejects(I.damaged_lines(spark, folder), "github_issues")

@@ -538,6 +538,11 @@ _BODIES = {
     "insert_if_absent": _REFETCHED + """select * from kept union all
         select * replace (coalesce(topics, '[]') as topics) from fresh""",
     "new_message_count": _REFETCHED + "select count(*) as new_messages from fresh",
+    "ingest_state_after": f"""select * from state where source <> 'github' union all
+        select 'github', {_NOW}, arg_max(id, row(made_at, id)), {_NULL}, concat('{{"inserted":', count(*), '}}')
+        from (select {_REPO}, '_issue_', event_id) as id, {_SECOND} as made_at from e where event_id % 13 <> 0)
+        where made_at >= (select last_fetched_at from state where source = 'github')""",
+    "saved_lines": _EXAMPLES + "select count(*) as lines from examples",
     "landed_rejects": """select concat('{"number": ', event_id) as value from events where event_id % 10 = 0""",
     "replace_by_key": f"""select * from state where source <> 'github' union all
         select source, max(created_at), {_NULL}, 'next', '{{}}' from messages

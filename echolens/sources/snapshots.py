@@ -52,11 +52,14 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, schema: T.StructType, version: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, version: int | None = None, since: int | None = None
 ) -> DataFrame:
-    """The table as of the given or newest version; an empty table where there is none."""
+    """The table as of the given or newest version; an empty table where there is none.
+
+    ``since`` names the first version to read: only what it and later ones added.
+    """
     versions = [v for v in _versions(spark, path) if version is None or v[0] <= version]
-    whole = max((number for number, added in versions if not added), default=0)
+    whole = max((number for number, added in versions if not added), default=0) if since is None else since
     folders = [_folder(path, *v) for v in versions if v[0] >= whole]
     if not folders:
         return spark.createDataFrame([], schema)
@@ -90,6 +93,11 @@ def write_snapshot(
     return version
 
 
+def compact(spark: SparkSession, path: str, schema: T.StructType, partition_by: str | None = None) -> int:
+    """One whole version instead of many that added rows; returns its number."""
+    return write_snapshot(read_snapshot(spark, path, schema), path, partition_by)
+
+
 def write_messages(messages: DataFrame, path: str, added: bool = False) -> int:
     return write_snapshot(messages, path, partition_by="source", sort_by="created_at", added=added)
 
@@ -101,6 +109,8 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 def count_jsonl(spark: SparkSession, path: str) -> int:
     """Lines that are not blank; 0 where there is no such file."""
-    if not exists(spark, path):
-        return 0
-    return spark.read.text(path).where(strip(F.col("value")) != "").count()
+    return jsonl_lines(spark, path).count() if exists(spark, path) else 0
+
+
+def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where(strip(F.col("value")) != "")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from echolens.operators.ingestion import state_after
 from echolens.operators.tables import new_messages
-from echolens.schemas import MESSAGES
-from echolens.sources.landing import LANDED
-from echolens.sources.snapshots import read_snapshot, write_messages
+from echolens.schemas import INGESTION_STATE, MESSAGES
+from echolens.sources.landing import ATOM_ENTRY, LANDED
+from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
+
+ATOM = "atom"
 
 
 def ingest(
@@ -20,17 +24,32 @@ def ingest(
     normalise: Callable[[DataFrame], DataFrame],
     messages_path: str,
     checkpoint_path: str,
+    source: str | None = None,
+    state_path: str | None = None,
 ) -> StreamingQuery:
     """Insert the messages of every landed file not seen yet, then stop. Run it on a timer.
 
+    ``kind`` is one of the landed JSON kinds or ``ATOM``. With ``source`` only its part of the table is read to find
+    what is stored, and with ``state_path`` its row of the ingestion state moves with each batch.
+
     The stream's checkpoint remembers the files. A batch repeated after a failure changes nothing:
     stored messages win over it. Only new rows are written. The table must have no other writer meanwhile.
     """
-    landed = spark.readStream.schema(LANDED[kind]).json(landing_path)
+    if kind == ATOM:
+        reader = spark.readStream.format("xml").option("rowTag", "entry")
+        landed = reader.schema(ATOM_ENTRY + ", subreddit STRING").load(landing_path)
+    else:
+        landed = spark.readStream.schema(LANDED[kind]).json(landing_path)
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        stored = read_snapshot(batch.sparkSession, messages_path, MESSAGES)
-        write_messages(new_messages(stored, normalise(batch)), messages_path, added=True)
+        session = batch.sparkSession
+        stored = read_snapshot(session, messages_path, MESSAGES)
+        stored = stored.where(F.col("source") == source) if source else stored
+        version = write_messages(new_messages(stored, normalise(batch)), messages_path, added=True)
+        if source and state_path:
+            inserted = read_snapshot(session, messages_path, MESSAGES, version, since=version)
+            state = read_snapshot(session, state_path, INGESTION_STATE)
+            write_snapshot(state_after(state, inserted, source), state_path)
 
     return (
         landed.writeStream.foreachBatch(insert)

@@ -5,9 +5,10 @@ import json
 import pytest
 
 from echolens.operators import adhoc
-from echolens.schemas import MESSAGES
-from echolens.sources import github
-from echolens.sources.snapshots import latest_version, read_snapshot
+from echolens.operators.ingestion import run_ingestion
+from echolens.schemas import INGESTION_STATE, MESSAGES
+from echolens.sources import github, landing
+from echolens.sources.snapshots import compact, latest_version, read_snapshot
 from echolens.streaming.ingest import ingest
 
 from conftest import START
@@ -76,6 +77,19 @@ def test_describe_tables(spark, make_messages):
     assert [r.column_name for r in sorted(found, key=lambda r: r.position)] == MESSAGES.names
 
 
+def test_ingestion_run_moves_the_state_and_adds_nothing_twice(spark, tmp_path):
+    messages, state = str(tmp_path / "messages"), str(tmp_path / "state")
+    lines = [json.dumps({"owner": "o", "repo": "r", "number": n, "title": "t", "created_at": f"2024-01-0{n}T00:00:00Z"}) for n in (1, 2)]
+    raw = landing.parse_landed(spark.createDataFrame([(line,) for line in [*lines, "broken"]], "value string"), "github_issues")
+    run = lambda: run_ingestion(spark, "github", raw, github.issues, messages, state, START)
+    assert run() == 2 and run() == 0
+    row = read_snapshot(spark, state, INGESTION_STATE).first()
+    assert (row.source, row.last_fetched_at, row.metadata) == ("github", START, '{"inserted":0}')
+    assert read_snapshot(spark, messages, MESSAGES).count() == 2
+    compact(spark, messages, MESSAGES, "source")
+    assert read_snapshot(spark, messages, MESSAGES).count() == 2
+
+
 def test_stream_inserts_only_new_files(spark, tmp_path):
     landing, table, checkpoint = (tmp_path / name for name in ("landing", "messages", "checkpoint"))
     landing.mkdir()
