@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from echolens.llm.common import cut
 
 
+#: Edges that one task stores.
+EDGES_PER_TASK = 200_000
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """For each ``a``, the smallest of it and its partners ``b``."""
     return edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
@@ -34,9 +38,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     edges = cut(links.where("a <> b").select(high.alias("a"), low.alias("b")).distinct())
-    before = None
+    parts = max(-(-edges.count() // EDGES_PER_TASK), 1)  # rounds never add edges
+    edges, before = edges.coalesce(parts), None
     while True:
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        edges = cut(_small_star(_large_star(edges)).distinct().coalesce(parts))
         hashes = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         now = tuple(edges.agg(F.count("*"), hashes).first())
         if now == before:

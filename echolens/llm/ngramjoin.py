@@ -8,7 +8,7 @@ on the sets.
 The space of points is dealt to the tasks without losing a pair. Documents are dealt by size into classes; two that
 link differ in few n-grams for the sizes of their class, so when the groups are cut into somewhat more runs than that, at
 least one run has equal counts, down to the finest groups, in both. A cell is a class, a run and its counts. A cell's
-members get links to one of them first, and those links, verified, form components. Where a cell still holds several
+members are verified with a few of them first, and the links found form components. Where a cell still holds several
 components, its members are packed into an R-tree, and boxes and then points of different components are compared.
 Large cells are cut into blocks that meet pairwise. Nothing is capped, so no link between different components is
 lost; pairs within a component are not written.
@@ -41,8 +41,10 @@ CLASS_RATIO = 1.5
 BLOCK, PAGE = 512, 16
 #: Tables of ids up to this size are broadcast, larger ones are joined by shuffle: 50 MB or so.
 BROADCAST_ROWS = 2_000_000
-#: Rounds in which the members of a cell meet one of them, another each time.
-ROUNDS = 3
+#: Pairs that one task stores.
+ROWS_PER_TASK = 50_000
+#: Members of a cell that all others are verified with first.
+PIVOTS = 3
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -223,63 +225,53 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def shared_cells(rows: DataFrame) -> DataFrame:
-    """``cell``, ``node`` and ``pivot`` of the cells that more than one node may be in.
+    """``cell`` and ``node`` of the cells that more than one node may be in.
 
     Ranges over cell and node deal the rows to the tasks, so that a cell of any size is spread over tasks and read as a
-    stream. The pivot is the first node of the cell in its task; a cell that ends where its task ends, or begins where
-    it begins, is kept with one node also, and flagged as ``edge``.
+    stream. The cells that a task begins and ends with are kept even if it sees one node of them.
     """
     ordered = rows.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node")
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_cell = last_node = pivot = None
-        first_cell, alone = None, False  # alone: the pivot's own row is still unwritten
+        first_cell = last_cell = last_node = None
+        alone = False  # the last row is the first of its cell, and unwritten
         for batch in batches:
             cells, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             if not len(cells):
                 continue
-            if first_cell is None:
-                first_cell = cells[0]
+            first_cell = cells[0] if first_cell is None else first_cell
             new = np.r_[last_cell is None or cells[0] != last_cell, cells[1:] != cells[:-1]]
             other = new | np.r_[last_node is None or nodes[0] != last_node, nodes[1:] != nodes[:-1]]
             cells, nodes, new = cells[other], nodes[other], new[other]  # copies fall out
             if not len(cells):
                 continue
-            begin = np.flatnonzero(new)
-            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            pivots = nodes[np.maximum(start, 0)]
-            if not new[0]:
-                pivots[start < 0] = pivot
-            follows = ~new
-            has_more = np.zeros(len(new), bool)  # starts of a cell with a second node here
-            has_more[begin] = np.r_[follows[1:], False][begin]
-            write = follows | has_more | (new & (cells == first_cell))
-            out = [cells[write], nodes[write], pivots[write]]
-            if follows[0] and alone:
-                out = [np.r_[a, b] for a, b in zip(([last_cell], [pivot], [pivot]), out)]
-            yield _cells_batch(*out, out[0] == first_cell)
-            alone = bool(new[-1] and not write[-1]) or (alone and not len(begin) and not follows[0])
-            last_cell, last_node, pivot = cells[-1], nodes[-1], pivots[-1]
-        if last_cell is not None:
-            yield _cells_batch(*(np.array([x], np.int64) for x in (last_cell, pivot, pivot)), np.array([True]))
-
-    return ordered.mapInArrow(streamed, "cell long, node long, pivot long, edge boolean")
-
-
-def _cells_batch(cells: np.ndarray, nodes: np.ndarray, pivots: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(np.asarray(x, np.int64)) for x in (cells, nodes, pivots)] + [pa.array(np.asarray(edge, bool))]
-    return pa.RecordBatch.from_arrays(arrays, ["cell", "node", "pivot", "edge"])
+            write = ~new | np.r_[~new[1:], False] | (cells == first_cell)
+            out = [cells[write], nodes[write]]
+            if alone and not new[0]:
+                out = [np.r_[last_cell, out[0]], np.r_[last_node, out[1]]]
+            yield _batch(*out)
+            alone, last_cell, last_node = not write[-1], cells[-1], nodes[-1]
+        if alone:
+            yield _batch([last_cell], [last_node])
 
+    return ordered.mapInArrow(streamed, "cell long, node long")
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
+
+def _batch(cells: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (cells, nodes)], ["cell", "node"])
+
+
+def different_cells(rows: DataFrame) -> DataFrame:
+    """``cell``, ``node`` and the cell's ``size``, of cells with several nodes; of cells with the same nodes, one."""
+    rows = rows.distinct()
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark{seed}") for seed in (0, 1)]
+    cells = rows.groupBy("cell").agg(F.count("*").alias("size"), *marks).where("size > 1")
+    cells = cells.groupBy("size", "mark0", "mark1").agg(F.min("cell").alias("cell")).select("cell", "size")
+    return rows.join(cells, "cell")
 
 
-def _first_pairs(live: DataFrame) -> DataFrame:
-    """Members with the pivot of their cell; pivots of the tasks that share a cell with the first of them."""
-    ends = live.where("edge").select("cell", "pivot").distinct()
-    first = ends.groupBy("cell").agg(F.min("pivot").alias("node"))
-    return _pairs(live.select("node", "pivot").union(ends.join(first, "cell").select("node", "pivot")), "node", "pivot")
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
 class Join:
@@ -298,6 +290,11 @@ class Join:
         """Bounded ids are broadcast so that the wide side need not move."""
         return F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
 
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        """Rows computed once, in as few partitions as hold them."""
+        rows = cut(rows)
+        return rows.coalesce(max(-(-rows.count() // ROWS_PER_TASK), 1))
+
     def cells(self) -> DataFrame:
         """Rows (cell, node) of one document for each node."""
         copied = cut(self.nodes.where("copies > 1").select(F.col("node").alias("of"), "doc"))
@@ -333,12 +330,11 @@ class Join:
         """Adds the linked ones of the pairs that were not tried before: by the bound first, by the sets then."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = self._gathered(pairs)
         ends = lambda rows: rows.select(F.col("a").alias("node")).union(rows.select(F.col("b").alias("node"))).distinct()
-        points = cut(self._points(cut(ends(pairs))))
-        near = _both_ends(pairs, points, ["n", "counts"])
+        near = _both_ends(pairs, cut(self._points(cut(ends(pairs)))), ["n", "counts"])
         near = near.where(_bound(self.rule)("a_n", "a_counts", "b_n", "b_counts")).select("a", "b")
-        near = cut(near)
+        near = self._gathered(near)
         sets = stored(self._sets(cut(ends(near))), "ngram-sets")
         both = _both_ends(near, sets, ["hashes"])
         linked = cut(both.where(_linked(self.rule)("a_hashes", "b_hashes")).select("a", "b"))
@@ -348,10 +344,9 @@ class Join:
     def roots(self) -> DataFrame:
         return cut(components(self.links))
 
-    def open_cells(self, live: DataFrame, roots: DataFrame) -> DataFrame:
+    def open_cells(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Members, with their roots, of cells that hold more than one component."""
-        rows = live.select("cell", "node").distinct().join(roots, "node", "left")
-        rows = rows.withColumn("root", F.coalesce("root", "node"))
+        rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         return cut(rows.join(mixed.select("cell"), "cell"))
 
@@ -359,8 +354,7 @@ class Join:
         """Pairs of different components of a cell that pass the bound, by R-trees over blocks of bounded size."""
         points = self._points(cut(rows.select("node").distinct()))
         rows = rows.join(points, "node")
-        sizes = rows.groupBy("cell").agg(F.count("*").alias("size"))
-        rows = rows.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         groups = max(-(-rows.where("blocks = 1").count() // BLOCK), 1)
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
@@ -468,20 +462,15 @@ def _tree_join(group: pd.DataFrame, rule: Rule) -> pd.DataFrame:
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, its own included."""
     state = Join(docs, rule)
-    live = stored(shared_cells(state.cells()), "ngram-cells")
-    state.verify(_first_pairs(live))
+    cells = cut(different_cells(stored(shared_cells(state.cells()), "ngram-cells")))
+    orders = [F.min_by("node", F.xxhash64("node", F.lit(seed))) for seed in range(PIVOTS)]
+    pivots = cells.groupBy("cell").agg(F.array_distinct(F.array(*orders)).alias("pivots"))
+    met = cells.join(pivots, "cell").select("node", F.explode("pivots").alias("pivot"))
+    state.verify(_pairs(met, "node", "pivot"))
     roots = state.roots()
-    cells = state.open_cells(live, roots)
-    for turn in range(1, ROUNDS):
-        if cells.isEmpty():
-            break
-        pivot = F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot")
-        pivots = cells.groupBy("cell").agg(pivot, F.min_by("root", F.xxhash64("node", F.lit(turn))).alias("pivot_root"))
-        state.verify(_pairs(cells.join(pivots, "cell").where("root <> pivot_root"), "node", "pivot"))
-        roots = state.roots()
-        cells = state.open_cells(cells, roots)
-    if not cells.isEmpty():
-        state.verify(state.tree_pairs(cells))
+    open_ = state.open_cells(cells.where(F.col("size") > 2), roots)
+    if not open_.isEmpty():
+        state.verify(state.tree_pairs(open_))
         roots = state.roots()
     named = state.nodes.join(roots, "node").groupBy("root").agg(F.min("doc").alias("component"))
     of_node = roots.join(named, "root").select(F.col("node").alias("of"), "component")
