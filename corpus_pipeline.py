@@ -40,8 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix repeats it."""
-    return mixing.repeated(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
+    """Each document as often as the mix repeats it; ``n_chars`` follows a text that is repeated in part."""
+    rows = mixing.repeated(mixing.mix(docs.select(*COLUMNS)))
+    length = F.length("text").cast("long")
+    return rows.withColumn("n_chars", F.when(length < F.col("n_chars"), length).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
