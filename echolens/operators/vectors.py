@@ -95,6 +95,29 @@ def assign_cells(vectors: DataFrame, cells: int = 256, seed: int = 42, max_iter:
     return model.transform(unit).drop("_unit"), np.array(model.clusterCenters())
 
 
+def mean_centres(vectors: DataFrame, group: str) -> np.ndarray:
+    """The mean unit vector of every group, in the groups' order: one row per group reaches the driver."""
+    parts = vectors.where(F.col("vector").isNotNull()).select(group, F.posexplode(_unit(F.col("vector"))))
+    rows = parts.groupBy(group, "pos").agg(F.avg("col").alias("mean")).orderBy(group, "pos").collect()
+    names = list(dict.fromkeys(row[group] for row in rows))
+    return np.array([[row["mean"] for row in rows if row[group] == name] for name in names])
+
+
+def to_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Vectors with the ``cell`` of the nearest of given centres; what is stored by cell can be searched by cell."""
+
+    @F.pandas_udf("int")
+    def nearest(batch: pd.Series) -> pd.Series:
+        unit = _normalised(np.stack(batch.to_numpy()).astype(float)) if len(batch) else np.zeros((0, centres.shape[1]))
+        return pd.Series(_gaps(unit, centres).argmin(axis=1).astype("int32"))
+
+    return vectors.where(F.col("vector").isNotNull()).withColumn("cell", nearest(F.col("vector")))
+
+
+def _gaps(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (unit**2).sum(1)[:, None] - 2 * unit @ centres.T + (centres**2).sum(1)
+
+
 def search_cells(
     queries: DataFrame,
     vectors: DataFrame,
@@ -126,8 +149,7 @@ def _probed_cells(queries: DataFrame, centres: np.ndarray, probes: int) -> DataF
         for batch in batches:
             if len(batch):
                 unit = _normalised(np.stack(batch["vector"].to_numpy()).astype(float))
-                gaps = (unit**2).sum(1)[:, None] - 2 * unit @ centres.T + (centres**2).sum(1)
-                cells = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
+                cells = np.argsort(_gaps(unit, centres), axis=1, kind="stable")[:, :probes]
                 yield batch.assign(cell=list(cells.astype("int32"))).explode("cell").astype({"cell": "int32"})
 
     rows = queries.select("query_id", "vector").where(F.col("vector").isNotNull())

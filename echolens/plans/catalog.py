@@ -373,6 +373,15 @@ def ann_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(V.search_cells(I.vector_queries(spark, folder), stored, centres, probes=4))
 
 
+@_query
+def cell_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Search in the four nearest cells of given centres, the mean vectors of the labels."""
+    labelled = I.table(spark, folder, "embeddings").select("label", F.col("embedding").alias("vector"))
+    centres = V.mean_centres(labelled, "label")
+    stored = V.to_cells(I.vectors(spark, folder), centres)
+    return _rounded(V.search_cells(I.vector_queries(spark, folder), stored, centres, probes=4))
+
+
 @_query
 def upsert_vectors(spark: SparkSession, folder: str) -> DataFrame:
     stored = I.vectors(spark, folder)

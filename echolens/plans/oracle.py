@@ -264,6 +264,7 @@ _LETTERS = ", ".join(
 _LETTER_VECTOR = "[" + ", ".join(
     f"cast(length({{text}}) - length(replace({{text}}, '{c}', '')) as double)" for c in EMBEDDED_LETTERS
 ) + "]"
+_UNIT = "list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
 
 _QUESTION_WORDS = ("how", "why", "what", "when", "where", "can i", "is it possible")
 _QA = f"""
@@ -692,6 +693,22 @@ _BODIES = {
         5, _L2, "s.source = 'github' and s.created_at >= timestamp '2024-01-10'"
     ).format(distance="distance * distance"),
     "cosine_topk": _nearest(10, "1.0 - list_cosine_similarity(q.vector, s.vector)").format(distance="distance"),
+    "cell_topk": f""", units as (
+          select label, {_UNIT.format(v="cast(embedding as double[])")} as u from embeddings),
+        means as (select label, i, avg(u[i]) as m from units, (select unnest(range(1, 65)) as i) group by all),
+        centres as (select label, list(m order by i) as c from means group by label),
+        celled as (
+          select id, vector, arg_min(label, list_distance(u, c)) as cell
+          from (select id, vector, {_UNIT.format(v="vector")} as u from stored), centres group by id, vector),
+        probed as (
+          select query_id, vector, label from (select query_id, vector, {_UNIT.format(v="vector")} as u from queries), centres
+          qualify row_number() over (partition by query_id order by list_distance(u, c), label) <= 4),
+        pairs as (
+          select query_id, id, 1.0 - list_cosine_similarity(p.vector, s.vector) as distance
+          from probed p join celled s on s.cell = p.label),
+        ranked as (
+          select *, row_number() over (partition by query_id order by distance, id) as rank from pairs qualify rank <= 10)
+        select query_id, cast(rank as int) as rank, id, round(distance, 6) + 0.0 as distance from ranked""",
     "upsert_vectors": """select id, text, source, created_at, cast(vector[1] as float) as first from stored
         where source not in ('docs', 'blog') union all
         select id, text, 'slack', created_at + interval 1 day, cast(vector[len(vector)] as float) from stored
