@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 
 from echolens.functions.clock import Clock
 from echolens.functions.text import strip, truncate
-from echolens.operators import metrics, tables, vectors
+from echolens.operators import tables, vectors
+from echolens.operators.analysed import ANALYSIS, analysis_path, append_analysis, read_messages, refresh_days
 from echolens.operators.plan import evaluated_once, materialised
-from echolens.schemas import CHAT, CONTENT_TYPES, EMOTIONS, LABELS, MESSAGES, SENTIMENTS, TOPICS, VECTORS
-from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
+from echolens.schemas import CHAT, CONTENT_TYPES, EMOTIONS, LABELS, SENTIMENTS, TOPICS, VECTORS
+from echolens.sources.snapshots import read_snapshot, write_snapshot
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Classifier = Callable[[list[list[dict[str, str]]]], list[str]]
@@ -185,27 +186,21 @@ def run_embedding_job(
     limit: int | None = None,
     as_of: Clock = None,
 ) -> int:
-    """Embed the queue, write the vectors, then mark the messages. Returns the embedded rows.
+    """Embed the queue, add the vectors, then mark the messages. Returns the marked rows.
 
-    The vectors are a complete table version before any message is marked, and the marks come from
-    that version: work lost in between is queued again.
+    What is written grows with the queue, not with the tables. The vectors are a complete version before any message
+    is marked; a run lost in between is made up by the next, which marks what has a vector without embedding it again.
     """
-    messages = read_snapshot(spark, messages_path, MESSAGES)
-    stored = read_snapshot(spark, vectors_path, VECTORS)
-    queue = tables.embedding_queue(messages, limit)
-    # The model runs once, into a table of its own; everything after reads that table.
-    batches_path = vectors_path.rstrip("/") + "-batches"
-    made = write_snapshot(vector_records(queue, load_embedder), batches_path)
-    batch = read_snapshot(spark, batches_path, VECTORS, made)
-    version = write_snapshot(
-        vectors.upsert_vectors(stored, batch), vectors_path, partition_by="source", sort_by="id"
+    queue = tables.embedding_queue(read_messages(spark, messages_path), limit)
+    known = read_snapshot(spark, vectors_path, VECTORS).select("id")
+    write_snapshot(
+        vector_records(queue.join(known, "id", "left_anti"), load_embedder), vectors_path,
+        partition_by="source", sort_by="id", added=True,
     )
-    written = read_snapshot(spark, vectors_path, VECTORS, version).select("id")
+    written = read_snapshot(spark, vectors_path, VECTORS).select("id")
     marks = queue.select("id").join(written, "id", "left_semi").withColumn("embedding_id", F.col("id"))
-    processed = marks.count()
-    if processed:
-        write_messages(tables.update_analysis(messages, marks, as_of=as_of), messages_path)
-    return processed
+    version = append_analysis(marks, messages_path, as_of)
+    return read_snapshot(spark, analysis_path(messages_path), ANALYSIS, version, since=version).count()
 
 
 def run_sentiment_job(
@@ -218,20 +213,20 @@ def run_sentiment_job(
     limit: int | None = None,
     as_of: Clock = None,
 ) -> int:
-    """Label the queue, update the messages and refresh the daily rollup. Returns the queued rows.
+    """Label the queue, add the labels and refresh the days they touch. Returns the queued rows.
 
-    Responses are written before they are used, so a lost executor never asks the model twice for
-    labels that then differ.
+    The answers are written once, below ``labels_path``, before they are used, so a lost executor never asks the model
+    twice for labels that then differ. A message whose answer failed stays in the queue.
     """
-    messages = read_snapshot(spark, messages_path, MESSAGES)
-    queue = tables.sentiment_queue(messages, limit)
+    queue = tables.sentiment_queue(read_messages(spark, messages_path), limit)
+    processed = queue.count()
+    if not processed:
+        return 0
     prompts = sentiment_prompts(queue, taxonomy_text(product))
     answers = parse_responses(classify(prompts, load_classifier, ON_ERROR_SKIP))
-    version = write_snapshot(answers, labels_path)
-    labels = read_snapshot(spark, labels_path, answers.schema, version)
-    processed = queue.count()
-    if processed:
-        updated = write_messages(tables.update_analysis(messages, labels, as_of=as_of), messages_path)
-        current = read_snapshot(spark, messages_path, MESSAGES, updated)
-        write_snapshot(metrics.daily_metrics(current), metrics_path)
+    version = write_snapshot(answers, labels_path, added=True)
+    labels = read_snapshot(spark, labels_path, answers.schema, version, since=version)
+    append_analysis(labels, messages_path, as_of)
+    current = read_messages(spark, messages_path)
+    refresh_days(spark, current, current.join(labels.select("id"), "id", "left_semi"), metrics_path)
     return processed

@@ -71,13 +71,18 @@ def update_ingestion_state(state: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def update_analysis(
-    messages: DataFrame, delta: DataFrame, order_by: str | None = None, as_of: Clock = None
+    messages: DataFrame,
+    delta: DataFrame,
+    order_by: str | None = None,
+    as_of: Clock = None,
+    stamp: str | None = None,
 ) -> DataFrame:
     """Set the labels, topics and embedding pointer that ``delta`` gives; NULL keeps the old value.
 
     ``delta`` has ``id`` and any of the label columns, ``topics`` (array) and ``embedding_id``. An empty
     topics array does overwrite. ``processed_at`` moves only where a label or topic was given. Ids not
     stored are ignored. Later rows by ``order_by`` win per field; without it, the first rows by a hash of the row.
+    ``stamp`` names the column of ``delta`` that says when a row was made; without it, that is now.
     """
     fields = [name for name in (*_LABELS, "topics", "embedding_id") if name in delta.columns]
     analysed = F.lit(False)
@@ -86,7 +91,8 @@ def update_analysis(
             analysed = analysed | is_filled(F.col(name))
         elif name == "topics":
             analysed = analysed | F.coalesce(F.size("topics") > 0, F.lit(False))
-    delta = delta.withColumn("_analysed", analysed)
+    made = F.col(stamp) if stamp else now(as_of)
+    delta = delta.withColumns({"_analysed": analysed, "_made": F.when(analysed, made)})
     if order_by is None:
         delta = first_per_key(delta, "id")
     else:
@@ -94,9 +100,9 @@ def update_analysis(
             F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order_by))).alias(name)
             for name in fields
         ]
-        delta = delta.groupBy("id").agg(*last, F.max("_analysed").alias("_analysed"))
+        delta = delta.groupBy("id").agg(*last, F.max("_analysed").alias("_analysed"), F.max("_made").alias("_made"))
     given = {name: f"_new_{name}" for name in fields}
-    delta = delta.select("id", "_analysed", *[F.col(name).alias(new) for name, new in given.items()])
+    delta = delta.select("id", "_analysed", "_made", *[F.col(name).alias(new) for name, new in given.items()])
     touched = F.col("_analysed").isNotNull()
     changed: dict[str, Column] = {
         name: F.coalesce(new, name) for name, new in given.items() if name != "topics"
@@ -104,7 +110,7 @@ def update_analysis(
     topics = F.to_json("_new_topics") if "topics" in given else F.lit(None).cast("string")
     changed["topics"] = F.when(touched, F.coalesce(topics, "topics", F.lit("[]"))).otherwise(F.col("topics"))
     changed["metadata"] = F.when(touched, F.coalesce("metadata", F.lit("{}"))).otherwise(F.col("metadata"))
-    changed["processed_at"] = F.when(F.col("_analysed"), now(as_of)).otherwise(F.col("processed_at"))
+    changed["processed_at"] = F.when(F.col("_analysed"), F.col("_made")).otherwise(F.col("processed_at"))
     joined = messages.join(delta, "id", "left")
     return joined.select(*[changed.get(name, F.col(name)).alias(name) for name in messages.columns])
 

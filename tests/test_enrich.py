@@ -1,13 +1,15 @@
 """Model hooks, response parsing and the two jobs."""
 
 import sys
+from datetime import timedelta
 
 from pyspark import cloudpickle
 
 from echolens.operators import enrich, metrics, retrieval, vectors
 from echolens.plans.inputs import load_letter_embedder
 from echolens.schemas import MESSAGES, VECTORS
-from echolens.sources.snapshots import read_snapshot, write_messages
+from echolens.operators.analysed import ANALYSIS, analysis_path, fold, read_messages
+from echolens.sources.snapshots import latest_version, read_snapshot, write_messages, write_snapshot
 
 from conftest import START
 
@@ -66,9 +68,23 @@ def test_embedding_job(spark, make_messages, tmp_path):
     assert enrich.run_embedding_job(spark, messages, stored, load_letter_embedder, 3, START) == 0
     table = read_snapshot(spark, stored, VECTORS)
     assert {r.id: r.vector[0] for r in table.collect()} == {f"m{i}": float(i) for i in range(5)}
-    marked = read_snapshot(spark, messages, MESSAGES)
+    marked = read_messages(spark, messages)
     assert marked.where("embedding_id = id").count() == 6
     assert marked.where("processed_at is not null").count() == 0
+    assert latest_version(spark, messages) == 1  # the table itself was not written again
+    assert read_snapshot(spark, analysis_path(messages), ANALYSIS).count() == 5
+    before = marked.collect()
+    fold(spark, messages)
+    assert sorted(read_snapshot(spark, messages, MESSAGES).collect()) == sorted(read_messages(spark, messages).collect()) == sorted(before)
+
+
+def test_a_lost_embedding_run_is_made_up(spark, make_messages, tmp_path):
+    messages, stored = str(tmp_path / "messages"), str(tmp_path / "vectors")
+    rows = make_messages({"id": "a", "content": "ae"}, {"id": "b", "content": "e"})
+    write_messages(rows, messages)
+    write_snapshot(enrich.vector_records(rows.where("id = 'a'"), load_letter_embedder), stored, partition_by="source", added=True)
+    assert enrich.run_embedding_job(spark, messages, stored, load_letter_embedder, as_of=START) == 2
+    assert sorted(r.id for r in read_snapshot(spark, stored, VECTORS).collect()) == ["a", "b"]
 
 
 def test_sentiment_job(spark, make_messages, tmp_path):
@@ -78,11 +94,17 @@ def test_sentiment_job(spark, make_messages, tmp_path):
     )
     write_messages(rows, paths[0])
     assert enrich.run_sentiment_job(spark, *paths, _load_failing, "Acme", as_of=START) == 2
-    found = {r.id: r for r in read_snapshot(spark, paths[0], MESSAGES).collect()}
+    found = {r.id: r for r in read_messages(spark, paths[0]).collect()}
     assert (found["a"].sentiment_simple, found["a"].topics, found["a"].processed_at) == ("negative", '["pricing"]', START)
     assert found["b"].sentiment_simple is None and found["c"].sentiment_simple is None
     rollup = read_snapshot(spark, paths[2], metrics.daily_metrics(rows).schema).collect()
     assert [(r.source, r.total_messages, r.negative_count) for r in rollup] == [("github", 1, 1)]
+    later = make_messages({"id": "e", "created_at": START + timedelta(days=1)})
+    write_messages(later, paths[0], added=True)
+    assert enrich.run_sentiment_job(spark, *paths, _load_failing, "Acme", as_of=START) == 2  # the failed one and the new one
+    rollup = read_snapshot(spark, paths[2], metrics.daily_metrics(rows).schema)
+    assert sorted(rollup.collect()) == sorted(metrics.daily_metrics(read_messages(spark, paths[0])).collect())
+    assert latest_version(spark, paths[0]) == 2
 
 
 def test_search_text_and_context(spark, make_messages):
