@@ -17,8 +17,10 @@ FORBIDDEN_FUNCTIONS = ("java_method", "reflect", "try_reflect")
 # Lines of the parser's tree: relations, functions, and nodes of statements that do more than read.
 _RELATIONS = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 _FUNCTIONS = re.compile(r"'(?:\w+\.)*(\w+)\(")
-_STATEMENTS = re.compile(r"(?m)^[\s:+|-]*'?\w*(?:Statement|Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Script|Table[VF])")
-_WITH_NAMES = re.compile(r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)`?(\w+)`?\s*(?:\([^)]*\)\s*)?(?:MAX\s+RECURSION\s+LEVEL\s+\d+\s+)?AS\s*\(")
+_STATEMENTS = re.compile(
+    r"(?m)^[\s:+|-]*'?\w*(?:Statement|Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Script|Table[VF])"
+)
+_WITH_NAMES = re.compile(r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)`?(\w+)`?\s*(?:\([^)]*\)\s*)?AS\s*\(")
 
 # The sample queries by group; each takes the messages table.
 SAMPLE_QUERIES = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from echolens.functions.clock import Clock
 from echolens.functions.scoring import topics_array
 from echolens.operators.filters import is_knowledge, is_voice, within_days
-from echolens.schemas import FRICTION_EMOTIONS, SENTIMENTS, SOURCES
+from echolens.schemas import FRICTION_EMOTIONS, SENTIMENTS
 
 
 def _count_rows(name: str = "count") -> Column:
