@@ -4,9 +4,9 @@ Every source has a weight; together the sources share the words of the whole tab
 ``epochs`` times its size, and what it cannot take goes to the others by weight until none is above its cap.
 
 A source with target t and size s repeats every document floor(t / s) times. The words still missing are one more
-repetition of the documents that come first by a seeded hash of their ids; the last of them is repeated in part, so
-that the taken words meet the rounded target. Where that is a group of rows of one id, each row takes its share of the missing words,
-rounded down.
+repetition of the documents that come first by a seeded hash of their ids; the last of them is repeated in part, so that the taken words
+meet the rounded target. Where that is a group of rows of one id, each row takes its share of the missing words, rounded
+down.
 
 Sizes count words, runs of other characters than white space; a null or empty text has none and takes none. A null
 source is a source of its own, the last. A null id hashes like the text "null". Repeated rows are documents of their

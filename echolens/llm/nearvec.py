@@ -7,9 +7,9 @@ in blocks of bounded size, so that groups of near copies larger than any window
 without a pair being written.
 
 Pairs are found if some pass brings them close: recall is a matter of ``passes``, ``window`` and the logarithm of the
-number of vectors, and neighbours that two tasks part are met in another pass. Vectors that are null, empty or zero, or hold null or non-finite
-components, link with nothing, nor do vectors of different lengths. Repeated rows are vectors of their own. An empty
-table gives no rows.
+number of vectors, and neighbours that two tasks part are met in another pass. Vectors that are null, empty or zero, or
+hold null or non-finite components, link with nothing, nor do vectors of different lengths. Repeated rows are vectors of
+their own. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,10 +1,10 @@
 """Quality: a linear support vector machine over n-gram indicators scaled by naive Bayes log-count ratios.
 
 The features of a text are the distinct hashed n-grams of one to four characters, case and punctuation kept, digits
-alike and runs of white space as one blank. Feature f weighs r(f), the logarithm of its share among good texts over its share
-among bad ones; a text's vector is scaled by the root of its number of features. The hinge loss is minimised by dual
-coordinate descent, and the margin becomes a probability by a logistic fit on the same sample, weighted to the classes'
-shares among all labels.
+alike and runs of white space as one blank. Feature f weighs r(f), the logarithm of its share among good texts over its
+share among bad ones; a text's vector is scaled by the root of its number of features. The hinge loss is minimised by
+dual coordinate descent, and the margin becomes a probability by a logistic fit on the same sample, weighted to the
+classes' shares among all labels.
 
 Null and empty texts have no features and get the score of the intercept alone. Repeated rows are scored alike. With
 no labelled text, or one class only, every score is the share of good labels (0.5 without labels).
@@ -26,7 +26,7 @@ LONGEST = 4
 BUCKET_BITS = 18
 #: Bounds of the sample of labelled texts: bad ones and good ones.
 SAMPLE = {0: 2000, 1: 2000}
-_BLANK, _DIGIT = 32, 48
+_DIGIT = 48
 
 
 def indicators(text: str) -> np.ndarray:

@@ -80,6 +80,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     queries = (
-        op1_toxicity, op2_top_products, op3_near_vectors, op4_ngram_join, op5_warc, op6_quality, op7_page_text, op8_packing, op9_mixing, op10_language,
+        op1_toxicity, op2_top_products, op3_near_vectors, op4_ngram_join, op5_warc, op6_quality, op7_page_text,
+        op8_packing, op9_mixing, op10_language,
     )
     return {query.__name__: query for query in queries}
