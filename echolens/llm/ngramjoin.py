@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from echolens.llm.common import CHUNK_CHARS, chunks, cut, stored
 from echolens.llm.components import components
 
-GROUPS = 64
+GROUPS = 256
 #: Sizes of a class: each ends this many times higher than the one before.
 CLASS_RATIO = 1.5
 #: Members of a cell's block, and of an R-tree page.
