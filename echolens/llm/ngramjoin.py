@@ -41,6 +41,9 @@ CLASS_RATIO = 1.5
 BLOCK, PAGE = 512, 16
 #: Tables of ids up to this size are broadcast, larger ones are joined by shuffle: 50 MB or so.
 BROADCAST_ROWS = 2_000_000
+#: Cells of a member that its partners know, so that a pair is written in the first cell they share, not in each.
+FIRST_CELLS = 8
+_FILL = np.iinfo(np.int64).max
 #: Pairs that one task stores.
 ROWS_PER_TASK = 50_000
 #: Members of a cell that all others are verified with first.
@@ -353,7 +356,8 @@ class Join:
     def tree_pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs of different components of a cell that pass the bound, by R-trees over blocks of bounded size."""
         points = self._points(cut(rows.select("node").distinct()))
-        rows = rows.join(points, "node")
+        lists = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("cell")), 1, FIRST_CELLS).alias("first"))
+        rows = rows.join(points, "node").join(lists, "node")
         rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         groups = max(-(-rows.where("blocks = 1").count() // BLOCK), 1)
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -363,7 +367,7 @@ class Join:
             "alone": F.col("blocks") == 1, "unit": F.when(F.col("blocks") == 1, small).otherwise(F.col("cell")),
             "low": F.least("block", "other"), "high": F.greatest("block", "other"),
         })
-        rows = rows.select("alone", "unit", "low", "high", "cell", "block", "node", "root", "n", "counts")
+        rows = rows.select("alone", "unit", "low", "high", "cell", "block", "node", "root", "n", "counts", "first")
         rule = self.rule
         found = rows.groupBy("alone", "unit", "low", "high").applyInPandas(
             lambda group: _tree_join(group, rule), "a long, b long"
@@ -444,17 +448,28 @@ def tree_matches(points: np.ndarray, sizes: np.ndarray, rule: Rule) -> Iterator[
             yield a[kept], b[kept]
 
 
+def _elsewhere(cell: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs that meet in an earlier cell also; a, b: the first cells of each, in order, filled up with the largest number."""
+    same = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a != _FILL)
+    return np.where(same, a, _FILL).min(axis=1, initial=_FILL) < cell
+
+
 def _tree_join(group: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     found = []
     for _, rows in group.groupby("cell", sort=False):
         points = np.frombuffer(b"".join(rows["counts"]), "<u4").reshape(-1, GROUPS)
         sizes, nodes, roots = (rows[name].to_numpy() for name in ("n", "node", "root"))
         blocks, across = rows["block"].to_numpy(), rows["low"].iloc[0] != rows["high"].iloc[0]
+        first = np.full((len(rows), FIRST_CELLS), _FILL)
+        for i, cells in enumerate(rows["first"]):
+            first[i, :len(cells)] = cells
         for a, b in tree_matches(points, sizes, rule):
             apart = roots[a] != roots[b]
             if across:
                 apart &= blocks[a] != blocks[b]
-            low, high = np.minimum(nodes[a], nodes[b])[apart], np.maximum(nodes[a], nodes[b])[apart]
+            a, b = a[apart], b[apart]
+            once = ~_elsewhere(rows["cell"].iloc[0], first[a], first[b])
+            low, high = np.minimum(nodes[a], nodes[b])[once], np.maximum(nodes[a], nodes[b])[once]
             found.append(pd.DataFrame({"a": low, "b": high}))
     return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
