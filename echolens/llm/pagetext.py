@@ -3,9 +3,12 @@
 A page is cut into blocks of text, each with the path of block elements from the root to it. For every path the
 lengths and the punctuation of its blocks are summed and divided by the number of blocks, link texts counting
 nothing. These ratios are smoothed over neighbouring blocks, fused with those of the enclosing container, and blocks
-whose path stays under a share of the page's mean are left out. Before that, elements whose tag, role, class or id
-names navigation, page headers and footers, sidebars, notices, adverts, forms or comments weigh nothing, and so do
-scripts, styles and hidden elements; where the page marks an article or main element, blocks outside it weigh nothing.
+that stay under a share of the page's mean are left out, inside an article or main element as elsewhere. Tags and names
+are weights of the ratios: elements that are hidden or whose tag, role, class or id names navigation, page headers and
+footers, sidebars, notices, adverts, forms or comments weigh little; blocks outside the page's article or main elements
+weigh as much as the share of the text that lies there, and blocks inside them more. Being a form, being hidden, or a
+role, class or id counts nothing for an element that holds most of the page's text, unless an article or main element
+stands beside it. Scripts and styles are no text.
 
 Null and empty pages, and pages without text, give an empty text. Unclosed and misnested tags are closed as
 browsers do for paragraphs, list items and table cells; an unfinished tag at the end is dropped. Repeated rows give
@@ -41,7 +44,7 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
-_CHROME_TAGS = frozenset("nav footer aside form button dialog head menu fieldset".split())
+_CHROME_TAGS = frozenset("nav footer aside button dialog head menu fieldset".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promotions banner nav navbar "
@@ -60,6 +63,11 @@ _CLOSES = {  # a start tag that ends open elements of these tags, up to the near
 _LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 #: Blocks whose fused ratio is under this share of the page's mean are left out.
 THRESHOLD = 0.15
+#: Weight of hidden and named elements, and the least of blocks outside article and main; what a block inside counts in
+#: the comparison with the mean.
+LITTLE, INSIDE = 0.05, 5.0
+#: Share of the page's text from which an element is no form or name; share of its text that an article beside it needs.
+MOST, BESIDE = 0.7, 0.05
 #: What one mark of punctuation counts, in characters.
 MARK_WEIGHT = 8.0
 
@@ -68,7 +76,7 @@ MARK_WEIGHT = 8.0
 class Block:
     path: tuple[str, ...]
     chrome: bool
-    named_chrome: bool
+    named: tuple[int, ...]
     main: bool
     text: str
     linked: int
@@ -78,13 +86,16 @@ class Block:
 class _Open:
     tag: str
     chrome: bool
-    named: bool
+    named: tuple[int, ...]
     main: bool
 
 
 @dataclass
 class _Page:
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False)])
+    """``named`` of an element or block: numbers of the forms, hidden and named elements that hold it."""
+
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, (), False)])
+    names: int = 0
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
@@ -130,10 +141,12 @@ class _Page:
             if tag in _CLOSES:
                 self.close(_CLOSES[tag], _LIMITS.get(tag, ()))
         top = self.stack[-1]
-        named = _named_chrome(tag, attrs, top.main)
+        named = top.named
+        if tag == "form" or _named_chrome(tag, attrs, top.main):
+            named, self.names = (*named, self.names), self.names + 1
         chrome = tag in _CHROME_TAGS or (tag == "header" and not top.main)
         self.links += tag == "a"
-        self.stack.append(_Open(tag, top.chrome or chrome, top.named or named, top.main or tag in _MAIN_TAGS))
+        self.stack.append(_Open(tag, top.chrome or chrome, named, top.main or tag in _MAIN_TAGS))
         if not top.main and 'main' in attrs and _attribute(attrs, "role") == "main":
             self.stack[-1].main = True
 
@@ -200,50 +213,63 @@ def blocks_of(page: str) -> list[Block]:
     return made.blocks
 
 
-def path_ratios(blocks: list[Block]) -> np.ndarray:
-    """For each block, text and punctuation of its path by the path's number of blocks; links count nothing."""
+def weights(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block, what its tags and names leave of its ratio, and whether it stands in an article or main freely."""
+    own = np.array([max(len(b.text) - b.linked, 0) for b in blocks], dtype=float)
+    total, held = 0.0, defaultdict(float)
+    for block, length in zip(blocks, own):
+        if not block.chrome:
+            total += length
+            for name in block.named:
+                held[name] += length
+    beside = sum(n for b, n in zip(blocks, own) if b.main and not b.chrome and not b.named)
+    lifted = {name for name, n in held.items() if n >= MOST * total and beside < BESIDE * n}
+    free = np.array([not b.chrome and lifted.issuperset(b.named) for b in blocks])
+    main = np.array([b.main for b in blocks]) & free
+    outside = max(1 - own[main].sum() / max(own[free].sum(), 1), LITTLE) if main.any() else 1.0
+    return np.where(free, 1.0, LITTLE) * np.where(main, 1.0, outside), main
+
+
+def path_ratios(blocks: list[Block], weight: np.ndarray) -> np.ndarray:
+    """Text and punctuation of a block's path by the path's number of blocks of its weight; links count nothing."""
     mass, count = defaultdict(float), defaultdict(int)
-    for block in blocks:
+    for block, w in zip(blocks, weight):
         length = max(len(block.text) - block.linked, 0)
-        mass[block.path] += length + MARK_WEIGHT * len(_PUNCTUATION.findall(block.text)) * (length > 0)
-        count[block.path] += 1
-    return np.array([mass[b.path] / count[b.path] for b in blocks])
+        mass[block.path, w] += length + MARK_WEIGHT * len(_PUNCTUATION.findall(block.text)) * (length > 0)
+        count[block.path, w] += 1
+    return np.array([mass[b.path, w] / count[b.path, w] for b, w in zip(blocks, weight)])
 
 
-def smoothed(values: np.ndarray, radius: int = 2) -> np.ndarray:
-    """Gaussian mean over neighbouring blocks."""
+def smoothed(values: np.ndarray, weight: np.ndarray, radius: int = 2) -> np.ndarray:
+    """Weighted Gaussian mean over neighbouring blocks."""
     kernel = np.exp(-0.5 * np.arange(-radius, radius + 1) ** 2)
-    weight = np.convolve(np.ones(len(values)), kernel)[radius:radius + len(values)]
-    return np.convolve(values, kernel)[radius:radius + len(values)] / weight
+    total = np.convolve(weight, kernel)[radius:radius + len(values)]
+    return np.convolve(values * weight, kernel)[radius:radius + len(values)] / total
 
 
-def fused(blocks: list[Block], ratios: np.ndarray) -> np.ndarray:
-    """Geometric mean of a block's ratio with that of its container, a length-weighted mean of the container's blocks."""
+def fused(blocks: list[Block], ratios: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Geometric mean of a block's ratio with that of its container, the mean of its blocks by length and weight."""
     mass, length = defaultdict(float), defaultdict(float)
-    for block, ratio in zip(blocks, ratios):
+    for block, ratio, w in zip(blocks, ratios, weight):
         for depth in (len(block.path) - 1, len(block.path) - 2):
-            mass[block.path[:max(depth, 1)]] += ratio * len(block.text)
-            length[block.path[:max(depth, 1)]] += len(block.text)
-    around = np.array([mass[b.path[:-1] or b.path] / max(length[b.path[:-1] or b.path], 1) for b in blocks])
+            mass[block.path[:max(depth, 1)]] += ratio * len(block.text) * w
+            length[block.path[:max(depth, 1)]] += len(block.text) * w
+    around = np.array([mass[b.path[:-1] or b.path] / length[b.path[:-1] or b.path] for b in blocks])
     return np.sqrt(ratios * around)
 
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
-    kept = [b for b in blocks if not b.chrome and not b.named_chrome]
-    if any(b.main for b in kept):
-        kept = [b for b in kept if b.main]
-    if not kept:  # a name that misleads covers the whole page
-        kept = [b for b in blocks if not b.chrome and b.main]
-    if not kept:
+    if not blocks:
         return ""
-    ratios = path_ratios(kept)
-    scores = fused(kept, smoothed(ratios))
-    lengths = np.array([len(b.text) for b in kept], dtype=float)
-    mean = float((scores * lengths).sum() / max(lengths.sum(), 1))
-    # A path that is all links has no text of its own; a block in an article counts whatever its length.
-    chosen = (scores >= THRESHOLD * mean) & (ratios > 0) | np.array([b.main and b.linked < len(b.text) for b in kept])
-    return " ".join(b.text for b, c in zip(kept, chosen) if c)
+    weight, main = weights(blocks)
+    ratios = path_ratios(blocks, weight)
+    scores = fused(blocks, smoothed(ratios * weight, weight), weight)
+    lengths = np.array([len(b.text) for b in blocks]) * weight
+    mean = float((scores * lengths).sum() / lengths.sum())
+    # A path that is all links has no text of its own.
+    chosen = (scores * weight * np.where(main, INSIDE, 1.0) >= THRESHOLD * mean) & (ratios > 0)
+    return " ".join(b.text for b, c in zip(blocks, chosen) if c)
 
 
 def extract(pages: DataFrame, column: str = "html", name: str = "text") -> DataFrame:

@@ -79,3 +79,19 @@ def test_odd_pages(spark):
                                            (5, "u", "<nav>only"), (6, "u", "a &lt; b <!-- c"), (6, "u", "a &lt; b <!-- c")])).collect()
     assert [r.text for r in sorted(rows, key=lambda r: r.page_id)] == ["", "", "unclosed", "", "", "a < b", "a < b"]
     assert pagetext.main_text("<p>" + "deep <div>" * 5000 + "text, here.")
+
+
+LONG_TEXT = "Words, and words. " * 9
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div class=x><p>{LONG_TEXT}<p>{LONG_TEXT}<p>{LONG_TEXT}</div><article><p>One teaser.</p></article>",
+     LONG_TEXT * 3 + "One teaser."),
+    (f"<body><form><nav>Menu, menu.</nav><div><p>{LONG_TEXT}<p>{LONG_TEXT}</div><footer>End.</footer></form>", LONG_TEXT * 2),
+    (f"<body><div class='page with-sidebar'><p>{LONG_TEXT}<p>{LONG_TEXT}</div><p class=advert>Buy, buy!</p>", LONG_TEXT * 2),
+    (f"<body><article><p>{LONG_TEXT}<p>{LONG_TEXT}</article><div class=comments>" + "<p>I, for one, differ." * 90 + "</div>",
+     LONG_TEXT * 2),
+    (f"<body><article><p>{LONG_TEXT * 9}<p>{LONG_TEXT * 9}" + "<div><i>x</i></div>" * 9 + "</article>", LONG_TEXT * 18 + "x x"),
+])
+def test_ratios_decide_in_and_beside_articles(page, text):
+    assert pagetext.main_text(page) == text.strip()
