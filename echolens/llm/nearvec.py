@@ -6,19 +6,23 @@ united across the passes. Equal vectors are one class from the start. Links are
 in blocks of bounded size, so that groups of near copies larger than any window have all their links counted
 without a pair being written.
 
-Pairs are found if some pass brings them close: recall is a matter of ``passes``, ``window`` and the logarithm of the
-number of vectors, and neighbours that two tasks part are met in another pass. Vectors that are null, empty or zero, or
+Pairs are found if some pass brings them close. Unless given, the number of passes grows with that of the vectors, so
+that an isolated pair just at the threshold is found with a chance of ``RECALL``. The first and last rows of every task
+are compared once more across the tasks' bounds, so the result does not depend on where a pass is cut. In a group denser
+than the window a member that links with few others can still be missed. Vectors that are null, empty or zero, or
 hold null or non-finite components, link with nothing, nor do vectors of different lengths. Repeated rows are vectors of
 their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +30,10 @@ from echolens.llm.common import cut, stored
 from echolens.llm.components import components
 
 THRESHOLD = 0.9
+#: Passes at least.
 PASSES, BITS, WINDOW = 24, 40, 32
+#: Chance that an isolated pair at the threshold is found.
+RECALL = 0.999
 #: Vectors of a block when links are counted.
 BLOCK = 1024
 
@@ -37,6 +44,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False))
 
 
+def passes_for(count: int, threshold: float, window: int, bits: int = BITS, recall: float = RECALL) -> int:
+    """Passes in which a pair at the threshold agrees once in as many leading bits as leave a window of vectors."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    met = agree ** min(max(math.log2(max(count, 1) / window), 0), bits)
+    return PASSES if met >= 1 else max(math.ceil(math.log(1 - recall) / math.log(1 - met)), PASSES)
+
+
 def sort_keys(vectors: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarray:
     """For each vector and pass, the bits of its random hashes as one number."""
     dim = vectors.shape[1]
@@ -94,7 +108,10 @@ def _dealt(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
 
 
 def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
-    """Verified links (``a``, ``b``) between neighbours of each pass; links that only repeat a connection are left out."""
+    """Verified links (``a``, ``b``) between neighbours of each pass; links that only repeat a connection are left out.
+
+    Every task also gives its first and last rows, as many as a window, which are then compared across its bounds.
+    """
     rows, dtype = _dealt(classes, passes, bits, seed)
     ordered = ["pass", "dim", "key", "id"]
     rows = rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
@@ -102,7 +119,12 @@ def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, w
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         forest, last = Forest(), None
+        task, seen, tail = TaskContext.get().partitionId(), 0, None
         for batch in batches:
+            if seen < window:
+                yield _ends(batch.slice(0, window - seen), task, seen)
+            tail = pa.Table.from_batches([*(tail.to_batches() if tail else []), batch])
+            tail, seen = tail.slice(max(len(tail) - window, 0)).combine_chunks(), seen + len(batch)
             passes_, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             starts = np.flatnonzero(np.r_[True, (np.diff(passes_) != 0) | (np.diff(dims) != 0)])
             links = []
@@ -124,10 +146,67 @@ def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, w
                         if forest.join(x, y):
                             links.append((x, y))
                 kept = {run: (ids[-window:], values[-window:])}
-            columns = list(zip(*links)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
-
-    return rows.mapInArrow(met, "a long, b long").distinct()
+            columns = [pa.array(c, pa.int64()) for c in list(zip(*links)) or [(), ()]]
+            blank = [pa.nulls(len(links), kind) for kind in _END_TYPES]
+            yield pa.RecordBatch.from_arrays([*columns, *blank], ["a", "b", *_END_NAMES])
+        rest = min(max(seen - window, 0), window)  # the first rows were given already
+        for batch in tail.slice(len(tail) - rest).to_batches() if rest else ():
+            yield _ends(batch, task, seen - rest)
+
+    found = stored(rows.mapInArrow(met, "a long, b long, task int, pos long, pass int, dim int, id long, vector binary"), "met")
+    links, ends = found.where("a is not null").select("a", "b"), found.where("task is not null").drop("a", "b")
+    return links.union(bound_links(ends, threshold, window, dtype)).distinct()
+
+
+_END_NAMES = ("task", "pos", "pass", "dim", "id", "vector")
+_END_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+
+def _ends(batch: pa.RecordBatch, task: int, start: int) -> pa.RecordBatch:
+    """Rows of a task with their places in it."""
+    n = len(batch)
+    columns = [pa.nulls(n, pa.int64())] * 2 + [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(start, start + n))]
+    columns += [batch.column(i) for i in (0, 1, 3, 4)]
+    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, (pa.int64(),) * 2 + _END_TYPES)],
+                                      ["a", "b", *_END_NAMES])
+
+
+def bound_links(ends: DataFrame, threshold: float, window: int, dtype: str) -> DataFrame:
+    """Verified links (``a``, ``b``) between the last rows before each bound of two tasks and the first ones behind it.
+
+    Tasks of less than a window share a bound with those before or behind them. Only the tasks' sizes reach the driver.
+    """
+    sizes = sorted((r["task"], r["n"]) for r in ends.groupBy("task").agg((F.max("pos") + 1).alias("n")).collect())
+    wanted = []
+    for at in range(1, len(sizes)):
+        for behind, tasks in ((False, sizes[at - 1::-1]), (True, sizes[at:])):
+            need = window
+            for task, n in tasks:
+                taken = min(n, need)
+                wanted.append((at, behind, task, *((0, taken) if behind else (n - taken, n))))
+                need -= taken
+                if not need:
+                    break
+    spark = ends.sparkSession
+    wanted = spark.createDataFrame(wanted, "bound int, behind boolean, of int, low long, high long")
+    rows = ends.join(F.broadcast(wanted), (F.col("task") == F.col("of")) & (F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["task", "pos"])
+        group["place"] = np.arange(len(group))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for _, run in group.groupby(["pass", "dim"]):
+            values = _unit(np.frombuffer(b"".join(run["vector"]), dtype).reshape(len(run), -1).astype(np.float64))
+            place, behind, ids = (run[name].to_numpy() for name in ("place", "behind", "id"))
+            apart = place[None, :] - place[:, None]
+            linked = (values @ values.T >= threshold) & ~behind[:, None] & behind[None, :] & (apart <= window)
+            a, b = np.nonzero(linked)
+            out.append((ids[a], ids[b]))
+        a, b = (np.concatenate(side) for side in zip(*out))
+        return pd.DataFrame({"a": a, "b": b})
+
+    columns = ("bound", "behind", "task", "pos", "pass", "dim", "id", "vector")
+    return rows.select(*columns).groupBy("bound").applyInPandas(met, "a long, b long")
 
 
 def _counted(group: pd.DataFrame, threshold: float, dtype: str) -> pd.DataFrame:
@@ -167,12 +246,13 @@ def count_links(members: DataFrame, threshold: float, block: int, dtype: str) ->
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(rows: DataFrame, vector: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES,
+def near_duplicates(rows: DataFrame, vector: str = "embedding", threshold: float = THRESHOLD, passes: int | None = None,
                     bits: int = BITS, window: int = WINDOW, block: int = BLOCK, seed: int = 3) -> DataFrame:
-    """vec_id, n_links (other vectors linked with), component_id (smallest vec_id of its component), kept."""
+    """vec_id, n_links (other vectors linked with), component_id (smallest vec_id of its component), kept. ``passes``: as many as the number of vectors needs."""
     rows = rows.select(F.col("vec_id").cast("long"), F.col(vector).alias("vector"))
     good = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     classes = stored(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
+    passes = passes or passes_for(classes.count(), threshold, window, bits)
     links = window_links(classes, threshold, passes, bits, window, seed)
     roots = cut(components(links))
     members = classes.join(roots, classes["id"] == roots["node"]).select("id", "vector", "copies", "root")

@@ -71,6 +71,41 @@ def test_near_vectors(spark):
     assert (got["kept"] == (got.index == got["component_id"])).all()
 
 
+def test_near_vectors_across_tasks(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((150, 16))
+    values = np.float32(np.vstack([base, base + 0.1 * rng.standard_normal((150, 16))]))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before, got = [spark.conf.get(name) for name in names], []
+    try:
+        spark.conf.set(names[1], "false")
+        for parts in ("1", "7", "60"):  # 60 parts hold fewer vectors than a window
+            spark.conf.set(names[0], parts)
+            rows = nearvec.near_duplicates(_vectors(spark, list(enumerate(values))), passes=1, window=8).collect()
+            got.append(sorted((r.vec_id, r.n_links, r.component_id) for r in rows))
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert got[0] == got[1] == got[2] and sum(n > 0 for _, n, _ in got[0]) > 60
+
+
+def test_passes_grow_with_the_vectors():
+    assert [nearvec.passes_for(n, 0.9, 32) for n in (0, 1, 2000)] == [24] * 3
+    rng = np.random.default_rng(9)
+    values = rng.standard_normal((200_000, 64))
+    other = rng.standard_normal((1000, 64))
+    values[:1000] /= np.linalg.norm(values[:1000], axis=1, keepdims=True)
+    other -= (other * values[:1000]).sum(axis=1, keepdims=True) * values[:1000]
+    cosine = 0.9
+    values[1000:2000] = cosine * values[:1000] + (1 - cosine**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    found, passes = np.zeros(1000, bool), nearvec.passes_for(len(values), 0.9, 32)
+    for seed in range(passes):
+        place = np.empty(len(values), int)
+        place[np.argsort(nearvec.sort_keys(values, 1, 40, seed)[:, 0])] = np.arange(len(values))
+        found |= np.abs(place[:1000] - place[1000:2000]) <= 32
+    assert passes > 24 and found.mean() >= 0.99
+
+
 def test_near_vectors_odd(spark):
     rows = nearvec.near_duplicates(_vectors(spark, ODD)).collect()
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows)
