@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions.clock import Clock, epoch
 from echolens.functions.text import is_filled
+from echolens.operators.plan import materialised
 from echolens.operators.tables import first_per_key
 from echolens.sources.landing import message_id, to_messages, with_blank_line
 
@@ -47,29 +49,37 @@ def stories(hits: DataFrame, as_of: Clock = None) -> DataFrame:
 def comment_tree(
     story_ids: DataFrame,
     items: DataFrame,
-    max_depth: int = 3,
+    max_depth: int | None = None,
     kids_per_story: int | None = None,
     kids_per_comment: int | None = None,
 ) -> DataFrame:
-    """Comments below each story, walked level by level: all kids of a level, or the first so many.
+    """Comments below each story, walked level by level: all levels and all kids, or the first so many.
 
-    A deleted, dead or missing comment cuts its whole subtree. Depth is bounded, so the walk is a
-    fixed chain of joins on the unique item id. It moves ids and kid lists only; texts are joined once,
-    to the comments it reached.
+    A deleted, dead or missing comment cuts its whole subtree. With ``max_depth`` (kids of a story have depth 0) the walk
+    is a fixed chain of joins on the unique item id. Without, each level is stored in the shared folder until one is
+    empty; a comment counts at the level that reaches it first, so kids that lead in a circle end. The walk moves ids
+    and kid lists only; texts are joined once, to the comments it reached.
     """
     gone = F.coalesce("deleted", F.lit(False)) | F.coalesce("dead", F.lit(False))
     live = items.where(~gone).select("id", "kids")
     roots = items.select(F.col("id").alias("story_id"), "kids")
     parents = story_ids.select("story_id").join(roots, "story_id")
     levels = []
-    for depth in range(max_depth + 1):
+    for depth in count() if max_depth is None else range(max_depth + 1):
         width = kids_per_comment if depth else kids_per_story
         frontier = parents.select(
             "story_id", F.explode("kids" if width is None else F.slice("kids", 1, width)).alias("id"),
             F.lit(depth).alias("depth"),
         )
         parents = frontier.join(live, "id")
+        if max_depth is None:
+            if levels:
+                known = reduce(DataFrame.unionByName, levels)
+                parents = parents.join(known.select("story_id", "id"), ["story_id", "id"], "left_anti")
+            parents = materialised(parents)
         levels.append(parents.select("story_id", "depth", "id"))
+        if max_depth is None and parents.isEmpty():
+            break
     reached = reduce(DataFrame.unionByName, levels)
     return reached.join(items.select("id", "text", "by", "parent", "time"), "id")
 

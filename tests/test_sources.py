@@ -115,6 +115,18 @@ def test_comment_tree_against_recursion(spark, land):
     assert len(expected) > 60
 
 
+def test_comment_tree_of_any_depth(spark, land):
+    items = {n: {"id": n, "kids": [n + 1], "parent": n - 1} for n in range(9)}
+    items[9] = {"id": 9, "parent": 8, "kids": [5]}  # leads in a circle
+    items[20] = {"id": 20, "kids": [21]}
+    items[21] = {"id": 21, "parent": 20, "dead": True, "kids": [22]}
+    items[22] = {"id": 22, "parent": 21}
+    frame = land("hn_items", *items.values())
+    stories = spark.createDataFrame([(0,), (20,), (777,)], "story_id long")
+    tree = hackernews.comment_tree(stories, frame)
+    assert sorted((r.story_id, r.id, r.depth) for r in tree.collect()) == [(0, n, n - 1) for n in range(1, 10)]
+
+
 def _expected_docstring(content, path, most=None):
     lines = content.split("\n")[:most]
     opened = next((i for i, line in enumerate(lines) if line.strip().startswith('"""')), None)
