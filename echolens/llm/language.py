@@ -2,7 +2,7 @@
 
 Each language has probabilities of the pieces of a public subword vocabulary. A word, a run of letters in lower case
 behind a word mark, has many segmentations into pieces; its probability is the sum over all of them, by the forward
-algorithm. A text scores the sum of its words' log-probabilities. The probabilities are fitted by expectation
+algorithm, rescaled on its way so that words of any length are summed whole. A text scores the sum of its words' log-probabilities. The probabilities are fitted by expectation
 maximisation with forward and backward sums over the words of a bounded sample of texts of each language.
 
 A character that no piece covers is a piece of its own with one small probability in every language. Texts that are
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from echolens.llm.common import chunks, code_points, in_fold
 
 UNKNOWN = "und"
-#: Pieces of more characters, the mark included, are left out; their words are made of shorter ones.
-LONGEST_PIECE = 8
+#: Characters after which sums are rescaled, and characters of the words that are summed at once.
+STEP, GROUP_CHARS = 8, 100_000
 #: Bounds of the sample: texts of a language, and languages.
 SAMPLE_PER_LANGUAGE = 400
 MOST_LANGUAGES = 500
@@ -45,7 +45,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    fits = (p for p in pieces if 0 < len(p) <= LONGEST_PIECE and (p == _MARK or p.removeprefix(_MARK).isalpha()))
+    fits = (p for p in pieces if p and (p == _MARK or p.removeprefix(_MARK).isalpha()))
     return sorted(fits)
 
 
@@ -60,8 +60,10 @@ class PieceTable:
     pieces: list[str]
     keys: np.ndarray = field(init=False)
     numbers: np.ndarray = field(init=False)
+    longest: int = field(init=False)
 
     def __post_init__(self) -> None:
+        self.longest = max(map(len, self.pieces), default=1)
         self.keys = np.zeros(1 << _TABLE_BITS, np.uint64)
         self.numbers = np.full(1 << _TABLE_BITS, -1, np.int32)
         for number, piece in enumerate(self.pieces):
@@ -99,6 +101,7 @@ class Lattice:
     """Words of one length: for each end and piece length, the piece numbers (-1: none) of all words."""
 
     length: int
+    longest: int
     pieces: dict[tuple[int, int], np.ndarray]
 
 
@@ -106,27 +109,40 @@ def lattice(words: list[str], table: PieceTable) -> Lattice:
     """All pieces that occur in the marked words, which have the same length."""
     points = np.stack([code_points(_MARK + word) for word in words])
     length, found = points.shape[1], {}
-    for start in range(length):
-        keys = np.zeros(len(words), np.uint64)
-        for size in range(1, min(LONGEST_PIECE, length - start) + 1):
-            keys = _extended(keys, points[:, start + size - 1])
-            numbers = table.find(keys)
-            if size == 1 or (numbers >= 0).any():
-                found[start + size, size] = numbers
-    return Lattice(length, found)
-
-
-def forward(paths: Lattice, chances: np.ndarray, count: int) -> np.ndarray:
-    """Sums over all segmentations of every prefix: [prefix length][word, language]."""
+    keys = np.zeros(points.shape, np.uint64)
+    for size in range(1, min(table.longest, length) + 1):
+        keys = _extended(keys[:, :length - size + 1], points[:, size - 1:])
+        numbers = table.find(keys.ravel()).reshape(keys.shape)
+        for start in range(length - size + 1) if size == 1 else np.flatnonzero((numbers >= 0).any(axis=0)).tolist():
+            found[start + size, size] = numbers[:, start]
+    return Lattice(length, table.longest, found)
+
+
+def _sums(paths: Lattice, chances: np.ndarray, count: int, backward: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over all segmentations of every prefix or suffix by its length, and the logarithms of what scales them."""
     sums = [np.ones((count, chances.shape[1]))]
-    for end in range(1, paths.length + 1):
-        here = np.zeros_like(sums[0])
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
-            numbers = paths.pieces.get((end, size))
+    recent, scale = list(sums), np.zeros_like(sums[0])
+    scales = [scale]
+    for done in range(1, paths.length + 1):
+        here = np.zeros_like(scale)
+        for size in range(1, min(paths.longest, done) + 1):
+            numbers = paths.pieces.get((paths.length - done + size if backward else done, size))
             if numbers is not None:
-                here += sums[end - size] * _chance(numbers, chances, size)
-        sums.append(here)
-    return np.stack(sums)
+                here += recent[-size] * _chance(numbers, chances, size)
+        recent = [*recent[1 - paths.longest:], here] if paths.longest > 1 else [here]
+        if done % STEP == 0:
+            most = np.maximum.reduce(recent)
+            recent = [x / most for x in recent]
+            scale = scale + np.log(most)
+        sums.append(recent[-1])
+        scales.append(scale)
+    return sums, scales
+
+
+def log_forward(paths: Lattice, chances: np.ndarray, count: int) -> np.ndarray:
+    """Log-probability of every word in every language, over all segmentations."""
+    sums, scales = _sums(paths, chances, count, False)
+    return np.log(np.maximum(sums[-1], 1e-300)) + scales[-1]
 
 
 def _chance(numbers: np.ndarray, chances: np.ndarray, size: int) -> np.ndarray:
@@ -137,20 +153,14 @@ def _chance(numbers: np.ndarray, chances: np.ndarray, size: int) -> np.ndarray:
 
 def expected_counts(paths: Lattice, chances: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected number of each piece over all segmentations, by forward and backward sums."""
-    ahead = forward(paths, chances, len(weight))
-    behind = [np.ones_like(ahead[0])]
-    for start in range(paths.length - 1, -1, -1):
-        here = np.zeros_like(ahead[0])
-        for size in range(1, min(LONGEST_PIECE, paths.length - start) + 1):
-            numbers = paths.pieces.get((start + size, size))
-            if numbers is not None:
-                here += behind[-size] * _chance(numbers, chances, size)
-        behind.append(here)
+    ahead, ahead_scales = _sums(paths, chances, len(weight), False)
+    behind, behind_scales = _sums(paths, chances, len(weight), True)
     counts = np.zeros_like(chances)
-    scale = weight / np.maximum(ahead[-1], 1e-300)
+    whole = np.log(np.maximum(ahead[-1], 1e-300)) + ahead_scales[-1]
     for (end, size), numbers in paths.pieces.items():
         known = numbers >= 0
-        share = ahead[end - size] * _chance(numbers, chances, size) * behind[paths.length - end] * scale
+        share = ahead[end - size] * _chance(numbers, chances, size) * behind[paths.length - end]
+        share *= weight * np.exp(ahead_scales[end - size] + behind_scales[paths.length - end] - whole)
         for language in range(chances.shape[1]):
             counts[:, language] += np.bincount(numbers[known], share[known, language], len(chances))
     return counts
@@ -175,8 +185,7 @@ class LanguageModel:
         new = [word for word in words if word not in self._cache]
         added = [self._rows]
         for group in _by_length(new):
-            for a in range(0, len(group), 4096):
-                part = group[a:a + 4096]
+            for part in _parts(group):
                 at = sum(map(len, added))
                 added.append(log_chances(part, self.table, self.chances))
                 self._cache.update(zip(part, range(at, at + len(part))))
@@ -204,12 +213,15 @@ def _by_length(words: list[str]) -> list[list[str]]:
     return list(groups.values())
 
 
+def _parts(group: list[str]) -> list[list[str]]:
+    """Words of one length in lists of bounded size."""
+    most = max(GROUP_CHARS // (len(group[0]) + 1), 1)
+    return [group[a:a + most] for a in range(0, len(group), most)]
+
+
 def log_chances(words: list[str], table: PieceTable, chances: np.ndarray) -> np.ndarray:
-    """Log-probability of words of one length in every language; long words are cut so that sums stay in range."""
-    if len(words[0]) > 24:
-        parts = [log_chances([w[i:i + 24] for w in words], table, chances) for i in range(0, len(words[0]), 24)]
-        return np.sum(parts, axis=0)
-    return np.log(np.maximum(forward(lattice(words, table), chances, len(words))[-1], 1e-300))
+    """Log-probability of words of one length in every language."""
+    return log_forward(lattice(words, table), chances, len(words))
 
 
 def train(texts: list[str], languages: list[str], pieces: list[str], rounds: int = 4) -> LanguageModel:
@@ -218,16 +230,11 @@ def train(texts: list[str], languages: list[str], pieces: list[str], rounds: int
     counts = [Counter() for _ in names]
     for text, language in zip(texts, languages):
         counts[names.index(language)].update(words_of(text))
-    vocabulary_ = sorted({word[:24] for count in counts for word in count})
-    short = [Counter() for _ in names]
-    for count, into in zip(counts, short):
-        for word, n in count.items():
-            into[word[:24]] += n
+    vocabulary_ = sorted({word for count in counts for word in count})
     groups = []
     for group in _by_length(vocabulary_):
-        for a in range(0, len(group), 4096):
-            part = group[a:a + 4096]
-            weight = np.array([[count[word] for count in short] for word in part], dtype=float)
+        for part in _parts(group):
+            weight = np.array([[count[word] for count in counts] for word in part], dtype=float)
             groups.append((part, weight.reshape(len(part), len(names))))
     chances = np.zeros((len(pieces) + 1, len(names)))
     chances[:-1] = 1 / max(len(pieces), 1)

@@ -100,6 +100,24 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(language.log_chances([word], table, chances)[0], np.log(want))
 
 
+def test_long_words_and_pieces_count_whole():
+    pieces = sorted(["▁", "a", "b", "ab", "▁a", "abbaabbaabba"])
+    chances = np.vstack([np.random.default_rng(3).random((len(pieces), 2)) / 9, np.zeros((1, 2))])
+    word = "abba" * 300 + "xx"
+    text, sums = "▁" + word, [[0.0, 0.0]]
+    for end in range(1, len(text) + 1):  # in logarithms, piece by piece
+        ways = [sums[end - len(p)] + np.log(chances[i]) for i, p in enumerate(pieces) if text[:end].endswith(p)]
+        sums.append(np.logaddexp.reduce(ways) if ways else sums[end - 1] + np.log(1e-9))
+    table = language.PieceTable(pieces)
+    assert np.allclose(language.log_chances([word], table, chances)[0], sums[-1])
+    counts = language.expected_counts(language.lattice([word], table), chances, np.ones((1, 2)))
+    lengths = np.array([len(p) for p in pieces])
+    assert np.allclose(lengths @ counts[:-1], len(text) - 2)  # every character but the unknown ones, once
+    model = language.train(["c" * 30 + "a" * 9, "c" * 30 + "b" * 9], ["x", "y"], ["▁", "a", "b", "c"])
+    assert model.predict(["a", "b"])[0] == ["x", "y"]
+    assert any(len(p) > 8 for p in language.vocabulary(queries.tokenizer_file("piece_bpe_32k.model")))
+
+
 def test_languages_held_out(spark):
     got = queries.op10_language(spark, FOLDER).toPandas()
     docs = pd.read_parquet(f"{FOLDER}/documents.parquet")
