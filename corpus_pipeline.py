@@ -32,11 +32,32 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without words or without id stay."""
-    grouped = ngramjoin.join(docs.select("doc_id", "text"), SIMILAR)
-    leaving = cut(grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    leaving = F.broadcast(leaving) if leaving.count() <= ngramjoin.BROADCAST_ROWS else leaving
-    return docs.select(*COLUMNS).join(leaving, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group: that with the smallest id, of its texts the one with the smallest digest.
+
+    Rows are told apart by id and digest of the text, so a repeated id loses only the rows that are near copies, and of
+    rows equal in both one stays. Rows without words or without id stay all.
+    """
+    rows = docs.select(*COLUMNS)
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        rows = rows.withColumn("__row", F.col("doc_id"))
+    else:  # a number for each id and text, in their order
+        rows, keys = rows.withColumn("digest", F.sha2("text", 256)), ("doc_id", "digest")
+        numbers = rows.where("doc_id is not null").select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+        numbers = cut(numbers.withColumn("__row", F.monotonically_increasing_id())).withColumnsRenamed({"doc_id": "i", "digest": "d"})
+        same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("digest").eqNullSafe(F.col("d"))
+        rows = rows.join(numbers, same, "left").select(*COLUMNS, "__row")
+    grouped = ngramjoin.join(rows.where("__row is not null").select(F.col("__row").alias("doc_id"), "text"), SIMILAR)
+    grouped = grouped.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id").groupBy("__row").agg(
+        F.min("component_id").alias("component"), F.count("*").alias("copies")
+    )
+    touched = cut(grouped.where((F.col("__row") != F.col("component")) | (F.col("copies") > 1)).select(
+        "__row", (F.col("__row") == F.col("component")).alias("once")
+    ))
+    touched = F.broadcast(touched) if touched.count() <= ngramjoin.BROADCAST_ROWS else touched
+    free = rows.join(touched, "__row", "left_anti").select(*COLUMNS)
+    once = rows.join(touched.where("once"), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*COLUMNS)).alias("of"))
+    return free.unionByName(once.select("of.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

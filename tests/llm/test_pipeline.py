@@ -39,6 +39,13 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd):
     assert corpus_pipeline.pack_tokens(spark, odd.limit(0), SMALL).count() == 0
 
 
+def test_near_copies_of_repeated_ids(spark, documents):
+    one, other = "one two three four five", "six seven eight nine ten"
+    docs = documents((1, one), (1, one), (2, one), (3, other), (5, other), (5, "an own text of six words"), (6, ""), (6, ""))
+    rows = corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, one), (3, other), (5, "an own text of six words"), (6, ""), (6, "")]
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     lengths = {}
