@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import language, mixing, mtree, nearvec, ngramjoin, packing, pagetext, quality, toxicity, warc
+from echolens.llm import (
+    language, mixing, mtree, nearvec, ngramjoin, packing, pagetext, quality, secrets, spelling, toxicity, warc, whitening,
+)
 from echolens.llm.common import fresh_folder, in_fold, table
 
 
@@ -78,9 +80,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn(
+        "spans", secrets.span_text(F.col("found"))
+    )
+    counts = [secrets.count_of(F.col("found"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     queries = (
         op1_toxicity, op2_top_products, op3_near_vectors, op4_ngram_join, op5_warc, op6_quality, op7_page_text,
-        op8_packing, op9_mixing, op10_language,
+        op8_packing, op9_mixing, op10_language, op11_spelling, op12_whitening, op13_secrets,
     )
     return {query.__name__: query for query in queries}
