@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+from py4j.java_gateway import JavaObject, is_instance_of
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,24 @@ from echolens.operators import filters, metrics, replies
 
 MAX_ROWS = 1000
 FORMATS = ("json", "table")
-FORBIDDEN_FUNCTIONS = ("java_method", "reflect", "try_reflect")
 
-# Lines of the parser's tree: relations, functions, and nodes of statements that do more than read.
-_RELATIONS = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-_FUNCTIONS = re.compile(r"'(?:\w+\.)*(\w+)\(")
-_STATEMENTS = re.compile(
-    r"(?m)^[\s:+|-]*'?\w*(?:Statement|Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Script|Table[VF])"
-)
-_WITH_NAMES = re.compile(r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)`?(\w+)`?\s*(?:\([^)]*\)\s*)?AS\s*\(")
+# What a query may be made of. Nodes of the parsed plan, by class name, that only read and combine rows.
+_PLANS = frozenset("""
+    Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
+    OneRowRelation Pivot Project Sample Sort SubqueryAlias Union UnionLoop Unpivot UnresolvedHaving UnresolvedHint
+    UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTVFAliases
+    UnresolvedTableValuedFunction UnresolvedWith WithWindowDefinition
+""".split())
+# Groups of built-in functions that compute from their arguments alone, and harmless ones of other groups.
+_FUNCTION_GROUPS = frozenset("""
+    agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs date_funcs datetime_funcs
+    generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs
+    url_funcs variant_funcs window_funcs xml_funcs
+""".split())
+_MORE_FUNCTIONS = frozenset(("monotonically_increasing_id", "rand", "randn", "random", "range", "typeof", "uuid"))
+# Expressions that stand for a name made up at run time.
+_LATE_NAMES = frozenset(("ExpressionWithUnresolvedIdentifier", "PlanWithUnresolvedIdentifier"))
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.S)
 
 # The sample queries by group; each takes the messages table.
 SAMPLE_QUERIES = {
@@ -51,7 +62,7 @@ def checked_sql(sql: str, limit: object = MAX_ROWS) -> tuple[str, int]:
         raise ValueError("the query is empty")
     if not query.upper().startswith(("SELECT", "WITH")):
         raise ValueError("only SELECT and WITH queries are allowed")
-    if ";" in query:
+    if ";" in _QUOTED.sub(" ", query):
         raise ValueError("only one statement is allowed")
     try:
         rows = int(limit)  # type: ignore[call-overload]
@@ -60,22 +71,97 @@ def checked_sql(sql: str, limit: object = MAX_ROWS) -> tuple[str, int]:
     return query, max(1, min(rows, MAX_ROWS))
 
 
-def _check_plan(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> None:
-    """Refuses what the parsed query does besides reading the named tables.
+class _Guard:
+    """Walks a parsed query, object by object, before any name in it is looked up.
 
-    The parser's tree names every relation and function before anything is looked up or run. Text of the query that
-    looks like such an entry is refused as well.
+    Plans must be of known kinds, relations must be given tables or names of a WITH in whose scope they stand, functions
+    must be built in and of the allowed groups. Whatever a node holds is visited: children, expressions of any clause, and
+    the plans of sub-queries in them.
     """
-    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).treeString()
-    if _STATEMENTS.search(tree):
-        raise ValueError("only SELECT and WITH queries are allowed")
-    known = {name.lower() for name in tables} | {name.lower() for name in _WITH_NAMES.findall(query)}
-    for relation in _RELATIONS.findall(tree):
-        if relation.strip().lower() not in known:
-            raise ValueError(f"the query may read {sorted(tables)} only, not {relation}")
-    for function in _FUNCTIONS.findall(tree):
-        if function.lower() in FORBIDDEN_FUNCTIONS:
-            raise ValueError(f"the function {function} is not allowed")
+
+    def __init__(self, session: SparkSession, tables: Mapping[str, DataFrame]):
+        jvm = session._jvm
+        self._gateway = session.sparkContext._gateway
+        self._registry = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+        self._identifier = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+        self._tables = tables
+
+    def _is(self, value: object, kind: str) -> bool:
+        return is_instance_of(self._gateway, value, kind)
+
+    def _items(self, sequence: JavaObject) -> Iterator[object]:
+        iterator = sequence.iterator()
+        while iterator.hasNext():
+            yield iterator.next()
+
+    def visit(self, value: object, visible: frozenset[str]) -> None:
+        if not isinstance(value, JavaObject):
+            return
+        if self._is(value, "org.apache.spark.sql.catalyst.trees.TreeNode"):
+            self._node(value, visible)
+        elif self._is(value, "scala.collection.Iterable") or self._is(value, "scala.Option"):
+            for item in self._items(value):
+                self.visit(item, visible)
+        elif value.getClass().getName().startswith("scala.Tuple"):
+            for item in self._items_of(value):
+                self.visit(item, visible)
+
+    def _items_of(self, product: JavaObject) -> list[object]:
+        return [product.productElement(i) for i in range(product.productArity())]
+
+    def _node(self, node: JavaObject, visible: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind in _LATE_NAMES:
+            raise ValueError("names must be written out")
+        if self._is(node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan") and kind not in _PLANS:
+            raise ValueError(f"only SELECT and WITH queries are allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            name = [str(part) for part in self._items(node.multipartIdentifier())]
+            if len(name) != 1 or name[0].lower() not in visible:
+                raise ValueError(f"the query may read {sorted(self._tables)} only, not {'.'.join(name)}")
+        elif kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            parts = node.nameParts() if kind == "UnresolvedFunction" else node.name()
+            self._function([str(part) for part in self._items(parts)])
+        if kind == "UnresolvedWith":
+            self._with(node, visible)
+            return
+        for item in self._items_of(node):
+            self.visit(item, visible)
+
+    def _with(self, node: JavaObject, visible: frozenset[str]) -> None:
+        """Each relation of a WITH sees those before it, and itself if it may be recursive."""
+        for relation in self._items(node.cteRelations()):
+            name, *rest = self._items_of(relation)
+            own = visible | {str(name).lower()}
+            for item in rest:
+                self.visit(item, own if node.allowRecursion() else visible)
+            visible = own
+        self.visit(node.child(), visible)
+
+    def _function(self, name: list[str]) -> None:
+        function = name[-1].lower()
+        if len(name) == 1 and function in _MORE_FUNCTIONS:
+            return
+        found = self._registry.lookupFunction(self._identifier(function)) if len(name) == 1 else None
+        if found is None or found.isEmpty() or found.get().getGroup() not in _FUNCTION_GROUPS:
+            raise ValueError(f"the function {'.'.join(name)} is not allowed")
+
+
+def _within(rows: DataFrame, session: SparkSession) -> DataFrame:
+    """The same analysed query as a frame of another session of the same application."""
+    plan = rows._jdf.queryExecution().analyzed()
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def _private_session(spark: SparkSession, tables: Mapping[str, DataFrame]) -> SparkSession:
+    """A session with the settings of ``spark`` that knows the given views and no other view, function or variable."""
+    private = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            private.conf.set(name, value)
+    for name, rows in tables.items():
+        _within(rows, private).createOrReplaceTempView(name)
+    return private
 
 
 def safe_query(
@@ -83,27 +169,21 @@ def safe_query(
 ) -> DataFrame:
     """Result of a checked query over ``tables``, at most ``limit`` rows.
 
-    The query is parsed by itself, so that no text of it can undo the limit. It sees the tables as temporary views for
-    as long as it is analysed; views of the same names come back afterwards.
+    The query is parsed by itself, so that no text of it can undo the limit. It is analysed in a session of its own that
+    holds the tables as views and nothing else; views of the caller's session are neither seen nor changed.
     """
     query, rows = checked_sql(sql, limit)
     return _analysed(spark, query, tables).limit(rows)
 
 
 def _analysed(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    _check_plan(spark, query, tables)
-    temporary = {view.name.lower() for view in spark.catalog.listTables() if view.isTemporary}
-    before = {name: spark.table(name) for name in tables if name.lower() in temporary}
+    private = _private_session(spark, tables)
     try:
-        for name, rows in tables.items():
-            rows.createOrReplaceTempView(name)
-        result = spark.sql(query)
-    finally:
-        for name in tables:
-            if name in before:
-                before[name].createOrReplaceTempView(name)
-            else:
-                spark.catalog.dropTempView(name)
+        parsed = private._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except ParseException as error:
+        raise ValueError(f"the query cannot be parsed: {error}") from error
+    _Guard(private, tables).visit(parsed, frozenset(name.lower() for name in tables))
+    result = _within(private.sql(query), spark)
     if len(set(result.columns)) < len(result.columns):
         raise ValueError("column names repeat; give each column an alias")
     return result

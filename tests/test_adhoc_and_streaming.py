@@ -49,6 +49,66 @@ def test_only_named_tables_and_harmless_functions(spark, sql):
         adhoc.safe_query(spark, sql, {"nums": spark.range(5)})
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT " + ", ".join(f"{i} AS c{i}" for i in range(60)) + ", java_method('java.lang.System', 'getProperty', 'user.home') FROM nums",
+    "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT * FROM IDENTIFIER('secret')",
+    "SELECT * FROM secret /* WITH secret AS ( */",
+    "SELECT 'WITH secret AS (' FROM secret",
+    "SELECT (SELECT max(id) FROM secret) FROM nums",
+    "SELECT id FROM nums WHERE EXISTS (SELECT 1 FROM secret)",
+    "SELECT id FROM nums GROUP BY id HAVING count(*) > (SELECT count(*) FROM secret)",
+    "SELECT id FROM nums ORDER BY (SELECT max(id) FROM secret)",
+    "SELECT id FROM nums JOIN (SELECT id AS j FROM secret) ON id = j",
+    "SELECT id FROM nums JOIN nums AS n ON n.id = (SELECT max(id) FROM secret)",
+    "SELECT id FROM nums, LATERAL (SELECT id FROM secret)",
+    "SELECT id FROM nums LIMIT (SELECT max(id) FROM secret)",
+    "SELECT max(id) OVER (ORDER BY (SELECT max(id) FROM secret)) FROM nums",
+    "SELECT CASE WHEN id > 1 THEN (SELECT max(id) FROM secret) END FROM nums",
+    "SELECT transform(array(1), x -> reflect('java.lang.Math', 'random')) FROM nums",
+    "WITH a AS (SELECT * FROM secret) SELECT * FROM a",
+    "SELECT * FROM (WITH secret AS (SELECT 1 AS id) SELECT id FROM secret), secret",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+    "SELECT id FROM nums UNION SELECT id FROM secret",
+    "SELECT * FROM default.nums",
+    "SELECT try_reflect('java.lang.Math', 'random')",
+    "SELECT current_user()",
+    "SELECT TRANSFORM(id) USING 'cat' AS x FROM nums",
+    "SELECT my_own(id) FROM nums",
+    "SELECT * FROM secret TABLESAMPLE (10 ROWS)",
+    "SELECT * FROM global_temp.secret",
+])
+def test_bypasses_are_refused(spark, sql):
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.range(3).createOrReplaceGlobalTempView("secret")
+    spark.udf.register("my_own", lambda x: x)
+    with pytest.raises(ValueError):
+        adhoc.safe_query(spark, sql, {"nums": spark.range(5)})
+
+
+@pytest.mark.parametrize("sql, rows", [
+    ("SELECT ';' AS x, id FROM nums -- one; two", 5),
+    ("SELECT 'UnresolvedRelation [x]' AS a, \"java_method(\" AS b FROM nums", 5),
+    ("SELECT 'it''s; \\'; fine' AS a /* ; */;", 1),
+    ("WITH secret AS (SELECT id FROM nums), more AS (SELECT * FROM secret) SELECT * FROM more JOIN secret USING (id)", 5),
+    ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT * FROM r", 4),
+    ("SELECT id, count(*) AS n FROM nums GROUP BY id HAVING count(*) > 0 ORDER BY id LIMIT 3", 3),
+    ("SELECT x FROM nums LATERAL VIEW explode(array(1, 2)) t AS x", 10),
+    ("SELECT * FROM range(3) CROSS JOIN VALUES (1), (2) AS v(k)", 6),
+    ("SELECT date_trunc('day', now()) AS d, upper('a') AS u, try_to_number('1', '9') AS t, get_json_object('{}', '$.a') AS j", 1),
+    ("SELECT * FROM (SELECT id, id % 2 AS odd FROM nums) PIVOT (count(*) FOR odd IN (0 AS even, 1 AS odd))", 5),
+])
+def test_legal_queries(spark, sql, rows):
+    assert adhoc.safe_query(spark, sql, {"nums": spark.range(5)}).count() == rows
+
+
+def test_result_belongs_to_the_callers_session(spark):
+    rows = spark.range(5)
+    result = adhoc.safe_query(spark, "SELECT id FROM nums WHERE id > 2", {"nums": rows})
+    assert result.sparkSession is spark and result.join(rows, "id").count() == 2
+    assert not spark.catalog.tableExists("nums")
+
+
 def test_views_of_the_session_come_back(spark):
     spark.range(3).createOrReplaceTempView("nums")
     assert adhoc.safe_query(spark, "SELECT * FROM nums", {"nums": spark.range(7)}).count() == 7
