@@ -259,10 +259,9 @@ _over_landed("norm_reddit_comments", "reddit_comments", I.reddit_comments, reddi
 
 
 def _comment_tree(spark: SparkSession, folder: str) -> DataFrame:
-    # The walk reads the items once per level, so they are parsed and stored first.
+    # The tree reads the items several times, so they are parsed and stored first.
     items = materialised(landing.parse_landed(I.hn_items(spark, folder), "hn_items"))
-    # As its SQL, the query shows the source's own depths 0 to 3; the operator alone walks all levels.
-    return hackernews.comment_tree(I.hn_story_ids(items), items, max_depth=3)
+    return hackernews.comment_tree(I.hn_story_ids(items), items)
 
 
 @_query

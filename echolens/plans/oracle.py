@@ -326,7 +326,7 @@ tree as (
   select i.story_id, i.id, i.parent, 0 as depth from items i where i.parent = i.story_id and not i.gone
   union all
   select i.story_id, i.id, i.parent, t.depth + 1 from tree t join items i on i.parent = t.id
-  where t.depth < 3 and not i.gone)
+  where not i.gone)
 """
 _FEED = f"""
 , feed as (

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,34 +50,43 @@ def comment_tree(
     kids_per_story: int | None = None,
     kids_per_comment: int | None = None,
 ) -> DataFrame:
-    """Comments below each story, walked level by level: all levels and all kids, or the first so many.
+    """Comments below each story: all levels and all kids, or those down to ``max_depth`` and the first so many kids.
 
-    A deleted, dead or missing comment cuts its whole subtree. With ``max_depth`` (kids of a story have depth 0) the walk
-    is a fixed chain of joins on the unique item id. Without, each level is stored in the shared folder until one is
-    empty; a comment counts at the level that reaches it first, so kids that lead in a circle end. The walk moves ids
-    and kid lists only; texts are joined once, to the comments it reached.
+    Kids of a story have depth 0. A deleted, dead or missing comment cuts its whole subtree. Every live comment starts with a
+    pointer to the item that lists it and the pointers are doubled: a round replaces a pointer by that of the item it
+    leads to, so rounds grow with the logarithm of the depth, and each moves ids only. A pointer ends at a story; one that
+    leads to an item without a pointer of its own has met the nearest cut and is dropped with its comment. What still
+    moves once 2^rounds exceeds the number of comments runs in a circle and belongs to no story. An item that several
+    others list counts below the one it names as its parent, else below the smallest id. Texts are joined at the end.
     """
     gone = F.coalesce("deleted", F.lit(False)) | F.coalesce("dead", F.lit(False))
-    live = items.where(~gone).select("id", "kids")
-    roots = items.select(F.col("id").alias("story_id"), "kids")
-    parents = story_ids.select("story_id").join(roots, "story_id")
-    levels = []
-    for depth in count() if max_depth is None else range(max_depth + 1):
-        width = kids_per_comment if depth else kids_per_story
-        frontier = parents.select(
-            "story_id", F.explode("kids" if width is None else F.slice("kids", 1, width)).alias("id"),
-            F.lit(depth).alias("depth"),
+    roots = story_ids.select(F.col("story_id").alias("id")).distinct().withColumn("root", F.lit(True))
+    holders = items.select("id", "kids").join(roots, "id", "left")
+    listed = holders.select(
+        F.col("id").alias("at"), F.coalesce("root", F.lit(False)).alias("root"), F.posexplode("kids").alias("position", "id")
+    )
+    for width, kind in ((kids_per_story, F.col("root")), (kids_per_comment, ~F.col("root"))):
+        if width is not None:
+            listed = listed.where(~kind | (F.col("position") < width))
+    links = listed.join(items.where(~gone).select("id", "parent"), "id")
+    named = F.coalesce(F.col("parent") == F.col("at"), F.lit(False))
+    links = first_per_key(links, "id", named.desc(), "at", "position")
+    moving = materialised(links.select("id", "at", "root", F.lit(0).alias("depth")))
+    settled, moving = moving.where("root"), moving.where(~F.col("root"))
+    longest = moving.count() if max_depth is None else min(moving.count(), max_depth)
+    for _ in range(longest.bit_length()):
+        further = settled.unionByName(moving).select(
+            F.col("id").alias("at"), F.col("at").alias("next"), F.col("root").alias("ended"), F.col("depth").alias("above")
         )
-        parents = frontier.join(live, "id")
-        if max_depth is None:
-            if levels:
-                known = reduce(DataFrame.unionByName, levels)
-                parents = parents.join(known.select("story_id", "id"), ["story_id", "id"], "left_anti")
-            parents = materialised(parents)
-        levels.append(parents.select("story_id", "depth", "id"))
-        if max_depth is None and parents.isEmpty():
+        moved = materialised(moving.join(further, "at").select(
+            "id", F.col("next").alias("at"), F.col("ended").alias("root"), (F.col("depth") + F.col("above") + 1).alias("depth")
+        ))
+        settled, moving = settled.unionByName(moved.where("root")), moved.where(~F.col("root"))
+        if moving.isEmpty():
             break
-    reached = reduce(DataFrame.unionByName, levels)
+    reached = settled.select(F.col("at").alias("story_id"), "depth", "id")
+    if max_depth is not None:
+        reached = reached.where(F.col("depth") <= max_depth)
     return reached.join(items.select("id", "text", "by", "parent", "time"), "id")
 
 

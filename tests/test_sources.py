@@ -127,6 +127,28 @@ def test_comment_tree_of_any_depth(spark, land):
     assert sorted((r.story_id, r.id, r.depth) for r in tree.collect()) == [(0, n, n - 1) for n in range(1, 10)]
 
 
+def test_long_chain_takes_few_rounds(spark, land, monkeypatch):
+    items = [{"id": n, "kids": [n + 1], "parent": n - 1} for n in range(1001)]
+    rounds = []
+    monkeypatch.setattr(hackernews, "materialised", lambda rows, kept=hackernews.materialised: rounds.append(1) or kept(rows))
+    tree = hackernews.comment_tree(spark.createDataFrame([(0,)], "story_id long"), land("hn_items", *items)).select("id", "depth")
+    assert sorted(tuple(r) for r in tree.collect()) == [(n, n - 1) for n in range(1, 1001)]
+    assert len(rounds) <= 12
+
+
+def test_dead_ancestors_circles_and_shared_kids(spark, land):
+    frame = land(
+        "hn_items", {"id": 1, "kids": [2, 3, 2]}, {"id": 2, "parent": 1, "kids": [4]}, {"id": 3, "parent": 1, "dead": True, "kids": [5]},
+        {"id": 4, "parent": 2, "kids": [6]}, {"id": 5, "parent": 3, "kids": [7]}, {"id": 6, "parent": 4}, {"id": 7, "parent": 5},
+        {"id": 10, "parent": 11, "kids": [11, 12]}, {"id": 11, "parent": 10, "kids": [10]}, {"id": 12, "parent": 10},
+        {"id": 20, "kids": [4, 21]}, {"id": 21, "parent": 99},
+    )
+    stories = spark.createDataFrame([(1,), (1,), (20,)], "story_id long")
+    tree = hackernews.comment_tree(stories, frame)
+    assert sorted((r.story_id, r.id, r.depth) for r in tree.collect()) == [(1, 2, 0), (1, 4, 1), (1, 6, 2), (20, 21, 0)]
+    assert hackernews.comment_tree(stories.limit(0), frame).isEmpty()
+
+
 def _expected_docstring(content, path, most=None):
     lines = content.split("\n")[:most]
     opened = next((i for i, line in enumerate(lines) if line.strip().startswith('"""')), None)
