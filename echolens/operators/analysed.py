@@ -1,20 +1,27 @@
 """Messages with what models said about them, kept apart: runs append narrow rows, readers merge them.
 
 A run over a few hundred messages writes a few hundred rows next to the table instead of the table anew. The last
-value of each field wins, by ``made_at``. ``fold`` makes one whole table of both from time to time.
+value of each field wins, by ``made_at``, then by version, then by a hash of the row. ``fold`` makes one whole table of both
+from time to time. Both tables are bucketed by id alike, so they merge without moving a message: a queue is found in the
+narrow columns where they lie, and texts are read for the chosen ids only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolens.functions.clock import Clock, now
-from echolens.operators import metrics
+from echolens.operators import metrics, tables
 from echolens.operators.tables import update_analysis
-from echolens.schemas import MESSAGES
-from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
+from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
+from echolens.sources.snapshots import (
+    Buckets, buckets_of, default_buckets, read_snapshot, remove_keys, remove_source, void_column, write_messages, write_snapshot,
+)
 
 ANALYSIS = (
     T.StructType()
@@ -38,23 +45,75 @@ def append_analysis(delta: DataFrame, messages_path: str, as_of: Clock = None) -
     rows = given.select(*[
         (F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in ANALYSIS
     ])
-    return write_snapshot(rows, analysis_path(messages_path), added=True)
+    return write_snapshot(rows, analysis_path(messages_path), added=True, buckets=_buckets(rows.sparkSession, messages_path))
+
+
+def _buckets(spark: SparkSession, messages_path: str) -> Buckets:
+    return replace(buckets_of(spark, messages_path) or default_buckets(spark), folders="")
 
 
 def merged(messages: DataFrame, analysis: DataFrame) -> DataFrame:
     """``messages`` with the last analysis of each; ``processed_at`` is when its last label or topic was made."""
-    return update_analysis(messages, analysis, order_by="made_at", stamp="made_at")
+    order = [name for name in ("made_at", "_version") if name in analysis.columns]
+    return update_analysis(messages, analysis, order_by=order, stamp="made_at")
 
 
 def read_messages(spark: SparkSession, messages_path: str) -> DataFrame:
-    analysis = read_snapshot(spark, analysis_path(messages_path), ANALYSIS)
+    analysis = read_snapshot(spark, analysis_path(messages_path), ANALYSIS, with_version=True)
     return merged(read_snapshot(spark, messages_path, MESSAGES), analysis)
 
 
+def queued_ids(
+    spark: SparkSession, messages_path: str, queue: Callable[[DataFrame, int | None], DataFrame], limit: int | None = None
+) -> DataFrame:
+    """Ids of a queue of the stored messages. Only the columns that the queue asks for are read, and nothing but a limit's
+    candidates is shuffled."""
+    return queue(read_messages(spark, messages_path), limit).select("id")
+
+
+def messages_with(spark: SparkSession, messages_path: str, ids: DataFrame) -> DataFrame:
+    """Whole rows of the stored messages with these distinct ids."""
+    return read_messages(spark, messages_path).join(ids, "id", "left_semi")
+
+
+def reset_embeddings(spark: SparkSession, messages_path: str, vectors_path: str) -> int:
+    """Forget all vectors and every pointer to one, for good; returns the number of pointers there were.
+
+    The vectors start anew as an empty whole version; both tables that hold pointers are marked. A run lost in between can
+    be repeated.
+    """
+    pointers = read_messages(spark, messages_path).where(F.col("embedding_id").isNotNull()).count()
+    write_snapshot(spark.createDataFrame([], VECTORS), vectors_path)
+    for path in (messages_path, analysis_path(messages_path)):
+        void_column(spark, path, "embedding_id")
+    return pointers
+
+
+def clear_source(spark: SparkSession, source: str, messages_path: str, vectors_path: str, state_path: str) -> dict[str, int]:
+    """Remove a source from messages, their analysis, vectors and ingestion state; returns the earlier counts by table.
+
+    Messages that are fetched again later start without labels: the analysis loses the ids that the source has now.
+    """
+    of_source = F.col("source") == source
+    messages = read_snapshot(spark, messages_path, MESSAGES).where(of_source)
+    state = read_snapshot(spark, state_path, INGESTION_STATE)
+    counts = {
+        "messages": messages.count(), "vectors": read_snapshot(spark, vectors_path, VECTORS).where(of_source).count(),
+        "ingestion_state": state.where(of_source).count(),
+    }
+    remove_keys(messages.select("id"), analysis_path(messages_path))
+    for path in (vectors_path, messages_path):
+        remove_source(spark, path, source)
+    write_snapshot(tables.clear_source(state, source), state_path)
+    return counts
+
+
 def fold(spark: SparkSession, messages_path: str) -> int:
     """Write messages and their analysis as one whole version, then start an empty analysis."""
     version = write_messages(read_messages(spark, messages_path), messages_path)
-    write_snapshot(spark.createDataFrame([], ANALYSIS), analysis_path(messages_path))
+    write_snapshot(
+        spark.createDataFrame([], ANALYSIS), analysis_path(messages_path), buckets=_buckets(spark, messages_path)
+    )
     return version
 
 

@@ -7,6 +7,7 @@ a list of inputs. Tasks stream Arrow batches through it, so no partition is held
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 from echolens.functions.clock import Clock
 from echolens.functions.text import strip, truncate
 from echolens.operators import tables, vectors
-from echolens.operators.analysed import ANALYSIS, analysis_path, append_analysis, read_messages, refresh_days
+from echolens.operators.analysed import (
+    ANALYSIS, analysis_path, append_analysis, messages_with, queued_ids, read_messages, refresh_days,
+)
 from echolens.operators.plan import evaluated_once, materialised
 from echolens.schemas import CHAT, CONTENT_TYPES, EMOTIONS, LABELS, SENTIMENTS, TOPICS, VECTORS
 from echolens.sources.snapshots import read_snapshot, write_snapshot
@@ -32,6 +35,7 @@ DEFAULT_LABELS = {
     "content_type": "discussion",
 }
 ON_ERROR_DEFAULTS, ON_ERROR_SKIP = "defaults", "skip"
+NO_ANSWER = "NoAnswer: the model gave none"
 
 
 def _chunks(batch: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
@@ -109,39 +113,59 @@ def sentiment_prompts(messages: DataFrame, system: str, longest: int | None = No
     return messages.select("id", prompt.cast(CHAT).alias("prompt"))
 
 
+def _error(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
 def classify(
     prompts: DataFrame,
     load_classifier: Callable[[], Classifier],
     on_error: str = ON_ERROR_DEFAULTS,
     batch_size: int = 8,
+    errors: bool = False,
 ) -> DataFrame:
     """Model ``response`` per prompt. A failed prompt gets NULL, or is left out with ``skip``.
 
-    When a batch fails its prompts are tried one by one, so one bad message costs no other.
+    When a batch fails its prompts are tried one by one, so one bad message costs no other. With ``errors`` the column
+    ``error`` says what went wrong, NULL where nothing did, so that failures can be counted and told apart.
     """
 
-    def one_by_one(model: Classifier, asked: list) -> list[str | None]:
-        answers: list[str | None] = []
+    def one_by_one(model: Classifier, asked: list) -> tuple[list[str | None], list[str | None]]:
+        answers, failed = [], []
         for prompt in asked:
             try:
-                answers.extend(model([prompt]))
-            except Exception:
+                (answer,) = model([prompt])
+                answers.append(answer)
+                failed.append(None)
+            except Exception as error:  # whatever a model raises; it is named in the result
                 answers.append(None)
-        return answers
+                failed.append(_error(error))
+        return answers, failed
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_classifier()
         for batch in batches:
             for chunk in _chunks(batch, batch_size):
                 asked = [[dict(turn) for turn in prompt] for prompt in chunk["prompt"]]
+                failed: list[str | None] = [None] * len(asked)
                 try:
                     answers = list(model(asked))
+                    if len(answers) != len(asked):
+                        raise ValueError(f"{len(answers)} answers to {len(asked)} prompts")
                 except Exception:
-                    answers = one_by_one(model, asked)
-                yield pd.DataFrame({"id": chunk["id"].to_numpy(), "response": answers})
+                    answers, failed = one_by_one(model, asked)
+                failed = [f or (NO_ANSWER if a is None else None) for a, f in zip(answers, failed)]
+                yield pd.DataFrame({"id": chunk["id"].to_numpy(), "response": answers, "error": failed}, dtype=object)
+
+    responses = prompts.mapInPandas(run, "id string, response string, error string")
+    responses = responses.where(F.col("response").isNotNull()) if on_error == ON_ERROR_SKIP else responses
+    return responses if errors else responses.drop("error")
 
-    responses = prompts.mapInPandas(run, "id string, response string")
-    return responses.where(F.col("response").isNotNull()) if on_error == ON_ERROR_SKIP else responses
+
+def error_counts(rows: DataFrame) -> DataFrame:
+    """How many rows failed by kind of error."""
+    kind = F.split_part("error", F.lit(":"), F.lit(1)).alias("error")
+    return rows.where(F.col("error").isNotNull()).groupBy(kind).agg(F.count("*").alias("count"))
 
 
 def response_json(response: Column) -> Column:
@@ -191,18 +215,23 @@ def run_embedding_job(
     What is written grows with the queue, not with the tables. The vectors are a complete version before any message
     is marked; a run lost in between is made up by the next, which marks what has a vector without embedding it again.
     """
-    queue = tables.embedding_queue(read_messages(spark, messages_path), limit)
+    chosen = materialised(queued_ids(spark, messages_path, tables.embedding_queue, limit))
     known = read_snapshot(spark, vectors_path, VECTORS).select("id")
-    write_snapshot(
-        vector_records(queue.join(known, "id", "left_anti"), load_embedder), vectors_path,
-        partition_by="source", sort_by="id", added=True,
-    )
+    queue = messages_with(spark, messages_path, chosen.join(known, "id", "left_anti"))
+    write_snapshot(vector_records(queue, load_embedder), vectors_path, partition_by="source", sort_by="id", added=True)
     written = read_snapshot(spark, vectors_path, VECTORS).select("id")
-    marks = queue.select("id").join(written, "id", "left_semi").withColumn("embedding_id", F.col("id"))
+    marks = chosen.join(written, "id", "left_semi").withColumn("embedding_id", F.col("id"))
     version = append_analysis(marks, messages_path, as_of)
     return read_snapshot(spark, analysis_path(messages_path), ANALYSIS, version, since=version).count()
 
 
+class SentimentRun(NamedTuple):
+    """Messages that were labelled, and those that were not by kind of error."""
+
+    processed: int
+    failed: dict[str, int]
+
+
 def run_sentiment_job(
     spark: SparkSession,
     messages_path: str,
@@ -212,21 +241,26 @@ def run_sentiment_job(
     product: str,
     limit: int | None = None,
     as_of: Clock = None,
-) -> int:
-    """Label the queue, add the labels and refresh the days they touch. Returns the queued rows.
+) -> SentimentRun:
+    """Label the queue, add the labels and refresh the days they touch.
 
-    The answers are written once, below ``labels_path``, before they are used, so a lost executor never asks the model
-    twice for labels that then differ. A message whose answer failed stays in the queue.
+    The answers are written once, with their errors, below ``labels_path``, before they are used, so a lost executor never
+    asks the model twice for labels that then differ. A message whose answer failed stays in the queue. If every answer
+    failed, the model is at fault rather than a message: the run raises.
     """
-    queue = tables.sentiment_queue(read_messages(spark, messages_path), limit)
-    processed = queue.count()
-    if not processed:
-        return 0
-    prompts = sentiment_prompts(queue, taxonomy_text(product))
-    answers = parse_responses(classify(prompts, load_classifier, ON_ERROR_SKIP))
+    chosen = materialised(queued_ids(spark, messages_path, tables.sentiment_queue, limit))
+    if chosen.isEmpty():
+        return SentimentRun(0, {})
+    prompts = sentiment_prompts(messages_with(spark, messages_path, chosen), taxonomy_text(product))
+    answers = parse_responses(classify(prompts, load_classifier, errors=True))
     version = write_snapshot(answers, labels_path, added=True)
-    labels = read_snapshot(spark, labels_path, answers.schema, version, since=version)
+    answers = read_snapshot(spark, labels_path, answers.schema, version, since=version)
+    failed = {row["error"]: row["count"] for row in error_counts(answers).collect()}  # a row for each kind of error
+    labels = answers.where(F.col("error").isNull()).drop("error")
+    processed = labels.count()
+    if not processed:
+        raise RuntimeError(f"the model failed for every message: {failed}")
     append_analysis(labels, messages_path, as_of)
     current = read_messages(spark, messages_path)
     refresh_days(spark, current, current.join(labels.select("id"), "id", "left_semi"), metrics_path)
-    return processed
+    return SentimentRun(processed, failed)

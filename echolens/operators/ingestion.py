@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.functions.clock import Clock, now
+from echolens.operators.plan import materialised
 from echolens.operators.tables import new_messages, update_ingestion_state
 from echolens.schemas import INGESTION_STATE, MESSAGES
 from echolens.sources.github import since_filter
-from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
+from echolens.sources.snapshots import holding, read_snapshot, write_messages, write_snapshot
 
 Normaliser = Callable[[DataFrame], DataFrame]
 
@@ -27,6 +28,19 @@ def fresh_messages(
     return new_messages(stored.where(F.col("source") == source), rows.select(*stored.columns))
 
 
+def insert(rows: DataFrame, messages_path: str, source: str | None = None) -> int:
+    """Add the messages that the stored table does not hold yet; returns the version.
+
+    Of the table only versions are opened whose key range and filter admit an id of ``rows``, and of those only the ids,
+    with ``source`` only its own.
+    """
+    spark = rows.sparkSession
+    rows = materialised(rows.select(*MESSAGES.names))
+    stored = read_snapshot(spark, messages_path, MESSAGES, only=holding(spark, messages_path, rows.select("id")))
+    stored = stored.where(F.col("source") == source) if source else stored
+    return write_messages(new_messages(stored, rows), messages_path, added=True)
+
+
 def state_row(inserted: DataFrame, source: str, as_of: Clock = None) -> DataFrame:
     """The row that remembers a run: when it was, its newest item (NULL if it added none) and how many it added."""
     newest = F.max(F.struct("created_at", "source_id"))
@@ -54,10 +68,8 @@ def run_ingestion(
     The messages are a complete version before the state moves, so a run that is lost in between is repeated and adds
     nothing twice.
     """
-    stored = read_snapshot(spark, messages_path, MESSAGES)
     state = read_snapshot(spark, state_path, INGESTION_STATE)
-    fresh = fresh_messages(stored, state, landed, source, normalise)
-    version = write_messages(fresh, messages_path, added=True)
+    version = insert(since_filter(normalise(landed), state, "created_at"), messages_path, source)
     inserted = read_snapshot(spark, messages_path, MESSAGES, version, since=version)
     write_snapshot(state_after(state, inserted, source, as_of), state_path)
     return inserted.count()

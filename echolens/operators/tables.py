@@ -6,6 +6,8 @@ in the snapshot; several delta rows for one id are reduced before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def update_ingestion_state(state: DataFrame, rows: DataFrame) -> DataFrame:
 def update_analysis(
     messages: DataFrame,
     delta: DataFrame,
-    order_by: str | None = None,
+    order_by: str | Sequence[str] | None = None,
     as_of: Clock = None,
     stamp: str | None = None,
 ) -> DataFrame:
@@ -81,7 +83,8 @@ def update_analysis(
 
     ``delta`` has ``id`` and any of the label columns, ``topics`` (array) and ``embedding_id``. An empty
     topics array does overwrite. ``processed_at`` moves only where a label or topic was given. Ids not
-    stored are ignored. Later rows by ``order_by`` win per field; without it, the first rows by a hash of the row.
+    stored are ignored. Later rows by ``order_by`` win per field, of equal ones that with the larger hash of the row;
+    without it, the first rows by that hash.
     ``stamp`` names the column of ``delta`` that says when a row was made; without it, that is now.
     """
     fields = [name for name in (*_LABELS, "topics", "embedding_id") if name in delta.columns]
@@ -96,10 +99,8 @@ def update_analysis(
     if order_by is None:
         delta = first_per_key(delta, "id")
     else:
-        last = [
-            F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order_by))).alias(name)
-            for name in fields
-        ]
+        order = F.struct(*[F.col(name) for name in ([order_by] if isinstance(order_by, str) else order_by)], row_hash(delta))
+        last = [F.max_by(name, F.when(F.col(name).isNotNull(), order)).alias(name) for name in fields]
         delta = delta.groupBy("id").agg(*last, F.max("_analysed").alias("_analysed"), F.max("_made").alias("_made"))
     given = {name: f"_new_{name}" for name in fields}
     delta = delta.select("id", "_analysed", "_made", *[F.col(name).alias(new) for name, new in given.items()])
@@ -129,8 +130,8 @@ def reset_embeddings(messages: DataFrame) -> DataFrame:
 
 
 def clear_source(table: DataFrame, source: str) -> DataFrame:
-    """Any of the tables without one source. It goes by the column, not by the id prefix."""
-    return table.where(F.col("source") != source)
+    """Any of the tables without one source. It goes by the column, not by the id prefix; rows without a source stay."""
+    return table.where(~F.col("source").eqNullSafe(source))
 
 
 def cleared_counts(source: str, **tables: DataFrame) -> DataFrame:

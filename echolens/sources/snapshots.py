@@ -1,24 +1,65 @@
 """Versioned Parquet tables and JSON-lines files.
 
 A table is a folder of numbered folders: ``version=N-whole`` holds the whole table, ``version=N-added`` only
-the rows added to the version before, so an insert does not copy the table. A write makes a new folder and
+the rows added to the version before, so an insert does not copy the table. ``version=N-removed_source`` and
+``version=N-removed_key`` hold what is gone from all versions before, and ``version=N-voided_<column>`` says that a column of
+all rows before is NULL: readers apply them, so a delete lasts and costs its own size only. A write makes a new folder and
 never touches those being read; a folder counts once its ``_SUCCESS`` marker is there, so a lost job leaves
-the table as it was. A table has one writer at a time.
+the table as it was. A table has one writer at a time. ``compact`` folds all into a whole version, ``vacuum`` deletes what
+came before it.
+
+A table may be bucketed by a key: every version deals its rows to the same number of buckets, all versions are one scan,
+and joins and aggregates by the key need no shuffle. The session's catalog then knows each state of the table that was read,
+under a name made from its path and versions, with the versions as partitions. Beside each version of it lie its key range and a Bloom filter of its keys, in blocks
+that Spark's bitmap aggregate builds, so that a look-up opens only versions that may hold one of its keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Collection
+from dataclasses import dataclass
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolens.functions.text import strip
 
-_PREFIX, _WHOLE, _ADDED = "version=", "-whole", "-added"
+_PREFIX, WHOLE, ADDED = "version=", "whole", "added"
+_REMOVED_SOURCE, _REMOVED_KEY, _VOIDED = "removed_source", "removed_key", "voided_"
+_BUCKETS = "_buckets="
+_FACTS = "version string, n long, low string, high string, blocks long"
+#: Bits of one block of a Bloom filter, as many as the bitmap aggregate gives; bits for each key and places they are set at.
+_BLOCK_BITS, _KEY_BITS, _PLACES = 32_768, 16, 8
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """The key and number of a table's buckets, and the column whose values have folders of their own, if any."""
+
+    key: str
+    number: int
+    folders: str = ""
 
+    @property
+    def marker(self) -> str:
+        return f"{_BUCKETS}{self.key}={self.number}={self.folders}"
 
-def _folder(path: str, version: int, added: bool = False) -> str:
-    return f"{path.rstrip('/')}/{_PREFIX}{version:010d}{_ADDED if added else _WHOLE}"
+
+@dataclass(frozen=True)
+class _Version:
+    number: int
+    kind: str
+
+    @property
+    def name(self) -> str:
+        return f"{self.number:010d}-{self.kind}"
+
+    @property
+    def has_rows(self) -> bool:
+        return self.kind in (WHOLE, ADDED)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -31,41 +72,157 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(jvm_path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
-    """Complete versions in order, each with whether it only adds rows."""
-    system, jvm_path = _file_system(spark, path)
-    if not system.exists(jvm_path):
-        return []
-    names = [status.getPath().getName() for status in system.listStatus(jvm_path)]
-    found = [
-        (int(name.removeprefix(_PREFIX).split("-")[0]), name.endswith(_ADDED))
-        for name in names
-        if name.startswith(_PREFIX)
-    ]
-    return sorted(v for v in found if exists(spark, _folder(path, *v) + "/_SUCCESS"))
+def _base(path: str) -> str:
+    return path.rstrip("/")
+
+
+def _folder(path: str, version: _Version) -> str:
+    return f"{_base(path)}/{_PREFIX}{version.name}"
+
+
+def _filters_path(path: str) -> str:
+    return _base(path) + "-filters"
+
+
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match."""
+    system, jvm_path = _file_system(spark, pattern)
+    return [status.getPath().toString() for status in system.globStatus(jvm_path) or ()]
+
+
+def _versions(spark: SparkSession, path: str) -> list[_Version]:
+    """Complete versions in order, from one listing."""
+    found = []
+    for marker in _names(spark, f"{_base(path)}/{_PREFIX}*/_SUCCESS"):
+        number, kind = marker.rsplit("/", 2)[1].removeprefix(_PREFIX).split("-", 1)
+        found.append(_Version(int(number), kind))
+    return sorted(found, key=lambda v: v.number)
+
+
+def buckets_of(spark: SparkSession, path: str) -> Buckets | None:
+    """How the table is bucketed, if it is."""
+    for name in _names(spark, f"{_base(path)}/{_BUCKETS}*"):
+        key, number, folders = name.rsplit("/", 1)[1].removeprefix(_BUCKETS).split("=")
+        return Buckets(key, int(number), folders)
+    return None
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
     """Number of the newest complete version."""
     versions = _versions(spark, path)
-    return versions[-1][0] if versions else None
+    return versions[-1].number if versions else None
+
+
+def live_versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the versions that hold the table's rows."""
+    versions = _versions(spark, path)
+    whole = max((v.number for v in versions if v.kind == WHOLE), default=0)
+    return [v.name for v in versions if v.has_rows and v.number >= whole]
+
+
+# States of tables that the catalog of an application knows: the versions by path and catalog name.
+_KNOWN: dict[tuple[str, str], dict[str, list[str]]] = {}
+_NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _partitions(spark: SparkSession, path: str, buckets: Buckets, name: str) -> list[str]:
+    """The version's folders, one or one for each value, as clauses that add them to a catalog table."""
+    folder = f"{_base(path)}/{_PREFIX}{name}"
+    if not buckets.folders:
+        return [f"PARTITION (version = '{name}') LOCATION {_quoted(folder)}"]
+    clauses = []
+    for inner in _names(spark, f"{folder}/{buckets.folders}=*"):
+        value = unquote(inner.rsplit("/", 1)[1].removeprefix(f"{buckets.folders}="))
+        value = "NULL" if value == _NULL_FOLDER else _quoted(value)
+        clauses.append(f"PARTITION (version = '{name}', {buckets.folders} = {value}) LOCATION {_quoted(inner)}")
+    return clauses
+
+
+def _bucketed_rows(spark: SparkSession, path: str, schema: T.StructType, buckets: Buckets, names: list[str]) -> DataFrame:
+    """The versions as one bucketed scan, of a table that the session's catalog is told of.
+
+    A state of the table has a catalog table of its own, so what was read once stays the same whatever is written later.
+    """
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    table = "stored_" + hashlib.md5(" ".join([path, columns, *names]).encode()).hexdigest()
+    known = _KNOWN.setdefault((spark.sparkContext.applicationId, _base(path)), {})
+    if table not in known:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        by = "version" + (f", {buckets.folders}" if buckets.folders else "")
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}, version STRING) USING parquet PARTITIONED BY ({by}) CLUSTERED BY ({buckets.key}) "
+            f"SORTED BY ({buckets.key}) INTO {buckets.number} BUCKETS LOCATION {_quoted(_base(path))}"
+        )
+        clauses = [clause for name in names for clause in _partitions(spark, path, buckets, name)]
+        if clauses:
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS " + " ".join(clauses))
+        known[table] = list(names)
+    return spark.table(table)
+
+
+def _number() -> Column:
+    return F.substring("version", 1, 10).cast("long")
+
+
+def _marks(spark: SparkSession, path: str, versions: list[_Version], column: str) -> DataFrame:
+    """The values removed and the newest version that removes them."""
+    rows = spark.read.option("basePath", path).parquet(*[_folder(path, v) for v in versions])
+    return rows.groupBy(F.col(column).alias("_mark")).agg(F.max(_number()).alias("_before"))
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, schema: T.StructType, version: int | None = None, since: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    version: int | None = None,
+    since: int | None = None,
+    only: Collection[str] | None = None,
+    with_version: bool = False,
 ) -> DataFrame:
     """The table as of the given or newest version; an empty table where there is none.
 
-    ``since`` names the first version to read: only what it and later ones added.
+    ``since`` names the first version to read: only what it and later ones added. ``only`` names the versions to open, of
+    those that are live. ``with_version`` adds the number of the version that holds the row, ``_version``.
     """
-    versions = [v for v in _versions(spark, path) if version is None or v[0] <= version]
-    whole = max((number for number, added in versions if not added), default=0) if since is None else since
-    folders = [_folder(path, *v) for v in versions if v[0] >= whole]
-    if not folders:
-        return spark.createDataFrame([], schema)
-    # The base path makes the version a partition column, so all folders are one scan.
-    rows = spark.read.schema(schema).option("basePath", path).parquet(*folders)
-    return rows.select(*schema.names)
+    versions = [v for v in _versions(spark, path) if version is None or v.number <= version]
+    whole = max((v.number for v in versions if v.kind == WHOLE), default=0) if since is None else since
+    live = [v.name for v in versions if v.has_rows and v.number >= whole]
+    names = live if only is None else [name for name in live if name in only]
+    if not names:
+        rows = spark.createDataFrame([], schema)
+        return rows.withColumn("_version", F.lit(0).cast("long")) if with_version else rows
+    buckets = buckets_of(spark, path)
+    if buckets:
+        rows = _bucketed_rows(spark, path, schema, buckets, live)
+        rows = rows if names == live else rows.where(F.col("version").isin(names))
+    else:  # the base path makes the version a partition column, so all folders are one scan
+        rows = spark.read.schema(schema).option("basePath", path).parquet(*[f"{_base(path)}/{_PREFIX}{name}" for name in names])
+    rows = rows.select(*schema.names, _number().alias("_version"))
+    marks = [v for v in versions if not v.has_rows and v.number > whole]
+    for column, kind in (("source", _REMOVED_SOURCE), (buckets.key if buckets else "id", _REMOVED_KEY)):
+        removed = [v for v in marks if v.kind == kind]
+        if removed:
+            gone = _marks(spark, path, removed, column)
+            if buckets and kind == _REMOVED_KEY:
+                gone = gone.repartition(buckets.number, "_mark")  # meets the buckets where they are
+            rows = rows.join(gone, (F.col(column) == F.col("_mark")) & (F.col("_version") < F.col("_before")), "left_anti")
+    for mark in marks:
+        if mark.kind.startswith(_VOIDED):
+            column = mark.kind.removeprefix(_VOIDED)
+            rows = rows.withColumn(column, F.when(F.col("_version") >= mark.number, F.col(column)))
+    return rows if with_version else rows.select(*schema.names)
+
+
+def _next_version(spark: SparkSession, path: str, kind: str) -> _Version:
+    version = _Version((latest_version(spark, path) or 0) + 1, kind)
+    for leftover in _names(spark, f"{_base(path)}/{_PREFIX}{version.number:010d}-*"):  # of a job that was lost
+        system, jvm_path = _file_system(spark, leftover)
+        system.delete(jvm_path, True)
+    return version
 
 
 def write_snapshot(
@@ -74,13 +231,25 @@ def write_snapshot(
     partition_by: str | None = None,
     sort_by: str | None = None,
     added: bool = False,
+    buckets: Buckets | None = None,
 ) -> int:
     """Write ``rows`` as a new version, the whole table or only ``added`` rows; returns its number.
 
     ``partition_by`` lets readers skip folders; rebalancing splits a value that holds most rows over
-    several files. ``sort_by`` orders each file for row-group skipping.
+    several files. ``sort_by`` orders each file for row-group skipping. ``buckets`` makes a new table bucketed; one that
+    exists stays as it is.
     """
-    version = (latest_version(rows.sparkSession, path) or 0) + 1
+    spark = rows.sparkSession
+    version = _next_version(spark, path, ADDED if added else WHOLE)
+    held = buckets_of(spark, path)
+    if held is None and buckets and version.number == 1:
+        held = buckets
+        system, marker = _file_system(spark, f"{_base(path)}/{held.marker}")
+        system.create(marker).close()
+    if held:
+        _write_bucketed(rows, _folder(path, version), held)
+        _write_filter(spark, path, version, rows.schema, held)
+        return version.number
     if partition_by:
         rows = rows.hint("rebalance", partition_by)
     order = [name for name in (partition_by, sort_by) if name]
@@ -89,17 +258,130 @@ def write_snapshot(
     writer = rows.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(_folder(path, version, added))
-    return version
+    writer.parquet(_folder(path, version))
+    return version.number
+
+
+def _write_bucketed(rows: DataFrame, folder: str, buckets: Buckets) -> None:
+    """One sorted file for each bucket (and folder). Bucketed files are written through a table of the catalog, which is then forgotten."""
+    table = "written_" + hashlib.md5(folder.encode()).hexdigest()
+    dealt = rows.repartition(buckets.number, buckets.key)
+    writer = dealt.write.format("parquet").bucketBy(buckets.number, buckets.key).sortBy(buckets.key)
+    if buckets.folders:
+        writer = writer.partitionBy(buckets.folders)
+    writer.option("path", folder).mode("overwrite").saveAsTable(table)
+    rows.sparkSession.sql(f"DROP TABLE {table}")
+
+
+def _places(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(_BLOCK_BITS)) for i in range(1, _PLACES + 1)]
+
+
+def _write_filter(spark: SparkSession, path: str, version: _Version, schema: T.StructType, buckets: Buckets) -> None:
+    """The range of the version's keys and a Bloom filter of them: each key sets its places in the block its hash names.
+
+    The filter has a row for each 4 KB block, so it is built and looked up in parallel and grows with the version.
+    """
+    keys = spark.read.schema(schema).parquet(_folder(path, version)).select(F.col(buckets.key).cast("string").alias("key"))
+    facts = keys.where("key is not null").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    n, low, high = facts.first()
+    blocks = max(-(-n * _KEY_BITS // _BLOCK_BITS), 1)
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
+    bits = keys.where("key is not null").select(block, F.explode(F.array(*_places(F.col("key")))).alias("place"))
+    bits = bits.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
+    bits.write.mode("overwrite").parquet(f"{_filters_path(path)}/blocks/{_PREFIX}{version.name}")
+    row = spark.createDataFrame([(version.name, n, low, high, blocks)], _FACTS)
+    row.coalesce(1).write.mode("overwrite").json(f"{_filters_path(path)}/facts/{version.name}")
+
+
+def holding(spark: SparkSession, path: str, keys: DataFrame) -> list[str]:
+    """Names of the live versions that may hold one of ``keys`` (one column). Versions without a filter count as well.
+
+    Every version's facts reach the driver, one row each; the keys are compared with its range and its filter in Spark.
+    """
+    live = live_versions(spark, path)
+    folders = [name for name in live if exists(spark, f"{_filters_path(path)}/facts/{name}/_SUCCESS")]
+    if not folders:
+        return live
+    facts = spark.read.schema(_FACTS).json([f"{_filters_path(path)}/facts/{name}" for name in folders]).collect()
+    ranges = [row for row in facts if row["n"]]
+    open_ = sorted(set(live) - set(folders))
+    if not ranges:
+        return open_
+    versions = F.array(*[
+        F.struct(*[F.lit(row[name]).alias(name) for name in ("version", "low", "high", "blocks")]) for row in ranges
+    ])
+    asked = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).where("key is not null").distinct()
+    asked = asked.select("key", F.inline(versions)).where("key between low and high")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    root = f"{_filters_path(path)}/blocks"
+    filters = spark.read.schema("block long, bits binary, version string").option("basePath", root).parquet(
+        *[f"{root}/{_PREFIX}{row['version']}" for row in ranges]
+    )
+    hits = asked.join(filters, ["version", "block"])
+    for place in _places(F.col("key")):
+        byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hits = hits.where(F.getbit(byte, (place % 8).cast("int")) == 1)
+    return sorted(open_ + [row[0] for row in hits.select("version").distinct().collect()])
+
+
+def _mark(rows: DataFrame, path: str, kind: str) -> int:
+    version = _next_version(rows.sparkSession, path, kind)
+    rows.write.mode("overwrite").parquet(_folder(path, version))
+    return version.number
+
+
+def remove_source(spark: SparkSession, path: str, source: str) -> int:
+    """From now on the table has no rows of a source, until some are added again; rows with a NULL source stay."""
+    return _mark(spark.createDataFrame([(source,)], "source string"), path, _REMOVED_SOURCE)
+
+
+def remove_keys(keys: DataFrame, path: str) -> int:
+    """From now on the table has no rows with these keys (one column), until some are added again."""
+    held = buckets_of(keys.sparkSession, path)
+    name = held.key if held else "id"
+    return _mark(keys.select(F.col(keys.columns[0]).alias(name)).where(F.col(name).isNotNull()), path, _REMOVED_KEY)
+
+
+def void_column(spark: SparkSession, path: str, column: str) -> int:
+    """From now on a column is NULL in all rows there are."""
+    return _mark(spark.createDataFrame([(column,)], "voided string"), path, _VOIDED + column)
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, partition_by: str | None = None) -> int:
-    """One whole version instead of many that added rows; returns its number."""
+    """One whole version instead of many that added or removed rows; returns its number."""
     return write_snapshot(read_snapshot(spark, path, schema), path, partition_by)
 
 
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Delete what came before the last ``keep`` whole versions, for readers that started long ago; returns the names."""
+    versions = _versions(spark, path)
+    wholes = [v.number for v in versions if v.kind == WHOLE]
+    if len(wholes) < keep:
+        return []
+    old = [v for v in versions if v.number < wholes[-keep]]
+    gone, known = {v.name for v in old}, _KNOWN.get((spark.sparkContext.applicationId, _base(path)), {})
+    for table in [table for table, names in known.items() if gone & set(names)]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        del known[table]
+    for v in old:
+        for folder in (
+            _folder(path, v), f"{_filters_path(path)}/facts/{v.name}", f"{_filters_path(path)}/blocks/{_PREFIX}{v.name}"
+        ):
+            system, jvm_path = _file_system(spark, folder)
+            system.delete(jvm_path, True)
+    return [v.name for v in old]
+
+
 def write_messages(messages: DataFrame, path: str, added: bool = False) -> int:
-    return write_snapshot(messages, path, partition_by="source", sort_by="created_at", added=added)
+    """A table of messages has a folder for each source, bucketed by id."""
+    return write_snapshot(messages, path, added=added, buckets=default_buckets(messages.sparkSession, folders="source"),
+                          partition_by="source", sort_by="created_at")
+
+
+def default_buckets(spark: SparkSession, key: str = "id", folders: str = "") -> Buckets:
+    """As many buckets as the session shuffles to when the table is first written."""
+    return Buckets(key, int(spark.conf.get("spark.sql.shuffle.partitions")), folders)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

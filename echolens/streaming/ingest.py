@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from echolens.operators.ingestion import state_after
-from echolens.operators.tables import new_messages
+from echolens.operators.ingestion import insert, state_after
 from echolens.schemas import INGESTION_STATE, MESSAGES
 from echolens.sources.landing import ATOM_ENTRY, LANDED
-from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
+from echolens.sources.snapshots import read_snapshot, write_snapshot
 
 ATOM = "atom"
 
@@ -41,18 +39,16 @@ def ingest(
     else:
         landed = spark.readStream.schema(LANDED[kind]).json(landing_path)
 
-    def insert(batch: DataFrame, batch_id: int) -> None:
+    def add(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        stored = read_snapshot(session, messages_path, MESSAGES)
-        stored = stored.where(F.col("source") == source) if source else stored
-        version = write_messages(new_messages(stored, normalise(batch)), messages_path, added=True)
+        version = insert(normalise(batch), messages_path, source)
         if source and state_path:
             inserted = read_snapshot(session, messages_path, MESSAGES, version, since=version)
             state = read_snapshot(session, state_path, INGESTION_STATE)
             write_snapshot(state_after(state, inserted, source), state_path)
 
     return (
-        landed.writeStream.foreachBatch(insert)
+        landed.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
         .start()

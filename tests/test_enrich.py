@@ -11,6 +11,8 @@ from echolens.schemas import MESSAGES, VECTORS
 from echolens.operators.analysed import ANALYSIS, analysis_path, fold, read_messages
 from echolens.sources.snapshots import latest_version, read_snapshot, write_messages, write_snapshot
 
+import pytest
+
 from conftest import START
 
 # The models below travel to the workers by value; workers cannot import this module.
@@ -93,7 +95,7 @@ def test_sentiment_job(spark, make_messages, tmp_path):
         {"id": "a"}, {"id": "b", "content": "bad"}, {"id": "c", "source": "docs"}, {"id": "d", "sentiment_simple": "positive"}
     )
     write_messages(rows, paths[0])
-    assert enrich.run_sentiment_job(spark, *paths, _load_failing, "Acme", as_of=START) == 2
+    assert enrich.run_sentiment_job(spark, *paths, _load_failing, "Acme", as_of=START) == (1, {"RuntimeError": 1})
     found = {r.id: r for r in read_messages(spark, paths[0]).collect()}
     assert (found["a"].sentiment_simple, found["a"].topics, found["a"].processed_at) == ("negative", '["pricing"]', START)
     assert found["b"].sentiment_simple is None and found["c"].sentiment_simple is None
@@ -101,12 +103,36 @@ def test_sentiment_job(spark, make_messages, tmp_path):
     assert [(r.source, r.total_messages, r.negative_count) for r in rollup] == [("github", 1, 1)]
     later = make_messages({"id": "e", "created_at": START + timedelta(days=1)})
     write_messages(later, paths[0], added=True)
-    assert enrich.run_sentiment_job(spark, *paths, _load_failing, "Acme", as_of=START) == 2  # the failed one and the new one
+    assert enrich.run_sentiment_job(spark, *paths, _load_failing, "Acme", as_of=START) == (1, {"RuntimeError": 1})  # the new one and the failed one
     rollup = read_snapshot(spark, paths[2], metrics.daily_metrics(rows).schema)
     assert sorted(rollup.collect()) == sorted(metrics.daily_metrics(read_messages(spark, paths[0])).collect())
     assert latest_version(spark, paths[0]) == 2
 
 
+def test_errors_are_named_and_counted(spark, make_messages, tmp_path):
+    def load():
+        def answer(prompts):
+            texts = [p[1]["content"] for p in prompts]
+            if any("key" in t for t in texts):
+                raise KeyError("k")
+            return [None if "none" in t else "{}" for t in texts][: 1 if any("short" in t for t in texts) else None]
+
+        return answer
+
+    rows = make_messages(*[{"id": t + str(i), "content": t} for i, t in enumerate(["good", "key", "none", "key", "good", "short"])])
+    prompts = enrich.sentiment_prompts(rows, "x")
+    got = enrich.classify(prompts, load, batch_size=3, errors=True)
+    assert {r["id"]: r["error"] for r in got.collect() if r["error"]} == {
+        "key1": "KeyError: 'k'", "key3": "KeyError: 'k'", "none2": enrich.NO_ANSWER
+    }
+    assert {tuple(r) for r in enrich.error_counts(got).collect()} == {("KeyError", 2), ("NoAnswer", 1)}
+    paths = [str(tmp_path / name) for name in ("messages", "labels", "metrics")]
+    write_messages(rows.where("content = 'key'"), paths[0])
+    with pytest.raises(RuntimeError, match="KeyError"):
+        enrich.run_sentiment_job(spark, *paths, load, "Acme")
+    assert read_messages(spark, paths[0]).where("sentiment_simple is not null").isEmpty()
+
+
 def test_search_text_and_context(spark, make_messages):
     rows = make_messages(
         {"id": "a", "content": "aaaa", "url": "https://u"}, {"id": "e", "content": "eeee" + "x" * 600}, {"id": "i", "content": "iiii"}
