@@ -16,7 +16,11 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class _Runs(dict):
-    """From a run of other characters than white space to the bytes of its ids."""
+    """From a run of other characters than white space, or a word of it, to the bytes of its ids.
+
+    A run is cut into words by the vocabulary's pattern, and each word goes through the library's BPE once, whatever
+    punctuation it stands with. The memory starts anew when it is full.
+    """
 
     def __init__(self, tokenizer: Tokenizer, pattern: regex.Pattern, dtype: np.dtype, most: int) -> None:
         super().__init__()
@@ -24,17 +28,18 @@ class _Runs(dict):
         self.byte_names = str.maketrans(_byte_characters())
 
     def __missing__(self, run: str) -> bytes:
-        ids = []
-        for word in (run,) if run.isalpha() else self.pattern.findall(run):
-            plain = word.isascii() and word.isprintable()
-            named = word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.byte_names)
-            ids += [token.id for token in self.model.tokenize(named)]
-        found = np.array(ids, self.dtype).tobytes()
+        words = (run,) if run.isalpha() else self.pattern.findall(run)
+        found = b"".join(map(self.__getitem__, words)) if len(words) > 1 else self._encoded(run)
         if len(self) >= self.most:
             self.clear()
         self[run] = found
         return found
 
+    def _encoded(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()
+        named = word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.byte_names)
+        return np.array([token.id for token in self.model.tokenize(named)], self.dtype).tobytes()
+
 
 def _byte_characters() -> dict[int, str]:
     """Byte-level vocabularies name a byte by its printable Latin-1 character, the rest by those from 256 on, in order."""
@@ -46,11 +51,11 @@ def _byte_characters() -> dict[int, str]:
 class WordTokenizer:
     """Ids as the library gives them for the whole text, without special tokens added.
 
-    Composition, lower case and the cut at white space are done here for whole texts; each different run is cut into
-    words and goes through the library's BPE once. Texts that hold the string of a special token go through it whole.
+    Composition, lower case and the cut at white space are done here for whole texts, the words of each different run are
+    looked up or made. Texts that hold the string of a special token go through it whole.
     """
 
-    def __init__(self, path: str, most_runs: int = 600_000) -> None:
+    def __init__(self, path: str, most_runs: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             setup = json.load(file)
