@@ -7,11 +7,16 @@ on the sets.
 
 The space of points is dealt to the tasks without losing a pair. Documents are dealt by size into classes; two that
 link differ in few n-grams for the sizes of their class, so when the groups are cut into somewhat more runs than that, at
-least one run has equal counts, down to the finest groups, in both. A cell is a class, a run and its counts. A cell's
-members are verified with one of them first, and the links found form components. Where a cell still holds several
-components, its members are packed into an R-tree, and boxes and then points of different components are compared.
-Large cells are cut into blocks that meet pairwise. Nothing is capped, so no link between different components is
-lost; pairs within a component are not written.
+least one run has equal contents, down to the finest groups, in both. A cell is a class, a run and its contents.
+
+First every document goes to one other, the most popular that it shares a cell with, which has most partners in its cells: the
+original among its copies. If the counts allow a link, both are dealt to the popular one's group. A group's sets meet in one task
+(blocks of bounded size in large groups, each with the popular set), which packs their points into an R-tree, compares
+boxes and then points, verifies the pairs that pass on the sets, skips those that links connect already, and writes
+links, fewer than it has members. So a set is shipped once and pairs are never rows. The links form components. Cells that still
+hold several are gone through again: members with their cell's most popular one, then, where several components remain,
+members among each other, in R-trees of the cells. Large cells are cut into blocks that meet pairwise there. Nothing is capped,
+so no link between different components is lost.
 
 Words are runs of other characters than ASCII white space, A-Z lower-cased. A text of fewer words than n is one
 n-gram; null texts and texts without words have none and link with nothing. Equal sets are one node from the start,
@@ -28,13 +33,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.llm.common import CHUNK_CHARS, chunks, cut, stored
 from echolens.llm.components import components
 
-GROUPS = 256
+#: Groups of a small set's point, and n-grams that share a group on average at most before a larger set's are doubled: counts of
+#: crowded groups resemble each other in any two sets, so their minima would bound nothing.
+GROUPS, PER_GROUP = 256, 16
 #: Sizes of a class: each ends this many times higher than the one before.
 CLASS_RATIO = 1.5
 #: Members of a cell's block, and of an R-tree page.
@@ -43,11 +50,11 @@ BLOCK, PAGE = 512, 16
 BROADCAST_ROWS = 2_000_000
 #: Cells of a member that its partners know, so that a pair is written in the first cell they share, not in each.
 FIRST_CELLS = 8
+#: Numbers of points that one step compares.
+_POINT_CELLS = 1 << 22
 _FILL = np.iinfo(np.int64).max
 #: Pairs that one task stores.
 ROWS_PER_TASK = 50_000
-#: Members of a cell that all others are verified with first; more of them ship more sets than they join components.
-PIVOTS = 1
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -187,12 +194,39 @@ def cell_keys(hashes: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.nda
     return np.concatenate(keys)[order], np.bincount(owner, minlength=len(sizes))
 
 
-def group_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def groups_for(sizes: np.ndarray) -> np.ndarray:
+    """Groups of the points of sets of these sizes."""
+    crowded = np.log2(np.maximum(sizes, 1) / (GROUPS * PER_GROUP))
+    return GROUPS << np.maximum(np.ceil(crowded), 0).astype(np.int64)
+
+
+def group_counts(hashes: np.ndarray, sizes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Points: how many n-grams of each set fall into each group."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    group = (hashes & np.uint64(GROUPS - 1)).astype(np.int64)
-    flat = np.bincount(owner * GROUPS + group, minlength=len(sizes) * GROUPS)
-    return flat.reshape(len(sizes), GROUPS).astype("<u4")
+    group = (hashes & np.uint64(groups - 1)).astype(np.int64)
+    flat = np.bincount(owner * groups + group, minlength=len(sizes) * groups)
+    return flat.reshape(len(sizes), groups)
+
+
+def packed_points(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Each set's point in as many groups as its size asks for, in the least bytes that hold its counts."""
+    groups, ends, out = groups_for(sizes), np.cumsum(sizes), []
+    for i in range(len(sizes)):
+        point = np.bincount((hashes[ends[i] - sizes[i]:ends[i]] & np.uint64(groups[i] - 1)).astype(np.int64), minlength=groups[i])
+        out.append(point.astype("<u1" if not len(point) or point.max() < 256 else "<u4").tobytes())
+    return out
+
+
+def unpacked_points(packed: list[bytes], sizes: np.ndarray, groups: int) -> np.ndarray:
+    """Points as rows, folded to so many groups: the group of a hash is given by its last bits."""
+    own = groups_for(sizes)
+    if (own == groups).all() and all(len(x) == groups for x in packed):
+        return np.frombuffer(b"".join(packed), "<u1").reshape(len(packed), groups).astype(np.int32)
+    out = np.zeros((len(packed), groups), np.int32)
+    for i, raw in enumerate(packed):
+        point = np.frombuffer(raw, "<u1" if len(raw) == own[i] else "<u4")
+        out[i] = point.reshape(-1, groups).sum(axis=0)
+    return out
 
 
 def _digests(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -215,12 +249,11 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
             for a, b in chunks(texts, 2 * CHUNK_CHARS):
                 hashes, sizes = shingle_sets(texts[a:b], rule.n)
                 keys, many = cell_keys(hashes, sizes, rule)
-                counts = group_counts(hashes, sizes)
                 offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(sizes),
                     pa.array(_digests(hashes, sizes), mask=sizes == 0),
-                    pa.array([row.tobytes() for row in counts], pa.binary()),
+                    pa.array(packed_points(hashes, sizes), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
                 ], ["doc_id", "n", "node", "counts", "cells"])
 
@@ -273,8 +306,26 @@ def different_cells(rows: DataFrame) -> DataFrame:
     return rows.join(cells, "cell")
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
+def _popularity(*more: str) -> Column:
+    """An order of nodes by the sizes of their cells; ties by a hash of the node."""
+    return F.struct("weight", F.xxhash64("node").alias("hash"), "node", *more)
+
+
+def most_popular(cells: DataFrame) -> DataFrame:
+    """``hub`` and ``node``: for each node the most popular other one that leads one of its cells."""
+    best = cells.groupBy("cell").agg(F.max(_popularity()).alias("best"))
+    led = cells.join(best, "cell").where("node <> best.node").groupBy("node").agg(F.max("best").alias("best"))
+    return led.select(F.col("best.node").alias("hub"), "node")
+
+
+def _hubs(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as (``hub``, ``node``), the hub the end of more pairs, so that few sets are shipped more than once."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    degrees = cut(ends.groupBy("node").agg(F.count("*").alias("degree")))
+    for end in ("a", "b"):
+        pairs = pairs.join(degrees.select(F.col("node").alias(end), F.struct("degree", "node").alias(f"{end}_rank")), end)
+    more = F.col("a_rank") > F.col("b_rank")
+    return pairs.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("node"))
 
 
 class Join:
@@ -329,18 +380,31 @@ class Join:
         rows = texts.mapInArrow(made, "node long, hashes binary")
         return rows.groupBy("node").agg(F.first("hashes").alias("hashes"))
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds the linked ones of the pairs that were not tried before: by the bound first, by the sets then."""
+    def verify(self, pairs: DataFrame, among_members: bool = False) -> None:
+        """Adds the links among pairs (``hub``, ``node``) that were not tried before: by the bound first, by the sets then.
+
+        The pairs of a hub meet in groups that get each set once. With ``among_members`` a group's other pairs are tried
+        as well, through its R-tree.
+        """
         if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+            tried = self.tried.union(self.tried.select("node", "hub"))
+            pairs = pairs.join(tried, ["hub", "node"], "left_anti")
         pairs = self._gathered(pairs)
-        ends = lambda rows: rows.select(F.col("a").alias("node")).union(rows.select(F.col("b").alias("node"))).distinct()
-        near = _both_ends(pairs, cut(self._points(cut(ends(pairs)))), ["n", "counts"])
-        near = near.where(_bound(self.rule)("a_n", "a_counts", "b_n", "b_counts")).select("a", "b")
-        near = self._gathered(near)
+        ends = lambda rows: rows.select(F.col("hub").alias("node")).union(rows.select("node")).distinct()
+        near = _both_ends(pairs, cut(self._points(cut(ends(pairs)))))
+        near = self._gathered(near.where(_bound(self.rule)("hub_n", "hub_counts", "node_n", "node_counts")).select("hub", "node"))
+        sizes = near.groupBy("hub").agg(F.ceil(F.count("*") / (BLOCK - 1)).cast("int").alias("blocks"))
+        members = near.join(sizes, "hub").select(
+            "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.lit(False).alias("is_hub")
+        )
+        hubs = sizes.select(
+            "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"),
+            F.lit(True).alias("is_hub"),
+        )
         sets = stored(self._sets(cut(ends(near))), "ngram-sets")
-        both = _both_ends(near, sets, ["hashes"])
-        linked = cut(both.where(_linked(self.rule)("a_hashes", "b_hashes")).select("a", "b"))
+        rows = members.union(hubs).join(sets, "node").select("hub", "block", "is_hub", "node", "hashes")
+        rows = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
+        linked = cut(rows.mapInArrow(_grouped(self.rule, among_members), "a long, b long"))
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
         self.links = linked if self.links is None else cut(self.links.union(linked))
 
@@ -372,40 +436,84 @@ class Join:
         found = rows.groupBy("alone", "unit", "low", "high").applyInPandas(
             lambda group: _tree_join(group, rule), "a long, b long"
         )
-        return found.distinct()
+        return cut(found.distinct())
 
 
-def _both_ends(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
-    for end in ("a", "b"):
-        renamed = values.select(F.col("node").alias(end), *[F.col(name).alias(f"{end}_{name}") for name in names])
-        pairs = pairs.join(renamed, end)
+def _both_ends(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    for end in ("hub", "node"):
+        pairs = pairs.join(points.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("n", "counts")]), end)
     return pairs
 
 
 def _bound(rule: Rule):
     @F.pandas_udf("boolean")
     def passes(a_n: pd.Series, a: pd.Series, b_n: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        low, high = (np.frombuffer(b"".join(x), "<u4").reshape(-1, GROUPS) for x in (a, b))
-        return pd.Series(np.minimum(low, high).sum(axis=1) >= rule.least_overlap(a_n.to_numpy(), b_n.to_numpy()))
+        x, y = a_n.to_numpy(), b_n.to_numpy()
+        least, groups, out = rule.least_overlap(x, y), np.minimum(groups_for(x), groups_for(y)), np.zeros(len(a), bool)
+        for width in np.unique(groups):
+            at = np.flatnonzero(groups == width)
+            for at in np.array_split(at, -(-len(at) * int(width) // _POINT_CELLS)):
+                low, high = (unpacked_points(z.iloc[at].tolist(), n[at], int(width)) for z, n in ((a, x), (b, y)))
+                out[at] = np.minimum(low, high).sum(axis=1) >= least[at]
+        return pd.Series(out)
 
     return passes
 
 
-def _linked(rule: Rule):
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            overlap = int((both[1:] == both[:-1]).sum())
-            out[i] = 100 * overlap >= rule.percent * (len(both) - overlap)
-        return pd.Series(out)
+def _linked(rule: Rule, x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    overlap = int((both[1:] == both[:-1]).sum())
+    return 100 * overlap >= rule.percent * (len(both) - overlap)
+
 
-    return linked
+def group_links(sets: list[np.ndarray], rule: Rule, among_members: bool) -> list[tuple[int, int]]:
+    """Links that connect what the group's links connect, by place; the hub is the first. Candidates come from the R-tree."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    groups = int(groups_for(sizes).min())
+    found = list(tree_matches(group_counts(np.concatenate(sets), sizes, groups), sizes, rule))
+    if not found:
+        return []
+    a, b = (np.concatenate(part) for part in zip(*found))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    label, links = np.arange(len(sets)), []
+
+    def go_through(a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist()):
+            if label[x] != label[y] and _linked(rule, sets[x], sets[y]):
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+
+    go_through(a[a == 0], b[a == 0])
+    if among_members:
+        apart = label[a] != label[b]
+        go_through(a[apart], b[apart])
+    return links
+
+
+def _grouped(rule: Rule, among_members: bool):
+    """Over rows sorted by (hub, block), the hub first: links of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets = None, [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                found = [(nodes[i], nodes[j]) for i, j in group_links(sets, rule, among_members)]
+                if found:
+                    low, high = ([f(pair) for pair in found] for f in (min, max))
+                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for hub, block, node, hashes in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3)], batch.column(4)):
+                if (hub, block) != group:
+                    yield from links()
+                    group, nodes, sets = (hub, block), [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(hashes.as_buffer(), np.uint64))
+        yield from links()
+
+    return run
 
 
 @dataclass
@@ -448,44 +556,91 @@ def tree_matches(points: np.ndarray, sizes: np.ndarray, rule: Rule) -> Iterator[
             yield a[kept], b[kept]
 
 
-def _elsewhere(cell: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _elsewhere(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairs that meet in an earlier cell also; a, b: the first cells of each, in order, filled up with the largest number."""
     same = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a != _FILL)
     return np.where(same, a, _FILL).min(axis=1, initial=_FILL) < cell
 
 
+def _pages(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within each run of rows."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(sizes):
+        x, y = np.triu_indices(size, 1)
+        base = starts[sizes == size][:, None]
+        a.append((base + x).ravel())
+        b.append((base + y).ravel())
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _unit_pairs(packed: list[bytes], sizes: np.ndarray, cells: np.ndarray, worth, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within cells that pass the bound, of those that are ``worth`` a look; rows are sorted by cell.
+
+    A cell of one page is a tree of one page: its points are compared at once, together with those of all such cells.
+    """
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    numbers = np.diff(np.r_[starts, len(cells)])
+    groups = np.minimum.reduceat(groups_for(sizes), starts)
+    for width in np.unique(groups):
+        mine = groups == width
+        page = mine & (numbers <= PAGE)
+        a, b = _pages(starts[page], numbers[page])
+        kept = worth(a, b) & rule.reaches(np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b]))
+        a, b = a[kept], b[kept]
+        rows = np.unique(np.r_[a, b])
+        points = unpacked_points([packed[i] for i in rows], sizes[rows], int(width)) if len(rows) else None
+        for part in np.array_split(np.arange(len(a)), -(-len(a) * int(width) // _POINT_CELLS)) if len(a) else ():
+            x, y = np.searchsorted(rows, a[part]), np.searchsorted(rows, b[part])
+            low = np.minimum(points[x], points[y]).sum(axis=1)
+            near = low >= rule.least_overlap(sizes[a[part]], sizes[b[part]])
+            yield a[part][near], b[part][near]
+        for start, number in zip(starts[mine & (numbers > PAGE)], numbers[mine & (numbers > PAGE)]):
+            inside = slice(start, start + number)
+            points = unpacked_points(packed[inside], sizes[inside], int(width))
+            for a, b in tree_matches(points, sizes[inside], rule):
+                near = worth(a + start, b + start)
+                yield a[near] + start, b[near] + start
+
+
 def _tree_join(group: pd.DataFrame, rule: Rule) -> pd.DataFrame:
+    group = group.sort_values("cell", kind="stable")
+    sizes, nodes, roots, blocks, cells = (group[name].to_numpy() for name in ("n", "node", "root", "block", "cell"))
+    across, first = group["low"].iloc[0] != group["high"].iloc[0], group["first"].tolist()
+
+    def worth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (roots[a] != roots[b]) & (not across or blocks[a] != blocks[b])
+
+    def known(rows: np.ndarray) -> np.ndarray:
+        out = np.full((len(rows), FIRST_CELLS), _FILL)
+        for i, row in enumerate(rows):
+            out[i, :len(first[row])] = first[row]
+        return out
+
     found = []
-    for _, rows in group.groupby("cell", sort=False):
-        points = np.frombuffer(b"".join(rows["counts"]), "<u4").reshape(-1, GROUPS)
-        sizes, nodes, roots = (rows[name].to_numpy() for name in ("n", "node", "root"))
-        blocks, across = rows["block"].to_numpy(), rows["low"].iloc[0] != rows["high"].iloc[0]
-        first = np.full((len(rows), FIRST_CELLS), _FILL)
-        for i, cells in enumerate(rows["first"]):
-            first[i, :len(cells)] = cells
-        for a, b in tree_matches(points, sizes, rule):
-            apart = roots[a] != roots[b]
-            if across:
-                apart &= blocks[a] != blocks[b]
-            a, b = a[apart], b[apart]
-            once = ~_elsewhere(rows["cell"].iloc[0], first[a], first[b])
-            low, high = np.minimum(nodes[a], nodes[b])[once], np.maximum(nodes[a], nodes[b])[once]
-            found.append(pd.DataFrame({"a": low, "b": high}))
+    for a, b in _unit_pairs(group["counts"].tolist(), sizes, cells, worth, rule):
+        if len(a):
+            once = ~_elsewhere(cells[a], known(a), known(b))
+            a, b = a[once], b[once]
+            found.append(pd.DataFrame({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])}))
     return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, its own included."""
     state = Join(docs, rule)
-    cells = cut(different_cells(stored(shared_cells(state.cells()), "ngram-cells")))
-    orders = [F.min_by("node", F.xxhash64("node", F.lit(seed))) for seed in range(PIVOTS)]
-    pivots = cells.groupBy("cell").agg(F.array_distinct(F.array(*orders)).alias("pivots"))
-    met = cells.join(pivots, "cell").select("node", F.explode("pivots").alias("pivot"))
-    state.verify(_pairs(met, "node", "pivot"))
+    cells = different_cells(stored(shared_cells(state.cells()), "ngram-cells"))
+    weights = cells.groupBy("node").agg(F.sum("size").alias("weight"))
+    cells = cut(cells.join(weights, "node"))
+    state.verify(most_popular(cells), among_members=True)
     roots = state.roots()
-    open_ = state.open_cells(cells.where(F.col("size") > 2), roots)
+    open_ = state.open_cells(cells, roots)
+    if not open_.isEmpty():
+        best = open_.groupBy("cell").agg(F.max(_popularity("root")).alias("best"))
+        state.verify(open_.join(best, "cell").where("root <> best.root").select(F.col("best.node").alias("hub"), "node").distinct())
+        roots = state.roots()
+        open_ = state.open_cells(cells.where(F.col("size") > 2), roots)
     if not open_.isEmpty():
-        state.verify(state.tree_pairs(open_))
+        state.verify(_hubs(state.tree_pairs(open_)))
         roots = state.roots()
     named = state.nodes.join(roots, "node").groupBy("root").agg(F.min("doc").alias("component"))
     of_node = roots.join(named, "root").select(F.col("node").alias("of"), "component")
