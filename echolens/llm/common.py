@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -59,7 +61,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
 
     The rows with the smallest hashes of their ids are taken, outside the fold ``crc32 % fold = 0``. Ids are chosen
     from the narrow table of labels; only the chosen texts are read. A null id, text or label takes no part; of
-    repeated rows of one id the largest label and one text count.
+    repeated rows of one id the largest label and the first text in code point order count.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), fold, 0))
     known = known.select(F.col("doc_id"), F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
@@ -69,8 +71,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
         chosen = part if chosen is None else chosen.union(part)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y"))  # as many rows as ``most`` allows: safe to broadcast
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.toPandas()
-    return rows.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # one text of each chosen id
+    return texts.toPandas().sort_values("doc_id").reset_index(drop=True)
+
+
+def give_back() -> None:
+    """Returns the memory of arrays that are no longer used to the system; the C library would keep it for the process."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def chunks(texts: Sequence[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

@@ -13,10 +13,10 @@ First every document goes to one other, the most popular that it shares a cell w
 original among its copies. If the counts allow a link, both are dealt to the popular one's group. A group's sets meet in one task
 (blocks of bounded size in large groups, each with the popular set), which packs their points into an R-tree, compares
 boxes and then points, verifies the pairs that pass on the sets, skips those that links connect already, and writes
-links, fewer than it has members. So a set is shipped once and pairs are never rows. The links form components. Cells that still
-hold several are gone through again: members with their cell's most popular one, then, where several components remain,
-members among each other, in R-trees of the cells. Large cells are cut into blocks that meet pairwise there. Nothing is capped,
-so no link between different components is lost.
+links, fewer than it has members. So a set is shipped once and pairs are never rows. The links form components. Of cells that still
+hold several, the members are packed into R-trees, and the few pairs of different components that pass are verified in the
+same way. Large cells are cut into blocks that meet pairwise there. Nothing is capped, so no link between different
+components is lost.
 
 Words are runs of other characters than ASCII white space, A-Z lower-cased. A text of fewer words than n is one
 n-gram; null texts and texts without words have none and link with nothing. Equal sets are one node from the start,
@@ -42,6 +42,8 @@ from echolens.llm.components import components
 #: Groups of a small set's point, and n-grams that share a group on average at most before a larger set's are doubled: counts of
 #: crowded groups resemble each other in any two sets, so their minima would bound nothing.
 GROUPS, PER_GROUP = 256, 16
+#: Groups that a pair is compared in first.
+COARSE = 32
 #: Sizes of a class: each ends this many times higher than the one before.
 CLASS_RATIO = 1.5
 #: Members of a cell's block, and of an R-tree page.
@@ -306,9 +308,9 @@ def different_cells(rows: DataFrame) -> DataFrame:
     return rows.join(cells, "cell")
 
 
-def _popularity(*more: str) -> Column:
+def _popularity() -> Column:
     """An order of nodes by the sizes of their cells; ties by a hash of the node."""
-    return F.struct("weight", F.xxhash64("node").alias("hash"), "node", *more)
+    return F.struct("weight", F.xxhash64("node").alias("hash"), "node")
 
 
 def most_popular(cells: DataFrame) -> DataFrame:
@@ -539,21 +541,48 @@ def pack(points: np.ndarray, sizes: np.ndarray) -> Tree:
     )
 
 
-def tree_matches(points: np.ndarray, sizes: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points whose summed minima reach the least overlap, page against page."""
+def _near(points: np.ndarray, coarse: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which pairs the bound lets pass: by a few groups first, by all of them then."""
+    out = np.zeros(len(a), bool)
+    step = max(_POINT_CELLS // max(points.shape[1], 1), 1)
+    for start in range(0, len(a), step):
+        x, y = a[start:start + step], b[start:start + step]
+        least = rule.least_overlap(sizes[x], sizes[y])
+        at = np.flatnonzero(np.minimum(coarse[x], coarse[y]).sum(axis=1, dtype=np.int64) >= least)
+        fine = np.minimum(points[x[at]], points[y[at]]).sum(axis=1, dtype=np.int64) >= least[at]
+        out[start + at[fine]] = True
+    return out
+
+
+def _compact(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points in one byte a count where that holds them, and their counts in ``COARSE`` groups."""
+    coarse = points.reshape(len(points), -1, COARSE).sum(axis=1, dtype=np.int32) if len(points) else points
+    return (points.astype(np.uint8) if points.max(initial=0) < 256 else points), coarse
+
+
+def tree_matches(points: np.ndarray, sizes: np.ndarray, rule: Rule, worth=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points whose summed minima reach the least overlap, page against page; of those ``worth`` a look, if given."""
     tree = pack(points, sizes)
+    points, coarse = _compact(points)
     for i, page in enumerate(tree.pages):
         corner = np.minimum(tree.corners[i], tree.corners[i:]).sum(axis=1)
         # No pair of the two pages needs less than its smallest members do.
         need = rule.least_overlap(tree.smallest[i], tree.smallest[i:])
         apart = ~(rule.reaches(tree.largest[i], tree.smallest[i:]) & rule.reaches(tree.largest[i:], tree.smallest[i]))
-        for j in np.flatnonzero((corner >= need) & ~apart) + i:
-            others = tree.pages[j]
-            low = np.minimum(points[page][:, None, :], points[others][None, :, :]).sum(axis=2)
-            x, y = np.nonzero(low >= rule.least_overlap(sizes[page][:, None], sizes[others][None, :]))
-            a, b = page[x], others[y]
-            kept = a < b if i == j else np.ones(len(a), bool)
-            yield a[kept], b[kept]
+        met = np.flatnonzero((corner >= need) & ~apart) + i
+        if not len(met):
+            continue
+        others = np.concatenate([tree.pages[j] for j in met])
+        own = np.repeat(met == i, [len(tree.pages[j]) for j in met])
+        a, b = np.repeat(page, len(others)), np.tile(others, len(page))
+        kept = ~np.tile(own, len(page)) | (a < b)
+        kept &= rule.reaches(np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b]))
+        a, b = a[kept], b[kept]
+        if worth is not None:
+            kept = worth(a, b)
+            a, b = a[kept], b[kept]
+        near = _near(points, coarse, sizes, a, b, rule)
+        yield a[near], b[near]
 
 
 def _elsewhere(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -585,44 +614,45 @@ def _unit_pairs(packed: list[bytes], sizes: np.ndarray, cells: np.ndarray, worth
         mine = groups == width
         page = mine & (numbers <= PAGE)
         a, b = _pages(starts[page], numbers[page])
-        kept = worth(a, b) & rule.reaches(np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b]))
+        kept = rule.reaches(np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b]))
+        a, b = a[kept], b[kept]
+        kept = worth(a, b)
         a, b = a[kept], b[kept]
         rows = np.unique(np.r_[a, b])
-        points = unpacked_points([packed[i] for i in rows], sizes[rows], int(width)) if len(rows) else None
-        for part in np.array_split(np.arange(len(a)), -(-len(a) * int(width) // _POINT_CELLS)) if len(a) else ():
-            x, y = np.searchsorted(rows, a[part]), np.searchsorted(rows, b[part])
-            low = np.minimum(points[x], points[y]).sum(axis=1)
-            near = low >= rule.least_overlap(sizes[a[part]], sizes[b[part]])
-            yield a[part][near], b[part][near]
+        if len(rows):
+            points, coarse = _compact(unpacked_points([packed[i] for i in rows], sizes[rows], int(width)))
+            near = _near(points, coarse, sizes[rows], np.searchsorted(rows, a), np.searchsorted(rows, b), rule)
+            yield a[near], b[near]
         for start, number in zip(starts[mine & (numbers > PAGE)], numbers[mine & (numbers > PAGE)]):
             inside = slice(start, start + number)
             points = unpacked_points(packed[inside], sizes[inside], int(width))
-            for a, b in tree_matches(points, sizes[inside], rule):
-                near = worth(a + start, b + start)
-                yield a[near] + start, b[near] + start
+            for a, b in tree_matches(points, sizes[inside], rule, lambda a, b: worth(a + start, b + start)):
+                yield a + start, b + start
 
 
 def _tree_join(group: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     group = group.sort_values("cell", kind="stable")
     sizes, nodes, roots, blocks, cells = (group[name].to_numpy() for name in ("n", "node", "root", "block", "cell"))
-    across, first = group["low"].iloc[0] != group["high"].iloc[0], group["first"].tolist()
+    across = group["low"].iloc[0] != group["high"].iloc[0]
+    known = np.full((len(group), FIRST_CELLS), _FILL)
+    lengths = group["first"].map(len).to_numpy()
+    known[np.arange(FIRST_CELLS) < lengths[:, None]] = np.concatenate(group["first"].tolist())
 
     def worth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (roots[a] != roots[b]) & (not across or blocks[a] != blocks[b])
-
-    def known(rows: np.ndarray) -> np.ndarray:
-        out = np.full((len(rows), FIRST_CELLS), _FILL)
-        for i, row in enumerate(rows):
-            out[i, :len(first[row])] = first[row]
+        """Pairs of different components (and blocks, if two meet) that do not meet in an earlier cell."""
+        out = roots[a] != roots[b]
+        if across:
+            out &= blocks[a] != blocks[b]
+        at = np.flatnonzero(out)
+        for part in np.array_split(at, -(-len(at) // 100_000)) if len(at) else ():
+            out[part] = ~_elsewhere(cells[a[part]], known[a[part]], known[b[part]])
         return out
 
-    found = []
+    found = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
     for a, b in _unit_pairs(group["counts"].tolist(), sizes, cells, worth, rule):
         if len(a):
-            once = ~_elsewhere(cells[a], known(a), known(b))
-            a, b = a[once], b[once]
             found.append(pd.DataFrame({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])}))
-    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    return pd.concat(found).drop_duplicates()
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -634,11 +664,6 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     state.verify(most_popular(cells), among_members=True)
     roots = state.roots()
     open_ = state.open_cells(cells, roots)
-    if not open_.isEmpty():
-        best = open_.groupBy("cell").agg(F.max(_popularity("root")).alias("best"))
-        state.verify(open_.join(best, "cell").where("root <> best.root").select(F.col("best.node").alias("hub"), "node").distinct())
-        roots = state.roots()
-        open_ = state.open_cells(cells.where(F.col("size") > 2), roots)
     if not open_.isEmpty():
         state.verify(_hubs(state.tree_pairs(open_)))
         roots = state.roots()

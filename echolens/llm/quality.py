@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.common import code_points, in_fold, labelled_sample, sigmoid
+from echolens.llm.common import code_points, give_back, in_fold, labelled_sample, sigmoid
 
 LONGEST = 4
 BUCKET_BITS = 18
@@ -137,7 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, fold:
     rows = labelled_sample(docs, labels, "quality", most, fold)
     outside = labels.where(~in_fold(F.col("doc_id"), fold, 0))
     share = outside.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    return train(rows["text"].tolist(), rows["y"].to_numpy(dtype=int), 0.5 if share is None else share)
+    model = train(rows["text"].tolist(), rows["y"].to_numpy(dtype=int), 0.5 if share is None else share)
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, name: str = "score", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.common import alphanumeric, chunks, code_points, labelled_sample, sigmoid
+from echolens.llm.common import alphanumeric, chunks, code_points, give_back, labelled_sample, sigmoid
 
 SHORTEST, LONGEST = 3, 6
 BUCKETS = 1 << 18
@@ -124,7 +124,10 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 5, m
 def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, fold: int = 5) -> SubwordModel:
     """Model from the sampled labelled texts outside the fold ``crc32(doc_id) % fold = 0``."""
     rows = labelled_sample(docs, labels, "toxic", most, fold)
-    return train(rows["text"].tolist(), rows["y"].to_numpy(dtype=int))
+    model = train(rows["text"].tolist(), rows["y"].to_numpy(dtype=int))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: SubwordModel, name: str = "score", text: str = "text") -> DataFrame:
