@@ -48,6 +48,46 @@ def test_tree_spares_distances():
     assert work.computed < 2000 and work.spared > 0
 
 
+def test_queries_walk_together_and_spare_distances():
+    rng = np.random.default_rng(6)
+    centers = rng.standard_normal((30, 16)) * 40
+    points = np.round((centers[rng.integers(0, 30, 6000)] + rng.standard_normal((6000, 16))) * 16)
+    points[1000:3000] = points[1000]  # a third are copies
+    ids = rng.permutation(6000)
+    queries, work = rng.choice(6000, 80, replace=False), mtree.Work()
+    walk = mtree.Walk(points[queries], ids[queries], np.full(80, -np.inf), 5, work)
+    mtree.go_through(mtree.build(points, ids), points[0], walk)
+    for q, best in zip(queries, walk.best):
+        scores = points @ points[q]
+        want = sorted((-float(x), int(i)) for x, i in zip(scores, ids) if i != ids[q])[:5]
+        assert best == want
+    assert work.computed < 80 * 6000 / 5 and work.spared > 0
+
+
+def test_null_ids_and_large_ids(spark):
+    big = 2**53 + 1
+    rows = [(None, [5, 5]), (big, [3, 4]), (big + 2, [4, 4]), (100, [1, 1]), (50, [2, 0]), (7, [1, 2, 3]), (150, [1, 1, 1]), (None, [9])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = {tuple(r) for r in mtree.top_k(frame, frame.where("vec_id % 50 = 0"), 2).collect()}
+    assert got == {(100, 1, big + 2, 8), (100, 2, big, 7), (50, 1, big + 2, 8), (50, 2, big, 6), (150, 1, 7, 6)}
+    assert mtree.top_k(frame.where("vec_id is null"), frame, 2).count() == 0
+
+
+def test_subtrees_are_pruned(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.standard_normal((12, 8)) * 60
+    points = np.round((centers[rng.integers(0, 12, 1500)] + rng.standard_normal((1500, 8))) * 8).astype(int)
+    frame = spark.createDataFrame([(i, [int(x) for x in p]) for i, p in enumerate(points)], "vec_id long, vector array<long>")
+    got = mtree.top_k(frame, frame.where("vec_id % 50 = 0"), 5, most_rows=40, least_rows=60, query_rows=7)
+    assert {tuple(r) for r in got.collect()} == _brute_top(list(enumerate(points)), [(i, points[i]) for i in range(0, 1500, 50)], 5)
+    upper = mtree.Upper.of([[int(x) for x in c * 8] for c in centers])
+    rows = mtree.dealt(frame.withColumn("dim", mtree.F.size("vector")), upper).toPandas()
+    stats = {int(s): (g["away"].max(), g["length"].max()) for s, g in rows.groupby("subtree")}
+    floors = [(i, [int(x) for x in points[i]], 8, int(rows["subtree"][i]), float(np.sort(points @ points[i])[-7])) for i in range(0, 1500, 50)]
+    onward = spark.createDataFrame(floors, "vec_id long, vector array<long>, dim int, subtree long, floor double")
+    assert mtree._routed(onward, upper, stats).count() < 30 * 11 / 2
+
+
 def test_top_products_odd(spark):
     frame = _vectors(spark, ODD)
     vectors = frame.where(mtree.usable(frame.embedding)).select("vec_id", mtree.scaled(frame.embedding).alias("vector"))
