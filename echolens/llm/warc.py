@@ -47,6 +47,10 @@ def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+#: Bytes of archives that one task reads back.
+SHARE = 64 << 20
+
+
 def payload(html: Column) -> Column:
     return F.encode(F.coalesce(html, F.lit("")), "UTF-8")
 
@@ -149,8 +153,14 @@ def ranges(places: list[tuple[str, int, int]], gap: int = GAP, most: int = READ)
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """The records that rows of an index name: ``RECORD``, with payloads of responses."""
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset")
+    """The records that rows of an index name: ``RECORD``, with payloads of responses.
+
+    They are dealt along the archives, to a task for each ``SHARE`` bytes of them and to each core at least.
+    """
+    places = index.select("file", "offset", "length")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // SHARE), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // GAP)), 1)
+    places = places.repartitionByRange(int(tasks), "file", "offset")
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _file_system(folder)
