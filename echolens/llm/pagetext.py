@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -53,6 +52,12 @@ _CHROME_NAMES = frozenset(
     "discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login "
     "search form toolbar pagination pager copyright disclaimer skip teaser teasers trending".split()
 )
+#: Names that articles use too: inside article and main they count only for elements with this share of linked text.
+_LOOSE_NAMES = frozenset(
+    "aside discussion form head menu notice notices notification popup rail related reply replies respond search share sharing "
+    "skip social submenu trending widget widgets".split()
+)
+LINKED = 0.3
 _HEADER_NAMES = frozenset("header masthead topbar".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _NEVER_CHROME = frozenset(("html", "body", "article", "main"))
@@ -74,9 +79,11 @@ MARK_WEIGHT = 8.0
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """``path`` and ``named`` are numbers of the tag path and of the innermost named element, -1 without one."""
+
+    path: int
     chrome: bool
-    named: tuple[int, ...]
+    named: int
     main: bool
     text: str
     linked: int
@@ -86,21 +93,38 @@ class Block:
 class _Open:
     tag: str
     chrome: bool
-    named: tuple[int, ...]
+    named: int
     main: bool
+    path: int
 
 
 @dataclass
 class _Page:
-    """``named`` of an element or block: numbers of the forms, hidden and named elements that hold it."""
-
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, (), False)])
-    names: int = 0
+    """Paths and named elements point to the one around them, so a block costs the same at any depth.
+
+    ``outer`` is that of each named element (forms, hidden and named ones), ``loose`` whether only its look tells it from content;
+    ``parents`` is the path one tag shorter, the root its own.
+    """
+
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, -1, False, 0)])
+    opened: Counter = field(default_factory=Counter)
+    outer: list[int] = field(default_factory=list)
+    loose: list[bool] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [0])
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
     blocks: list[Block] = field(default_factory=list)
 
+    def path(self, parent: int, tag: str) -> int:
+        if tag in _INLINE:
+            return parent
+        if (parent, tag) not in self.paths:
+            self.paths[parent, tag] = len(self.parents)
+            self.parents.append(parent)
+        return self.paths[parent, tag]
+
     def add(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
@@ -112,8 +136,7 @@ class _Page:
             text = " ".join("".join(self.pieces).split())
             if text:
                 top = self.stack[-1]
-                path = tuple(x.tag for x in self.stack if x.tag not in _INLINE)
-                self.blocks.append(Block(path, top.chrome, top.named, top.main, text, self.linked))
+                self.blocks.append(Block(top.path, top.chrome, top.named, top.main, text, self.linked))
             self.pieces, self.linked = [], 0
 
     def close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
@@ -126,6 +149,7 @@ class _Page:
 
     def _pop_to(self, at: int) -> None:
         self.links -= sum(x.tag == "a" for x in self.stack[at:])
+        self.opened.subtract(x.tag for x in self.stack[at:])
         del self.stack[at:]
 
     def start(self, tag: str, attrs: str) -> None:
@@ -141,18 +165,23 @@ class _Page:
             if tag in _CLOSES:
                 self.close(_CLOSES[tag], _LIMITS.get(tag, ()))
         top = self.stack[-1]
-        named = top.named
-        if tag == "form" or _named_chrome(tag, attrs, top.main):
-            named, self.names = (*named, self.names), self.names + 1
+        named, evidence = top.named, _FIRM if tag == "form" else _named_chrome(tag, attrs, top.main)
+        if evidence:
+            self.outer.append(named)
+            self.loose.append(evidence == _LOOSE)
+            named = len(self.outer) - 1
         chrome = tag in _CHROME_TAGS or (tag == "header" and not top.main)
         self.links += tag == "a"
-        self.stack.append(_Open(tag, top.chrome or chrome, named, top.main or tag in _MAIN_TAGS))
+        self.opened[tag] += 1
+        self.stack.append(_Open(tag, top.chrome or chrome, named, top.main or tag in _MAIN_TAGS, self.path(top.path, tag)))
         if not top.main and 'main' in attrs and _attribute(attrs, "role") == "main":
             self.stack[-1].main = True
 
     def end(self, tag: str) -> None:
         if tag not in _INLINE:
             self.flush()
+        if self.opened[tag] <= 0:
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at].tag == tag:
                 self._pop_to(at)
@@ -168,38 +197,44 @@ def _attribute(attrs: str, name: str) -> str:
     return ""
 
 
-def _named_chrome(tag: str, attrs: str, main: bool) -> bool:
-    """Whether role, class, id or visibility say that the element is no content."""
+_FIRM, _LOOSE = 2, 1
+
+
+def _named_chrome(tag: str, attrs: str, main: bool) -> int:
+    """Whether role, class, id or visibility say that the element is no content; a name says so as a whole or by its last part."""
     if not attrs.strip() or tag in _NEVER_CHROME:
-        return False
+        return 0
+    found = 0
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return _FIRM
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return _FIRM
         if key == "role" and value.strip().lower() in _CHROME_ROLES:
-            return True
+            return _FIRM
         if key in ("class", "id"):
-            names = {part.lower() for part in _PART.findall(value)}
-            if names & _CHROME_NAMES or names & _HEADER_NAMES and not main:
-                return True
-    return False
+            for name in value.split():
+                parts = [part.lower() for part in _PART.findall(name)]
+                for said in {"".join(parts), *parts[-1:]}:
+                    if said in _CHROME_NAMES or said in _HEADER_NAMES and not main:
+                        found = max(found, _LOOSE if main and said in _LOOSE_NAMES else _FIRM)
+    return found
 
 
-def blocks_of(page: str) -> list[Block]:
+def parsed(page: str) -> _Page:
     made, at = _Page(), 0
     for token in iter(lambda: _TOKEN.search(page, at), None):
         if token.start() > at:
             made.add(page[at:token.start()])
         at = token.end()
-        tag = token["tag"] or token["tag2"]
+        tag = token["tag"]
         if tag is None:
             if token[0].startswith("<![CDATA["):
                 made.pieces.append(token[0][9:].removesuffix("]]>"))
             continue
-        tag, attrs = tag.lower(), token["attrs"] or token["attrs2"] or ""
-        if token["end"] or token["end2"]:
+        tag, attrs = tag.lower(), token["attrs"] or ""
+        if token["end"]:
             made.end(tag)
         elif tag in _RAW:
             if not attrs.endswith("/"):
@@ -210,21 +245,30 @@ def blocks_of(page: str) -> list[Block]:
     if at < len(page) and not page.startswith("<", at):
         made.add(page[at:])
     made.flush()
-    return made.blocks
+    return made
 
 
-def weights(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+def weights(page: _Page) -> tuple[np.ndarray, np.ndarray]:
     """For each block, what its tags and names leave of its ratio, and whether it stands in an article or main freely."""
+    blocks = page.blocks
     own = np.array([max(len(b.text) - b.linked, 0) for b in blocks], dtype=float)
-    total, held = 0.0, defaultdict(float)
+    total, held, linked = 0.0, [0.0] * len(page.outer), [0] * len(page.outer)
     for block, length in zip(blocks, own):
         if not block.chrome:
             total += length
-            for name in block.named:
-                held[name] += length
-    beside = sum(n for b, n in zip(blocks, own) if b.main and not b.chrome and not b.named)
-    lifted = {name for name, n in held.items() if n >= MOST * total and beside < BESIDE * n}
-    free = np.array([not b.chrome and lifted.issuperset(b.named) for b in blocks])
+            if block.named >= 0:
+                held[block.named] += length
+                linked[block.named] += block.linked
+    for name in range(len(page.outer) - 1, -1, -1):  # an element comes after the one around it
+        if page.outer[name] >= 0:
+            held[page.outer[name]] += held[name]
+            linked[page.outer[name]] += linked[name]
+    beside = sum(n for b, n in zip(blocks, own) if b.main and not b.chrome and b.named < 0)
+    lifted = []
+    for name, (n, links) in enumerate(zip(held, linked)):
+        most = n >= MOST * total and beside < BESIDE * n
+        lifted.append((most or page.loose[name] and links < LINKED * (n + links)) and (page.outer[name] < 0 or lifted[page.outer[name]]))
+    free = np.array([not b.chrome and (b.named < 0 or lifted[b.named]) for b in blocks])
     main = np.array([b.main for b in blocks]) & free
     outside = max(1 - own[main].sum() / max(own[free].sum(), 1), LITTLE) if main.any() else 1.0
     return np.where(free, 1.0, LITTLE) * np.where(main, 1.0, outside), main
@@ -247,24 +291,26 @@ def smoothed(values: np.ndarray, weight: np.ndarray, radius: int = 2) -> np.ndar
     return np.convolve(values * weight, kernel)[radius:radius + len(values)] / total
 
 
-def fused(blocks: list[Block], ratios: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def fused(page: _Page, ratios: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Geometric mean of a block's ratio with that of its container, the mean of its blocks by length and weight."""
     mass, length = defaultdict(float), defaultdict(float)
-    for block, ratio, w in zip(blocks, ratios, weight):
-        for depth in (len(block.path) - 1, len(block.path) - 2):
-            mass[block.path[:max(depth, 1)]] += ratio * len(block.text) * w
-            length[block.path[:max(depth, 1)]] += len(block.text) * w
-    around = np.array([mass[b.path[:-1] or b.path] / length[b.path[:-1] or b.path] for b in blocks])
+    parents = [page.parents[b.path] for b in page.blocks]
+    for block, parent, ratio, w in zip(page.blocks, parents, ratios, weight):
+        for container in (parent, page.parents[parent]):
+            mass[container] += ratio * len(block.text) * w
+            length[container] += len(block.text) * w
+    around = np.array([mass[parent] / length[parent] for parent in parents])
     return np.sqrt(ratios * around)
 
 
-def main_text(page: str) -> str:
-    blocks = blocks_of(page)
+def main_text(html_text: str) -> str:
+    page = parsed(html_text)
+    blocks = page.blocks
     if not blocks:
         return ""
-    weight, main = weights(blocks)
+    weight, main = weights(page)
     ratios = path_ratios(blocks, weight)
-    scores = fused(blocks, smoothed(ratios * weight, weight), weight)
+    scores = fused(page, smoothed(ratios * weight, weight), weight)
     lengths = np.array([len(b.text) for b in blocks]) * weight
     mean = float((scores * lengths).sum() / lengths.sum())
     # A path that is all links has no text of its own.

@@ -1,13 +1,18 @@
 """WARC round trips and main texts."""
 
 import hashlib
+import math
+import time
 import zlib
 
+import numpy as np
 import pytest
 
 from echolens.llm import pagetext, warc
 from echolens.llm.common import fresh_folder
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def _pages(spark, rows):
     return spark.createDataFrame([(*row, "x", 5) for row in rows], "page_id long, url string, html string, digest string, offset int")
@@ -95,3 +100,88 @@ LONG_TEXT = "Words, and words. " * 9
 ])
 def test_ratios_decide_in_and_beside_articles(page, text):
     assert pagetext.main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("page, kept", [
+    ('<article><p title="5" tall">One is first, yes.</p><p title="6" wide">Two is next, so.</p></article>', "One is first, yes. Two is next, so."),
+    ("<article><p>See <a href=/it's>this</a> text, a long one, and <a href=/he's>that</a> too. Fine.</p></article>",
+     "See this text, a long one, and that too. Fine."),
+    ('<article><p title="a > b">Signs in quotes, kept apart.</p></article>', "Signs in quotes, kept apart."),
+    ('<article><p>Intro, with commas, and so on.</p><section id="discussion"><p>We discuss it, at length. It holds.</p></section>'
+     '<div class="related-work"><p>Others found it, too. See below.</p></div><p class="notice-of-intent">We go on, of course.</p>'
+     '<ul class="menu"><li>Soup, fresh.</li><li>Fish, grilled.</li></ul><p class="social-reform">Reform came late, as told.</p></article>',
+     "Intro, with commas, and so on. We discuss it, at length. It holds. Others found it, too. See below. We go on, of course. "
+     "Soup, fresh. Fish, grilled. Reform came late, as told."),
+    ('<div class="post-comment-count main-content"><p>The text is long, and it goes on, and on.</p></div><div class="x"><p>More, too.</p></div>',
+     "The text is long, and it goes on, and on. More, too."),
+    ('<article><p>The text of an article, which is long. Yes.</p><div class="user-comments"><p>I disagree, sir. Really.</p></div>'
+     '<ul class="menu"><li><a href=x>Home page</a></li><li><a href=y>About us</a></li></ul></article>',
+     "The text of an article, which is long. Yes."),
+])
+def test_names_are_soft_and_quotes_follow_equals(page, kept):
+    assert pagetext.main_text(page) == kept
+
+
+def test_deep_nesting_costs_no_more():
+    started = time.process_time()
+    for page in ("<div>a" * 20_000, "<div>a" * 20_000 + "</x>" * 20_000, "<div class=menu>a" * 20_000):
+        pagetext.main_text(page)
+    assert time.process_time() - started < 6
+
+
+def _brute_scores(page):
+    """Ratios, smoothing and fusion by whole tag paths, block by block."""
+    tags, at, named = {0: ()}, 0, {number: key for key, number in page.paths.items()}
+    for number in range(1, len(page.parents)):
+        parent, tag = named[number]
+        tags[number] = (*tags[parent], tag)
+    paths = [tags[b.path] for b in page.blocks]
+    weight, _ = pagetext.weights(page)
+    own = [max(len(b.text) - b.linked, 0) for b in page.blocks]
+    marks = [sum(c in ".,;:!?¿¡。，、；：！？" for c in b.text) for b in page.blocks]
+    n = range(len(paths))
+    ratios = []
+    for i in n:
+        same = [j for j in n if paths[j] == paths[i] and weight[j] == weight[i]]
+        ratios.append(sum(own[j] + 8.0 * marks[j] * (own[j] > 0) for j in same) / len(same))
+    smooth = []
+    for i in n:
+        near = [(math.exp(-0.5 * (j - i) ** 2) * weight[j], ratios[j] * weight[j]) for j in n if abs(i - j) <= 2]
+        smooth.append(sum(k * v for k, v in near) / sum(math.exp(-0.5 * (j - i) ** 2) * weight[j] for j in n if abs(i - j) <= 2))
+    fused = []
+    for i in n:
+        container, mass, length = paths[i][:-1], 0.0, 0.0
+        for j in n:
+            times = (paths[j][:-1] == container) + (paths[j][:-1][:-1] == container)
+            mass += times * smooth[j] * len(page.blocks[j].text) * weight[j]
+            length += times * len(page.blocks[j].text) * weight[j]
+        fused.append(math.sqrt(smooth[i] * mass / length))
+    return ratios, smooth, fused
+
+
+def test_ratios_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").limit(25).collect()
+    for row in rows:
+        page = pagetext.parsed(row.html or "")
+        if not page.blocks:
+            continue
+        weight, _ = pagetext.weights(page)
+        ratios = pagetext.path_ratios(page.blocks, weight)
+        assert len(page.blocks) == len(ratios)
+        want = _brute_scores(page)
+        assert np.allclose(ratios, want[0])
+        smooth = pagetext.smoothed(ratios * weight, weight)
+        assert np.allclose(smooth, [sum(math.exp(-0.5 * (j - i) ** 2) * ratios[j] * weight[j] ** 2 for j in range(len(ratios)) if abs(i - j) <= 2)
+                                    / sum(math.exp(-0.5 * (j - i) ** 2) * weight[j] for j in range(len(ratios)) if abs(i - j) <= 2)
+                                    for i in range(len(ratios))])
+        assert np.allclose(pagetext.fused(page, smooth, weight), want[2])
+
+
+def test_read_back_is_dealt_by_bytes(spark, monkeypatch):
+    rows = [(i, "u", "x%d " % i * 3000) for i in range(200)]
+    folder = fresh_folder(spark, "warc")
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    size = index.agg({"length": "sum"}).first()[0]
+    monkeypatch.setattr(warc, "SHARE", size // 7)
+    read = warc.read(index, folder)
+    assert read.rdd.getNumPartitions() >= 7 and read.count() == 200
