@@ -20,20 +20,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echolens.llm.common import chunks, code_points, in_fold
+from echolens.llm.common import chunks, code_points, cut, give_back, in_fold
 
 UNKNOWN = "und"
 #: Characters after which sums are rescaled, and characters of the words that are summed at once.
 STEP, GROUP_CHARS = 8, 100_000
-#: Bounds of the sample: texts of a language, and languages.
+#: Bound of the sample: texts of a language. Every language is learned.
 SAMPLE_PER_LANGUAGE = 400
-MOST_LANGUAGES = 500
+#: Languages whose numbers of rows are broadcast; more are joined by shuffle.
+BROADCAST_LANGUAGES = 100_000
 _MARK = "▁"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters and numbers other than digits, and runs of letters.
+_RUN, _WORD = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 _FLOOR = 1e-9
 _TABLE_BITS = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +53,11 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; a number such as a half or a Roman numeral is none."""
+    runs = _RUN.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in _WORD.findall(run)]
 
 
 @dataclass
@@ -250,19 +257,26 @@ def train(texts: list[str], languages: list[str], pieces: list[str], rounds: int
 
 def fit(docs: DataFrame, vocabulary_path: str, per_language: int = SAMPLE_PER_LANGUAGE, fold: int = 4,
         held_out: int = 2) -> LanguageModel:
-    """Model from about ``per_language`` texts of each non-null ``lang`` outside the fold ``crc32 % fold = held_out``.
+    """Model from at most ``per_language`` texts of each non-null ``lang`` outside the fold ``crc32 % fold = held_out``.
 
-    The hash of its id decides whether a text is taken, at the rate that gives so many of its language; of more, those
-    with the smallest ids are used. Of more than ``MOST_LANGUAGES`` languages the first in code point order are learned.
+    The hash of its id decides whether a text is taken, at the rate that gives somewhat more of its language; those with the
+    smallest hashes are used. Of several texts of one id and language the first in code point order counts. All this is
+    cut in Spark, so no more texts reach the driver than are learned from.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.where(~in_fold(F.col("doc_id"), fold, held_out))
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy("lang").limit(MOST_LANGUAGES)
+    known = known.where(~in_fold(F.col("doc_id"), fold, held_out)).select("doc_id", "lang", "text")
+    counts = cut(known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang")
-    rows = drawn.where(draw * F.col("rows") < per_language).select("doc_id", "lang", "text").toPandas()
-    rows = rows.drop_duplicates(["doc_id", "lang"]).sort_values(["lang", "doc_id"]).groupby("lang").head(per_language)
-    return train(rows["text"].tolist(), rows["lang"].tolist(), vocabulary(vocabulary_path))
+    drawn = known.join(counts, "lang").where(draw * F.col("ids") < 1.2 * per_language + 20)
+    drawn = drawn.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    rows = drawn.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    rows = rows.select("lang", "doc_id", "text").toPandas().sort_values(["lang", "doc_id"], kind="stable")
+    model = train(rows["text"].tolist(), rows["lang"].tolist(), vocabulary(vocabulary_path))
+    del rows
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

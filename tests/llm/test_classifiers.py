@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolens.llm import language, quality, queries, toxicity
-from echolens.llm.common import in_fold
+from echolens.llm.common import in_fold, labelled_sample
 
 FOLDER = "/root/testdata/sf0.01"
+PIECES = queries.tokenizer_file("piece_bpe_32k.model")
 
 
 def _held_out(doc_id, modulus):
@@ -135,3 +136,36 @@ def test_language_odd_rows(spark, odd):
     assert by_id[10][0] == "en"
     nothing = language.predict(odd, language.fit(odd.limit(0), path)).select("lang_pred").distinct().collect()
     assert [row.lang_pred for row in nothing] == ["und"]
+
+
+def test_letterless_texts_have_no_language(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(9)], "doc_id long, text string, lang string")
+    model = language.fit(docs, PIECES)
+    texts = ["½ ² ①", "Ⅷ ⅷ", "12 345", "日本", "x½y"]
+    got = {r["text"]: r["lang_pred"] for r in language.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    assert got == {"½ ² ①": "und", "Ⅷ ⅷ": "und", "12 345": "und", "日本": "en", "x½y": "en"}
+    assert language.words_of("x½y Ⅷa ab") == ["x", "y", "a", "ab"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, "".join(chr(97 + (i // 4 * 7 + k * k) % 26) for k in range(5)), f"l{i // 4:03d}") for i in range(2400)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, per_language=4)
+    assert model.languages == sorted({row[2] for row in rows if zlib.crc32(str(row[0]).encode()) % 4 != 2}) and len(model.languages) > 590
+
+
+def test_repeated_ids_give_one_text_each(spark):
+    rows = [(7, f"text {i}", "en") for i in range(300)] + [(i, "le chat", "fr") for i in range(20)] + [(8, "zwei", "de"), (8, "eins", "de")]
+    learned = []
+    before, language.train = language.train, lambda texts, langs, pieces: learned.append(sorted(zip(langs, texts)))
+    try:
+        for parts in (1, 3):
+            language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts), PIECES, per_language=5)
+    finally:
+        language.train = before
+    assert learned[0] == learned[1]
+    assert [t for lang, t in learned[0] if lang == "en"] in ([], ["text 0"]) and [t for lang, t in learned[0] if lang == "de"] in ([], ["eins"])
+    assert len([t for lang, t in learned[0] if lang == "fr"]) == 5
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, y int")
+    found = labelled_sample(docs, labels, "y", {1: 9}, 5)
+    assert found["text"].tolist() == [t for i, t in ((1, "a"), (2, "c")) if zlib.crc32(str(i).encode()) % 5]
