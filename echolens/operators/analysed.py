@@ -20,7 +20,7 @@ from echolens.operators import metrics, tables
 from echolens.operators.tables import update_analysis
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
 from echolens.sources.snapshots import (
-    Buckets, buckets_of, default_buckets, read_snapshot, remove_keys, remove_source, void_column, write_messages, write_snapshot,
+    Buckets, buckets_of, default_buckets, read_snapshot, remove, void_column, write_messages, write_snapshot,
 )
 
 ANALYSIS = (
@@ -58,9 +58,11 @@ def merged(messages: DataFrame, analysis: DataFrame) -> DataFrame:
     return update_analysis(messages, analysis, order_by=order, stamp="made_at")
 
 
-def read_messages(spark: SparkSession, messages_path: str) -> DataFrame:
-    analysis = read_snapshot(spark, analysis_path(messages_path), ANALYSIS, with_version=True)
-    return merged(read_snapshot(spark, messages_path, MESSAGES), analysis)
+def read_messages(spark: SparkSession, messages_path: str, versions: tuple[int, int] | None = None) -> DataFrame:
+    """The stored messages with their analysis, as of now or of ``versions`` of the two tables."""
+    of_messages, of_analysis = versions or (None, None)
+    analysis = read_snapshot(spark, analysis_path(messages_path), ANALYSIS, of_analysis, with_version=True)
+    return merged(read_snapshot(spark, messages_path, MESSAGES, of_messages), analysis)
 
 
 def queued_ids(
@@ -101,9 +103,9 @@ def clear_source(spark: SparkSession, source: str, messages_path: str, vectors_p
         "messages": messages.count(), "vectors": read_snapshot(spark, vectors_path, VECTORS).where(of_source).count(),
         "ingestion_state": state.where(of_source).count(),
     }
-    remove_keys(messages.select("id"), analysis_path(messages_path))
+    remove(messages.select("id"), analysis_path(messages_path))
     for path in (vectors_path, messages_path):
-        remove_source(spark, path, source)
+        remove(spark.createDataFrame([(source,)], "source string"), path)
     write_snapshot(tables.clear_source(state, source), state_path)
     return counts
 

@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolens.functions.clock import Clock, timestamp
-from echolens.operators.tables import replace_by_key
+from echolens.operators.plan import materialised
+from echolens.operators.tables import first_per_key, replace_by_key
+from echolens.schemas import VECTORS
+from echolens.sources.snapshots import remove, write_snapshot
 
 L2, COSINE = "l2", "cosine"
 # Query matrices up to this many bytes go to every executor.
@@ -37,6 +40,21 @@ def upsert_vectors(vectors: DataFrame, batch: DataFrame, *last_by: str) -> DataF
     return replace_by_key(vectors, batch, "id", *(last_by or ("created_at",)))
 
 
+def last_per_id(batch: DataFrame, *last_by: str) -> DataFrame:
+    """One row for each id, the last by ``last_by``, the date without it."""
+    return first_per_key(batch, "id", *[F.desc(name) for name in last_by or ("created_at",)])
+
+
+def upsert_stored(batch: DataFrame, path: str) -> int:
+    """Batch rows replace rows of the stored table; what is written grows with the batch. Returns the version.
+
+    The ids are marked as gone from the versions before, then the rows are added; a run lost in between is made up by repeating it.
+    """
+    rows = materialised(last_per_id(batch).select(*VECTORS.names))
+    remove(rows.select("id"), path)
+    return write_snapshot(rows, path, partition_by="source", sort_by="id", added=True)
+
+
 def vector_by_id(vectors: DataFrame, id: str) -> DataFrame:
     return vectors.where(F.col("id") == id).limit(1)
 
@@ -135,6 +153,11 @@ def search_cells(
     # The probed cells, at most one row per centre, filter the scan: a table stored by cell reads their folders only.
     probed = F.broadcast(asked.select("cell").distinct())
     corpus = vectors.select("id", "vector", "cell").join(probed, "cell", "left_semi")
+    return best_in_cells(asked, corpus, k, metric, broadcast_bytes)
+
+
+def best_in_cells(asked: DataFrame, corpus: DataFrame, k: int, metric: str, broadcast_bytes: int) -> DataFrame:
+    """The ``k`` nearest vectors of each query in the cells its rows name."""
     return _best(_hits(asked, corpus, k, metric, broadcast_bytes)[0], k)
 
 
@@ -273,7 +296,8 @@ class _Best:
     def __init__(self, queries: _Queries, k: int) -> None:
         self.queries, self.k = queries, k
         self.bound = np.full(len(queries.ids), np.inf)
-        self.hits = pd.DataFrame({"q": np.array([], int), "distance": np.array([], float), "id": np.array([], object)})
+        self.distance = np.full((len(queries.ids), k), np.inf)
+        self.hit_ids = np.full((len(queries.ids), k), None, object)
 
     def add(self, ids: np.ndarray, cells: np.ndarray, matrix: np.ndarray) -> None:
         stored = self.queries.prepare(matrix)
@@ -302,28 +326,30 @@ class _Best:
         rows, cols = np.nonzero(rough <= bound[:, None] + slack)
         if not len(rows):
             return
-        found = pd.DataFrame(
-            {
-                "q": asked[rows],
-                "distance": self.queries.distance(asked[rows], stored[cols]),
-                "id": ids[cols],
-            }
-        )
-        touched = np.isin(self.hits["q"].to_numpy(), asked)
-        merged = pd.concat([self.hits[touched], found]).sort_values(["q", "distance", "id"], kind="stable")
-        merged = merged[merged.groupby("q").cumcount() < self.k]
-        counts = merged.groupby("q")["distance"].agg(["size", "last"])
-        full = counts[counts["size"] == self.k]
-        self.bound[full.index.to_numpy()] = full["last"].to_numpy()
-        self.hits = pd.concat([self.hits[~touched], merged])
+        distance, names = self.queries.distance(asked[rows], stored[cols]), ids[cols]
+        begin = np.searchsorted(rows, np.unique(rows))
+        for low, high in zip(begin, np.r_[begin[1:], len(rows)]):
+            self._merge(asked[rows[low]], distance[low:high], names[low:high])
+
+    def _merge(self, query: int, distance: np.ndarray, names: np.ndarray) -> None:
+        """The k best of a query's hits so far and new ones, by distance, then id."""
+        held = np.isfinite(self.distance[query])
+        distance, names = np.r_[self.distance[query][held], distance], np.r_[self.hit_ids[query][held], names]
+        if len(distance) > self.k:  # of far more than k only those that can stay are sorted with their ids
+            kept = distance <= np.partition(distance, self.k - 1)[self.k - 1]
+            distance, names = distance[kept], names[kept]
+        order = np.lexsort((names.astype(str), distance))[: self.k]
+        self.distance[query, : len(order)], self.hit_ids[query, : len(order)] = distance[order], names[order]
+        if len(order) == self.k:
+            self.bound[query] = distance[order[-1]]
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        rows = self.hits["q"].to_numpy()
+        rows, places = np.nonzero(np.isfinite(self.distance))
         columns = [
             pa.array(self.queries.ids[rows], pa.string()),
             pa.array(self.queries.cells[rows], pa.int32()),
-            pa.array(self.hits["id"].to_numpy(), pa.string()),
-            pa.array(self.hits["distance"].to_numpy(), pa.float64()),
+            pa.array(self.hit_ids[rows, places], pa.string()),
+            pa.array(self.distance[rows, places], pa.float64()),
         ]
         if len(rows):
             yield pa.RecordBatch.from_arrays(columns, [name for name, _ in _HIT_ARROW])

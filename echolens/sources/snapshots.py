@@ -1,8 +1,8 @@
 """Versioned Parquet tables and JSON-lines files.
 
 A table is a folder of numbered folders: ``version=N-whole`` holds the whole table, ``version=N-added`` only
-the rows added to the version before, so an insert does not copy the table. ``version=N-removed_source`` and
-``version=N-removed_key`` hold what is gone from all versions before, and ``version=N-voided_<column>`` says that a column of
+the rows added to the version before, so an insert does not copy the table. ``version=N-removed_<column>`` holds values of
+a column whose rows are gone from all versions before, and ``version=N-voided_<column>`` says that a column of
 all rows before is NULL: readers apply them, so a delete lasts and costs its own size only. A write makes a new folder and
 never touches those being read; a folder counts once its ``_SUCCESS`` marker is there, so a lost job leaves
 the table as it was. A table has one writer at a time. ``compact`` folds all into a whole version, ``vacuum`` deletes what
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from echolens.functions.text import strip
 
 _PREFIX, WHOLE, ADDED = "version=", "whole", "added"
-_REMOVED_SOURCE, _REMOVED_KEY, _VOIDED = "removed_source", "removed_key", "voided_"
+_REMOVED, _VOIDED = "removed_", "voided_"
 _BUCKETS = "_buckets="
 _FACTS = "version string, n long, low string, high string, blocks long"
 #: Bits of one block of a Bloom filter, as many as the bitmap aggregate gives; bits for each key and places they are set at.
@@ -203,13 +203,11 @@ def read_snapshot(
         rows = spark.read.schema(schema).option("basePath", path).parquet(*[f"{_base(path)}/{_PREFIX}{name}" for name in names])
     rows = rows.select(*schema.names, _number().alias("_version"))
     marks = [v for v in versions if not v.has_rows and v.number > whole]
-    for column, kind in (("source", _REMOVED_SOURCE), (buckets.key if buckets else "id", _REMOVED_KEY)):
-        removed = [v for v in marks if v.kind == kind]
-        if removed:
-            gone = _marks(spark, path, removed, column)
-            if buckets and kind == _REMOVED_KEY:
-                gone = gone.repartition(buckets.number, "_mark")  # meets the buckets where they are
-            rows = rows.join(gone, (F.col(column) == F.col("_mark")) & (F.col("_version") < F.col("_before")), "left_anti")
+    for column in dict.fromkeys(v.kind.removeprefix(_REMOVED) for v in marks if v.kind.startswith(_REMOVED)):
+        gone = _marks(spark, path, [v for v in marks if v.kind == _REMOVED + column], column)
+        if buckets and column == buckets.key:
+            gone = gone.repartition(buckets.number, "_mark")  # meets the buckets where they are
+        rows = rows.join(gone, (F.col(column) == F.col("_mark")) & (F.col("_version") < F.col("_before")), "left_anti")
     for mark in marks:
         if mark.kind.startswith(_VOIDED):
             column = mark.kind.removeprefix(_VOIDED)
@@ -217,6 +215,26 @@ def read_snapshot(
     return rows if with_version else rows.select(*schema.names)
 
 
+@dataclass(frozen=True)
+class Changes:
+    """What happened to a table besides added rows: whether it was written whole, removed values by column, voided columns."""
+
+    whole: bool
+    removed: dict[str, DataFrame]
+    voided: tuple[str, ...]
+
+
+def changes_since(spark: SparkSession, path: str, version: int) -> Changes:
+    later = [v for v in _versions(spark, path) if v.number > version]
+    columns = dict.fromkeys(v.kind.removeprefix(_REMOVED) for v in later if v.kind.startswith(_REMOVED))
+    removed = {
+        column: spark.read.parquet(*[_folder(path, v) for v in later if v.kind == _REMOVED + column]).select(column)
+        for column in columns
+    }
+    voided = tuple(v.kind.removeprefix(_VOIDED) for v in later if v.kind.startswith(_VOIDED))
+    return Changes(any(v.kind == WHOLE for v in later), removed, voided)
+
+
 def _next_version(spark: SparkSession, path: str, kind: str) -> _Version:
     version = _Version((latest_version(spark, path) or 0) + 1, kind)
     for leftover in _names(spark, f"{_base(path)}/{_PREFIX}{version.number:010d}-*"):  # of a job that was lost
@@ -331,16 +349,10 @@ def _mark(rows: DataFrame, path: str, kind: str) -> int:
     return version.number
 
 
-def remove_source(spark: SparkSession, path: str, source: str) -> int:
-    """From now on the table has no rows of a source, until some are added again; rows with a NULL source stay."""
-    return _mark(spark.createDataFrame([(source,)], "source string"), path, _REMOVED_SOURCE)
-
-
-def remove_keys(keys: DataFrame, path: str) -> int:
-    """From now on the table has no rows with these keys (one column), until some are added again."""
-    held = buckets_of(keys.sparkSession, path)
-    name = held.key if held else "id"
-    return _mark(keys.select(F.col(keys.columns[0]).alias(name)).where(F.col(name).isNotNull()), path, _REMOVED_KEY)
+def remove(values: DataFrame, path: str) -> int:
+    """From now on the table has no rows with these values of the one column, until some are added again; NULLs stay."""
+    (column,) = values.columns
+    return _mark(values.where(F.col(column).isNotNull()).distinct(), path, _REMOVED + column)
 
 
 def void_column(spark: SparkSession, path: str, column: str) -> int:
