@@ -31,9 +31,16 @@ def metadata_int(metadata: Column, field: str, fallback: str) -> Column:
     return F.coalesce(F.when(present, number(field)).otherwise(number(fallback)), F.lit(0))
 
 
-def _base_score(sentiment: Column, emotion: Column, content_type: Column, metadata: Column) -> Column:
-    comments = metadata_int(metadata, "num_comments", "comments")
-    points = metadata_int(metadata, "points", "score")
+def engagement(shredded: bool = False) -> tuple[Column, Column]:
+    """Comments and points of a message, from its metadata or from the columns of a shredded table."""
+    if shredded:
+        return F.col("comments"), F.col("points")
+    metadata = F.col("metadata")
+    return metadata_int(metadata, "num_comments", "comments"), metadata_int(metadata, "points", "score")
+
+
+def _base_score(sentiment: Column, emotion: Column, content_type: Column, shredded: bool) -> Column:
+    comments, points = engagement(shredded)
     mood = F.when(sentiment == "negative", 4.0).when(sentiment == "neutral", 1.0).otherwise(0.0)
     friction = F.when(emotion.isin(*FRICTION_EMOTIONS), 2.0).otherwise(0.0)
     kind = (
@@ -47,10 +54,10 @@ def _base_score(sentiment: Column, emotion: Column, content_type: Column, metada
     return mood + friction + kind + attention
 
 
-def impact_score(as_of: Clock = None) -> Column:
+def impact_score(as_of: Clock = None, shredded: bool = False) -> Column:
     """Dashboard form: engagement, sentiment and kind, plus up to two points for recency."""
     base = _base_score(
-        F.col("sentiment_simple"), F.col("sentiment_rich"), F.col("content_type"), F.col("metadata")
+        F.col("sentiment_simple"), F.col("sentiment_rich"), F.col("content_type"), shredded
     )
     age = age_in_days(F.col("created_at"), as_of)
     recency = F.when(
@@ -59,12 +66,12 @@ def impact_score(as_of: Clock = None) -> Column:
     return F.round(base + recency, 2)
 
 
-def explorer_impact_score() -> Column:
+def explorer_impact_score(shredded: bool = False) -> Column:
     """Explorer form: no recency, and a missing sentiment counts as neutral."""
     base = _base_score(
         F.coalesce(F.col("sentiment_simple"), F.lit("neutral")),
         F.col("sentiment_rich"),
         F.coalesce(F.col("content_type"), F.lit("discussion")),
-        F.col("metadata"),
+        shredded,
     )
     return F.round(base, 2)

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from echolens.functions.clock import Clock
 from echolens.operators.filters import is_voice, newest, within_days
 
-# Pages up to this many ids are broadcast; longer ones are left to the optimizer.
-BROADCAST_IDS = 10_000
-
-
 def reply_keys(messages: DataFrame) -> DataFrame:
     """Distinct ids that some message names as parent or thread.
 
@@ -22,9 +18,20 @@ def reply_keys(messages: DataFrame) -> DataFrame:
     return messages.select(F.explode(targets).alias("replied_id")).distinct()
 
 
+def replied_among(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """Distinct ids of ``rows`` that some message names, ``replied_id``.
+
+    The keys are cut down to the ids asked for before anything is made distinct. Where these are few they are broadcast at run
+    time and no key is shuffled at all; where they are many, Spark may filter the keys by a Bloom filter of them first.
+    """
+    targets = F.array_distinct(F.array_compact(F.array("parent_id", "thread_id")))
+    keys = messages.select(F.explode(targets).alias("replied_id"))
+    return keys.join(rows.select(F.col("id").alias("asked_id")), F.col("replied_id") == F.col("asked_id"), "left_semi").distinct()
+
+
 def without_reply(rows: DataFrame, messages: DataFrame) -> DataFrame:
     """Rows nobody replied to. Replies of any source and date count."""
-    return rows.join(reply_keys(messages), F.col("id") == F.col("replied_id"), "left_anti")
+    return rows.join(replied_among(rows, messages), F.col("id") == F.col("replied_id"), "left_anti")
 
 
 def unanswered_questions(
@@ -48,30 +55,18 @@ def unanswered_count(messages: DataFrame, days: int = 30, as_of: Clock = None) -
 
 
 def with_has_reply(rows: DataFrame, messages: DataFrame) -> DataFrame:
-    """Add the flag ``has_reply`` to any number of rows."""
-    return (
-        rows.join(reply_keys(messages), F.col("id") == F.col("replied_id"), "left")
-        .withColumn("has_reply", F.col("replied_id").isNotNull())
-        .drop("replied_id")
-    )
+    """Add the flag ``has_reply`` to any number of rows, such as the whole table."""
+    return _flagged(rows, reply_keys(messages))
 
 
-def page_with_has_reply(page: DataFrame, messages: DataFrame, page_size: int) -> DataFrame:
-    """``with_has_reply`` for a page of at most ``page_size`` rows.
+def some_with_has_reply(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """The same for a part of the table: only keys of its rows are made distinct."""
+    return _flagged(rows, replied_among(rows, messages))
 
-    Replies are first cut down to those that answer the page, so no shuffle of all reply keys.
-    """
-    if page_size > BROADCAST_IDS:
-        return with_has_reply(page, messages)
-    targets = F.explode(F.array_distinct(F.array_compact(F.array("parent_id", "thread_id"))))
-    ids = page.select(F.col("id").alias("page_id"))
-    answered = (
-        messages.select(targets.alias("replied_id"))
-        .join(F.broadcast(ids), F.col("replied_id") == F.col("page_id"), "left_semi")
-        .distinct()
-    )
+
+def _flagged(rows: DataFrame, replied: DataFrame) -> DataFrame:
     return (
-        page.join(F.broadcast(answered), F.col("id") == F.col("replied_id"), "left")
+        rows.join(replied, F.col("id") == F.col("replied_id"), "left")
         .withColumn("has_reply", F.col("replied_id").isNotNull())
         .drop("replied_id")
     )

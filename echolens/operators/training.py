@@ -117,7 +117,8 @@ def qa_pairs(messages: DataFrame, cuts: Cuts = UNCUT) -> DataFrame:
 
     A thread may hold most messages, so none is gathered: one aggregate keeps the opening message and
     a window keeps the two earliest answer candidates of each thread, both reduced per task before the
-    shuffle. Two are enough, since at most one candidate is the opening message itself.
+    shuffle. Two are enough, since at most one candidate is the opening message itself. These rows are narrow; texts are read
+    once more for the two messages of each pair.
     """
     content = F.coalesce("content", F.lit(""))
     # Cut before lower-casing, so that only the head is lower-cased; some letters grow by it.
@@ -129,30 +130,36 @@ def qa_pairs(messages: DataFrame, cuts: Cuts = UNCUT) -> DataFrame:
     )
     marks = F.length(content) - F.length(F.replace(content, F.lit("?"), F.lit("")))
     answers = (F.length(content) >= SHORTEST_PART) & (marks <= MOST_QUESTION_MARKS)
-    rows = messages.select(F.coalesce("thread_id", "id").alias("thread"), "created_at", "id", "source",
-                           truncate(content, cuts.question).alias("question"), asks.alias("asks"),
-                           truncate(content, cuts.answer).alias("answer"), answers.alias("answers"))
+    rows = messages.select(F.coalesce("thread_id", "id").alias("thread"), "created_at", "id",
+                           asks.alias("asks"), answers.alias("answers"))
     opening = rows.groupBy("thread").agg(
-        F.min(F.struct("created_at", "id", "source", "question", "asks")).alias("first"),
-        F.count("*").alias("size"),
+        F.min(F.struct("created_at", "id", "asks")).alias("first"), F.count("*").alias("size"),
     ).where((F.col("size") >= 2) & F.col("first.asks"))
     earliest = Window.partitionBy("thread").orderBy("created_at", "id")
     candidates = (
         rows.where(F.col("answers"))
-        .select("thread", "created_at", "id", "answer", F.row_number().over(earliest).alias("rank"))
+        .select("thread", "created_at", "id", F.row_number().over(earliest).alias("rank"))
         .where(F.col("rank") <= 2)
     )
-    found = (
+    pairs = (
         opening.join(candidates, "thread")
         .where(F.col("id") != F.col("first.id"))
         .groupBy("thread")
-        .agg(F.min(F.struct("created_at", "id", "answer")).alias("reply"), F.first("first").alias("first"))
+        .agg(F.min(F.struct("created_at", "id")).alias("reply"), F.first("first.id").alias("question_id"))
+    )
+    wanted = F.array(F.struct(F.col("question_id").alias("id"), F.lit(True).alias("opens")),
+                     F.struct(F.col("reply.id").alias("id"), F.lit(False).alias("opens")))
+    parts = pairs.select("thread", F.inline(wanted)).join(messages.select("id", "source", content.alias("content")), "id")
+    opens = F.col("opens")
+    found = parts.groupBy("thread").agg(
+        F.max(F.when(opens, F.col("source"))).alias("source"), F.max(F.when(opens, F.col("content"))).alias("question"),
+        F.max(F.when(~opens, F.col("content"))).alias("answer"),
     )
     return found.select(
         F.concat(F.lit("thread:"), F.col("thread")).alias("example_id"),
-        F.col("first.source").alias("source"),
-        clean_content(F.col("first.question")).alias("input"),
-        clean_content(F.col("reply.answer")).alias("output"),
+        "source",
+        clean_content(truncate(F.col("question"), cuts.question)).alias("input"),
+        clean_content(truncate(F.col("answer"), cuts.answer)).alias("output"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from echolens.functions.clock import Clock, days_before_now
 from echolens.functions.scoring import explorer_impact_score, impact_score, topics_array
 from echolens.operators.filters import as_cards, is_voice, newest, within_days
-from echolens.operators.replies import with_has_reply
+from echolens.operators.replies import some_with_has_reply
 from echolens.schemas import KNOWLEDGE_SOURCES
 
 # Triage names, sort orders and the score that counts as high impact.
@@ -22,6 +22,8 @@ UNANSWERED = "unanswered_questions"
 HIGH_IMPACT = "high_impact"
 NEWEST, MOST_NEGATIVE, HIGHEST_IMPACT = "newest", "most_negative", "highest_impact"
 HIGH_IMPACT_SCORE = 6.0
+#: Rows of a page that are broadcast to find its texts.
+BROADCAST_PAGE = 10_000
 
 
 def high_impact(
@@ -71,21 +73,28 @@ class Search:
 def explore(messages: DataFrame, search: Search = Search(), as_of: Clock = None) -> DataFrame:
     """All matching messages in the order asked for, then the page of ``limit`` rows after ``offset``.
 
-    Every filter acts before the page is cut, so a page is full as long as there are rows. Texts are carried by the
-    rows that pass the filters of ``_matching`` only.
+    Every filter acts before the page is cut, so a page is full as long as there are rows. Filters, replies and the order of
+    a page work on narrow rows; texts are joined to the rows that are shown.
     """
-    page = _matching(messages, search, as_of).select(
-        "id", "source", "content", "author", "created_at",
-        F.coalesce("sentiment_simple", F.lit("neutral")).alias("sentiment"),
-        "sentiment_rich",
-        F.coalesce("content_type", F.lit("discussion")).alias("content_type"),
-        "topics", "metadata", "url", "title",
+    matching = _matching(messages, search, as_of)
+    narrow = matching.select(
+        "id", "created_at", F.coalesce("sentiment_simple", F.lit("neutral")).alias("sentiment"),
+        F.coalesce("content_type", F.lit("discussion")).alias("content_type"), "topics",
         explorer_impact_score().alias("impact_score"),
     )
-    page = with_has_reply(page, messages)
-    page = _sorted(_narrowed(page, search), search.sort)
-    page = page.offset(search.offset) if search.offset else page
-    return page if search.limit is None else page.limit(search.limit)
+    narrow = _narrowed(some_with_has_reply(narrow, messages), search)
+    if search.limit is not None or search.offset:
+        narrow = _sorted(narrow, search.sort)
+        narrow = narrow.offset(search.offset) if search.offset else narrow
+        narrow = narrow if search.limit is None else narrow.limit(search.limit)
+    if search.limit is not None and search.limit <= BROADCAST_PAGE:
+        narrow = F.broadcast(narrow)  # as many rows as the limit says
+    texts = messages.select("id", "source", "content", "author", "sentiment_rich", "metadata", "url", "title")
+    page = texts.join(narrow, "id").select(
+        "id", "source", "content", "author", "created_at", "sentiment", "sentiment_rich", "content_type", "topics", "metadata",
+        "url", "title", "impact_score", "has_reply",
+    )
+    return _sorted(page, search.sort)
 
 
 def _matching(messages: DataFrame, search: Search, as_of: Clock) -> DataFrame:

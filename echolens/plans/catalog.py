@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.functions import scoring, text
-from echolens.operators import adhoc, enrich, filters, ingestion, metrics, replies, retrieval, tables, training, triage
+from echolens.operators import (
+    adhoc, analysed, enrich, filters, ingestion, metrics, replies, retrieval, rollup, tables, training, triage, vector_index,
+)
 from echolens.operators import vectors as V
 from echolens.operators.plan import materialised, shared_folder
 from echolens.plans import inputs as I
 from echolens.plans.inputs import AS_OF, BRAND
-from echolens.sources import docs, github, hackernews, landing, reddit, snapshots
+from echolens.schemas import MESSAGES, VECTORS
+from echolens.sources import docs, github, hackernews, landing, reddit, shredding, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -169,6 +172,97 @@ def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     return tables.insert_if_absent(stored, I.refetched(everything))
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query
+def stored_insert(spark: SparkSession, folder: str) -> DataFrame:
+    """The same insert into a stored table, which opens only versions that may hold an id of the batch."""
+    everything, path = I.messages(spark, folder), _fresh(spark, "messages")
+    early = F.col("created_at") < F.lit("2024-01-05").cast("timestamp_ntz")
+    stored = everything.where(F.col("created_at") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    snapshots.write_messages(stored.where(early), path)
+    snapshots.write_messages(stored.where(~early), path, added=True)
+    ingestion.insert(I.refetched(everything), path)
+    return snapshots.read_snapshot(spark, path, MESSAGES)
+
+
+def _stored_with_analysis(spark: SparkSession, folder: str) -> str:
+    """A stored table of all messages and, beside it, labels and pointers that runs have added."""
+    everything, path = I.messages(spark, folder), _fresh(spark, "messages")
+    snapshots.write_messages(everything, path)
+    analysed.append_analysis(I.analysis_delta(everything), path, AS_OF)
+    return path
+
+
+@_query
+def stored_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return analysed.read_messages(spark, _stored_with_analysis(spark, folder))
+
+
+@_query
+def stored_queues(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids that the two jobs would take up next."""
+    path = _stored_with_analysis(spark, folder)
+    queues = {"embedding": tables.embedding_queue, "sentiment": tables.sentiment_queue}
+    found = [analysed.queued_ids(spark, path, queue).select(F.lit(name).alias("queue"), "id") for name, queue in queues.items()]
+    return found[0].unionByName(found[1])
+
+
+@_query
+def stored_reset(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages read again after all embeddings were forgotten."""
+    path, vectors = _stored_with_analysis(spark, folder), _fresh(spark, "vectors")
+    snapshots.write_snapshot(I.vectors(spark, folder), vectors)
+    analysed.reset_embeddings(spark, path, vectors)
+    return analysed.read_messages(spark, path)
+
+
+@_query
+def stored_clear_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages after a source was cleared and fetched again."""
+    path, vectors, state = _stored_with_analysis(spark, folder), _fresh(spark, "vectors"), _fresh(spark, "state")
+    snapshots.write_snapshot(I.vectors(spark, folder), vectors)
+    snapshots.write_snapshot(I.ingestion_state(spark, folder), state)
+    analysed.clear_source(spark, "github", path, vectors, state)
+    ingestion.insert(I.messages(spark, folder).where(F.col("source") == "github"), path, "github")
+    return analysed.read_messages(spark, path)
+
+
+@_query
+def rollup_after_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The rollup kept by signed changes: after inserts, new labels and a cleared source."""
+    everything, path, kept = I.messages(spark, folder), _fresh(spark, "messages"), _fresh(spark, "rollup")
+    vectors, state = _fresh(spark, "vectors"), _fresh(spark, "state")
+    early = F.col("created_at") < F.lit("2024-01-20").cast("timestamp_ntz")
+    snapshots.write_messages(everything.where(early), path)
+    rollup.refresh(spark, path, kept)
+    ingestion.insert(everything, path)
+    analysed.append_analysis(I.analysis_delta(everything), path, AS_OF)
+    rollup.refresh(spark, path, kept)
+    analysed.clear_source(spark, "github", path, vectors, state)
+    rollup.refresh(spark, path, kept)
+    return rollup.read_rollup(spark, kept)
+
+
+def _shredded(spark: SparkSession, folder: str) -> DataFrame:
+    path = _fresh(spark, "shredded")
+    shredding.write_shredded(I.messages(spark, folder, text=False), path)
+    return shredding.read_shredded(spark, path)
+
+
+@_query
+def impact_score_shredded(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scores from counts that were taken out of the metadata when the table was written."""
+    return _shredded(spark, folder).select("id", scoring.impact_score(AS_OF, shredded=True).alias("impact_score"))
+
+
+@_query
+def impact_score_explorer_shredded(spark: SparkSession, folder: str) -> DataFrame:
+    return _shredded(spark, folder).select("id", scoring.explorer_impact_score(shredded=True).alias("impact_score"))
+
+
 @_query
 def new_message_count(spark: SparkSession, folder: str) -> DataFrame:
     everything = I.messages(spark, folder, text=False)
@@ -382,16 +476,43 @@ def cell_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(V.search_cells(I.vector_queries(spark, folder), stored, centres, probes=4))
 
 
+@_query
+def ivf_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search in a stored index: written around given centres, appended to, read by probed cell."""
+    labelled = I.table(spark, folder, "embeddings").select("label", F.col("embedding").alias("vector"))
+    stored, path = I.vectors(spark, folder), _fresh(spark, "index")
+    even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    vector_index.build(stored.where(even), path, V.mean_centres(labelled, "label"))
+    vector_index.append(stored.where(~even), path)
+    return _rounded(vector_index.search(spark, I.vector_queries(spark, folder), path, probes=4))
+
+
+@_query
+def stored_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The same upsert into a stored table: the batch is added, what it replaces is marked."""
+    stored, path = I.vectors(spark, folder), _fresh(spark, "vectors")
+    snapshots.write_snapshot(stored, path, partition_by="source", sort_by="id")
+    V.upsert_stored(_moved_vectors(stored), path)
+    return _vector_heads(snapshots.read_snapshot(spark, path, VECTORS))
+
+
 @_query
 def upsert_vectors(spark: SparkSession, folder: str) -> DataFrame:
     stored = I.vectors(spark, folder)
+    return _vector_heads(V.upsert_vectors(stored, _moved_vectors(stored)))
+
+
+def _moved_vectors(stored: DataFrame) -> DataFrame:
+    """A batch in which each id stands twice, the second time a day later."""
     moved = stored.where(F.col("source").isin("docs", "blog")).withColumns(
         {"source": F.lit("slack"), "vector": F.reverse("vector")}
     )
     later = moved.withColumn("created_at", F.timestamp_add("DAY", F.lit(1), F.col("created_at")))
-    batch = moved.withColumn("text", F.lit("old")).unionByName(later)
-    result = V.upsert_vectors(stored, batch)
-    return result.select("id", "text", "source", "created_at", F.get("vector", F.lit(0)).alias("first"))
+    return moved.withColumn("text", F.lit("old")).unionByName(later)
+
+
+def _vector_heads(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "text", "source", "created_at", F.get("vector", F.lit(0)).alias("first"))
 
 
 @_query

@@ -438,6 +438,26 @@ _CATALOG = ", ".join(
     for position, field in enumerate(schema.fields, 1)
 )
 
+_CELL_HITS = f""", units as (
+          select label, {_UNIT.format(v="cast(embedding as double[])")} as u from embeddings),
+        means as (select label, i, avg(u[i]) as m from units, (select unnest(range(1, 65)) as i) group by all),
+        centres as (select label, list(m order by i) as c from means group by label),
+        celled as (
+          select id, vector, arg_min(label, list_distance(u, c)) as cell
+          from (select id, vector, {_UNIT.format(v="vector")} as u from stored), centres group by id, vector),
+        probed as (
+          select query_id, vector, label from (select query_id, vector, {_UNIT.format(v="vector")} as u from queries), centres
+          qualify row_number() over (partition by query_id order by list_distance(u, c), label) <= 4),
+        pairs as (
+          select query_id, id, 1.0 - list_cosine_similarity(p.vector, s.vector) as distance
+          from probed p join celled s on s.cell = p.label),
+        ranked as (
+          select *, row_number() over (partition by query_id order by distance, id) as rank from pairs qualify rank <= 10)
+        select query_id, cast(rank as int) as rank, id, round(distance, 6) + 0.0 as distance from ranked"""
+_UPSERTED = """select id, text, source, created_at, cast(vector[1] as float) as first from stored
+        where source not in ('docs', 'blog') union all
+        select id, text, 'slack', created_at + interval 1 day, cast(vector[len(vector)] as float) from stored
+        where source in ('docs', 'blog')"""
 _BODIES = {
     "voice_stats": f"select {_counters('count(*) as total_messages')} from messages where {_VOICE}",
     "positive_pct": f"""select round(100.0 * count(*) filter (where sentiment_simple = 'positive') / count(*), 6)
@@ -525,6 +545,8 @@ _BODIES = {
     "high_impact_cards": _HIGH.format(limit=6) + """select id, substr(coalesce(title, content), 1, 140) as title,
           source, created_at, coalesce(sentiment_simple, 'unknown') as sentiment_simple,
           case when url like 'http%' then url else '#' end as url, impact_score from high""",
+    "impact_score_shredded": f"select id, {_IMPACT} as impact_score from (select *, {_INTS} from messages)",
+    "impact_score_explorer_shredded": f"select id, {_EXPLORER_IMPACT} as impact_score from (select *, {_INTS} from messages)",
     "impact_score": f"select id, {_IMPACT} as impact_score from (select *, {_INTS} from messages)",
     "impact_score_explorer": f"select id, {_EXPLORER_IMPACT} as impact_score from (select *, {_INTS} from messages)",
     **{name: _explore(search) for name, search in SEARCHES.items()},
@@ -538,6 +560,15 @@ _BODIES = {
         where last_fetched_at is null or created_at >= last_fetched_at""",
     "insert_if_absent": _REFETCHED + """select * from kept union all
         select * replace (coalesce(topics, '[]') as topics) from fresh""",
+    "stored_insert": _REFETCHED + """select * from kept union all
+        select * replace (coalesce(topics, '[]') as topics) from fresh""",
+    "rollup_after_changes": _UPDATED + _DAILY_METRICS.format(rows=f"(select * from ({_UPDATE}) where source <> 'github')"),
+    "stored_merge": _UPDATED + _UPDATE,
+    "stored_queues": _UPDATED + f"""select 'embedding' as queue, id from ({_UPDATE}) where embedding_id is null
+        union all select 'sentiment', id from ({_UPDATE}) where sentiment_simple is null and {_VOICE}""",
+    "stored_reset": _UPDATED + f"select * replace ({_NULL} as embedding_id) from ({_UPDATE})",
+    "stored_clear_source": _UPDATED + f"""select * from ({_UPDATE}) where source <> 'github' union all
+        select * replace (coalesce(topics, '[]') as topics) from messages where source = 'github'""",
     "new_message_count": _REFETCHED + "select count(*) as new_messages from fresh",
     "ingest_state_after": f"""select * from state where source <> 'github' union all
         select 'github', {_NOW}, arg_max(id, row(made_at, id)), {_NULL}, concat('{{"inserted":', count(*), '}}')
@@ -693,26 +724,10 @@ _BODIES = {
         5, _L2, "s.source = 'github' and s.created_at >= timestamp '2024-01-10'"
     ).format(distance="distance * distance"),
     "cosine_topk": _nearest(10, "1.0 - list_cosine_similarity(q.vector, s.vector)").format(distance="distance"),
-    "cell_topk": f""", units as (
-          select label, {_UNIT.format(v="cast(embedding as double[])")} as u from embeddings),
-        means as (select label, i, avg(u[i]) as m from units, (select unnest(range(1, 65)) as i) group by all),
-        centres as (select label, list(m order by i) as c from means group by label),
-        celled as (
-          select id, vector, arg_min(label, list_distance(u, c)) as cell
-          from (select id, vector, {_UNIT.format(v="vector")} as u from stored), centres group by id, vector),
-        probed as (
-          select query_id, vector, label from (select query_id, vector, {_UNIT.format(v="vector")} as u from queries), centres
-          qualify row_number() over (partition by query_id order by list_distance(u, c), label) <= 4),
-        pairs as (
-          select query_id, id, 1.0 - list_cosine_similarity(p.vector, s.vector) as distance
-          from probed p join celled s on s.cell = p.label),
-        ranked as (
-          select *, row_number() over (partition by query_id order by distance, id) as rank from pairs qualify rank <= 10)
-        select query_id, cast(rank as int) as rank, id, round(distance, 6) + 0.0 as distance from ranked""",
-    "upsert_vectors": """select id, text, source, created_at, cast(vector[1] as float) as first from stored
-        where source not in ('docs', 'blog') union all
-        select id, text, 'slack', created_at + interval 1 day, cast(vector[len(vector)] as float) from stored
-        where source in ('docs', 'blog')""",
+    "cell_topk": _CELL_HITS,
+    "ivf_topk": _CELL_HITS,
+    "upsert_vectors": _UPSERTED,
+    "stored_upsert": _UPSERTED,
     "vector_counts": "select source, count(*) as count from stored group by 1",
     "vector_by_id": "select id, text, source, created_at, url from stored where id = 'vec:7'",
     "rag_retrieve": _HITS + """select question_id, cast(rank as int) as rank, id,

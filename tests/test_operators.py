@@ -31,7 +31,23 @@ def test_replies_count_from_any_source_and_oneself(make_messages):
     answered = {r.id for r in replies.with_has_reply(rows, rows).collect() if r.has_reply}
     assert answered == {"q1", "q3"}
     page = filters.newest(rows, 10)
-    assert {r.id for r in replies.page_with_has_reply(page, rows, 10).collect() if r.has_reply} == answered
+    assert {r.id for r in replies.some_with_has_reply(page, rows).collect() if r.has_reply} == answered
+
+
+def test_a_page_reads_texts_last(make_messages, tmp_path):
+    rows = make_messages(*[
+        {"id": f"m{i:02d}", "content": f"text {i}", "created_at": START + timedelta(hours=i), "content_type": "question",
+         "parent_id": "m09" if i == 3 else None} for i in range(20)
+    ])
+    search = triage.Search(limit=5, offset=2, triage=(triage.UNANSWERED,))
+    page = triage.explore(rows, search, AS_OF)
+    assert [(r.id, r.content, r.has_reply) for r in page.collect()] == [(f"m{i}", f"text {i}", False) for i in range(17, 12, -1)]
+    whole = [r.id for r in triage.explore(rows, triage.Search(triage=(triage.UNANSWERED,)), AS_OF).collect()]
+    assert whole == [f"m{i:02d}" for i in range(19, -1, -1) if i != 9]
+    write_messages(rows, str(tmp_path / "messages"))
+    stored = read_snapshot(rows.sparkSession, str(tmp_path / "messages"), MESSAGES)
+    plan = plan_of(triage.explore(stored, search, AS_OF))
+    assert sum("content:string" in line for line in plan.splitlines() if "FileScan" in line) == 1
 
 
 def test_no_nested_loop_joins(make_messages):

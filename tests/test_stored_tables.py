@@ -4,10 +4,11 @@ from datetime import timedelta
 
 import pytest
 
-from echolens.operators import analysed, ingestion, tables
+from echolens.functions import scoring
+from echolens.operators import analysed, ingestion, metrics, rollup, tables
 from echolens.operators.analysed import ANALYSIS, append_analysis, read_messages
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
-from echolens.sources import snapshots
+from echolens.sources import shredding, snapshots
 from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
 
 from conftest import START, plan_of
@@ -135,11 +136,11 @@ def test_equal_times_have_a_fixed_winner(spark, make_messages, paths):
 def test_vacuum(spark, make_messages, paths, tmp_path):
     write_messages(make_messages({"id": "a"}), paths[0])
     write_messages(make_messages({"id": "b"}), paths[0], added=True)
-    snapshots.remove_keys(spark.createDataFrame([("a",)], "id string"), paths[0])
+    snapshots.remove(spark.createDataFrame([("a",)], "id string"), paths[0])
     assert snapshots.vacuum(spark, paths[0]) == [] and _ids(read_snapshot(spark, paths[0], MESSAGES)) == ["b"]
     snapshots.compact(spark, paths[0], MESSAGES)
     assert len(snapshots.vacuum(spark, paths[0], keep=2)) == 0
-    assert snapshots.vacuum(spark, paths[0]) == ["0000000001-whole", "0000000002-added", "0000000003-removed_key"]
+    assert snapshots.vacuum(spark, paths[0]) == ["0000000001-whole", "0000000002-added", "0000000003-removed_id"]
     assert _ids(read_snapshot(spark, paths[0], MESSAGES)) == ["b"]
     assert len([p for p in (tmp_path / "messages").iterdir() if p.name.startswith("version")]) == 1
 
@@ -153,3 +154,52 @@ def test_a_lost_write_leaves_the_table(spark, make_messages, paths, tmp_path):
     assert write_messages(make_messages({"id": "b"}), paths[0], added=True) == 2
     assert _ids(read_snapshot(spark, paths[0], MESSAGES)) == ["a", "b"]
     assert read_snapshot(spark, analysed.analysis_path(paths[0]), ANALYSIS).isEmpty()
+
+
+def test_rollup_follows_changes(spark, make_messages, paths, tmp_path):
+    messages, vectors, state = paths
+    kept = str(tmp_path / "rollup")
+
+    def check(written=None):
+        rollup.refresh(spark, messages, kept)
+        want = sorted(metrics.daily_metrics(read_messages(spark, messages)).collect(), key=str)
+        names = metrics.daily_metrics(read_messages(spark, messages)).columns
+        assert sorted(rollup.read_rollup(spark, kept).select(*names).collect(), key=str) == want
+        if written is not None:
+            last = snapshots.latest_version(spark, kept)
+            assert read_snapshot(spark, kept, rollup._schema(spark), since=last).where("date is not null").count() == written
+
+    rows = make_messages(*[
+        {"id": f"m{i}", "source": ("github", "docs", "reddit")[i % 3], "created_at": START + timedelta(days=i % 10), "processed_at": START,
+         "sentiment_simple": ("positive", "negative", None)[i % 3]} for i in range(60)
+    ])
+    write_messages(rows, messages)
+    check()
+    check(0)
+    ingestion.insert(make_messages({"id": "new", "processed_at": START, "content_type": "question"}, {"id": "m1"}), messages)
+    check(1)
+    append_analysis(spark.createDataFrame([("m0", "negative"), ("m5", "neutral"), ("zz", "neutral")], "id string, sentiment_simple string"), messages, START)
+    check(2)
+    analysed.clear_source(spark, "docs", messages, vectors, state)
+    check(10)
+    ingestion.insert(rows.where("id in ('m1', 'm4')"), messages)
+    check(2)
+    analysed.reset_embeddings(spark, messages, vectors)
+    check(0)
+    analysed.fold(spark, messages)
+    check()
+    assert rollup.read_rollup(spark, kept).agg({"total_messages": "sum"}).first()[0] == read_messages(spark, messages).where("processed_at is not null").count()
+
+
+def test_shredded_scores_parse_no_json(spark, make_messages, paths):
+    texts = ['{"points": 40, "num_comments": 3}', '{"score": "7", "comments": 2, "points": 0}', "no json", None, "[1]", '{"points": 3.7}']
+    rows = make_messages(*[{"id": f"m{i}", "metadata": text, "sentiment_simple": "negative"} for i, text in enumerate(texts)])
+    shredding.write_shredded(rows, paths[0])
+    stored = shredding.read_shredded(spark, paths[0])
+    for score in (scoring.impact_score, scoring.explorer_impact_score):
+        given = {"as_of": START} if score is scoring.impact_score else {}
+        frame = stored.select("id", score(**given, shredded=True).alias("score"))
+        assert sorted(frame.collect()) == sorted(rows.select("id", score(**given).alias("score")).collect())
+        assert "json" not in plan_of(frame).lower() and "variant" not in plan_of(frame).lower()
+    assert stored.where("variant_get(metadata_variant, '$.points', 'int') = 40").count() == 1
+    assert _ids(read_snapshot(spark, paths[0], MESSAGES)) == [f"m{i}" for i in range(6)]
