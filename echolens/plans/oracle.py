@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from echolens.functions.text import WHITESPACE, RelevanceRules
-from echolens.operators import retrieval, training, triage
-from echolens.plans.catalog import PRODUCT, SEARCHES
-from echolens.plans.inputs import BRAND, EMBEDDED_LETTERS
-from echolens.schemas import INGESTION_STATE, MESSAGES, TOPICS, VECTORS
+# Fixed values, written out here so that a wrong one in the library does not pass: the brand and the product of the queries,
+# the letters that the stand-in model counts, white space, topics, prompts and the words of the relevance rules.
+BRAND, PRODUCT = "acme", "Acme"
+EMBEDDED_LETTERS = "aeinorst"
+_WS = (
+    "'\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000'"
+)
+TOPICS = (
+    "gpu_availability", "pricing", "performance", "documentation", "ease_of_use", "reliability", "support", "functions",
+    "volumes", "secrets", "images", "scheduling", "web_endpoints", "other",
+)
+_HEAD = (
+    "You answer questions about Acme. Use the excerpts from its documentation and community below where they apply, show "
+    "code where it helps, keep to the point, and say when you are not sure.\n\nContext:\n"
+)
+_TAIL = "\n"
+_INSTRUCTION = (
+    "You are a support assistant for Acme. Answer correctly and briefly, show code where it helps, and say so when you do "
+    "not know."
+)
+_STRONG = (
+    "acme.com", "acme labs", "acme cloud", "acme serverless", "acme.run", "acme deploy", "@acme", "acme.function", "acme.app",
+    "acme.cls", "acme.volume", "acme.image", "pip install acme",
+)
+_FALSE_FRIENDS = (
+    "multiacme", "multi-acme", "acme dialog", "acme window", "acme popup", "acme verb", "biacme", "uniacme", "interacme",
+)
+_CONTEXT = ("serverless", "gpu cloud", "deploy", "container", "python cloud", "inference api")
 
-_WS = "'" + WHITESPACE + "'"
 _NULL = "cast(null as varchar)"
 _NOW = "timestamp '2024-01-31 00:00:00'"
 _VOICE = "source not in ('docs', 'blog')"
@@ -198,42 +221,19 @@ high as (
 """
 
 
-def _explore(search: triage.Search) -> str:
-    """The explorer's SQL, put together from the settings."""
-
-    def listed(values: tuple[str, ...]) -> str:
-        return "(" + ", ".join(f"'{value}'" for value in values) + ")"
-
-    where = [] if {"docs", "blog"} & set(search.sources) else [_VOICE]
-    for column, values in (
-        ("source", search.sources), ("sentiment_simple", search.sentiments), ("content_type", search.content_types),
-    ):
-        if values:
-            where.append(f"{column} in {listed(values)}")
-    if search.days:
-        where.append(_since(search.days))
-    if search.text:
-        like = f"like '%{search.text.lower()}%'"
-        where.append(f"(lower(content) {like} or lower(coalesce(title, '')) {like})")
-    after = []
-    if search.topics:
-        after.append("(" + " or ".join(f"""topics like '%"{topic}"%'""" for topic in search.topics) + ")")
-    masks = {
-        triage.BUG_REPORTS: "content_type = 'bug_report'",
-        triage.FEATURE_REQUESTS: "content_type = 'feature_request'",
-        triage.UNANSWERED: "(content_type = 'question' and not has_reply)",
-        triage.HIGH_IMPACT: "impact_score >= 6.0",
-    }
-    if search.triage:
-        after.append("(" + " or ".join(masks[name] for name in search.triage) + ")")
+def _explore(where: str, after: str = "true") -> str:
+    """The explorer's SQL: what messages it takes, and what it filters by the columns it makes."""
     return f""", page as (
-      select *, {_INTS} from messages where {" and ".join(where) or "true"}),
+      select *, {_INTS} from messages where {where}),
     shown as (
       select id, source, content, author, created_at, coalesce(sentiment_simple, 'neutral') as sentiment,
         sentiment_rich, coalesce(content_type, 'discussion') as content_type, topics, metadata, url, title,
         {_EXPLORER_IMPACT} as impact_score, ({_HAS_REPLY}) as has_reply
       from page m)
-    select * from shown where {" and ".join(after) or "true"}"""
+    select * from shown where {after}"""
+
+
+_UNANSWERED = "(content_type = 'question' and not has_reply)"
 
 
 def _nearest(k: int, measure: str, where: str = "true") -> str:
@@ -343,13 +343,11 @@ _FEED = f"""
 
 
 def _relevant(content: str) -> str:
-    rules = RelevanceRules.for_brand(BRAND)
-
     def any_of(words: tuple[str, ...]) -> str:
         return "(" + " or ".join(f"contains(body, '{word}')" for word in words) + ")"
 
-    return f"""(select case when {any_of(rules.strong)} then true when {any_of(rules.false_positive)} then false
-      else contains(concat(' ', body, ' '), ' {rules.brand} ') and {any_of(rules.context)} end
+    return f"""(select case when {any_of(_STRONG)} then true when {any_of(_FALSE_FRIENDS)} then false
+      else contains(concat(' ', body, ' '), ' {BRAND} ') and {any_of(_CONTEXT)} end
       from (select lower(concat(title, ' ', {content})) as body))"""
 
 
@@ -423,8 +421,6 @@ labelled as (
     case when label is not null then {_NOW} else processed_at end as processed_at
   from messages m left join queue using (id))
 """
-_HEAD, _TAIL = (part.replace("'", "''") for part in retrieval.system_text(PRODUCT))
-_INSTRUCTION = training.instruction(PRODUCT).replace("'", "''")
 
 
 def _unanswered(days: int, voice: bool) -> str:
@@ -432,10 +428,19 @@ def _unanswered(days: int, voice: bool) -> str:
       and {_VOICE if voice else "true"} and not ({_HAS_REPLY})"""
 
 
+# Columns and types of the tables.
+_TABLE_COLUMNS = {
+    "messages": """id string, source string, source_id string, content string, title string, author string, url string,
+        parent_id string, thread_id string, created_at timestamp_ntz, fetched_at timestamp_ntz, processed_at timestamp_ntz,
+        metadata string, sentiment_simple string, sentiment_rich string, content_type string, topics string, embedding_id string""",
+    "ingestion_state": "source string, last_fetched_at timestamp_ntz, last_item_id string, cursor string, metadata string",
+    "embeddings": """id string, text string, vector array<float>, source string, created_at timestamp_ntz, url string,
+        metadata struct<title:string>""",
+}
 _CATALOG = ", ".join(
-    f"('{table}', {position}, '{field.name}', '{field.dataType.simpleString()}')"
-    for table, schema in (("messages", MESSAGES), ("ingestion_state", INGESTION_STATE), ("embeddings", VECTORS))
-    for position, field in enumerate(schema.fields, 1)
+    f"('{table}', {position}, '{column.split()[0]}', '{column.split()[1]}')"
+    for table, columns in _TABLE_COLUMNS.items()
+    for position, column in enumerate(columns.split(","), 1)
 )
 
 _CELL_HITS = f""", units as (
@@ -549,7 +554,20 @@ _BODIES = {
     "impact_score_explorer_shredded": f"select id, {_EXPLORER_IMPACT} as impact_score from (select *, {_INTS} from messages)",
     "impact_score": f"select id, {_IMPACT} as impact_score from (select *, {_INTS} from messages)",
     "impact_score_explorer": f"select id, {_EXPLORER_IMPACT} as impact_score from (select *, {_INTS} from messages)",
-    **{name: _explore(search) for name, search in SEARCHES.items()},
+    "explore": _explore(
+        f"{_VOICE} and {_since(7)} and (lower(content) like '%re%' or lower(coalesce(title, '')) like '%re%')"
+    ),
+    "explore_filtered": _explore(
+        "source in ('docs', 'github') and sentiment_simple in ('negative', 'neutral') "
+        "and content_type in ('question', 'bug_report')"
+    ),
+    "explore_topic": _explore(f"{_VOICE} and {_since(30)}", """topics like '%"pricing"%' or topics like '%"images"%'"""),
+    "explore_triage": _explore(
+        _VOICE, f"content_type in ('bug_report', 'feature_request') or {_UNANSWERED} or impact_score >= 6.0"
+    ),
+    "explore_unanswered": _explore(f"{_VOICE} and {_since(30)}", _UNANSWERED),
+    "explore_sorted": _explore(f"{_VOICE} and {_since(7)}"),
+    "explore_impact": _explore(_VOICE, "impact_score >= 6.0"),
     "unanswered_questions": f"""select id, title, source, created_at, url {_unanswered(30, False)}
         order by created_at desc, id limit 50""",
     "unanswered_voice": f"select id, title, source, created_at, url {_unanswered(30, True)}",
