@@ -8,8 +8,15 @@ without a pair being written.
 
 Pairs are found if some pass brings them close. Unless given, the number of passes grows with that of the vectors, so
 that an isolated pair just at the threshold is found with a chance of ``RECALL``. The first and last rows of every task
-are compared once more across the tasks' bounds, so the result does not depend on where a pass is cut. In a group denser
-than the window a member that links with few others can still be missed. Vectors that are null, empty or zero, or
+are compared once more across the tasks' bounds, so such pairs do not depend on where a pass is cut.
+
+Dense groups crowd a window. So vectors whose keys agree in as many leading bits as pairs are met with form a run, and a run longer than
+a window is gone through once more: what is one component of it already and larger than a window counts as a ball, a mean direction with
+its radius; another vector of the run is compared with its members if the triangle inequality on the sphere lets it link
+with one; and what is left of the run without the balls is compared in windows of its own. Runs are taken ``RUN`` vectors at a
+time, so a border member of a still larger group meets, in each pass, the share of it that its part of the run holds.
+
+Vectors that are null, empty or zero, or
 hold null or non-finite components, link with nothing, nor do vectors of different lengths. Repeated rows are vectors of
 their own. An empty table gives no rows.
 """
@@ -34,8 +41,10 @@ THRESHOLD = 0.9
 PASSES, BITS, WINDOW = 24, 40, 32
 #: Chance that an isolated pair at the threshold is found.
 RECALL = 0.999
-#: Vectors of a block when links are counted.
-BLOCK = 1024
+#: Vectors of a block when links are counted, and of a run that are compared together.
+BLOCK, RUN = 1024, 8192
+#: Products nearer to the threshold than this are computed again, row by row, so that a pair has one cosine everywhere.
+_ROUNDING = 1e-9
 
 
 def usable(vector: Column) -> Column:
@@ -87,6 +96,88 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of paired unit rows."""
+    return np.einsum("ij,ij->i", a, b)
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of ``a`` link with which rows of ``b``, both of unit length."""
+    products = a @ b.T
+    x, y = np.nonzero(np.abs(products - threshold) < _ROUNDING)
+    products[x, y] = _cosines(a[x], b[y])
+    return products >= threshold
+
+
+def leading_bits(count: int, window: int, bits: int = BITS) -> int:
+    """Bits in which keys agree that leave a window of so many vectors, spread evenly."""
+    return min(max(math.ceil(math.log2(max(count, 1) / window)), 0), bits) if count > window else 0
+
+
+def slide(ids: np.ndarray, values: np.ndarray, window: int, threshold: float, forest: Forest, held: int = 0) -> list[tuple[int, int]]:
+    """Links of rows with their next neighbours that join what was apart; the first ``held`` rows were compared already."""
+    links = []
+    for step in range(1, min(window, len(ids) - 1) + 1):
+        first = max(held - step, 0)
+        cosines = _cosines(values[first:len(ids) - step], values[first + step:])
+        for i in np.flatnonzero(cosines >= threshold) + first:
+            x, y = int(ids[i]), int(ids[i + step])
+            if forest.join(x, y):
+                links.append((x, y))
+    return links
+
+
+def crowded_links(ids: np.ndarray, values: np.ndarray, window: int, threshold: float, forest: Forest) -> list[tuple[int, int]]:
+    """Links of a run beyond its windows: balls of what is one component against the rest, and windows of the rest."""
+    links = []
+    label = np.array([forest.find(int(x)) for x in ids])
+    names, sizes = np.unique(label, return_counts=True)
+    for name in names[sizes > window]:
+        inside = np.flatnonzero(label == name)
+        outside = np.flatnonzero(np.array([forest.find(int(x)) != forest.find(int(name)) for x in ids]))
+        if not len(outside):
+            break
+        centre = values[inside].sum(axis=0)
+        length = float(np.sqrt(centre @ centre))
+        if length > _ROUNDING:
+            centre = centre / length
+            radius = math.acos(max(-1.0, min(1.0, float((values[inside] @ centre).min())))) + math.acos(threshold) + 1e-6
+            outside = outside[values[outside] @ centre >= math.cos(min(radius, math.pi))]
+        for start in range(0, len(outside), 512):
+            part = outside[start:start + 512]
+            row, column = np.nonzero(linked(values[part], values[inside], threshold))
+            for i in np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else ():  # one link joins a row with the ball
+                x, y = int(ids[part[row[i]]]), int(ids[inside[column[i]]])
+                if forest.join(x, y):
+                    links.append((x, y))
+    rest = np.isin(label, names[sizes <= window])
+    return links + slide(ids[rest], values[rest], window, threshold, forest)
+
+
+class Run:
+    """The rows of a pass whose keys agree in their leading bits, as they come; a part of bounded size is gone through when it is full."""
+
+    def __init__(self, window: int, threshold: float) -> None:
+        self.window, self.threshold, self.key = window, threshold, None
+        self.ids, self.values, self.size = [], [], 0
+
+    def add(self, key: tuple, ids: np.ndarray, values: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
+        """``forest`` is that of the pass before the rows are added."""
+        links = self.end(forest) if key != self.key or self.size + len(ids) > RUN else []
+        self.key = key
+        self.ids.append(ids)
+        self.values.append(values)
+        self.size += len(ids)
+        return links
+
+    def end(self, forest: Forest) -> list[tuple[int, int]]:
+        links = []
+        if self.size > self.window:
+            links = crowded_links(np.concatenate(self.ids), np.concatenate(self.values), self.window, self.threshold, forest)
+        self.ids, self.values, self.size = [], [], 0
+        return links
+
+
 def _dealt(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,48 +198,48 @@ def _dealt(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     return classes.select("id", "vector").mapInArrow(dealt, "pass int, dim int, key long, id long, vector binary"), dtype
 
 
-def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
+def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, seed: int, agreed: int) -> DataFrame:
     """Verified links (``a``, ``b``) between neighbours of each pass; links that only repeat a connection are left out.
 
-    Every task also gives its first and last rows, as many as a window, which are then compared across its bounds.
+    Every task also gives its first and last rows, as many as a window, which are then compared across its bounds. ``agreed`` is the
+    number of leading bits of a run.
     """
     rows, dtype = _dealt(classes, passes, bits, seed)
     ordered = ["pass", "dim", "key", "id"]
     rows = rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        forest, last = Forest(), None
+        kept, forest, last, run = None, Forest(), None, Run(window, threshold)
         task, seen, tail = TaskContext.get().partitionId(), 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             if seen < window:
                 yield _ends(batch.slice(0, window - seen), task, seen)
             tail = pa.Table.from_batches([*(tail.to_batches() if tail else []), batch])
             tail, seen = tail.slice(max(len(tail) - window, 0)).combine_chunks(), seen + len(batch)
-            passes_, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            passes_, dims, keys = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            prefix = keys >> (bits - agreed)
             starts = np.flatnonzero(np.r_[True, (np.diff(passes_) != 0) | (np.diff(dims) != 0)])
             links = []
             for a, b in zip(starts, np.r_[starts[1:], len(passes_)]):
-                run = (int(passes_[a]), int(dims[a]))
+                now = (int(passes_[a]), int(dims[a]))
+                if now != last:
+                    links += run.end(forest)
+                    kept, last, forest = None, now, Forest()
                 ids = batch.column(3)[a:b].to_numpy(zero_copy_only=False)
                 raw = b"".join(batch.column(4)[a:b].to_pylist())
                 values = _unit(np.frombuffer(raw, dtype).reshape(len(ids), -1).astype(np.float64))
-                if run != last:
-                    kept, last, forest = {}, run, Forest()
-                held = len(kept[run][0]) if run in kept else 0
-                if held:
-                    ids, values = np.concatenate([kept[run][0], ids]), np.concatenate([kept[run][1], values])
-                for step in range(1, min(window, len(ids) - 1) + 1):
-                    first = max(held - step, 0)
-                    cosines = np.einsum("ij,ij->i", values[first:len(ids) - step], values[first + step:])
-                    for i in np.flatnonzero(cosines >= threshold) + first:
-                        x, y = int(ids[i]), int(ids[i + step])
-                        if forest.join(x, y):
-                            links.append((x, y))
-                kept = {run: (ids[-window:], values[-window:])}
-            columns = [pa.array(c, pa.int64()) for c in list(zip(*links)) or [(), ()]]
-            blank = [pa.nulls(len(links), kind) for kind in _END_TYPES]
-            yield pa.RecordBatch.from_arrays([*columns, *blank], ["a", "b", *_END_NAMES])
+                held = len(kept[0]) if kept else 0
+                all_ids, all_values = (np.concatenate([x, y]) for x, y in zip(kept, (ids, values))) if held else (ids, values)
+                links += slide(all_ids, all_values, window, threshold, forest, held)
+                kept = (all_ids[-window:], all_values[-window:])
+                parts = np.flatnonzero(np.r_[True, np.diff(prefix[a:b]) != 0])
+                for c, d in zip(parts, np.r_[parts[1:], b - a]):
+                    for e in range(c, d, RUN):
+                        links += run.add((*now, int(prefix[a + c])), ids[e:min(e + RUN, d)], values[e:min(e + RUN, d)], forest)
+            yield _found(links)
+        yield _found(run.end(forest))
         rest = min(max(seen - window, 0), window)  # the first rows were given already
         for batch in tail.slice(len(tail) - rest).to_batches() if rest else ():
             yield _ends(batch, task, seen - rest)
@@ -158,6 +249,12 @@ def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, w
     return links.union(bound_links(ends, threshold, window, dtype)).distinct()
 
 
+def _found(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64()) for c in list(zip(*links)) or [(), ()]]
+    blank = [pa.nulls(len(links), kind) for kind in _END_TYPES]
+    return pa.RecordBatch.from_arrays([*columns, *blank], ["a", "b", *_END_NAMES])
+
+
 _END_NAMES = ("task", "pos", "pass", "dim", "id", "vector")
 _END_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
@@ -199,8 +296,7 @@ def bound_links(ends: DataFrame, threshold: float, window: int, dtype: str) -> D
             values = _unit(np.frombuffer(b"".join(run["vector"]), dtype).reshape(len(run), -1).astype(np.float64))
             place, behind, ids = (run[name].to_numpy() for name in ("place", "behind", "id"))
             apart = place[None, :] - place[:, None]
-            linked = (values @ values.T >= threshold) & ~behind[:, None] & behind[None, :] & (apart <= window)
-            a, b = np.nonzero(linked)
+            a, b = np.nonzero(linked(values, values, threshold) & ~behind[:, None] & behind[None, :] & (apart <= window))
             out.append((ids[a], ids[b]))
         a, b = (np.concatenate(side) for side in zip(*out))
         return pd.DataFrame({"a": a, "b": b})
@@ -216,11 +312,11 @@ def _counted(group: pd.DataFrame, threshold: float, dtype: str) -> pd.DataFrame:
         values = _unit(np.frombuffer(b"".join(rows["vector"]), dtype).reshape(len(rows), -1).astype(np.float64))
         copies, block = rows["copies"].to_numpy(), rows["block"].to_numpy()
         low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        linked = values @ values.T >= threshold
-        np.fill_diagonal(linked, False)
+        met = linked(values, values, threshold)
+        np.fill_diagonal(met, False)
         if low != high:  # pairs within a block are counted where it meets itself
-            linked &= block[:, None] != block[None, :]
-        out.append(pd.DataFrame({"id": rows["id"].to_numpy(), "links": linked @ copies}))
+            met &= block[:, None] != block[None, :]
+        out.append(pd.DataFrame({"id": rows["id"].to_numpy(), "links": met @ copies}))
     return pd.concat(out) if out else pd.DataFrame({"id": [], "links": []}, dtype="int64")
 
 
@@ -252,8 +348,9 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", threshold: float
     rows = rows.select(F.col("vec_id").cast("long"), F.col(vector).alias("vector"))
     good = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     classes = stored(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-    passes = passes or passes_for(classes.count(), threshold, window, bits)
-    links = window_links(classes, threshold, passes, bits, window, seed)
+    count = classes.count()
+    passes = passes or passes_for(count, threshold, window, bits)
+    links = window_links(classes, threshold, passes, bits, window, seed, leading_bits(count, window, bits))
     roots = cut(components(links))
     members = classes.join(roots, classes["id"] == roots["node"]).select("id", "vector", "copies", "root")
     dtype = "<f4" if classes.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"

@@ -146,6 +146,39 @@ def test_passes_grow_with_the_vectors():
     assert passes > 24 and found.mean() >= 0.99
 
 
+def test_border_members_of_dense_groups(spark):
+    """Vectors near one direction, some at the border that link with few of them, and others far away: nothing is missed."""
+    rng = np.random.default_rng(12)
+    dim, head = 32, np.zeros(32)
+    head[0] = 1
+
+    def around(cosine, number):
+        side = rng.standard_normal((number, dim))
+        side[:, 0] = 0
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        cosine = np.broadcast_to(cosine, (number,))[:, None]
+        return cosine * head + np.sqrt(1 - cosine**2) * side
+
+    values = np.float32(np.vstack([around(rng.uniform(0.97, 0.999, 700), 700), around(0.885, 100), rng.standard_normal((700, dim))]))
+    unit = values.astype(float) / np.linalg.norm(values.astype(float), axis=1, keepdims=True)
+    want = unit @ unit.T >= 0.9
+    np.fill_diagonal(want, False)
+    got = nearvec.near_duplicates(_vectors(spark, list(enumerate(values)))).toPandas().set_index("vec_id").loc[range(len(values))]
+    assert (want[700:800].sum(axis=1) > 0).sum() > 40 and (got["n_links"].to_numpy() == want.sum(axis=1)).all()
+    roots = np.arange(len(values))
+    for _ in range(20):
+        roots = np.minimum(roots, np.where(want, roots[None, :], len(values)).min(axis=1))
+    assert (got["component_id"].to_numpy() == roots).all()
+
+
+def test_one_cosine_for_a_pair():
+    rng = np.random.default_rng(3)
+    a = nearvec._unit(rng.standard_normal((300, 24)))
+    threshold = float(nearvec._cosines(a[:1], a[1:2])[0])
+    assert nearvec.linked(a, a, threshold)[0, 1] and nearvec.linked(a[1:2], a, threshold)[0, 0]
+    assert not nearvec.linked(a, a, np.nextafter(threshold, 2))[0, 1]
+
+
 def test_near_vectors_odd(spark):
     rows = nearvec.near_duplicates(_vectors(spark, ODD)).collect()
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows)
