@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.common import CHUNK_CHARS, chunks, cut, stored
+from echolens.llm.common import CHUNK_CHARS, chunks, cut, give_back, stored
 from echolens.llm.components import components
 
 #: Groups of a small set's point, and n-grams that share a group on average at most before a larger set's are doubled: counts of
@@ -48,6 +48,8 @@ COARSE = 32
 CLASS_RATIO = 1.5
 #: Members of a cell's block, and of an R-tree page.
 BLOCK, PAGE = 512, 16
+#: N-grams of the sets of a group, on average, beyond which it is cut into blocks as well.
+BLOCK_HASHES = 1 << 20
 #: Tables of ids up to this size are broadcast, larger ones are joined by shuffle: 50 MB or so.
 BROADCAST_ROWS = 2_000_000
 #: Cells of a member that its partners know, so that a pair is written in the first cell they share, not in each.
@@ -248,7 +250,7 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, 2 * CHUNK_CHARS):
+            for a, b in chunks(texts):
                 hashes, sizes = shingle_sets(texts[a:b], rule.n)
                 keys, many = cell_keys(hashes, sizes, rule)
                 offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
@@ -258,6 +260,7 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
                     pa.array(packed_points(hashes, sizes), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
                 ], ["doc_id", "n", "node", "counts", "cells"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, _FEATURES)
 
@@ -372,12 +375,13 @@ class Join:
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = [text or "" for text in batch.column(0).to_pylist()]
-                for a, b in chunks(texts, 2 * CHUNK_CHARS):
+                for a, b in chunks(texts):
                     hashes, sizes = shingle_sets(texts[a:b], n)
                     cuts = np.split(hashes, np.cumsum(sizes)[:-1])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(_digests(hashes, sizes)), pa.array([x.tobytes() for x in cuts], pa.binary()),
                     ], ["node", "hashes"])
+            give_back()
 
         rows = texts.mapInArrow(made, "node long, hashes binary")
         return rows.groupBy("node").agg(F.first("hashes").alias("hashes"))
@@ -394,8 +398,9 @@ class Join:
         pairs = self._gathered(pairs)
         ends = lambda rows: rows.select(F.col("hub").alias("node")).union(rows.select("node")).distinct()
         near = _both_ends(pairs, cut(self._points(cut(ends(pairs)))))
-        near = self._gathered(near.where(_bound(self.rule)("hub_n", "hub_counts", "node_n", "node_counts")).select("hub", "node"))
-        sizes = near.groupBy("hub").agg(F.ceil(F.count("*") / (BLOCK - 1)).cast("int").alias("blocks"))
+        near = self._gathered(near.where(_bound(self.rule)("hub_n", "hub_counts", "node_n", "node_counts")).select("hub", "node", "node_n"))
+        fill = F.greatest(F.count("*") / (BLOCK - 1), F.sum("node_n") / BLOCK_HASHES)
+        sizes = near.groupBy("hub").agg(F.ceil(fill).cast("int").alias("blocks"))
         members = near.join(sizes, "hub").select(
             "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.lit(False).alias("is_hub")
         )
@@ -514,6 +519,7 @@ def _grouped(rule: Rule, among_members: bool):
                 nodes.append(node)
                 sets.append(np.frombuffer(hashes.as_buffer(), np.uint64))
         yield from links()
+        give_back()
 
     return run
 
