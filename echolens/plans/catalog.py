@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from echolens.functions import scoring, text
 from echolens.operators import (
-    adhoc, analysed, enrich, filters, ingestion, metrics, replies, retrieval, rollup, tables, training, triage, vector_index,
+    adhoc, analysed, enrich, filters, ingestion, metrics, replies, retrieval, rollup, stored_replies, tables, training, triage,
+    vector_index,
 )
 from echolens.operators import vectors as V
 from echolens.operators.plan import materialised, shared_folder
@@ -156,6 +157,31 @@ _over_messages(
 _over_messages("unanswered_count", lambda m: replies.unanswered_count(m, 7, AS_OF))
 _over_messages("has_reply", lambda m: replies.with_has_reply(m.select("id"), m))
 
+
+
+def _with_replies(spark: SparkSession, folder: str) -> str:
+    """Stored messages and, refreshed after each of two inserts, the table of their replies."""
+    everything, path = I.messages(spark, folder, text=False), _fresh(spark, "messages")
+    early = F.col("created_at") < F.lit("2024-01-20").cast("timestamp_ntz")
+    for rows, added in ((everything.where(early), False), (everything.where(~early), True)):
+        snapshots.write_messages(rows, path, added)
+        stored_replies.refresh(spark, path)
+    return path
+
+
+@_query
+def stored_unanswered(spark: SparkSession, folder: str) -> DataFrame:
+    path = _with_replies(spark, folder)
+    messages = snapshots.read_snapshot(spark, path, MESSAGES)
+    return stored_replies.unanswered_questions(spark, path, messages, as_of=AS_OF)
+
+
+@_query
+def stored_has_reply(spark: SparkSession, folder: str) -> DataFrame:
+    path = _with_replies(spark, folder)
+    return stored_replies.with_has_reply(spark, path, snapshots.read_snapshot(spark, path, MESSAGES).select("id"))
+
+
 # Table maintenance
 
 

@@ -570,6 +570,9 @@ _BODIES = {
     "explore_impact": _explore(_VOICE, "impact_score >= 6.0"),
     "unanswered_questions": f"""select id, title, source, created_at, url {_unanswered(30, False)}
         order by created_at desc, id limit 50""",
+    "stored_unanswered": f"""select id, title, source, created_at, url {_unanswered(30, False)}
+        order by created_at desc, id limit 50""",
+    "stored_has_reply": f"select id, ({_HAS_REPLY}) as has_reply from messages m",
     "unanswered_voice": f"select id, title, source, created_at, url {_unanswered(30, True)}",
     "unanswered_count": f"select count(*) as unanswered_questions {_unanswered(7, True)}",
     "has_reply": f"select id, ({_HAS_REPLY}) as has_reply from messages m",

@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 
 from echolens.functions import scoring
-from echolens.operators import analysed, ingestion, metrics, rollup, tables
+from echolens.operators import analysed, ingestion, metrics, replies, rollup, stored_replies, tables
 from echolens.operators.analysed import ANALYSIS, append_analysis, read_messages
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
 from echolens.sources import shredding, snapshots
@@ -203,3 +203,40 @@ def test_shredded_scores_parse_no_json(spark, make_messages, paths):
         assert "json" not in plan_of(frame).lower() and "variant" not in plan_of(frame).lower()
     assert stored.where("variant_get(metadata_variant, '$.points', 'int') = 40").count() == 1
     assert _ids(read_snapshot(spark, paths[0], MESSAGES)) == [f"m{i}" for i in range(6)]
+
+
+def test_replies_are_kept_beside_the_messages(spark, make_messages, paths, monkeypatch):
+    def rows(numbers):
+        return make_messages(*[
+            {"id": f"m{i}", "content_type": "question", "created_at": START + timedelta(hours=i), "source": "docs" if i % 7 == 3 else "github",
+             "parent_id": f"m{i // 3}" if i % 2 else None, "thread_id": "m1" if i % 5 == 0 else None} for i in numbers
+        ])
+
+    def check():
+        stored_replies.refresh(spark, paths[0])
+        stored = read_snapshot(spark, paths[0], MESSAGES)
+        flags = {r.id: r.has_reply for r in stored_replies.with_has_reply(spark, paths[0], stored.select("id")).collect()}
+        assert flags == {r.id: r.has_reply for r in replies.with_has_reply(stored.select("id"), stored).collect()}
+        late = START + timedelta(days=3)
+        found = stored_replies.unanswered_questions(spark, paths[0], stored, limit=None, as_of=late)
+        assert _ids(found) == _ids(replies.unanswered_questions(stored, limit=None, as_of=late))
+        return found
+
+    write_messages(rows(range(20)), paths[0])
+    check()
+    write_messages(rows(range(20, 40)), paths[0], added=True)
+    check()
+    edges = read_snapshot(spark, stored_replies.replies_path(paths[0]), stored_replies.REPLIES, since=2)
+    assert 0 < edges.where("replied_id is not null").count() < 20
+    first = {r.replied_id: r.first_reply for r in stored_replies.first_replies(spark, paths[0]).collect()}
+    assert first["m1"] == "m0" and first["m5"] == "m15"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(check())
+        assert "Exchange" not in plan and "HashAggregate" not in plan
+        flagged = stored_replies.with_has_reply(spark, paths[0], read_snapshot(spark, paths[0], MESSAGES).select("id"))
+        assert "Exchange" not in plan_of(flagged)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    analysed.clear_source(spark, "docs", *paths)
+    check()
