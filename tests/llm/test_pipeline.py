@@ -25,7 +25,7 @@ def test_parity(spark, name):
 
 def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "mixing", "packing"]
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.llm_queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.llm_queries()) == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark, odd):
