@@ -36,6 +36,19 @@ def test_held_out_accuracy(spark, query, label, least):
     assert (both["predicted"] == both[label]).mean() >= least
 
 
+@pytest.mark.parametrize("query, label, least", [
+    ("op1_toxicity", "toxic", {0: (0.95, 0.93), 1: (0.55, 0.7)}), ("op6_quality", "quality", {0: (0.8, 0.88), 1: (0.97, 0.95)})
+])
+def test_both_classes_held_out(spark, query, label, least):
+    """Recall and precision of each class: always the larger class would have none of the other."""
+    folder = "/root/testdata/sf0.1"
+    got = getattr(queries, query)(spark, folder).toPandas()
+    both = got[got["held_out"]].merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    for value, (recall, precision) in least.items():
+        assert (both.loc[both[label] == value, "predicted"] == value).mean() >= recall
+        assert (both.loc[both["predicted"] == value, label] == value).mean() >= precision
+
+
 def test_toxicity_of_unseen_misspellings():
     rng = np.random.default_rng(1)
     clean = [" ".join(rng.choice(["river", "stone", "cloud", "meadow", "winter", "basket"], 30)) for _ in range(60)]
