@@ -144,13 +144,13 @@ def trigram_query(pattern: str) -> Query:
     return ALWAYS if frozenset() in query else query
 
 
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(name) for name in docs.columns if name in ("doc_id", "text")])
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def build_index(docs: DataFrame, grams: Sequence[str]) -> DataFrame:
     """Postings of the given trigrams: ``gram`` and the ``row_key`` of each text that holds it, once."""
-    low = docs.select(row_key(docs).alias("row_key"), F.lower("text").alias("low"))
+    low = docs.select(row_key().alias("row_key"), F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(gram)), F.lit(gram)) for gram in grams]))
     return low.select("row_key", F.explode(held).alias("gram")).distinct()
 
@@ -226,7 +226,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     grams = sorted({gram for query in asked.values() for grams in query for gram in grams})
     kept = [name for name in docs.columns if name != "found"]
     rows = docs.select(*[F.col(f"`{name}`") for name in kept])
-    rows = rows.select("*", row_key(rows).alias("__key"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    rows = rows.select("*", row_key().alias("__key"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     if asked:
         index = stored(build_index(docs.select("doc_id", "text"), grams), "trigrams")
         keys = cut(candidates(index, asked).withColumnsRenamed({"row_key": "__of", "kinds": "__kinds"}))
