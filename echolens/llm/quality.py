@@ -151,5 +151,6 @@ def score(docs: DataFrame, model: QualityModel, name: str = "score", text: str =
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(shared.value.scores(batch.fillna("").tolist()))
+        give_back()
 
     return docs.withColumn(name, scored(F.col(text)))
