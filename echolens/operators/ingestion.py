@@ -32,13 +32,16 @@ def insert(rows: DataFrame, messages_path: str, source: str | None = None) -> in
     """Add the messages that the stored table does not hold yet; returns the version.
 
     Of the table only versions are opened whose key range and filter admit an id of ``rows``, and of those only the ids,
-    with ``source`` only its own.
+    with ``source`` only its own. Only the ids are kept in between, texts go straight to the table; an id that was not
+    looked up is not added, should ``rows`` have changed meanwhile.
     """
     spark = rows.sparkSession
-    rows = materialised(rows.select(*MESSAGES.names))
-    stored = read_snapshot(spark, messages_path, MESSAGES, only=holding(spark, messages_path, rows.select("id")))
+    rows = rows.select(*MESSAGES.names)
+    ids = materialised(rows.select("id"))
+    stored = read_snapshot(spark, messages_path, MESSAGES, only=holding(spark, messages_path, ids))
     stored = stored.where(F.col("source") == source) if source else stored
-    return write_messages(new_messages(stored, rows), messages_path, added=True)
+    fresh = new_messages(stored, rows).join(ids, "id", "left_semi").select(*MESSAGES.names)
+    return write_messages(fresh, messages_path, added=True)
 
 
 def state_row(inserted: DataFrame, source: str, as_of: Clock = None) -> DataFrame:

@@ -67,6 +67,20 @@ def test_insert_opens_only_versions_that_may_hold_an_id(spark, make_messages, pa
     assert opened[1] == []
 
 
+def test_an_insert_keeps_ids_only_in_between(spark, make_messages, paths, monkeypatch):
+    write_messages(make_messages({"id": "a", "content": "old"}), paths[0])
+    kept = []
+
+    def counted(rows, store=ingestion.materialised):
+        kept.append(rows.columns)
+        return store(rows)
+
+    monkeypatch.setattr(ingestion, "materialised", counted)
+    ingestion.insert(make_messages({"id": "a"}, {"id": "b", "content": "new"}, {"id": None, "source_id": "n"}), paths[0])
+    assert kept == [["id"]]
+    assert sorted((r.id, r.content) for r in read_snapshot(spark, paths[0], MESSAGES).collect()) == [("a", "old"), ("b", "new")]
+
+
 def test_filters_miss_no_key(spark, make_messages, paths):
     rows = spark.range(30_000).selectExpr("concat('k', id) AS id", "id AS v")
     buckets = snapshots.Buckets("id", 3)
