@@ -33,6 +33,8 @@ _BUCKETS = "_buckets="
 _FACTS = "version string, n long, low string, high string, blocks long"
 #: Bits of one block of a Bloom filter, as many as the bitmap aggregate gives; bits for each key and places they are set at.
 _BLOCK_BITS, _KEY_BITS, _PLACES = 32_768, 16, 8
+#: Texts are most of what a table holds; they take a third less than with Parquet's default codec.
+_CODEC = "zstd"
 
 
 @dataclass(frozen=True)
@@ -273,7 +275,7 @@ def write_snapshot(
     order = [name for name in (partition_by, sort_by) if name]
     if order:
         rows = rows.sortWithinPartitions(*order)
-    writer = rows.write.mode("overwrite")
+    writer = rows.write.mode("overwrite").option("compression", _CODEC)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(_folder(path, version))
@@ -287,7 +289,7 @@ def _write_bucketed(rows: DataFrame, folder: str, buckets: Buckets) -> None:
     writer = dealt.write.format("parquet").bucketBy(buckets.number, buckets.key).sortBy(buckets.key)
     if buckets.folders:
         writer = writer.partitionBy(buckets.folders)
-    writer.option("path", folder).mode("overwrite").saveAsTable(table)
+    writer.option("path", folder).option("compression", _CODEC).mode("overwrite").saveAsTable(table)
     rows.sparkSession.sql(f"DROP TABLE {table}")
 
 

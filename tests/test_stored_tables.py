@@ -2,6 +2,7 @@
 
 from datetime import timedelta
 
+import pyarrow.parquet as pq
 import pytest
 
 from echolens.functions import scoring
@@ -81,6 +82,14 @@ def test_an_insert_keeps_ids_only_in_between(spark, make_messages, paths, monkey
     assert sorted((r.id, r.content) for r in read_snapshot(spark, paths[0], MESSAGES).collect()) == [("a", "old"), ("b", "new")]
 
 
+def test_stored_texts_are_compressed_well(spark, make_messages, paths, tmp_path):
+    write_messages(make_messages({"id": "a"}), paths[0])
+    write_snapshot(make_messages({"id": "a"}), paths[1], partition_by="source", sort_by="created_at")
+    for name in ("messages", "vectors"):
+        files = list((tmp_path / name).rglob("*.parquet"))
+        assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
+
+
 def test_filters_miss_no_key(spark, make_messages, paths):
     rows = spark.range(30_000).selectExpr("concat('k', id) AS id", "id AS v")
     buckets = snapshots.Buckets("id", 3)
