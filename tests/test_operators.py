@@ -50,6 +50,21 @@ def test_a_page_reads_texts_last(make_messages, tmp_path):
     assert sum("content:string" in line for line in plan.splitlines() if "FileScan" in line) == 1
 
 
+
+def test_explorer_moves_texts_of_matching_rows_only(spark, make_messages, tmp_path):
+    rows = make_messages(
+        {"id": "a", "content_type": "bug_report"}, {"id": "b", "content_type": "question"}, {"id": "c", "content_type": "question"},
+        {"id": "d", "content_type": "praise", "parent_id": "c"}, {"id": "e", "source": "reddit", "content_type": "question"},
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    search = triage.Search(sources=("github",), triage=(triage.BUG_REPORTS, triage.UNANSWERED))
+    found = triage.explore(stored, search, AS_OF)
+    assert _ids(found) == ["a", "b"]
+    scans = [line for line in plan_of(found).splitlines() if "FileScan" in line and "content:string" in line]
+    assert scans and all("EqualTo(source,github)" in line and "bug_report" in line for line in scans)
+
+
 def test_no_nested_loop_joins(make_messages):
     rows = make_messages({"id": "a", "content_type": "question"})
     for frame in (
