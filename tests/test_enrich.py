@@ -160,3 +160,29 @@ def test_search_text_and_context(spark, make_messages):
     assert [m.role for m in prompt] == ["system", "user"] and retrieval.NOTHING_AVAILABLE in prompt[0].content
     late = vectors.restrict(stored, after=START.replace(year=2025)).count()
     assert late == 0
+
+
+def test_answers_leave_the_worker_by_arrow_batches(spark):
+    asked = spark.createDataFrame([(str(i), "x" * i) for i in range(50)], "id string, content string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def answer(prompts):
+            calls.add(1)
+            sizes = [len(prompt[-1]["content"]) for prompt in prompts]
+            if any(size % 10 == 0 for size in sizes):
+                raise ValueError("ten")
+            return [str(size) if size % 7 else None for size in sizes]
+
+        return answer
+
+    rows = enrich.classify(enrich.sentiment_prompts(asked, "s"), load, batch_size=4, errors=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan  # a batch of prompts is no data frame of its own
+    found = {row.id: (row.response, row.error) for row in rows.collect()}
+    lead = len("Analyze this message:\n\n")
+    for i in range(50):
+        size = lead + i
+        failed = "ValueError: ten" if size % 10 == 0 else None if size % 7 else enrich.NO_ANSWER
+        assert found[str(i)] == (None if failed else str(size), failed)
+    assert calls.value >= 13  # four prompts at a time, as asked for
