@@ -75,3 +75,31 @@ def test_display_helpers(spark):
         text.display_title(F.col("t"), F.col("c")), text.safe_url(F.col("u")), text.source_label(F.col("s"))
     ).first()
     assert tuple(shown) == ("c" * 140, "#", "Hacker News")
+
+
+def test_keywords_are_looked_for_around_the_brand(spark):
+    from echolens.functions import text as T
+
+    far = "z" * 200
+    words = ["acme", f"{far} acme.com", f"acme {far} labs", f"{far}multiacme{far}", f"acme labs{far}acme", f"just acme {far} container",
+             f"@acme{far}", "multi acme", f"acmeacme.run{far}", f"{far}pip install acme", f"{far} acme", "container", "", None]
+    texts = [(a, b) for a in words for b in words]
+    rules = T.RelevanceRules.for_brand("Acme")
+
+    def expected(title, content):
+        text = f"{title or ''} {content or ''}".lower()
+        if any(word in text for word in rules.strong):
+            return True
+        if any(word in text for word in rules.false_positive):
+            return False
+        return " acme " in f" {text} " and any(word in text for word in rules.context)
+
+    rows = spark.createDataFrame(texts, "t string, c string")
+    found = rows.select("t", "c", T.is_relevant(F.col("t"), F.col("c"), rules).alias("r")).collect()
+    assert [row.r for row in found] == [expected(row.t, row.c) for row in found]
+    loose = T.RelevanceRules("aa", ("aab", "far"), ("xaa",), ("ctx",))  # overlapping brands, a keyword without the brand
+    cases = {"aaab": True, f"{far}aaab": True, f"{far} far {far}": True, "xaaa": False, f"aaa aa {far} ctx": True, "aaa ctx": False}
+    rows = spark.createDataFrame(list(cases.items()), "c string, want boolean")
+    assert rows.where(T.is_relevant(F.lit(None).cast("string"), F.col("c"), loose) != F.col("want")).isEmpty()
+    cut = rows.select(T.around(F.lit(f"{far}acme{far}acme"), "acme", 5)).first()[0]
+    assert cut == "zzzzz\0zzzzzacmezzzzz\0zzzzzacme"
