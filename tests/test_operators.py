@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from echolens.operators import adhoc, filters, metrics, replies, tables, triage
 from echolens.plans import pages
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
@@ -276,3 +278,11 @@ def test_clear_source(spark, make_messages):
     assert _ids(tables.clear_source(rows, "docs")) == ["docs:a"]
     assert tables.cleared_counts("docs", messages=rows).first().deleted == 1
     assert tables.reset_embeddings(rows).where("embedding_id is null").count() == 2
+
+
+def test_update_among_leaves_other_rows_in_place(spark, make_messages):
+    stored = make_messages({"id": "a"}, {"id": "b", "embedding_id": "b"}, {"id": "c", "topics": '["x"]'}, {"id": None})
+    marks = spark.createDataFrame([("a", "a"), ("zz", "zz")], "id string, embedding_id string")
+    frame = tables.update_analysis(stored, marks, as_of=AS_OF, among=F.col("embedding_id").isNull())
+    assert sorted(frame.collect(), key=str) == sorted(tables.update_analysis(stored, marks, as_of=AS_OF).collect(), key=str)
+    assert frame.columns == stored.columns and "Union" in plan_of(frame)
