@@ -121,7 +121,7 @@ def train(texts: list[str], labels: np.ndarray, good_share: float, epochs: int =
     if len(texts) == 0 or len(set(labels.tolist())) < 2:
         prior = np.clip(good_share, 1e-6, 1 - 1e-6)
         return QualityModel(np.zeros(1 << BUCKET_BITS), 0.0, 1.0, float(np.log(prior / (1 - prior))))
-    bags = [indicators(text) for text in texts]
+    bags = [indicators(text).astype(np.int32) for text in texts]
     ratios = log_count_ratios(bags, labels)
     signs = np.where(labels == 1, 1.0, -1.0)
     weights, bias = dual_coordinate_descent(bags, ratios, signs, np.ones(len(bags)), epochs, seed)

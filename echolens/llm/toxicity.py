@@ -90,7 +90,8 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 5, m
         return SubwordModel(np.ones(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), -np.inf)
     bags = []
     for text in texts:
-        bags.append(np.unique(subwords([text])[0], return_counts=True))
+        ids, counts = np.unique(subwords([text])[0], return_counts=True)
+        bags.append((ids, counts.astype(np.int32)))  # all bags stay in the driver's memory
     share = rarity(bags, at)
     for i, (ids, counts) in enumerate(bags):
         weight = counts * share[ids]

@@ -1,6 +1,7 @@
 """Toxicity, quality and language: held-out accuracy on the given tables, brute force on words, odd rows."""
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -182,3 +183,23 @@ def test_repeated_ids_give_one_text_each(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, y int")
     found = labelled_sample(docs, labels, "y", {1: 9}, 5)
     assert found["text"].tolist() == [t for i, t in ((1, "a"), (2, "c")) if zlib.crc32(str(i).encode()) % 5]
+
+
+@pytest.mark.parametrize("fit, most", [
+    (lambda texts, y: toxicity.train(texts, y, epochs=1, most_epochs=1), 10.5), (lambda texts, y: quality.train(texts, y, 0.5), 14.5),
+])
+def test_training_holds_narrow_bags(fit, most):
+    """Bytes that grow with the sample, for each distinct n-gram of a text: the whole sample's stay in the driver's memory."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3000)) for _ in range(600)]
+    kind = toxicity if most < 12 else quality
+    grams = [len(np.unique(kind.subwords([t])[0] if kind is toxicity else kind.indicators(t))) for t in texts]
+
+    def peak(n):
+        tracemalloc.start()
+        fit(texts[:n], np.arange(n) % 2)
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    assert (peak(600) - peak(200)) / sum(grams[200:]) < most
