@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolens.functions.text import strip
+from echolens.operators.plan import BLOCK_BITS, bit_set
 
 _PREFIX, WHOLE, ADDED = "version=", "whole", "added"
 _REMOVED, _VOIDED = "removed_", "voided_"
 _BUCKETS = "_buckets="
 _FACTS = "version string, n long, low string, high string, blocks long"
-#: Bits of one block of a Bloom filter, as many as the bitmap aggregate gives; bits for each key and places they are set at.
-_BLOCK_BITS, _KEY_BITS, _PLACES = 32_768, 16, 8
+#: Bits of a Bloom filter for each key and places they are set at.
+_KEY_BITS, _PLACES = 16, 8
 #: Texts are most of what a table holds; they take a third less than with Parquet's default codec.
 _CODEC = "zstd"
 
@@ -294,7 +295,7 @@ def _write_bucketed(rows: DataFrame, folder: str, buckets: Buckets) -> None:
 
 
 def _places(key: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(_BLOCK_BITS)) for i in range(1, _PLACES + 1)]
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(1, _PLACES + 1)]
 
 
 def _write_filter(spark: SparkSession, path: str, version: _Version, schema: T.StructType, buckets: Buckets) -> None:
@@ -305,7 +306,7 @@ def _write_filter(spark: SparkSession, path: str, version: _Version, schema: T.S
     keys = spark.read.schema(schema).parquet(_folder(path, version)).select(F.col(buckets.key).cast("string").alias("key"))
     facts = keys.where("key is not null").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
     n, low, high = facts.first()
-    blocks = max(-(-n * _KEY_BITS // _BLOCK_BITS), 1)
+    blocks = max(-(-n * _KEY_BITS // BLOCK_BITS), 1)
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
     bits = keys.where("key is not null").select(block, F.explode(F.array(*_places(F.col("key")))).alias("place"))
     bits = bits.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
@@ -340,8 +341,7 @@ def holding(spark: SparkSession, path: str, keys: DataFrame) -> list[str]:
     )
     hits = asked.join(filters, ["version", "block"])
     for place in _places(F.col("key")):
-        byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hits = hits.where(F.getbit(byte, (place % 8).cast("int")) == 1)
+        hits = hits.where(bit_set(F.col("bits"), place))
     return sorted(open_ + [row[0] for row in hits.select("version").distinct().collect()])
 
 

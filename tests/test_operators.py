@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from echolens.operators import adhoc, filters, metrics, replies, tables, triage
+from echolens.operators.plan import perhaps_among
 from echolens.plans import pages
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
 from echolens.sources import github
@@ -226,6 +227,33 @@ def test_null_ids_ties_and_repeated_delta_ids(make_messages):
     assert tables.replace_by_key(once, batch.where("id = 'c'"), "id").count() == 3
 
 
+def test_an_insert_sorts_no_texts_and_moves_those_it_adds(make_messages, spark):
+    stored = make_messages(*[{"id": f"m{i}", "content": f"old {i}"} for i in range(0, 300, 2)])
+    fetched = [
+        {"id": f"m{i}", "content": f"text {i} {again}", "fetched_at": START + timedelta((i + again) % 3)}
+        for i in range(300) for again in (0, 1, 2, 2)
+    ]
+    batch = make_messages(*fetched, {"id": None, "content": "none"}).repartition(4)
+    first = {f["id"]: f["content"] for f in sorted(fetched, key=lambda f: f["fetched_at"], reverse=True)}
+    want = {f"m{i}": first[f"m{i}"] if i % 2 else f"old {i}" for i in range(300)}
+    steps = tables.new_messages(stored, batch)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    ).split("\n\n")
+    ranked = [step for step in steps if ") WindowGroupLimit" in step or ") Window" in step]
+    assert ranked and not any("content#" in step for step in ranked)
+    for threshold in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            rows = tables.insert_if_absent(stored, batch).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert {r.id: r.content for r in rows} == want and len(rows) == 300
+    ids = batch.select("id").where("id is not null").distinct()
+    keys = ids.where("id like '%7'")
+    passed = {r.id for r in perhaps_among(ids, keys, "id").collect()}
+    assert {r.id for r in keys.collect()} <= passed and len(passed) < 40
+
+
 def test_state_of_any_source_counts(spark):
     from echolens.sources.github import since_filter
 
