@@ -254,6 +254,25 @@ def test_an_insert_sorts_no_texts_and_moves_those_it_adds(make_messages, spark):
     assert {r.id for r in keys.collect()} <= passed and len(passed) < 40
 
 
+def test_rows_alone_with_their_key_stay_where_they_are(spark):
+    rows = spark.createDataFrame(
+        [(f"k{i}", again, f"text {i} {again}") for i in range(200) for again in range(3 if i % 10 == 0 else 1)] + [("k0", 0, "text 0 0")],
+        "key string, made int, text string",
+    ).repartition(4).withColumn("at", F.spark_partition_id())
+    rows = rows.localCheckpoint()
+    got = tables.first_of_shared_keys(rows, "key", F.desc("made")).withColumn("now", F.spark_partition_id()).collect()
+    assert sorted((r.key, r.text) for r in got) == sorted((f"k{i}", f"text {i} {2 if i % 10 == 0 else 0}") for i in range(200))
+    moved = {r.key for r in got if r.now != r.at}
+    assert len(moved) < 30
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        without = tables.first_of_shared_keys(rows, "key", F.desc("made"))
+        assert "BroadcastHashJoin" not in plan_of(without)
+        assert sorted(r.text for r in without.collect()) == sorted(r.text for r in got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_state_of_any_source_counts(spark):
     from echolens.sources.github import since_filter
 
