@@ -333,3 +333,23 @@ def test_update_among_leaves_other_rows_in_place(spark, make_messages):
     frame = tables.update_analysis(stored, marks, as_of=AS_OF, among=F.col("embedding_id").isNull())
     assert sorted(frame.collect(), key=str) == sorted(tables.update_analysis(stored, marks, as_of=AS_OF).collect(), key=str)
     assert frame.columns == stored.columns and "Union" in plan_of(frame)
+
+
+def test_a_sparing_update_moves_changed_messages_only(spark, make_messages):
+    stored = make_messages(
+        *[{"id": f"m{i}", "topics": '["x"]', "metadata": "{}", "content": f"text {i}"} for i in range(200)],
+        {"id": "bare"}, {"id": "bare, not in the delta"}, {"id": None, "topics": "[]", "metadata": "{}"},
+    ).repartition(4).withColumn("at", F.spark_partition_id()).localCheckpoint()
+    given = [(f"m{i}", "positive" if i % 10 == 0 else None, [] if i == 5 else None, i) for i in range(200)]
+    delta = spark.createDataFrame(
+        [*given, ("m0", None, None, 200), ("bare", None, None, 0), ("zz", "positive", None, 0)],
+        "id string, sentiment_simple string, topics array<string>, seq int",
+    )
+    for order in (None, "seq"):
+        whole = tables.update_analysis(stored, delta, order, AS_OF)
+        frame = tables.update_analysis(stored, delta, order, AS_OF, sparing=True)
+        assert sorted(frame.collect(), key=str) == sorted(whole.collect(), key=str) and frame.columns == stored.columns
+    rows = {r.id: r for r in frame.withColumn("now", F.spark_partition_id()).collect()}
+    assert rows["m10"].sentiment_simple == "positive" and rows["m5"].topics == "[]"
+    assert (rows["bare"].topics, rows["bare, not in the delta"].topics) == ("[]", None)
+    assert sum(r.now != r.at for r in rows.values()) < 30
