@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolens.functions.text import RelevanceRules
+from echolens.operators import plan
 from echolens.schemas import MESSAGES
 from echolens.sources import docs, github, hackernews, landing, reddit
 from echolens.sources.html import extract_pages, parse_page
 
-from conftest import START
+from conftest import START, plan_of
 
 
 @pytest.fixture
@@ -127,6 +128,37 @@ def test_comment_tree_of_any_depth(spark, land):
     assert sorted((r.story_id, r.id, r.depth) for r in tree.collect()) == [(0, n, n - 1) for n in range(1, 10)]
 
 
+def _above(shown, text):
+    """The operators above the plan's lines that hold ``text``."""
+    lines = shown.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for at, line in enumerate(lines):
+        if text in line:
+            left = depth[at]
+            for over in reversed(range(at)):
+                if depth[over] < left:
+                    left = depth[over]
+                    yield lines[over].lstrip(" :+-").split(" ")[0]
+
+
+def test_texts_of_items_stored_in_lots_stay_where_they_are(spark, land, monkeypatch):
+    monkeypatch.setattr(plan, "_LOT_BITS", 3)
+    items = {n: {"id": n, "kids": [], "text": f"text {n}"} for n in range(200)}
+    for n in range(2, 200):
+        items[n]["parent"] = n // 3 if n % 7 else n % 2
+        items[items[n]["parent"]]["kids"].append(n)
+    items[20]["dead"] = True
+    frame = land("hn_items", *items.values(), {"text": "no id"}).repartition(4)
+    stories = spark.createDataFrame([(0,), (1,), (777,)], "story_id long")
+    stored = plan.stored_in_lots(frame)
+    assert stored.count() == 201 and stored.select("_lot", "_place").distinct().count() == 201 and stored.agg(F.max("_place")).first()[0] == 7
+    tree, plain = hackernews.comment_tree(stories, stored), hackernews.comment_tree(stories, frame)
+    assert tree.columns == plain.columns and sorted(tree.collect()) == sorted(plain.collect()) and plain.count() > 100
+    above = list(_above(plan_of(tree), "text:string"))
+    assert above and not {"Exchange", "Sort", "BroadcastExchange"} & set(above)
+    assert "Exchange" in set(_above(plan_of(tree), "struct<id:bigint,_lot"))
+
+
 def test_long_chain_takes_few_rounds(spark, land, monkeypatch):
     items = [{"id": n, "kids": [n + 1], "parent": n - 1} for n in range(1001)]
     rounds = []
