@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -103,3 +104,19 @@ def test_keywords_are_looked_for_around_the_brand(spark):
     assert rows.where(T.is_relevant(F.lit(None).cast("string"), F.col("c"), loose) != F.col("want")).isEmpty()
     cut = rows.select(T.around(F.lit(f"{far}acme{far}acme"), "acme", 5)).first()[0]
     assert cut == "zzzzz\0zzzzzacmezzzzz\0zzzzzacme"
+
+
+def test_entities_are_decoded_in_order_and_at_ampersands_only(spark):
+    rng = random.Random(3)
+    parts = ["&", "amp;", "lt;", "gt;", "&amp;", "&lt;", "&quot;", "#39;", "&nbsp;", "é", "a", " ", "\n", "\\", "$1", ";", "&AMP;"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(2000)] + [None, "", "&", "&amp;amp;lt;", "&&amp;lt;"]
+
+    def in_order(value):
+        for entity, char in text.ENTITIES:
+            value = value and value.replace(entity, char)
+        return value
+
+    rows = spark.createDataFrame([(value,) for value in texts], "t string").select("t", text.decoded(F.col("t")).alias("d"))
+    assert [r.d for r in rows.collect()] == [in_order(value) for value in texts]
+    # No entity is looked for in the whole text.
+    assert "replace(replace(" not in rows.select(text.strip_html(F.col("t")))._jdf.queryExecution().analyzed().toString()
