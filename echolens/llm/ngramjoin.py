@@ -46,8 +46,10 @@ GROUPS, PER_GROUP = 256, 16
 COARSE = 32
 #: Sizes of a class: each ends this many times higher than the one before.
 CLASS_RATIO = 1.5
-#: Members of a cell's block, and of an R-tree page.
+#: Members of a group's block, and of an R-tree page.
 BLOCK, PAGE = 512, 16
+#: Times that a cell's block is larger: only points are held of its members, and each block is shipped to all others.
+CELL_BLOCKS = 8
 #: N-grams of the sets of a group, on average, beyond which it is cut into blocks as well.
 BLOCK_HASHES = 1 << 20
 #: Tables of ids up to this size are broadcast, larger ones are joined by shuffle: 50 MB or so.
@@ -148,16 +150,21 @@ def _class_ends(largest: int) -> np.ndarray:
 
 
 def runs_of_class(end: int, rule: Rule) -> tuple[int, int]:
-    """Number of runs for a class of sets smaller than ``end``, and how many of them may be empty unnoticed."""
-    spare = 0 if rule.most_different(end - 1) == 0 else 2 + end // 100
-    return rule.most_different(end - 1) + 1 + spare, spare
+    """Number of runs for a class of sets smaller than ``end``, and how many of them may be empty unnoticed.
+
+    So many are spare that few sets have more empty runs, the smallest of a class too: cells of empty runs are the largest.
+    """
+    most = rule.most_different(end - 1)
+    spare = 0 if most == 0 else 2 + end // 100 + (most + 1) // 10
+    return most + 1 + spare, spare
 
 
 def cell_keys(hashes: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the cells of all sets, and how many each set has.
 
     A set is in its own class, and in the next ones if it can link with their members. With s spare runs, two sets
-    that link agree in more than s runs, so that only a set with more than s empty runs needs keys for empty ones.
+    that link agree in more than s runs. If all of these are empty, the first of them has s empty ones behind it in both sets. So a
+    set has keys for its empty runs but the last s.
     """
     ends = _class_ends(int(sizes.max(initial=1)))
     own = np.searchsorted(ends, sizes, side="right")
@@ -184,8 +191,9 @@ def cell_keys(hashes: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.nda
         owner = np.repeat(np.arange(len(sizes)), runs)
         number = np.arange(places[-1]) - places[owner]
         empty = filled == 0
-        empties = np.bincount(owner[empty], minlength=len(sizes))
-        kept = ~empty | (empties > spare)[owner]
+        behind = np.cumsum(empty)
+        behind = behind[places[1:] - 1][owner] - behind  # empty runs of the set after each run
+        kept = ~empty | (behind >= spare[owner])
         key = (classes[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)
         key = _mixed(_mixed(key) + sums * np.uint64(_BASE) + filled.astype(np.uint64))
         keys.append(key[kept])
@@ -429,7 +437,7 @@ class Join:
         points = self._points(cut(rows.select("node").distinct()))
         lists = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("cell")), 1, FIRST_CELLS).alias("first"))
         rows = rows.join(points, "node").join(lists, "node")
-        rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / (CELL_BLOCKS * BLOCK)).cast("int"))
         groups = max(-(-rows.where("blocks = 1").count() // BLOCK), 1)
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)

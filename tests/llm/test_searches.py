@@ -272,6 +272,22 @@ def test_every_link_shares_a_cell():
             assert set(keys[:many[0]]) & set(keys[many[0]:])
 
 
+def test_sets_of_a_class_seldom_meet_in_empty_runs():
+    rule, rng = ngramjoin.Rule(5, 80), np.random.default_rng(3)
+    for n in (8, 40, 320, 395, 590):  # small for the classes that they are in
+        sets = [np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64)) for _ in range(200)]
+        keys, many = ngramjoin.cell_keys(np.concatenate(sets), np.array([len(x) for x in sets]), rule)
+        met = np.unique(keys, return_counts=True)[1]
+        assert (met * (met - 1) // 2).sum() < 200 * 199 // 2 / 4  # pairs of sets with nothing in common that meet in a cell
+    for seed in range(300):  # sets that link, also in empty runs only
+        rng = np.random.default_rng(seed)
+        a = np.unique(rng.integers(0, 2 ** 64, int(rng.integers(1, 60)), dtype=np.uint64))
+        b = np.unique(np.r_[a, rng.integers(0, 2 ** 64, rule.most_different(int(len(a) * 1.25)), dtype=np.uint64)])
+        if 100 * len(a) >= 80 * len(b):
+            keys, many = ngramjoin.cell_keys(np.r_[a, b], np.array([len(a), len(b)]), rule)
+            assert set(keys[:many[0]]) & set(keys[many[0]:])
+
+
 def test_tree_matches_are_all_that_the_bound_passes():
     rng = np.random.default_rng(8)
     points = rng.integers(0, 4, (120, ngramjoin.GROUPS)).astype(np.uint32)
