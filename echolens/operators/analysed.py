@@ -20,7 +20,7 @@ from echolens.operators import metrics, tables
 from echolens.operators.tables import update_analysis
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
 from echolens.sources.snapshots import (
-    Buckets, buckets_of, default_buckets, read_snapshot, remove, void_column, write_messages, write_snapshot,
+    Buckets, buckets_of, default_buckets, read_apart, read_snapshot, remove, void_column, write_messages, write_snapshot,
 )
 
 ANALYSIS = (
@@ -49,7 +49,7 @@ def append_analysis(delta: DataFrame, messages_path: str, as_of: Clock = None) -
 
 
 def _buckets(spark: SparkSession, messages_path: str) -> Buckets:
-    return replace(buckets_of(spark, messages_path) or default_buckets(spark), folders="")
+    return replace(buckets_of(spark, messages_path) or default_buckets(spark), folders="", apart="")
 
 
 def merged(messages: DataFrame, analysis: DataFrame) -> DataFrame:
@@ -58,11 +58,27 @@ def merged(messages: DataFrame, analysis: DataFrame) -> DataFrame:
     return update_analysis(messages, analysis, order_by=order, stamp="made_at")
 
 
-def read_messages(spark: SparkSession, messages_path: str, versions: tuple[int, int] | None = None) -> DataFrame:
-    """The stored messages with their analysis, as of now or of ``versions`` of the two tables."""
+def _read_apart(
+    spark: SparkSession, messages_path: str, versions: tuple[int, int] | None = None
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The stored messages with their analysis and what adds texts that are kept apart."""
     of_messages, of_analysis = versions or (None, None)
     analysis = read_snapshot(spark, analysis_path(messages_path), ANALYSIS, of_analysis, with_version=True)
-    return merged(read_snapshot(spark, messages_path, MESSAGES, of_messages), analysis)
+    messages, completed = read_apart(spark, messages_path, MESSAGES, of_messages)
+    return merged(messages, analysis), lambda rows: completed(rows).select(*MESSAGES.names)
+
+
+def read_messages(
+    spark: SparkSession, messages_path: str, versions: tuple[int, int] | None = None, texts: bool = True
+) -> DataFrame:
+    """The stored messages with their analysis, as of now or of ``versions`` of the two tables.
+
+    Unless ``texts`` are asked for, those kept apart are NULL.
+    """
+    rows, completed = _read_apart(spark, messages_path, versions)
+    if texts or "content" in rows.columns:
+        return completed(rows)
+    return rows.withColumn("content", F.lit(None).cast("string")).select(*MESSAGES.names)
 
 
 def queued_ids(
@@ -70,12 +86,13 @@ def queued_ids(
 ) -> DataFrame:
     """Ids of a queue of the stored messages. Only the columns that the queue asks for are read, and nothing but a limit's
     candidates is shuffled."""
-    return queue(read_messages(spark, messages_path), limit).select("id")
+    return queue(read_messages(spark, messages_path, texts=False), limit).select("id")
 
 
 def messages_with(spark: SparkSession, messages_path: str, ids: DataFrame) -> DataFrame:
     """Whole rows of the stored messages with these distinct ids."""
-    return read_messages(spark, messages_path).join(ids, "id", "left_semi")
+    rows, completed = _read_apart(spark, messages_path)
+    return completed(rows.join(ids, "id", "left_semi"))
 
 
 def reset_embeddings(spark: SparkSession, messages_path: str, vectors_path: str) -> int:
@@ -84,7 +101,7 @@ def reset_embeddings(spark: SparkSession, messages_path: str, vectors_path: str)
     The vectors start anew as an empty whole version; both tables that hold pointers are marked. A run lost in between can
     be repeated.
     """
-    pointers = read_messages(spark, messages_path).where(F.col("embedding_id").isNotNull()).count()
+    pointers = read_messages(spark, messages_path, texts=False).where(F.col("embedding_id").isNotNull()).count()
     write_snapshot(spark.createDataFrame([], VECTORS), vectors_path)
     for path in (messages_path, analysis_path(messages_path)):
         void_column(spark, path, "embedding_id")
@@ -97,7 +114,7 @@ def clear_source(spark: SparkSession, source: str, messages_path: str, vectors_p
     Messages that are fetched again later start without labels: the analysis loses the ids that the source has now.
     """
     of_source = F.col("source") == source
-    messages = read_snapshot(spark, messages_path, MESSAGES).where(of_source)
+    messages = read_snapshot(spark, messages_path, MESSAGES, wide=False).where(of_source)
     state = read_snapshot(spark, state_path, INGESTION_STATE)
     counts = {
         "messages": messages.count(), "vectors": read_snapshot(spark, vectors_path, VECTORS).where(of_source).count(),

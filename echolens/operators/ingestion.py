@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echolens.functions.clock import Clock, now
 from echolens.operators.plan import materialised
-from echolens.operators.tables import new_messages, update_ingestion_state
+from echolens.operators.tables import among_new_messages, new_messages, update_ingestion_state
 from echolens.schemas import INGESTION_STATE, MESSAGES
 from echolens.sources.github import since_filter
 from echolens.sources.snapshots import holding, read_snapshot, write_messages, write_snapshot
@@ -38,10 +38,12 @@ def insert(rows: DataFrame, messages_path: str, source: str | None = None) -> in
     spark = rows.sparkSession
     rows = rows.select(*MESSAGES.names)
     ids = materialised(rows.select("id"))
-    stored = read_snapshot(spark, messages_path, MESSAGES, only=holding(spark, messages_path, ids))
+    stored = read_snapshot(spark, messages_path, MESSAGES, only=holding(spark, messages_path, ids), wide=False)
     stored = stored.where(F.col("source") == source) if source else stored
-    fresh = new_messages(stored, rows).join(ids, "id", "left_semi").select(*MESSAGES.names)
-    return write_messages(fresh, messages_path, added=True)
+    candidates, exactly = among_new_messages(stored, rows)
+    return write_messages(
+        candidates, messages_path, added=True, chosen=lambda rows: exactly(rows).join(ids, "id", "left_semi")
+    )
 
 
 def state_row(inserted: DataFrame, source: str, as_of: Clock = None) -> DataFrame:
@@ -73,6 +75,6 @@ def run_ingestion(
     """
     state = read_snapshot(spark, state_path, INGESTION_STATE)
     version = insert(since_filter(normalise(landed), state, "created_at"), messages_path, source)
-    inserted = read_snapshot(spark, messages_path, MESSAGES, version, since=version)
+    inserted = read_snapshot(spark, messages_path, MESSAGES, version, since=version, wide=False)
     write_snapshot(state_after(state, inserted, source, as_of), state_path)
     return inserted.count()

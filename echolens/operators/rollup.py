@@ -56,7 +56,7 @@ def _changed_ids(spark: SparkSession, messages_path: str, before: tuple[int, int
         changes = snapshots.changes_since(spark, path, version)
         if changes.whole or set(changes.voided) - {"embedding_id"}:
             return None
-        found.append(snapshots.read_snapshot(spark, path, schema, since=version + 1).select("id"))
+        found.append(snapshots.read_snapshot(spark, path, schema, since=version + 1, wide=False).select("id"))
         for column, values in changes.removed.items():
             gone = values.select(F.col(column).alias("_gone"))
             found.append(gone.select(F.col("_gone").alias("id")) if column == "id"
@@ -69,10 +69,10 @@ def refresh(spark: SparkSession, messages_path: str, path: str) -> int:
     now = _state(spark, messages_path)
     stored = snapshots.read_snapshot(spark, path, _schema(spark))
     last = stored.agg(F.max(F.struct(*_POINTERS)).alias("at")).first()["at"]
-    current = read_messages(spark, messages_path)
+    current = read_messages(spark, messages_path, texts=False)
     changed = None
     if last is not None:
-        old = read_messages(spark, messages_path, tuple(last))
+        old = read_messages(spark, messages_path, tuple(last), texts=False)
         changed = _changed_ids(spark, messages_path, tuple(last), old)
     pointers = {name: F.lit(version).cast("long") for name, version in zip(_POINTERS, now)}
     if changed is None:

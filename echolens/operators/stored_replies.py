@@ -49,13 +49,13 @@ def refresh(spark: SparkSession, messages_path: str) -> int:
     if not whole:
         changes = snapshots.changes_since(spark, messages_path, last)
         whole = changes.whole or bool(changes.removed)
-    messages = snapshots.read_snapshot(spark, messages_path, MESSAGES, since=None if whole else last + 1)
+    messages = snapshots.read_snapshot(spark, messages_path, MESSAGES, since=None if whole else last + 1, wide=False)
     pointer = F.lit(now).cast("long").alias("messages_version")
     rows = _edges(messages).select("*", pointer)
     blank = spark.createDataFrame([(None, None, None, now)], REPLIES)  # the version is known where nothing was added
     buckets = snapshots.buckets_of(spark, messages_path) or snapshots.default_buckets(spark)
     return snapshots.write_snapshot(
-        rows.unionByName(blank), path, added=not whole, buckets=replace(buckets, key="replied_id", folders="")
+        rows.unionByName(blank), path, added=not whole, buckets=replace(buckets, key="replied_id", folders="", apart="")
     )
 
 

@@ -12,12 +12,16 @@ A table may be bucketed by a key: every version deals its rows to the same numbe
 and joins and aggregates by the key need no shuffle. The session's catalog then knows each state of the table that was read,
 under a name made from its path and versions, with the versions as partitions. Beside each version of it lie its key range and a Bloom filter of its keys, in blocks
 that Spark's bitmap aggregate builds, so that a look-up opens only versions that may hold one of its keys.
+
+A bucketed table may keep its widest column apart. Whole rows are then stored once more beside it, in lots, where they lay
+when they were written, and the buckets hold the other columns with each row's lot and place. So no row is shuffled with its
+wide column: what is found in the buckets is brought to the lots when the column is asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolens.functions.text import strip
-from echolens.operators.plan import BLOCK_BITS, bit_set
+from echolens.operators.plan import BLOCK_BITS, bit_set, brought_to_lots, placed_in_lots
 
 _PREFIX, WHOLE, ADDED = "version=", "whole", "added"
 _REMOVED, _VOIDED = "removed_", "voided_"
@@ -36,19 +40,23 @@ _FACTS = "version string, n long, low string, high string, blocks long"
 _KEY_BITS, _PLACES = 16, 8
 #: Texts are most of what a table holds; they take a third less than with Parquet's default codec.
 _CODEC = "zstd"
+#: Where a row's wide column is kept, and bits of the number of a lot within its version: for 2 million tasks.
+_PLACE = T.StructType().add("_lot", T.LongType()).add("_place", T.IntegerType())
+_LOTS_BITS = 40
 
 
 @dataclass(frozen=True)
 class Buckets:
-    """The key and number of a table's buckets, and the column whose values have folders of their own, if any."""
+    """The key and number of a table's buckets, the column whose values have folders of their own, and the one kept apart, if any."""
 
     key: str
     number: int
     folders: str = ""
+    apart: str = ""
 
     @property
     def marker(self) -> str:
-        return f"{_BUCKETS}{self.key}={self.number}={self.folders}"
+        return f"{_BUCKETS}{self.key}={self.number}={self.folders}" + (f"={self.apart}" if self.apart else "")
 
 
 @dataclass(frozen=True)
@@ -83,6 +91,10 @@ def _folder(path: str, version: _Version) -> str:
     return f"{_base(path)}/{_PREFIX}{version.name}"
 
 
+def _lots_path(path: str) -> str:
+    return _base(path) + "-lots"
+
+
 def _filters_path(path: str) -> str:
     return _base(path) + "-filters"
 
@@ -105,8 +117,8 @@ def _versions(spark: SparkSession, path: str) -> list[_Version]:
 def buckets_of(spark: SparkSession, path: str) -> Buckets | None:
     """How the table is bucketed, if it is."""
     for name in _names(spark, f"{_base(path)}/{_BUCKETS}*"):
-        key, number, folders = name.rsplit("/", 1)[1].removeprefix(_BUCKETS).split("=")
-        return Buckets(key, int(number), folders)
+        key, number, folders, *apart = name.rsplit("/", 1)[1].removeprefix(_BUCKETS).split("=")
+        return Buckets(key, int(number), folders, *apart)
     return None
 
 
@@ -185,37 +197,77 @@ def read_snapshot(
     since: int | None = None,
     only: Collection[str] | None = None,
     with_version: bool = False,
+    wide: bool = True,
 ) -> DataFrame:
     """The table as of the given or newest version; an empty table where there is none.
 
     ``since`` names the first version to read: only what it and later ones added. ``only`` names the versions to open, of
-    those that are live. ``with_version`` adds the number of the version that holds the row, ``_version``.
+    those that are live. ``with_version`` adds the number of the version that holds the row, ``_version``. Unless ``wide``, a
+    column kept apart is NULL and not read.
+    """
+    rows, completed = read_apart(spark, path, schema, version, since, only)
+    names = [*schema.names, "_version"] if with_version else schema.names
+    return (completed(rows) if wide else _with_null(rows, schema)).select(*names)
+
+
+def _with_null(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in rows.columns})
+
+
+def read_apart(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    version: int | None = None,
+    since: int | None = None,
+    only: Collection[str] | None = None,
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``read_snapshot`` with ``_version`` and without the column kept apart, and what adds that to any of these rows.
+
+    The rows have their places for it, other columns may be changed or added meanwhile. Where nothing is kept apart, the rows are whole.
     """
     versions = [v for v in _versions(spark, path) if version is None or v.number <= version]
     whole = max((v.number for v in versions if v.kind == WHOLE), default=0) if since is None else since
     live = [v.name for v in versions if v.has_rows and v.number >= whole]
     names = live if only is None else [name for name in live if name in only]
     if not names:
-        rows = spark.createDataFrame([], schema)
-        return rows.withColumn("_version", F.lit(0).cast("long")) if with_version else rows
+        return spark.createDataFrame([], schema).withColumn("_version", F.lit(0).cast("long")), lambda rows: rows
     buckets = buckets_of(spark, path)
-    if buckets:
+    apart = buckets is not None and buckets.apart in schema.names
+
+    def versions_of(path: str, schema: T.StructType, buckets: Buckets) -> DataFrame:
         rows = _bucketed_rows(spark, path, schema, buckets, live)
-        rows = rows if names == live else rows.where(F.col("version").isin(names))
+        return rows if names == live else rows.where(F.col("version").isin(names))
+
+    kept = T.StructType([field for field in schema if field.name != buckets.apart] + _PLACE.fields) if apart else schema
+    if buckets:
+        rows = versions_of(path, kept, buckets)
     else:  # the base path makes the version a partition column, so all folders are one scan
         rows = spark.read.schema(schema).option("basePath", path).parquet(*[f"{_base(path)}/{_PREFIX}{name}" for name in names])
-    rows = rows.select(*schema.names, _number().alias("_version"))
+    rows = rows.select(*kept.names, _number().alias("_version"))
     marks = [v for v in versions if not v.has_rows and v.number > whole]
     for column in dict.fromkeys(v.kind.removeprefix(_REMOVED) for v in marks if v.kind.startswith(_REMOVED)):
         gone = _marks(spark, path, [v for v in marks if v.kind == _REMOVED + column], column)
         if buckets and column == buckets.key:
             gone = gone.repartition(buckets.number, "_mark")  # meets the buckets where they are
         rows = rows.join(gone, (F.col(column) == F.col("_mark")) & (F.col("_version") < F.col("_before")), "left_anti")
-    for mark in marks:
-        if mark.kind.startswith(_VOIDED):
-            column = mark.kind.removeprefix(_VOIDED)
-            rows = rows.withColumn(column, F.when(F.col("_version") >= mark.number, F.col(column)))
-    return rows if with_version else rows.select(*schema.names)
+    voided = [(v.number, v.kind.removeprefix(_VOIDED)) for v in marks if v.kind.startswith(_VOIDED)]
+    for number, column in voided:
+        if column in rows.columns:
+            rows = rows.withColumn(column, F.when(F.col("_version") >= number, F.col(column)))
+    if not apart:
+        return rows, lambda rows: rows
+
+    def completed(rows: DataFrame) -> DataFrame:
+        column = schema[buckets.apart]
+        lots = versions_of(_lots_path(path), T.StructType([column, *_PLACE]), Buckets("_lot", buckets.number)).drop("version")
+        rows = brought_to_lots(rows, lots, buckets.number)
+        for number, name in voided:
+            if name == column.name:
+                rows = rows.withColumn(name, F.when(F.col("_version") >= number, F.col(name)))
+        return rows
+
+    return rows, completed
 
 
 @dataclass(frozen=True)
@@ -240,9 +292,10 @@ def changes_since(spark: SparkSession, path: str, version: int) -> Changes:
 
 def _next_version(spark: SparkSession, path: str, kind: str) -> _Version:
     version = _Version((latest_version(spark, path) or 0) + 1, kind)
-    for leftover in _names(spark, f"{_base(path)}/{_PREFIX}{version.number:010d}-*"):  # of a job that was lost
-        system, jvm_path = _file_system(spark, leftover)
-        system.delete(jvm_path, True)
+    for parts in (path, _lots_path(path)):  # of a job that was lost
+        for leftover in _names(spark, f"{_base(parts)}/{_PREFIX}{version.number:010d}-*"):
+            system, jvm_path = _file_system(spark, leftover)
+            system.delete(jvm_path, True)
     return version
 
 
@@ -253,12 +306,14 @@ def write_snapshot(
     sort_by: str | None = None,
     added: bool = False,
     buckets: Buckets | None = None,
+    chosen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
     """Write ``rows`` as a new version, the whole table or only ``added`` rows; returns its number.
 
     ``partition_by`` lets readers skip folders; rebalancing splits a value that holds most rows over
     several files. ``sort_by`` orders each file for row-group skipping. ``buckets`` makes a new table bucketed; one that
-    exists stays as it is.
+    exists stays as it is. ``chosen`` makes the rows to write of ``rows``, which it may leave out and change; a column kept apart
+    it neither gets nor needs.
     """
     spark = rows.sparkSession
     version = _next_version(spark, path, ADDED if added else WHOLE)
@@ -267,6 +322,9 @@ def write_snapshot(
         held = buckets
         system, marker = _file_system(spark, f"{_base(path)}/{held.marker}")
         system.create(marker).close()
+    if held and held.apart:
+        rows = _in_lots(rows, path, version, held)
+    rows = chosen(rows) if chosen else rows
     if held:
         _write_bucketed(rows, _folder(path, version), held)
         _write_filter(spark, path, version, rows.schema, held)
@@ -285,9 +343,19 @@ def write_snapshot(
 
 def _write_bucketed(rows: DataFrame, folder: str, buckets: Buckets) -> None:
     """One sorted file for each bucket (and folder). Bucketed files are written through a table of the catalog, which is then forgotten."""
+    _save_bucketed(rows.repartition(buckets.number, buckets.key), folder, buckets)
+
+
+def _in_lots(rows: DataFrame, path: str, version: _Version, buckets: Buckets) -> DataFrame:
+    """Whole rows stored where they lie; returns them without the column kept apart, with their places."""
+    placed, folder = placed_in_lots(rows, version.number << _LOTS_BITS), _folder(_lots_path(path), version)
+    _save_bucketed(placed, folder, Buckets("_lot", buckets.number))
+    return rows.sparkSession.read.schema(placed.schema).parquet(folder).drop(buckets.apart)
+
+
+def _save_bucketed(rows: DataFrame, folder: str, buckets: Buckets) -> None:
     table = "written_" + hashlib.md5(folder.encode()).hexdigest()
-    dealt = rows.repartition(buckets.number, buckets.key)
-    writer = dealt.write.format("parquet").bucketBy(buckets.number, buckets.key).sortBy(buckets.key)
+    writer = rows.write.format("parquet").bucketBy(buckets.number, buckets.key).sortBy(buckets.key)
     if buckets.folders:
         writer = writer.partitionBy(buckets.folders)
     writer.option("path", folder).option("compression", _CODEC).mode("overwrite").saveAsTable(table)
@@ -374,28 +442,37 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     if len(wholes) < keep:
         return []
     old = [v for v in versions if v.number < wholes[-keep]]
-    gone, known = {v.name for v in old}, _KNOWN.get((spark.sparkContext.applicationId, _base(path)), {})
-    for table in [table for table, names in known.items() if gone & set(names)]:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        del known[table]
+    gone = {v.name for v in old}
+    for parts in (path, _lots_path(path)):
+        known = _KNOWN.get((spark.sparkContext.applicationId, _base(parts)), {})
+        for table in [table for table, names in known.items() if gone & set(names)]:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            del known[table]
     for v in old:
         for folder in (
-            _folder(path, v), f"{_filters_path(path)}/facts/{v.name}", f"{_filters_path(path)}/blocks/{_PREFIX}{v.name}"
+            _folder(path, v), _folder(_lots_path(path), v),
+            f"{_filters_path(path)}/facts/{v.name}", f"{_filters_path(path)}/blocks/{_PREFIX}{v.name}",
         ):
             system, jvm_path = _file_system(spark, folder)
             system.delete(jvm_path, True)
     return [v.name for v in old]
 
 
-def write_messages(messages: DataFrame, path: str, added: bool = False) -> int:
-    """A table of messages has a folder for each source, bucketed by id."""
-    return write_snapshot(messages, path, added=added, buckets=default_buckets(messages.sparkSession, folders="source"),
-                          partition_by="source", sort_by="created_at")
+def write_messages(
+    messages: DataFrame, path: str, added: bool = False, chosen: Callable[[DataFrame], DataFrame] | None = None, apart: bool = False
+) -> int:
+    """A table of messages has a folder for each source, bucketed by id; with ``apart`` a new one keeps texts apart.
+
+    Then no text is shuffled when messages are written or merged with their analysis. Otherwise whole messages are
+    found by id without any shuffle.
+    """
+    buckets = default_buckets(messages.sparkSession, folders="source", apart="content" if apart else "")
+    return write_snapshot(messages, path, added=added, buckets=buckets, partition_by="source", sort_by="created_at", chosen=chosen)
 
 
-def default_buckets(spark: SparkSession, key: str = "id", folders: str = "") -> Buckets:
+def default_buckets(spark: SparkSession, key: str = "id", folders: str = "", apart: str = "") -> Buckets:
     """As many buckets as the session shuffles to when the table is first written."""
-    return Buckets(key, int(spark.conf.get("spark.sql.shuffle.partitions")), folders)
+    return Buckets(key, int(spark.conf.get("spark.sql.shuffle.partitions")), folders, apart)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

@@ -43,7 +43,7 @@ def ingest(
         session = batch.sparkSession
         version = insert(normalise(batch), messages_path, source)
         if source and state_path:
-            inserted = read_snapshot(session, messages_path, MESSAGES, version, since=version)
+            inserted = read_snapshot(session, messages_path, MESSAGES, version, since=version, wide=False)
             state = read_snapshot(session, state_path, INGESTION_STATE)
             write_snapshot(state_after(state, inserted, source), state_path)
 

@@ -1,9 +1,11 @@
 """Stored tables: buckets, key filters, lasting deletes, clean-up."""
 
+import re
 from datetime import timedelta
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from echolens.functions import scoring
 from echolens.operators import analysed, ingestion, metrics, replies, rollup, stored_replies, tables
@@ -263,3 +265,72 @@ def test_replies_are_kept_beside_the_messages(spark, make_messages, paths, monke
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     analysed.clear_source(spark, "docs", *paths)
     check()
+
+
+def _wide_exchanges(frame):
+    """Shuffles of the plan that move texts."""
+    found = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+    return [part for part in re.findall(r"\n\(\d+\) Exchange\n(.*)", found) if "content#" in part]
+
+
+def test_texts_kept_apart_stay_where_they_lay(spark, make_messages, paths, tmp_path):
+    rows = make_messages(*[{"id": f"m{i}", "content": f"text {i}", "source": ("github", None)[i % 2]} for i in range(40)]).repartition(3)
+    batch = make_messages(
+        {"id": "m1", "content": "other"}, {"id": "n1", "content": None}, {"id": "n2", "content": "first"},
+        {"id": "n2", "content": "second", "fetched_at": START + timedelta(1)}, {"id": None, "content": "no id"},
+    )
+    write_messages(rows, paths[0], apart=True)
+    lots = spark.read.parquet(str(tmp_path / "messages-lots" / "version=0000000001-whole"))
+    assert lots.count() == 40 and lots.select("_lot").distinct().count() == 3  # a lot of each task
+    ingestion.insert(batch, paths[0])
+    stored = read_snapshot(spark, paths[0], MESSAGES)
+    assert stored.columns == MESSAGES.names and not _wide_exchanges(stored) and stored.count() == 42
+    append_analysis(rows.selectExpr("id", "'positive' AS sentiment_simple"), paths[0], START)
+    merged = read_messages(spark, paths[0])
+    assert not _wide_exchanges(merged)
+    want = {f"m{i}": f"text {i}" for i in range(40)} | {"n1": None, "n2": "first"}
+    assert {r.id: r.content for r in merged.collect()} == {r.id: r.content for r in stored.collect()} == want
+    some = analysed.messages_with(spark, paths[0], spark.createDataFrame([("m7",), ("n2",), ("zz",)], "id string"))
+    assert sorted((r.id, r.content, r.sentiment_simple) for r in some.collect()) == [("m7", "text 7", "positive"), ("n2", "first", None)]
+    narrow = read_messages(spark, paths[0], texts=False)
+    assert _wide_exchanges(rows) and "content#" not in plan_of(narrow.drop("content")) and narrow.where("content is not null").isEmpty()
+
+
+def test_tables_with_texts_apart_do_all_that_others_do(spark, make_messages, tmp_path):
+    rows = make_messages(*[
+        {"id": f"m{i}", "content": f"text {i}", "source": ("github", "docs", "reddit", None)[i % 4], "processed_at": START,
+         "created_at": START + timedelta(days=i % 5), "embedding_id": f"m{i}" if i % 3 else None} for i in range(60)
+    ])
+    seen = []
+    for apart in (False, True):
+        messages, vectors, state, kept = (str(tmp_path / f"{name}-{apart}") for name in ("messages", "vectors", "state", "rollup"))
+        states = []
+
+        def look(messages=messages, kept=kept, states=states):
+            rollup.refresh(spark, messages, kept)
+            found = read_messages(spark, messages)
+            states.append(sorted(found.collect(), key=str) + sorted(rollup.read_rollup(spark, kept).collect(), key=str))
+            states.append([_ids(analysed.queued_ids(spark, messages, queue)) for queue in (tables.embedding_queue, tables.sentiment_queue)])
+
+        write_messages(rows.where("id < 'm4'"), messages, apart=apart)
+        assert snapshots.exists(spark, messages + "-lots") is apart
+        look()
+        ingestion.insert(rows, messages)
+        append_analysis(rows.selectExpr("id", "'negative' AS sentiment_simple").where("id like '%1'"), messages, START)
+        look()
+        analysed.clear_source(spark, "docs", messages, vectors, state)
+        look()
+        ingestion.insert(rows.where("source = 'docs'").withColumn("content", F.lit("again")), messages, "docs")
+        look()
+        analysed.reset_embeddings(spark, messages, vectors)
+        snapshots.void_column(spark, messages, "content")
+        ingestion.insert(make_messages({"id": "new", "content": "new text"}), messages)
+        look()
+        analysed.fold(spark, messages)
+        assert len(snapshots.vacuum(spark, messages)) >= 5
+        assert not apart or len([p for p in (tmp_path / f"messages-{apart}-lots").iterdir() if p.name.startswith("version")]) == 1
+        look()
+        write_messages(rows.limit(0), messages)
+        states.append(read_messages(spark, messages).collect())
+        seen.append(states)
+    assert seen[0] == seen[1]
