@@ -65,7 +65,7 @@ def _read_apart(
     of_messages, of_analysis = versions or (None, None)
     analysis = read_snapshot(spark, analysis_path(messages_path), ANALYSIS, of_analysis, with_version=True)
     messages, completed = read_apart(spark, messages_path, MESSAGES, of_messages)
-    return merged(messages, analysis), lambda rows: completed(rows).select(*MESSAGES.names)
+    return merged(messages, analysis), lambda rows: completed(rows, tables.ANALYSED).select(*MESSAGES.names)
 
 
 def read_messages(

@@ -207,7 +207,7 @@ def read_snapshot(
     """
     rows, completed = read_apart(spark, path, schema, version, since, only)
     names = [*schema.names, "_version"] if with_version else schema.names
-    return (completed(rows) if wide else _with_null(rows, schema)).select(*names)
+    return (completed(rows, ()) if wide else _with_null(rows, schema)).select(*names)
 
 
 def _with_null(rows: DataFrame, schema: T.StructType) -> DataFrame:
@@ -221,17 +221,18 @@ def read_apart(
     version: int | None = None,
     since: int | None = None,
     only: Collection[str] | None = None,
-) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+) -> tuple[DataFrame, Callable[[DataFrame, Collection[str]], DataFrame]]:
     """``read_snapshot`` with ``_version`` and without the column kept apart, and what adds that to any of these rows.
 
-    The rows have their places for it, other columns may be changed or added meanwhile. Where nothing is kept apart, the rows are whole.
+    The rows have their places for it. Columns that were changed meanwhile are named then; the others come from the lots as well.
+    Where nothing is kept apart, the rows are whole.
     """
     versions = [v for v in _versions(spark, path) if version is None or v.number <= version]
     whole = max((v.number for v in versions if v.kind == WHOLE), default=0) if since is None else since
     live = [v.name for v in versions if v.has_rows and v.number >= whole]
     names = live if only is None else [name for name in live if name in only]
     if not names:
-        return spark.createDataFrame([], schema).withColumn("_version", F.lit(0).cast("long")), lambda rows: rows
+        return spark.createDataFrame([], schema).withColumn("_version", F.lit(0).cast("long")), lambda rows, _: rows
     buckets = buckets_of(spark, path)
     apart = buckets is not None and buckets.apart in schema.names
 
@@ -256,14 +257,16 @@ def read_apart(
         if column in rows.columns:
             rows = rows.withColumn(column, F.when(F.col("_version") >= number, F.col(column)))
     if not apart:
-        return rows, lambda rows: rows
-
-    def completed(rows: DataFrame) -> DataFrame:
-        column = schema[buckets.apart]
-        lots = versions_of(_lots_path(path), T.StructType([column, *_PLACE]), Buckets("_lot", buckets.number)).drop("version")
-        rows = brought_to_lots(rows, lots, buckets.number)
+        return rows, lambda rows, _: rows
+
+    def completed(rows: DataFrame, changed: Collection[str]) -> DataFrame:
+        moved = {*changed, *[name for _, name in voided]} - {buckets.apart}
+        fields = [field for field in schema if field.name not in moved]
+        lots = versions_of(_lots_path(path), T.StructType([*fields, *_PLACE]), Buckets("_lot", buckets.number)).drop("version")
+        moved = [name for name in schema.names if name in moved]
+        rows = brought_to_lots(rows.select("_version", *moved, *_PLACE.names), lots, buckets.number)
         for number, name in voided:
-            if name == column.name:
+            if name == buckets.apart:
                 rows = rows.withColumn(name, F.when(F.col("_version") >= number, F.col(name)))
         return rows
 
@@ -312,8 +315,8 @@ def write_snapshot(
 
     ``partition_by`` lets readers skip folders; rebalancing splits a value that holds most rows over
     several files. ``sort_by`` orders each file for row-group skipping. ``buckets`` makes a new table bucketed; one that
-    exists stays as it is. ``chosen`` makes the rows to write of ``rows``, which it may leave out and change; a column kept apart
-    it neither gets nor needs.
+    exists stays as it is. ``chosen`` leaves out rows that are not to be written, and columns that the table has not, but changes
+    no other; a column kept apart it neither gets nor needs.
     """
     spark = rows.sparkSession
     version = _next_version(spark, path, ADDED if added else WHOLE)

@@ -353,3 +353,20 @@ def test_a_sparing_update_moves_changed_messages_only(spark, make_messages):
     assert rows["m10"].sentiment_simple == "positive" and rows["m5"].topics == "[]"
     assert (rows["bare"].topics, rows["bare, not in the delta"].topics) == ("[]", None)
     assert sum(r.now != r.at for r in rows.values()) < 30
+
+
+def test_an_insert_reads_texts_for_the_rows_it_adds_only(spark, make_messages):
+    stored = make_messages({"id": "a"}, {"id": "b"})
+    batch = make_messages(
+        {"id": "b", "content": "x"}, {"id": "c", "content": "z", "fetched_at": START}, {"id": "c", "content": "y", "fetched_at": START},
+        {"id": "c", "content": "a", "fetched_at": START + timedelta(1)}, {"id": "d", "fetched_at": None}, {"id": "d", "content": "late"},
+    )
+    candidates, exactly = tables.among_new_messages(stored, batch)
+    assert sorted(r.id for r in candidates.collect()) == ["c", "c", "d"]
+    # Copies of the candidates without texts are told apart all the same.
+    found = exactly(candidates.drop("content").unionByName(candidates.drop("content"))).collect()
+    assert sorted((r.id, r.fetched_at) for r in found if r.id == "c") == [("c", START)] and len(found) == 2
+    asked = []
+    for frame in (batch, batch.repartition(5), batch.orderBy("content")):
+        asked.append(sorted((r.id, r.content) for r in tables.new_messages(stored, frame).collect()))
+    assert asked[0] == asked[1] == asked[2] and asked[0][1] == ("d", "text")
