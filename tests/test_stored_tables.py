@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolens.functions import scoring
+from echolens.functions.text import RelevanceRules
 from echolens.operators import analysed, ingestion, metrics, replies, rollup, stored_replies, tables
 from echolens.operators.analysed import ANALYSIS, append_analysis, read_messages
+from echolens.operators.plan import stored_in_lots
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
-from echolens.sources import shredding, snapshots
+from echolens.sources import reddit, shredding, snapshots
 from echolens.sources.snapshots import read_snapshot, write_messages, write_snapshot
 
 from conftest import START, plan_of
@@ -334,3 +336,31 @@ def test_tables_with_texts_apart_do_all_that_others_do(spark, make_messages, tmp
         states.append(read_messages(spark, messages).collect())
         seen.append(states)
     assert seen[0] == seen[1]
+
+
+def test_messages_in_lots_stay_while_their_analysis_changes(spark, make_messages):
+    rows = make_messages(*[
+        {"id": f"m{i}", "content": f"text {i}", "topics": None if i % 4 else '["a"]', "sentiment_simple": "neutral"} for i in range(30)
+    ]).repartition(4)
+    delta = spark.createDataFrame(
+        [("m1", "positive", ["b"], None), ("m2", None, None, "e2"), ("m2", "negative", None, None), ("zz", "positive", None, None), ("m3", None, None, None)],
+        "id string, sentiment_simple string, topics array<string>, embedding_id string",
+    )
+    kept = stored_in_lots(rows)
+    for names in (MESSAGES.names, ["content", "id", "topics"]):
+        got = tables.update_analysis(kept.select(*names, "_lot", "_place"), delta, as_of=START)
+        assert got.columns == list(names) and not _wide_exchanges(got)
+        assert sorted(got.collect(), key=str) == sorted(tables.update_analysis(rows, delta, as_of=START).select(*names).collect(), key=str)
+
+
+def test_entries_in_lots_stay_while_posts_are_chosen(spark):
+    entry = "struct<title:string,link:struct<_href:string>,content:string,updated:string,author:struct<name:string>,id:string>"
+    names = ("title", "content", "updated", "id")
+    values = [(f"acme.com {i}", f"<p>acme.com &amp; {i}</p>", f"2024-01-0{i % 3 + 1}T00:00:00Z", f"t3_p{i % 7}") for i in range(20)]
+    rows = spark.createDataFrame([(f"sub{i % 2}", *value) for i, value in enumerate(values)], ["subreddit", *names]).repartition(3)
+    entries = rows.selectExpr("subreddit", f"inline(array(from_json(to_json(struct({', '.join(names)})), '{entry}')))")
+    rules = RelevanceRules.for_brand("acme")
+    got = reddit.atom_posts(entries, rules, START, store=stored_in_lots)
+    want = reddit.atom_posts(entries, rules, START)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 7
+    assert _wide_exchanges(want) and not _wide_exchanges(got)
