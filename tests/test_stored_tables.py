@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echolens.functions import scoring
 from echolens.functions.text import RelevanceRules
-from echolens.operators import analysed, ingestion, metrics, replies, rollup, stored_replies, tables
+from echolens.operators import analysed, ingestion, metrics, replies, rollup, stored_replies, tables, triage
 from echolens.operators.analysed import ANALYSIS, append_analysis, read_messages
 from echolens.operators.plan import stored_in_lots
 from echolens.schemas import INGESTION_STATE, MESSAGES, VECTORS
@@ -364,3 +364,19 @@ def test_entries_in_lots_stay_while_posts_are_chosen(spark):
     want = reddit.atom_posts(entries, rules, START)
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 7
     assert _wide_exchanges(want) and not _wide_exchanges(got)
+
+
+@pytest.mark.parametrize("sort", [triage.NEWEST, triage.MOST_NEGATIVE, triage.HIGHEST_IMPACT])
+def test_the_explorer_moves_texts_once(make_messages, sort):
+    rows = make_messages(*[
+        {"id": f"m{i:02d}", "content": f"text {i}", "created_at": START + timedelta(hours=i % 9) if i % 13 else None,
+         "content_type": ("question", "bug_report", None)[i % 3], "parent_id": f"m{i // 2:02d}" if i % 4 else None,
+         "sentiment_simple": ("negative", "positive", "neutral", "odd", None)[i % 5], "metadata": f'{{"points": {i * 7 % 40}}}'}
+        for i in range(60)
+    ], {"id": None, "source_id": "x"})
+    for chosen in ((), (triage.UNANSWERED,), (triage.BUG_REPORTS, triage.UNANSWERED, triage.HIGH_IMPACT)):
+        whole = triage.explore(rows, triage.Search(triage=chosen, sort=sort), START)
+        assert len(_wide_exchanges(whole)) == 1
+        page = triage.explore(rows, triage.Search(triage=chosen, sort=sort, limit=100), START)
+        assert whole.collect() == page.collect() and whole.columns == page.columns and 5 < whole.count() <= 60
+        assert {r.has_reply for r in whole.collect()} == ({False} if chosen == (triage.UNANSWERED,) else {False, True})
