@@ -348,7 +348,7 @@ def test_messages_in_lots_stay_while_their_analysis_changes(spark, make_messages
     )
     kept = stored_in_lots(rows)
     for names in (MESSAGES.names, ["content", "id", "topics"]):
-        got = tables.update_analysis(kept.select(*names, "_lot", "_place"), delta, as_of=START)
+        got = tables.update_analysis(kept.select(*names, "_lot", "_place"), delta, as_of=START, in_lots=True)
         assert got.columns == list(names) and not _wide_exchanges(got)
         assert sorted(got.collect(), key=str) == sorted(tables.update_analysis(rows, delta, as_of=START).select(*names).collect(), key=str)
 
